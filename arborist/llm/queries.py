@@ -5,18 +5,92 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import ctw, embed_dedup, matroska, packing, secret_scan, separators, shards, simhash, zquality
+from .common import new_path, table
+
+BPE = "byte_bpe_50k.json"
+END_OF_TEXT = 50256
+
+
+def tokenizer(name: str = BPE) -> str:
+    """Where the installed public tokenizers keep a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return zquality.score(docs, zquality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.text_media(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back from the compacted version, with a digest of its text and the version's row count."""
+    docs = shards.shard_and_compact(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
+    return docs.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(table(spark, sf_dir, "documents"), tokenizer(), END_OF_TEXT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_simhash": op8_simhash}
+    return {
+        "op1_embedding_near_dedup": op1_embedding_near_dedup,
+        "op2_packing": op2_packing,
+        "op3_context_tree_scores": op3_context_tree_scores,
+        "op4_compression_quality": op4_compression_quality,
+        "op5_matroska": op5_matroska,
+        "op7_secret_scan": op7_secret_scan,
+        "op8_simhash": op8_simhash,
+        "op9_sharding": op9_sharding,
+        "op10_separator_scan": op10_separator_scan,
+    }
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+), edges AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, e.y FROM reach r JOIN edges e ON e.x = r.other
+), roots AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+degrees AS (SELECT x, count(*) AS n_links FROM edges GROUP BY x)
+SELECT v.vec_id, coalesce(d.n_links, 0) AS n_links, r.component_id, v.vec_id = r.component_id AS kept
+FROM v JOIN roots r USING (vec_id) LEFT JOIN degrees d ON d.x = v.vec_id
+"""
+
+
+OP9_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op9_sharding": OP9_SQL}
