@@ -1,8 +1,8 @@
 """Probabilistic automata learnt from examples: prefix trees whose statistically compatible states merge.
 
 States of the prefix tree are visited in breadth-first order. One is merged with an earlier state when
-a Hoeffding bound cannot tell their ends and their next symbols apart, and neither their successors';
-otherwise it stays a state of its own. What is left is a deterministic automaton whose transitions
+a Hoeffding bound cannot tell their ends and their next symbols apart, and neither their successors',
+with the one under which its own continuations are likeliest if there are several; otherwise it stays a state of its own. What is left is a deterministic automaton whose transitions
 carry the relative frequencies of the examples. A state that was left by VARIED symbols or more also
 lets the alphabet's other symbols pass, to where most of its own lead, as one unseen example would.
 """
@@ -53,6 +53,7 @@ def infer(examples: list[str], alpha: float = 0.05) -> Automaton:
             s = kids[s][c]
             seen[s] += 1
         ended[s] += 1
+    width = len({c for x in examples for c in x})
     bound = math.sqrt(0.5 * math.log(2 / alpha))
 
     def differ(f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -72,6 +73,20 @@ def infer(examples: list[str], alpha: float = 0.05) -> Automaton:
             todo.extend((kids[a][c], kids[b][c]) for c in kids[b] if c in kids[a])
         return True
 
+    def likeness(a: int, b: int) -> float:
+        """Log likelihood of all that follows b, read from a with half a count added to each symbol; where a has no path, all symbols are as likely."""
+        total, todo = 0.0, [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            if a is None:
+                total -= math.log(width + 1) * (ended[b] + sum(through[b].values()))
+            else:
+                size = math.log(seen[a] + 0.5 * (width + 1))
+                total += ended[b] * (math.log(ended[a] + 0.5) - size)
+                total += sum(n * (math.log(through[a].get(c, 0) + 0.5) - size) for c, n in through[b].items())
+            todo.extend((None if a is None else kids[a].get(c), k) for c, k in kids[b].items())
+        return total
+
     def fold(into: int, tree: int) -> None:
         """Adds the counts of the subtree at `tree` to the automaton at `into`."""
         todo = [(into, tree)]
@@ -93,7 +108,7 @@ def infer(examples: list[str], alpha: float = 0.05) -> Automaton:
         state = kids[parent][c]
         if state in fixed:
             continue
-        match = next((r for r in kept if compatible(r, state)), None)
+        match = max((r for r in kept if compatible(r, state)), key=lambda r, state=state: (likeness(r, state), -r), default=None)
         if match is None:
             kept.append(state)
             fixed.add(state)
