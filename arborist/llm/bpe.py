@@ -31,9 +31,22 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_as_text
         self.kind = kind
+        (self.line,) = self.tok.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
 
+    def _ids_of(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks with clean edges, each after a space. Those in one line go through the tokenizer as one text, a line each."""
+        plain = [c for c in chunks if "\n" not in c]
+        out = {c: self._whole(" " + c) for c in chunks if "\n" in c}
+        if plain:
+            got = self.tok.encode_batch_fast([" " + "\n ".join(plain)], add_special_tokens=False)[0].ids
+            ids = np.array(got, self.kind)
+            at = np.flatnonzero(ids == self.line).tolist()
+            flat, width = ids.tobytes(), ids.itemsize
+            out.update((c, flat[a * width : b * width]) for c, a, b in zip(plain, [0, *(x + 1 for x in at)], [*at, len(ids)], strict=True))
+        return out
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
@@ -43,8 +56,7 @@ class ChunkEncoder:
         chunks = text.split(" ")
         if not all(chunks):
             chunks = self._joined(chunks)
-        get = self.known.get
-        found = [get(c) for c in chunks]
+        found = list(map(self.known.get, chunks))
         head = self.first.get(chunks[0])
         if head is None:
             if not self._cuts(chunks[:1], True):
@@ -59,7 +71,7 @@ class ChunkEncoder:
             new = list(dict.fromkeys(c for c, f in zip(chunks, found) if f is None))
             if not self._cuts(new, False):
                 return self._mended(chunks)
-            ids = dict(zip(new, (np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast([" " + c for c in new], add_special_tokens=False))))
+            ids = self._ids_of(new)
             found = [ids[c] if f is None else f for c, f in zip(chunks, found)]
             if len(self.known) + len(ids) > KEPT_CHUNKS:
                 self.known.clear()

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import columns, stored
 
-DEPTH = 5
-BLOCK = 12_000_000
+DEPTH = 4
+BLOCK = 24_000_000
 CHUNK = 2_000_000
 ROWS_A_TASK = 150_000
 STOP = 10  # the byte that ends a text; words hold no white space

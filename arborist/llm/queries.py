@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, embed_dedup, matroska, packing, secret_scan, separators, shards, simhash, zquality
+from . import ctw, embed_dedup, matroska, packing, secret_scan, separators, shards, simhash, unigram, zquality
 from .common import new_path, table
 
 BPE = "byte_bpe_50k.json"
 END_OF_TEXT = 50256
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer(name: str = BPE) -> str:
@@ -46,6 +47,11 @@ def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.text_media(table(spark, sf_dir, "documents"))
 
 
+def op6_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = unigram.zipf_scores(unigram.read_pieces(tokenizer(PIECES)))
+    return unigram.encode_texts(spark, table(spark, sf_dir, "documents"), pieces)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_context_tree_scores": op3_context_tree_scores,
         "op4_compression_quality": op4_compression_quality,
         "op5_matroska": op5_matroska,
+        "op6_unigram_pieces": op6_unigram_pieces,
         "op7_secret_scan": op7_secret_scan,
         "op8_simhash": op8_simhash,
         "op9_sharding": op9_sharding,

