@@ -14,11 +14,12 @@ import numpy as np
 
 KEPT_CHUNKS = 400_000
 SHORT = 64
+MARKS = ".,;:!?*&$%#|"
 
 
 def _edge(c: str) -> bool:
     """May a cut touch this character? Not where any rule could take it for white space."""
-    return c > " " and not c.isspace() and not "\x7f" <= c <= "\xa0"
+    return "!" <= c <= "~" or c > "\xa0" and not c.isspace()
 
 
 class ChunkEncoder:
@@ -36,17 +37,49 @@ class ChunkEncoder:
         self.first: dict[str, bytes] = {}
 
     def _ids_of(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks with clean edges, each after a space. Those in one line go through the tokenizer as one text, a line each."""
-        plain = [c for c in chunks if "\n" not in c]
-        out = {c: self._whole(" " + c) for c in chunks if "\n" in c}
-        if plain:
-            got = self.tok.encode_batch_fast([" " + "\n ".join(plain)], add_special_tokens=False)[0].ids
+        """Ids of chunks with clean edges, each after a space. Letters and the marks after them, and lines, are looked up apart."""
+        plans, new = [], {}
+        for c in chunks:
+            head, *lines = c.split("\n")
+            if lines and not (head and self._cuts([head], True) and self._cuts(lines, False)):
+                plans.append(None)
+                continue
+            core = head.rstrip(MARKS)
+            if core == head or not core.isalpha():
+                core = head
+            if core not in self.known:
+                new[core] = b""
+            plans.append((core, head[len(core) :], lines))
+        if new:
+            got = self.tok.encode_batch_fast([" " + "\n ".join(new)], add_special_tokens=False)[0].ids
             ids = np.array(got, self.kind)
             at = np.flatnonzero(ids == self.line).tolist()
             flat, width = ids.tobytes(), ids.itemsize
-            out.update((c, flat[a * width : b * width]) for c, a, b in zip(plain, [0, *(x + 1 for x in at)], [*at, len(ids)], strict=True))
+            new = {c: flat[a * width : b * width] for c, a, b in zip(new, [0, *(x + 1 for x in at)], [*at, len(ids)], strict=True)}
+        out, newline = {c: new[c] for c in new if len(c) < SHORT}, np.array([self.line], self.kind).tobytes()
+        for c, plan in zip(chunks, plans):
+            if plan is None:
+                out[c] = self._whole(" " + c)
+            else:
+                core, marks, lines = plan
+                ids = new[core] if core in new else self.known[core]
+                if marks:
+                    ids += self._alone(marks)
+                out[c] = ids + b"".join([newline + self._alone(x) for x in lines]) if lines else ids
         return out
 
+    def _alone(self, text: str) -> bytes:
+        """Ids of a text with nothing before it, from the dictionary of such if it is there."""
+        ids = self.first.get(text)
+        if ids is None:
+            core = text.rstrip(MARKS)
+            ids = self._alone(core) + self._alone(text[len(core) :]) if core.isalpha() and core != text else self._whole(text)
+            if len(self.first) >= KEPT_CHUNKS // 4:
+                self.first.clear()
+            if len(text) < SHORT:
+                self.first[text] = ids
+        return ids
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
@@ -61,11 +94,7 @@ class ChunkEncoder:
         if head is None:
             if not self._cuts(chunks[:1], True):
                 return self._mended(chunks)
-            head = self._whole(chunks[0])
-            if len(self.first) >= KEPT_CHUNKS // 4:
-                self.first.clear()
-            if len(chunks[0]) < SHORT:
-                self.first[chunks[0]] = head
+            head = self._alone(chunks[0])
         found[0] = head
         if None in found:
             new = list(dict.fromkeys(c for c, f in zip(chunks, found) if f is None))

@@ -125,3 +125,119 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(lowest, "root").select(F.col("fp").alias("of"), "component_id")
     return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+WIDTH, SEGMENTS, PRINTS = 27, 7, 3
+FAR = 48
+BROADCAST_IDS = 200_000
+SHINGLE = 5
+
+
+def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles (a shorter text: all its words; none: one of the empty string)."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)).view(np.int64))
+
+
+def _features(docs: DataFrame) -> DataFrame:
+    """(doc_id, same, f0, f1, f2): a digest of the shingle set, and fingerprints over the distinct words."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                s = b.slice(at, 512)
+                texts = s.column(1).to_pylist()
+                same = [xxhash.xxh3_128_digest(shingle_set(t).tobytes()) for t in texts]
+                prints = [fingerprint_many(texts, 1, SEED + i, True).view(np.int64) for i in range(PRINTS)]
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(same, pa.binary()), *map(pa.array, prints)], ["doc_id", "same", *[f"f{i}" for i in range(PRINTS)]])
+
+    return docs.mapInArrow(work, "doc_id long, same binary, " + ", ".join(f"f{i} long" for i in range(PRINTS)))
+
+
+def _segment_keys() -> Column:
+    """For each of SEGMENTS segments of WIDTH bits over the joined fingerprints: the segment, and it with each bit blanked."""
+    keys = []
+    for k in range(SEGMENTS):
+        word, shift = divmod(k * WIDTH, 64)
+        seg = F.shiftrightunsigned(f"f{word}", shift)
+        if shift + WIDTH > 64:
+            seg = seg.bitwiseOR(F.shiftleft(f"f{word + 1}", 64 - shift))
+        seg = seg.bitwiseAND(F.lit((1 << WIDTH) - 1))
+        keys.append(seg.bitwiseOR(F.lit(k * 33 << 32)))
+        keys += [seg.bitwiseAND(F.lit((1 << WIDTH) - 1 - (1 << j))).bitwiseOR(F.lit((k * 33 + j + 1) << 32)) for j in range(WIDTH)]
+    return F.explode(F.array(*keys)).alias("key")
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) those whose shingle sets have the Jaccard similarity."""
+    side = lambda x: prints.select(F.col("cid").alias(x), *[F.col(f"f{i}").alias(f"{x}{i}") for i in range(PRINTS)])
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PRINTS)), F.lit(0))
+    near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= FAR).select("a", "b"), "near")
+    ids = stored(near.select(F.col("a").alias("cid")).union(near.select("b")).distinct(), "ids")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                s = b.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([shingle_set(t, words) for t in s.column(1).to_pylist()], pa.list_(pa.int64()))], ["cid", "s"])
+
+    texts = docs.join(few, docs.doc_id == few.cid, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    grams = stored(texts.mapInArrow(sets, "cid long, s array<long>"), "sets")
+    both = near.join(grams.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(grams.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.withColumn("i", common).where(F.col("i") >= similarity * (F.size("sa") + F.size("sb") - F.col("i")) - 1e-9).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4) -> DataFrame:
+    """(doc_id, component_id) over texts whose sets of word shingles have a Jaccard similarity of at least `similarity`.
+
+    Candidates are texts that agree, but for one bit at most, on one of SEGMENTS segments of their
+    fingerprints; every link is verified on the whole texts. In each bucket of such a key the member
+    that shares most keys with others is compared with all the rest; members it is linked with need no
+    more comparisons there. What is left after `rounds` rounds is compared pair by pair. So a group's
+    cost follows its size, and no bucket is gathered. Rows without an id are left out; ids that are
+    repeated count once, by the smallest text.
+    """
+    docs = columns(docs, (id_col, "doc_id", "long"), (text_col, "text", "string")).where("doc_id is not null")
+    seen = stored(_features(docs), "features")
+    prints = stored(seen.groupBy("same").agg(F.min("doc_id").alias("cid"), *[F.min_by(f"f{i}", "doc_id").alias(f"f{i}") for i in range(PRINTS)]), "prints")
+    prints = prints.dropDuplicates(["cid"])
+    keyed = prints.select("cid", _segment_keys())
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = stored(keyed.join(shared, "key"), "buckets")
+    ranks = stored(rows.groupBy("cid").agg(F.sum("n").alias("rank")), "ranks")
+    rows = rows.drop("n").join(ranks, "cid")
+    links = None
+    for turn in range(rounds + 1):
+        if turn < rounds:
+            best = rows.groupBy("key").agg(F.max(F.struct("rank", "cid")).alias("top"))
+            tests = rows.join(best, "key").select("cid", F.col("top.cid").alias("centre"))
+        else:
+            tests = rows.join(rows.select("key", F.col("cid").alias("centre")), "key")
+        pairs = tests.where("cid <> centre").select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct()
+        good = _similar(pairs, prints, docs, words, similarity)
+        links = stored(good if links is None else links.unionByName(good), "links")
+        roots = connected_components(links)
+        if turn == rounds:
+            break
+        of = lambda x: roots.select(F.col("node").alias(x), F.col("component").alias(f"{x}_root"))  # noqa: B023, E731
+        after = rows.join(best, "key").select("key", "cid", "rank", F.col("top.cid").alias("centre")).join(of("cid"), "cid", "left").join(of("centre"), "centre", "left")
+        after = after.where(F.coalesce("cid_root", "cid") != F.coalesce("centre_root", "centre")).select("key", "cid", "rank")
+        many = after.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        rows = stored(after.join(many, "key"), "buckets")
+        if rows.isEmpty():
+            break
+    classes = prints.select("same", F.col("cid").alias("node")).join(roots, "node", "left").select("same", F.coalesce("component", "node").alias("root"))
+    named = seen.select("doc_id", "same").join(classes, "same")
+    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(lowest, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near copies (the one with the smallest id), and all rows without an id; columns stay."""
+    groups = similar_groups(docs, words, similarity, id_col, text_col)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    left = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    return left
