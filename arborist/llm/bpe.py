@@ -1,146 +1,65 @@
-"""Byte-level BPE ids at memory speed: each distinct chunk between single spaces is encoded once.
+"""Byte-level BPE ids of whole texts, from a tokenizer file of the tokenizers library.
 
-The pre-tokenizer of byte-level BPE never joins a character that is no white space with a space after
-it, so a text falls apart before each space that stands between two such characters, without any
-change of its ids. Chunks repeat, hence their ids (as little-endian bytes) come from a bounded
-dictionary and only new chunks reach the tokenizer.
+The vocabulary and its merges are read from that file. Where ids are in the order of the merges (as in
+the public byte-level files) tiktoken's core applies them, several times faster and with the same
+ids; for any other file the tokenizers library itself does.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 
-KEPT_CHUNKS = 400_000
-SHORT = 64
-MARKS = ".,;:!?*&$%#|"
+# Fixed value: the pre-tokenizer's rule of byte-level BPE, as the tokenizers library has it built in.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _edge(c: str) -> bool:
-    """May a cut touch this character? Not where any rule could take it for white space."""
-    return "!" <= c <= "~" or c > "\xa0" and not c.isspace()
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the others from 256 on in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class ChunkEncoder:
-    """encode(text) gives the ids as bytes of `kind` ('<u4' or '<u2')."""
+def _ranks(model: dict) -> dict[bytes, int] | None:
+    """Token bytes to ids, if merging by ids is merging by the file's order."""
+    at, vocab = byte_of(), model["vocab"]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids = [vocab[m] for m in merged]
+    singles = [t for t in vocab if len(t) == 1 and t in at]
+    if ids != sorted(set(ids)) or len(singles) != 256 or max(vocab[t] for t in singles) > min(ids, default=256):
+        return None
+    return {bytes(at[c] for c in t): vocab[t] for t in [*singles, *merged]}
 
-    def __init__(self, path: str, kind: str = "<u4", special_as_text: bool = False):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = special_as_text
-        self.kind = kind
-        (self.line,) = self.tok.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
 
-    def _ids_of(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks with clean edges, each after a space. Letters and the marks after them, and lines, are looked up apart."""
-        plans, new = [], {}
-        for c in chunks:
-            head, *lines = c.split("\n")
-            if lines and not (head and self._cuts([head], True) and self._cuts(lines, False)):
-                plans.append(None)
-                continue
-            core = head.rstrip(MARKS)
-            if core == head or not core.isalpha():
-                core = head
-            if core not in self.known:
-                new[core] = b""
-            plans.append((core, head[len(core) :], lines))
-        if new:
-            got = self.tok.encode_batch_fast([" " + "\n ".join(new)], add_special_tokens=False)[0].ids
-            ids = np.array(got, self.kind)
-            at = np.flatnonzero(ids == self.line).tolist()
-            flat, width = ids.tobytes(), ids.itemsize
-            new = {c: flat[a * width : b * width] for c, a, b in zip(new, [0, *(x + 1 for x in at)], [*at, len(ids)], strict=True)}
-        out, newline = {c: new[c] for c in new if len(c) < SHORT}, np.array([self.line], self.kind).tobytes()
-        for c, plan in zip(chunks, plans):
-            if plan is None:
-                out[c] = self._whole(" " + c)
-            else:
-                core, marks, lines = plan
-                ids = new[core] if core in new else self.known[core]
-                if marks:
-                    ids += self._alone(marks)
-                out[c] = ids + b"".join([newline + self._alone(x) for x in lines]) if lines else ids
-        return out
+class Encoder:
+    """encode(text) gives the ids as bytes of `kind` ('<u4' or '<u2'). special_as_text: special tokens spelled out in a text are ordinary text."""
 
-    def _alone(self, text: str) -> bytes:
-        """Ids of a text with nothing before it, from the dictionary of such if it is there."""
-        ids = self.first.get(text)
-        if ids is None:
-            core = text.rstrip(MARKS)
-            ids = self._alone(core) + self._alone(text[len(core) :]) if core.isalpha() and core != text else self._whole(text)
-            if len(self.first) >= KEPT_CHUNKS // 4:
-                self.first.clear()
-            if len(text) < SHORT:
-                self.first[text] = ids
-        return ids
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def __init__(self, path: str, kind: str = "<u4", special_as_text: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.kind, self.fast = kind, None
+        pre = spec.get("pre_tokenizer") or {}
+        added = spec.get("added_tokens", [])
+        simple = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        ranks = _ranks(spec["model"]) if simple and spec["model"]["type"] == "BPE" and not any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in added) else None
+        if ranks:
+            import tiktoken
+
+            special = {} if special_as_text else {a["content"]: a["id"] for a in added}
+            self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        else:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(path)
+            self.slow.encode_special_tokens = special_as_text
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        chunks = text.split(" ")
-        if not all(chunks):
-            chunks = self._joined(chunks)
-        found = list(map(self.known.get, chunks))
-        head = self.first.get(chunks[0])
-        if head is None:
-            if not self._cuts(chunks[:1], True):
-                return self._mended(chunks)
-            head = self._alone(chunks[0])
-        found[0] = head
-        if None in found:
-            new = list(dict.fromkeys(c for c, f in zip(chunks, found) if f is None))
-            if not self._cuts(new, False):
-                return self._mended(chunks)
-            ids = self._ids_of(new)
-            found = [ids[c] if f is None else f for c, f in zip(chunks, found)]
-            if len(self.known) + len(ids) > KEPT_CHUNKS:
-                self.known.clear()
-            self.known.update((c, b) for c, b in ids.items() if len(c) < SHORT)
-        return b"".join(found)
-
-    @staticmethod
-    def _cuts(chunks: list[str], head: bool) -> bool:
-        """Chunks with clean edges; the first of a text may begin with anything."""
-        return all(_edge(c[-1]) and (head or _edge(c[0])) for c in chunks if c) and all(chunks)
-
-    @staticmethod
-    def _joined(chunks: list[str]) -> list[str]:
-        """Chunks put together again where a space had another space beside it."""
-        return ChunkEncoder._merge(chunks, lambda left, right: bool(left) and bool(right))
-
-    @staticmethod
-    def _merge(chunks: list[str], clean) -> list[str]:
-        out, run = [], [chunks[0]]
-        for left, right in zip(chunks, chunks[1:]):
-            if clean(left, right):
-                out.append(" ".join(run))
-                run = [right]
-            else:
-                run.append(right)
-        out.append(" ".join(run))
-        return out
-
-    def _mended(self, chunks: list[str]) -> bytes:
-        """Encodes where some space isn't between clean edges: only clean places are cut."""
-        parts = self._merge(chunks, lambda left, right: bool(left) and bool(right) and _edge(left[-1]) and _edge(right[0]))
-        known, out = self.known, []
-        for i, p in enumerate(parts):
-            table, prefix = (known, " ") if i else (self.first, "")
-            ids = table.get(p)
-            if ids is None:
-                ids = self._whole(prefix + p)
-                if len(p) < SHORT and _edge(p[-1]):  # an unclean end is right only at a text's end
-                    if len(table) >= KEPT_CHUNKS:
-                        table.clear()
-                    table[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        if self.fast:
+            return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype(self.kind, copy=False).tobytes()
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, self.kind).tobytes()

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ChunkEncoder
+from .bpe import Encoder
 from .common import columns, stored
 
 OPEN = 16
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, windows: int = OPEN,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        enc, packer = ChunkEncoder(tokenizer, special_as_text=special_as_text), Packer(size, windows, _id(0, part))
+        enc, packer = Encoder(tokenizer, special_as_text=special_as_text), Packer(size, windows, _id(0, part))
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 s = b.slice(at, 256)

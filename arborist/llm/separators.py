@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import ChunkEncoder
+from .bpe import Encoder
 from .common import columns, stored
 
 BLOCK_IDS = 1 << 17
@@ -87,7 +87,7 @@ def write_token_blocks(docs: DataFrame, tokenizer: str, separator: int, id_col:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = TaskContext.get().partitionId()
-        enc, end = ChunkEncoder(tokenizer, "<u2", special_as_text=True), np.array([separator], "<u2").tobytes()
+        enc, end = Encoder(tokenizer, "<u2", special_as_text=True), np.array([separator], "<u2").tobytes()
         held, block, ordinal = bytearray(), 0, 0
 
         def flat(data: list[bytes]) -> pa.RecordBatch:
