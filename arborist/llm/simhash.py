@@ -169,12 +169,8 @@ def _segment_keys() -> Column:
     return F.explode(F.array(*keys)).alias("key")
 
 
-def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) those whose shingle sets have the Jaccard similarity."""
-    side = lambda x: prints.select(F.col("cid").alias(x), *[F.col(f"f{i}").alias(f"{x}{i}") for i in range(PRINTS)])
-    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PRINTS)), F.lit(0))
-    near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= FAR).select("a", "b"), "near")
-    ids = stored(near.select(F.col("a").alias("cid")).union(near.select("b")).distinct(), "ids")
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(cid, s): the shingle sets of the documents named in ids."""
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,20 +180,54 @@ def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, s
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array([shingle_set(t, words) for t in s.column(1).to_pylist()], pa.list_(pa.int64()))], ["cid", "s"])
 
     texts = docs.join(few, docs.doc_id == few.cid, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    grams = stored(texts.mapInArrow(sets, "cid long, s array<long>"), "sets")
+    return stored(texts.mapInArrow(sets, "cid long, s array<long>"), "sets")
+
+
+def _prefix_pairs(docs: DataFrame, ids: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(cid, centre): all pairs of ids whose sets can have the similarity.
+
+    Such sets share one of the rarest shingles of each: of n, the first floor((1 - similarity) n) + 1 by
+    their count among these documents. What only one document holds meets nobody.
+    """
+    own = _sets(docs, ids, words).select("cid", F.size("s").alias("n"), F.explode("s").alias("g"))
+    counts = own.groupBy("g").agg(F.count("*").alias("c"))
+    ranked = own.join(counts, "g").groupBy("cid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "g"))).alias("r"))
+    first = ranked.select("cid", "n", F.explode(F.slice("r", F.lit(1), F.floor((1 - similarity) * F.col("n") + 1e-9).cast("int") + 1)).alias("x")).where("x.c > 1").select("cid", "n", F.col("x.g").alias("g"))
+    first = stored(first, "prefixes")
+    other = first.select("g", F.col("cid").alias("centre"), F.col("n").alias("m"))
+    fits = (F.col("cid") < F.col("centre")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
+    return first.join(other, "g").where(fits).select("cid", "centre").distinct()
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) those whose shingle sets have the Jaccard similarity."""
+    side = lambda x: prints.select(F.col("cid").alias(x), *[F.col(f"f{i}").alias(f"{x}{i}") for i in range(PRINTS)])
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PRINTS)), F.lit(0))
+    near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= FAR).select("a", "b"), "near")
+    ids = stored(near.select(F.col("a").alias("cid")).union(near.select("b")).distinct(), "ids")
+    grams = _sets(docs, ids, words)
     both = near.join(grams.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(grams.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.withColumn("i", common).where(F.col("i") >= similarity * (F.size("sa") + F.size("sb") - F.col("i")) - 1e-9).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4) -> DataFrame:
+def _unsettled(rows: DataFrame, best: DataFrame, roots: DataFrame) -> DataFrame:
+    """Bucket rows that are not in their centre's group, where two or more are left."""
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("component").alias(f"{x}_root"))
+    after = rows.join(best, "key").select("key", "cid", "rank", F.col("top.cid").alias("centre")).join(of("cid"), "cid", "left").join(of("centre"), "centre", "left")
+    after = after.where(F.coalesce("cid_root", "cid") != F.coalesce("centre_root", "centre")).select("key", "cid", "rank")
+    many = after.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return stored(after.join(many, "key"), "buckets")
+
+
+def similar_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """(doc_id, component_id) over texts whose sets of word shingles have a Jaccard similarity of at least `similarity`.
 
     Candidates are texts that agree, but for one bit at most, on one of SEGMENTS segments of their
     fingerprints; every link is verified on the whole texts. In each bucket of such a key the member
     that shares most keys with others is compared with all the rest; members it is linked with need no
-    more comparisons there. What is left after `rounds` rounds is compared pair by pair. So a group's
-    cost follows its size, and no bucket is gathered. Rows without an id are left out; ids that are
+    more comparisons there. What is left after `rounds` rounds is searched exactly, by its rarest
+    shingles. So a group's cost follows its size, and no bucket is gathered. Rows without an id are left out; ids that are
     repeated count once, by the smallest text.
     """
     docs = columns(docs, (id_col, "doc_id", "long"), (text_col, "text", "string")).where("doc_id is not null")
@@ -209,24 +239,21 @@ def similar_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.
     rows = stored(keyed.join(shared, "key"), "buckets")
     ranks = stored(rows.groupBy("cid").agg(F.sum("n").alias("rank")), "ranks")
     rows = rows.drop("n").join(ranks, "cid")
-    links = None
+    links, roots = None, rows.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(rounds + 1):
         if turn < rounds:
             best = rows.groupBy("key").agg(F.max(F.struct("rank", "cid")).alias("top"))
             tests = rows.join(best, "key").select("cid", F.col("top.cid").alias("centre"))
         else:
-            tests = rows.join(rows.select("key", F.col("cid").alias("centre")), "key")
+            tests = _prefix_pairs(docs, stored(rows.select("cid").distinct(), "ids"), words, similarity)
         pairs = tests.where("cid <> centre").select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct()
-        good = _similar(pairs, prints, docs, words, similarity)
-        links = stored(good if links is None else links.unionByName(good), "links")
-        roots = connected_components(links)
+        good = stored(_similar(pairs, prints, docs, words, similarity), "links")
+        if not good.isEmpty():
+            links = good if links is None else links.unionByName(good)
+            roots = connected_components(links)
         if turn == rounds:
             break
-        of = lambda x: roots.select(F.col("node").alias(x), F.col("component").alias(f"{x}_root"))  # noqa: B023, E731
-        after = rows.join(best, "key").select("key", "cid", "rank", F.col("top.cid").alias("centre")).join(of("cid"), "cid", "left").join(of("centre"), "centre", "left")
-        after = after.where(F.coalesce("cid_root", "cid") != F.coalesce("centre_root", "centre")).select("key", "cid", "rank")
-        many = after.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        rows = stored(after.join(many, "key"), "buckets")
+        rows = _unsettled(rows, best, roots)
         if rows.isEmpty():
             break
     classes = prints.select("same", F.col("cid").alias("node")).join(roots, "node", "left").select("same", F.coalesce("component", "node").alias("root"))
