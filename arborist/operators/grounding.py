@@ -25,27 +25,34 @@ def _share(a: Column, b: Column) -> Column:
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
 
 
-def sentence_confidence(sentence: Column, source: Column) -> Column:
-    """Grounding of a sentence in a source text: 1 if verbatim, else 0.6 of the largest signal and 0.4 of their mean, within 0.35 and 1."""
-    s, t = F.lower(sentence), F.lower(source)
-    w, v = T.words(s), F.array_distinct(T.words(t))
+def sentence_confidence(rows: DataFrame) -> DataFrame:
+    """Adds confidence to (sentence, source): 1 if verbatim, else 0.6 of the largest signal and 0.4 of their mean, within 0.35 and 1.
+
+    What lambdas refer to are columns of an earlier projection, so that it is computed once a row.
+    """
+    kept = rows.columns
+    prep = rows.withColumns({"_s": F.lower("sentence"), "_t": F.lower("source")})
+    prep = prep.withColumns({"_w": T.words("_s"), "_x": T.words("_t"), "_p": T.char_windows("_s")})
+    grams = {f"_{side}{n}": T.word_ngrams(F.col(c), n) for side, c in (("w", "_w"), ("x", "_x")) for n in (2, 3)}
+    prep = prep.withColumns({"_v": F.array_distinct("_x"), **grams})
+    w, v, t = F.col("_w"), F.col("_v"), F.col("_t")
     weight = lambda x: F.when(x.rlike("[0-9]"), 2.5).when(F.length(x) > 8, 2.0).when(F.length(x) > 5, 1.5).otherwise(1.0)
     total = lambda a: F.aggregate(F.transform(a, weight), F.lit(0.0), lambda x, y: x + y)
     words = F.when(F.size(w) > 0, total(F.filter(w, lambda x: F.array_contains(v, x))) / total(w)).otherwise(0.0)
-    grams = lambda n, k: F.nullif(F.least(F.lit(1.0), k * _share(F.array_distinct(T.word_ngrams(w, n)), T.word_ngrams(T.words(t), n))), F.lit(0.0))
-    pieces = T.char_windows(s)
-    chunk = F.when(F.size(pieces) > 0, F.nullif(F.size(F.filter(pieces, lambda p: F.contains(t, p))) / F.size(pieces), F.lit(0.0)))
-    cited = F.when(sentence.rlike(CITATION), 0.85)
-    signals = F.array_compact(F.array(cited, words, words, grams(2, 1.2), grams(3, 1.5), chunk))
-    mean = F.aggregate(signals, F.lit(0.0), lambda x, y: x + y) / F.size(signals)
-    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.35), 0.6 * F.array_max(signals) + 0.4 * mean))
-    return F.round(F.when(F.contains(t, F.trim(s)), 1.0).otherwise(conf), 6)
+    share = lambda n, k: F.nullif(F.least(F.lit(1.0), k * _share(F.array_distinct(f"_w{n}"), F.col(f"_x{n}"))), F.lit(0.0))
+    chunk = F.when(F.size("_p") > 0, F.nullif(F.size(F.filter("_p", lambda p: F.contains(t, p))) / F.size("_p"), F.lit(0.0)))
+    cited = F.when(F.col("sentence").rlike(CITATION), 0.85)
+    prep = prep.withColumn("_g", F.array_compact(F.array(cited, words, words, share(2, 1.2), share(3, 1.5), chunk)))
+    mean = F.aggregate("_g", F.lit(0.0), lambda x, y: x + y) / F.size("_g")
+    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.35), 0.6 * F.array_max("_g") + 0.4 * mean))
+    verbatim = F.contains(t, F.trim("_s"))
+    return prep.select(*kept, F.round(F.when(verbatim, 1.0).otherwise(conf), 6).alias("confidence"))
 
 
 def ground(answers: DataFrame, least: float = 0.5, shortest: int = 10) -> DataFrame:
     """(answer_id, i, sentence, confidence, grounded) for answers (answer_id, answer, source); shorter sentences are skipped."""
     rows = answers.select("answer_id", "source", F.posexplode(T.sentences("answer")).alias("i", "sentence")).where(F.length("sentence") >= shortest)
-    return rows.select("answer_id", "i", "sentence", sentence_confidence(F.col("sentence"), F.col("source")).alias("confidence")).withColumn("grounded", F.col("confidence") >= least)
+    return sentence_confidence(rows).drop("source").withColumn("grounded", F.col("confidence") >= least)
 
 
 def verdicts(grounded: DataFrame, overall: float = 0.6, warn: float = 0.4) -> DataFrame:

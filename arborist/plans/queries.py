@@ -49,6 +49,10 @@ def pairs(spark, sf) -> DataFrame:
     return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "question", "answer", F.col("question").alias("source"))
 
 
+def timed(spark, sf) -> DataFrame:
+    return read(spark, sf, "events").where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def run_of(df: DataFrame, system: str) -> DataFrame:
     return df.select(F.lit(system).alias("system"), "query_id", "doc_id", "rank")
 
@@ -563,13 +567,13 @@ def conversation_pairs(spark, sf):
 
 @query
 def cache_ttl_hits(spark, sf):
-    e = read(spark, sf, "events").where("ts is not null").withColumn("key", F.concat_ws(":", "user_id", "event_type"))
+    e = timed(spark, sf).withColumn("key", F.concat_ws(":", "user_id", "event_type"))
     return S.ttl_hits(e, "key", "ts", 6 * 3600.0, "event_id")
 
 
 @query
 def rate_limit_window(spark, sf):
-    return S.rate_limit(read(spark, sf, "events").where("ts is not null"), "user_id", "ts", "event_id", 3, 6 * 3600.0)
+    return S.rate_limit(timed(spark, sf), "user_id", "ts", "event_id", 3, 6 * 3600.0)
 
 
 @query

@@ -38,7 +38,7 @@ def rate_limited(events: DataFrame, most: int, window_s: float) -> DataFrame:
         state.setTimeoutDuration(int(window_s * 1000) + 1)
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].tolist(), "allowed": [f[0] for f in flags], "retry_after": [f[1] for f in flags]})
 
-    own = events.select("user_id", "event_id", F.col("ts").cast("double").alias("t"))
+    own = events.select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
     return own.groupBy("user_id").applyInPandasWithState(step, ALLOWED, "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
