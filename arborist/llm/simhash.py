@@ -131,6 +131,7 @@ WIDTH, SEGMENTS, PRINTS = 27, 7, 3
 FAR = 48
 BROADCAST_IDS = 200_000
 SHINGLE = 5
+SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 4, 200_000
 
 
 def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
@@ -140,19 +141,51 @@ def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
     return np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)).view(np.int64))
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, f0, f1, f2): a digest of the shingle set, and fingerprints over the distinct words."""
+def frequent_shingles(docs: DataFrame, words: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of shingles that FREQUENT or more of about SAMPLE documents share, the MOST_FREQUENT first of them."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                texts = b.column(0).slice(at, 256).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, words) for t in texts]))], ["g"])
+
+    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+    counts = picked.mapInArrow(grams, "g long").groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT)
+    return np.sort(np.array([r.g for r in counts.orderBy(F.desc("c"), "g").limit(MOST_FREQUENT).collect()], np.int64))
+
+
+def rarest(s: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The prefix of a sorted shingle set in the one order all sets share: by hash, the frequent ones last.
+
+    Of two sets x and y that have the similarity t, |x & y| >= t / (1 + t) (|x| + |y|) =: o, so that
+    the first |x| - o + 1 of x and the first |y| - o + 1 of y have a shingle in common, whatever the
+    order is. No o is below t |x|: floor((1 - t) |x|) + 1 shingles do for every partner.
+    """
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        often = frequent[at] == s
+        s = np.concatenate((s[~often], s[often]))
+    return s[: int((1 - similarity) * len(s) + 1e-9) + 1]
+
+
+def _features(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, same, f0, f1, f2, n, prefix): a digest of the shingle set, fingerprints over the distinct words, the set's size and rarest shingles."""
+    frequent = frequent_shingles(docs, words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 s = b.slice(at, 512)
                 texts = s.column(1).to_pylist()
-                same = [xxhash.xxh3_128_digest(shingle_set(t).tobytes()) for t in texts]
+                sets = [shingle_set(t, words) for t in texts]
+                same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
                 prints = [fingerprint_many(texts, 1, SEED + i, True).view(np.int64) for i in range(PRINTS)]
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(same, pa.binary()), *map(pa.array, prints)], ["doc_id", "same", *[f"f{i}" for i in range(PRINTS)]])
+                rest = [pa.array([len(x) for x in sets], pa.int32()), pa.array([rarest(x, frequent, similarity) for x in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(same, pa.binary()), *map(pa.array, prints), *rest], ["doc_id", "same", *[f"f{i}" for i in range(PRINTS)], "n", "prefix"])
 
-    return docs.mapInArrow(work, "doc_id long, same binary, " + ", ".join(f"f{i} long" for i in range(PRINTS)))
+    return docs.mapInArrow(work, "doc_id long, same binary, " + ", ".join(f"f{i} long" for i in range(PRINTS)) + ", n int, prefix array<long>")
 
 
 def _segment_keys() -> Column:
@@ -183,20 +216,34 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return stored(texts.mapInArrow(sets, "cid long, s array<long>"), "sets")
 
 
-def _prefix_pairs(docs: DataFrame, ids: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(cid, centre): all pairs of ids whose sets can have the similarity.
+def _postings(prints: DataFrame) -> DataFrame:
+    """(g, cid, n, at): the place of each shingle in the prefixes that hold it, where there are two or more."""
+    each = prints.select("cid", "n", F.posexplode("prefix").alias("at", "g"))
+    shared = each.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
+    return stored(each.join(shared, "g").select("g", "cid", "n", "at"), "postings")
+
+
+def _fits(n: str, at: str, m: str, other: str, similarity: float) -> Column:
+    """Whether sets of n and m shingles that share the ones at these places can have the similarity, and have these in their pair's prefixes."""
+    n, i, m, j = (F.col(x) for x in (n, at, m, other))
+    need = F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+    most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (i <= n - need) & (j <= m - need) & (most >= need)
 
-    Such sets share one of the rarest shingles of each: of n, the first floor((1 - similarity) n) + 1 by
-    their count among these documents. What only one document holds meets nobody.
+
+def _apart(postings: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(cid, centre): of all classes the pairs in different components that can have the similarity, each once.
+
+    Within a shingle's postings the components are paired first, so that members of one never meet.
     """
-    own = _sets(docs, ids, words).select("cid", F.size("s").alias("n"), F.explode("s").alias("g"))
-    counts = own.groupBy("g").agg(F.count("*").alias("c"))
-    ranked = own.join(counts, "g").groupBy("cid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "g"))).alias("r"))
-    first = ranked.select("cid", "n", F.explode(F.slice("r", F.lit(1), F.floor((1 - similarity) * F.col("n") + 1e-9).cast("int") + 1)).alias("x")).where("x.c > 1").select("cid", "n", F.col("x.g").alias("g"))
-    first = stored(first, "prefixes")
-    other = first.select("g", F.col("cid").alias("centre"), F.col("n").alias("m"))
-    fits = (F.col("cid") < F.col("centre")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
-    return first.join(other, "g").where(fits).select("cid", "centre").distinct()
+    rows = postings.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("component", "cid")).drop("component")
+    mixed = rows.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
+    rows = stored(rows.join(mixed, "g"), "mixed")
+    of = rows.select("g", F.col("root").alias("r")).distinct()
+    meet = of.join(of.select("g", F.col("r").alias("r2")), "g").where("r < r2")
+    other = rows.select("g", F.col("root").alias("r2"), F.col("cid").alias("centre"), F.col("n").alias("m"), F.col("at").alias("there"))
+    left = meet.join(rows.withColumnRenamed("root", "r"), ["g", "r"])
+    return left.join(other, ["g", "r2"]).where(_fits("n", "at", "m", "there", similarity)).select("cid", "centre").distinct()
 
 
 def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -226,13 +273,13 @@ def similar_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.
     Candidates are texts that agree, but for one bit at most, on one of SEGMENTS segments of their
     fingerprints; every link is verified on the whole texts. In each bucket of such a key the member
     that shares most keys with others is compared with all the rest; members it is linked with need no
-    more comparisons there. What is left after `rounds` rounds is searched exactly, by its rarest
-    shingles. So a group's cost follows its size, and no bucket is gathered. Rows without an id are left out; ids that are
+    more comparisons there. After `rounds` rounds all classes, settled ones too, are searched exactly by
+    their rarest shingles for links between different components. So a group's cost follows its size, and no bucket is gathered. Rows without an id are left out; ids that are
     repeated count once, by the smallest text.
     """
     docs = columns(docs, (id_col, "doc_id", "long"), (text_col, "text", "string")).where("doc_id is not null")
-    seen = stored(_features(docs), "features")
-    prints = stored(seen.groupBy("same").agg(F.min("doc_id").alias("cid"), *[F.min_by(f"f{i}", "doc_id").alias(f"f{i}") for i in range(PRINTS)]), "prints")
+    seen = stored(_features(docs, words, similarity), "features")
+    prints = stored(seen.groupBy("same").agg(F.min("doc_id").alias("cid"), *[F.min_by(c, "doc_id").alias(c) for c in [*[f"f{i}" for i in range(PRINTS)], "n", "prefix"]]), "prints")
     prints = prints.dropDuplicates(["cid"])
     keyed = prints.select("cid", _segment_keys())
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -245,17 +292,14 @@ def similar_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.
             best = rows.groupBy("key").agg(F.max(F.struct("rank", "cid")).alias("top"))
             tests = rows.join(best, "key").select("cid", F.col("top.cid").alias("centre"))
         else:
-            tests = _prefix_pairs(docs, stored(rows.select("cid").distinct(), "ids"), words, similarity)
+            tests = _apart(_postings(prints), roots, similarity)
         pairs = tests.where("cid <> centre").select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct()
         good = stored(_similar(pairs, prints, docs, words, similarity), "links")
         if not good.isEmpty():
             links = good if links is None else links.unionByName(good)
             roots = connected_components(links)
-        if turn == rounds:
-            break
-        rows = _unsettled(rows, best, roots)
-        if rows.isEmpty():
-            break
+        if turn < rounds:
+            rows = _unsettled(rows, best, roots)
     classes = prints.select("same", F.col("cid").alias("node")).join(roots, "node", "left").select("same", F.coalesce("component", "node").alias("root"))
     named = seen.select("doc_id", "same").join(classes, "same")
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

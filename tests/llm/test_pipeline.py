@@ -39,6 +39,26 @@ def test_near_copies_match_all_pairs(spark):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_links_beside_a_star_are_found(spark):
+    """A centre's copies link with copies of their own that are too far from the centre; and a chain."""
+    rng, rows = random.Random(2), []
+    for k in range(6):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(155)]
+        cut = lambda w, n: [*[f"n{rng.randrange(10**6)}" for _ in range(n)], *w[n:]]
+        back = lambda w, n: [*w[:-n], *[f"n{rng.randrange(10**6)}" for _ in range(n)]]
+        rows += [(k * 100 + j, " ".join(cut(base, 1 + j % 4))) for j in range(4, 12)] + [(k * 100, " ".join(base))]
+        for j in range(12, 18):
+            near = cut(base, 12)
+            rows += [(k * 100 + j, " ".join(near)), (k * 100 + j + 20, " ".join(back(near, 12)))]
+    link = [f"c{i}" for i in range(155)]
+    for j in range(12):
+        rows.append((2000 - j, " ".join(link)))
+        link = [*link[12:], *[f"c{j}.{i}" for i in range(12)]]
+    want = union_find([(a[0], b[0]) for k, a in enumerate(rows) for b in rows[k + 1 :] if jaccard(a[1], b[1]) >= 0.8], [i for i, _ in rows])
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) == 7
+
+
 def test_pipeline_keeps_good_documents(spark, sf):
     docs = table(spark, sf, "documents")
     model = zquality.train(docs, table(spark, sf, "labels"))
