@@ -26,7 +26,7 @@ SEED = 42
 LANES = 255
 
 
-def fingerprint_many(texts: list[str | None], words: int = 3, seed: int = SEED, distinct: bool = False) -> np.ndarray:
+def fingerprint_many(texts: list[str | None], words: int = 3, seed: int = SEED) -> np.ndarray:
     """Unsigned 64-bit SimHash of each text; null and wordless texts have 0."""
     digest, parts, sizes = xxhash.xxh64_digest, [], []
     for t in texts:
@@ -43,8 +43,6 @@ def fingerprint_many(texts: list[str | None], words: int = 3, seed: int = SEED,
             ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
             starts = np.concatenate(([0], ends[:-1] + 1))
             grams = [joined[a:b] for a, b in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist())]
-        if distinct:
-            grams = set(grams)
         parts.append(b"".join([digest(g, seed) for g in grams]))
         sizes.append(len(grams))
     n = np.array(sizes, np.int64)
@@ -127,8 +125,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WIDTH, SEGMENTS, PRINTS = 27, 7, 3
-FAR = 48
 BROADCAST_IDS = 200_000
 SHINGLE = 5
 SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 4, 200_000
@@ -171,35 +167,19 @@ def rarest(s: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray
 
 
 def _features(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, same, f0, f1, f2, n, prefix): a digest of the shingle set, fingerprints over the distinct words, the set's size and rarest shingles."""
+    """(doc_id, same, n, prefix): a digest of the shingle set, its size and its rarest shingles."""
     frequent = frequent_shingles(docs, words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 s = b.slice(at, 512)
-                texts = s.column(1).to_pylist()
-                sets = [shingle_set(t, words) for t in texts]
+                sets = [shingle_set(t, words) for t in s.column(1).to_pylist()]
                 same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-                prints = [fingerprint_many(texts, 1, SEED + i, True).view(np.int64) for i in range(PRINTS)]
-                rest = [pa.array([len(x) for x in sets], pa.int32()), pa.array([rarest(x, frequent, similarity) for x in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(same, pa.binary()), *map(pa.array, prints), *rest], ["doc_id", "same", *[f"f{i}" for i in range(PRINTS)], "n", "prefix"])
+                prefix = pa.array([rarest(x, frequent, similarity) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(same, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), prefix], ["doc_id", "same", "n", "prefix"])
 
-    return docs.mapInArrow(work, "doc_id long, same binary, " + ", ".join(f"f{i} long" for i in range(PRINTS)) + ", n int, prefix array<long>")
-
-
-def _segment_keys() -> Column:
-    """For each of SEGMENTS segments of WIDTH bits over the joined fingerprints: the segment, and it with each bit blanked."""
-    keys = []
-    for k in range(SEGMENTS):
-        word, shift = divmod(k * WIDTH, 64)
-        seg = F.shiftrightunsigned(f"f{word}", shift)
-        if shift + WIDTH > 64:
-            seg = seg.bitwiseOR(F.shiftleft(f"f{word + 1}", 64 - shift))
-        seg = seg.bitwiseAND(F.lit((1 << WIDTH) - 1))
-        keys.append(seg.bitwiseOR(F.lit(k * 33 << 32)))
-        keys += [seg.bitwiseAND(F.lit((1 << WIDTH) - 1 - (1 << j))).bitwiseOR(F.lit((k * 33 + j + 1) << 32)) for j in range(WIDTH)]
-    return F.explode(F.array(*keys)).alias("key")
+    return docs.mapInArrow(work, "doc_id long, same binary, n int, prefix array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -217,10 +197,10 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def _postings(prints: DataFrame) -> DataFrame:
-    """(g, cid, n, at): the place of each shingle in the prefixes that hold it, where there are two or more."""
+    """(g, cid, n, at, c): the place of each shingle in the prefixes that hold it, and how many do, where there are two or more."""
     each = prints.select("cid", "n", F.posexplode("prefix").alias("at", "g"))
     shared = each.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    return stored(each.join(shared, "g").select("g", "cid", "n", "at"), "postings")
+    return stored(each.join(shared, "g"), "postings")
 
 
 def _fits(n: str, at: str, m: str, other: str, similarity: float) -> Column:
@@ -246,11 +226,9 @@ def _apart(postings: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     return left.join(other, ["g", "r2"]).where(_fits("n", "at", "m", "there", similarity)).select("cid", "centre").distinct()
 
 
-def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of the pairs (a, b) those whose shingle sets have the Jaccard similarity."""
-    side = lambda x: prints.select(F.col("cid").alias(x), *[F.col(f"f{i}").alias(f"{x}{i}") for i in range(PRINTS)])
-    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PRINTS)), F.lit(0))
-    near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= FAR).select("a", "b"), "near")
+    near = stored(pairs, "near")
     ids = stored(near.select(F.col("a").alias("cid")).union(near.select("b")).distinct(), "ids")
     grams = _sets(docs, ids, words)
     both = near.join(grams.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(grams.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
@@ -261,40 +239,40 @@ def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, s
 def _unsettled(rows: DataFrame, best: DataFrame, roots: DataFrame) -> DataFrame:
     """Bucket rows that are not in their centre's group, where two or more are left."""
     of = lambda x: roots.select(F.col("node").alias(x), F.col("component").alias(f"{x}_root"))
-    after = rows.join(best, "key").select("key", "cid", "rank", F.col("top.cid").alias("centre")).join(of("cid"), "cid", "left").join(of("centre"), "centre", "left")
-    after = after.where(F.coalesce("cid_root", "cid") != F.coalesce("centre_root", "centre")).select("key", "cid", "rank")
-    many = after.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return stored(after.join(many, "key"), "buckets")
+    after = rows.join(best, "g").withColumn("centre", F.col("top.cid")).join(of("cid"), "cid", "left").join(of("centre"), "centre", "left")
+    after = after.where(F.coalesce("cid_root", "cid") != F.coalesce("centre_root", "centre")).select(*rows.columns)
+    many = after.groupBy("g").agg(F.count("*").alias("left")).where("left > 1").select("g")
+    return stored(after.join(many, "g"), "buckets")
 
 
 def similar_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """(doc_id, component_id) over texts whose sets of word shingles have a Jaccard similarity of at least `similarity`.
 
-    Candidates are texts that agree, but for one bit at most, on one of SEGMENTS segments of their
-    fingerprints; every link is verified on the whole texts. In each bucket of such a key the member
-    that shares most keys with others is compared with all the rest; members it is linked with need no
-    more comparisons there. After `rounds` rounds all classes, settled ones too, are searched exactly by
-    their rarest shingles for links between different components. So a group's cost follows its size, and no bucket is gathered. Rows without an id are left out; ids that are
-    repeated count once, by the smallest text.
+    The search is exact: texts that have the similarity share one of the rarest shingles of each (see
+    rarest), and every link is verified on the whole texts. Large groups are tied first: in each bucket
+    of a shingle the member that shares most with others is compared with all the rest; members it is
+    linked with need no more comparisons there. After `rounds` such rounds all classes, settled ones
+    too, are searched for links between different components. So a group's cost follows its size, and no
+    bucket is gathered. Rows without an id are left out; ids that are repeated count once, by the
+    smallest text.
     """
     docs = columns(docs, (id_col, "doc_id", "long"), (text_col, "text", "string")).where("doc_id is not null")
     seen = stored(_features(docs, words, similarity), "features")
-    prints = stored(seen.groupBy("same").agg(F.min("doc_id").alias("cid"), *[F.min_by(c, "doc_id").alias(c) for c in [*[f"f{i}" for i in range(PRINTS)], "n", "prefix"]]), "prints")
+    prints = stored(seen.groupBy("same").agg(F.min("doc_id").alias("cid"), F.min_by("n", "doc_id").alias("n"), F.min_by("prefix", "doc_id").alias("prefix")), "prints")
     prints = prints.dropDuplicates(["cid"])
-    keyed = prints.select("cid", _segment_keys())
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = stored(keyed.join(shared, "key"), "buckets")
-    ranks = stored(rows.groupBy("cid").agg(F.sum("n").alias("rank")), "ranks")
-    rows = rows.drop("n").join(ranks, "cid")
+    postings = _postings(prints)
+    ranks = stored(postings.groupBy("cid").agg(F.sum("c").alias("rank")), "ranks")
+    rows = postings.drop("c").join(ranks, "cid")
     links, roots = None, rows.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(rounds + 1):
         if turn < rounds:
-            best = rows.groupBy("key").agg(F.max(F.struct("rank", "cid")).alias("top"))
-            tests = rows.join(best, "key").select("cid", F.col("top.cid").alias("centre"))
+            best = rows.groupBy("g").agg(F.max(F.struct("rank", "cid", "n")).alias("top"))
+            met = rows.join(best, "g").select("cid", "n", F.col("top.cid").alias("centre"), F.col("top.n").alias("m"))
+            tests = met.where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
         else:
-            tests = _apart(_postings(prints), roots, similarity)
+            tests = _apart(postings, roots, similarity)
         pairs = tests.where("cid <> centre").select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct()
-        good = stored(_similar(pairs, prints, docs, words, similarity), "links")
+        good = stored(_similar(pairs, docs, words, similarity), "links")
         if not good.isEmpty():
             links = good if links is None else links.unionByName(good)
             roots = connected_components(links)

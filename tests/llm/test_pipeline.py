@@ -59,6 +59,21 @@ def test_links_beside_a_star_are_found(spark):
     assert got == want and len(set(want.values())) == 7
 
 
+def test_block_edits_are_found_without_a_third_copy(spark):
+    """Pairs at 0.8 to 0.9 by a cut end, an added end and a paragraph in another's place, repeated words included."""
+    rng, rows = random.Random(7), []
+    for k in range(90):
+        base = [f"w{rng.randrange(400)}" for _ in range(300)]
+        new = [f"w{rng.randrange(400)}" for _ in range(rng.choice([30, 45, 60, 70]))]
+        n, at = len(new), rng.randrange(200)
+        half = new[: n // 2]
+        other = [base[: 300 - n + 10], [*base, *new], [*base[:at], *half, *base[at + len(half) :]]][k % 3]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    want = {(a[0], b[0]) for a, b in zip(rows[::2], rows[1::2]) if jaccard(a[1], b[1]) >= 0.8}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 40 and {(c, d) for d, c in got.items() if d != c} == want
+
+
 def test_pipeline_keeps_good_documents(spark, sf):
     docs = table(spark, sf, "documents")
     model = zquality.train(docs, table(spark, sf, "labels"))
