@@ -1,14 +1,18 @@
 """Secret scans: fixed patterns, and formats learnt as probabilistic automata from labelled credentials.
 
-Every run of credential characters of MIN_RUN or more is scored by each format's automaton; it is
-reported when an automaton accepts it at no more bits a character than that format's own examples
-need (with a margin). Automata are bounded by their examples and travel with the task.
+Every run of credential characters of MIN_RUN or more is scored by each format's automaton, as a whole
+and from each place where the beginning stands that all of the format's examples share (every
+character, if they share none). What an automaton accepts at no more bits a character than that
+format's own examples need (with a margin) is reported. So a credential counts wherever it stands in
+a run: behind "=", in a URL, before a full stop. Automata are bounded by their examples and travel with the task.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
+import os
 import random
 import re
 from collections.abc import Iterator
@@ -54,8 +58,8 @@ def labelled_credentials(each: int = 250, seed: int = 11) -> list[tuple[str, str
     return [(name, make(parts)) for name, parts in FORMATS.items() for _ in range(each)]
 
 
-def learn(examples: list[tuple[str, str]], alpha: float = 0.05) -> dict[str, tuple[Automaton, float, int, int]]:
-    """For each format its automaton, the most bits a character, and the shortest and longest length that count."""
+def learn(examples: list[tuple[str, str]], alpha: float = 0.05) -> dict[str, tuple[Automaton, float, int, int, str]]:
+    """For each format its automaton, the most bits a character, the shortest and longest length that count, and the examples' common beginning."""
     out = {}
     for name in sorted({n for n, _ in examples}):
         own = [x for n, x in examples if n == name and x]
@@ -63,7 +67,7 @@ def learn(examples: list[tuple[str, str]], alpha: float = 0.05) -> dict[str, tup
             continue
         auto = infer(own, alpha)
         costs = sorted(auto.bits(x) / len(x) for x in own)
-        out[name] = (auto, costs[-1] + MARGIN, min(map(len, own)), max(map(len, own)))
+        out[name] = (auto, costs[-1] + MARGIN, min(map(len, own)), max(map(len, own)), os.path.commonprefix(own))
     return out
 
 
@@ -79,19 +83,63 @@ def scan(text: str | None, models: dict) -> list[tuple[int, str, int]]:
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(t)]
     if models and (long := [w for w in t.split() if len(w) >= MIN_RUN]) and any(map(_RUN.search, long)):
         taken = {(a, b) for a, _, b in found}
+        whole = sorted((a, b) for a, k, b in found if k)
         for m in _RUN.finditer(t):
-            if m.span() not in taken and best_format(m[0], models):
-                found.append((m.start(), 3, m.end()))
+            for a, b in formats_in(m[0], models):
+                a, b = a + m.start(), b + m.start()
+                at = bisect.bisect_right(whole, (a, math.inf)) - 1
+                if (a, b) not in taken and not (at >= 0 and whole[at][1] >= b):
+                    found.append((a, 3, b))
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 
 _FOLD = {ord(c): c.lower() for c in _UPPER}
 
 
+def formats_in(run: str, models: dict) -> list[tuple[int, int]]:
+    """(start, end) of what the automata accept of the run, by start.
+
+    From one start the end with the fewest bits a character counts, the longer of equals. A format goes
+    on behind what it accepted; a span within another is left out.
+    """
+    if best_format(run, models):
+        return [(0, len(run))]
+    out = set()
+    for auto, most, low, high, lead in models.values():
+        a = run.find(lead)
+        while 0 <= a <= len(run) - low:
+            b = _best_end(run, a, auto, most, low, high)
+            if b:
+                out.add((a, b))
+            a = run.find(lead, b or a + 1)
+    kept, done = [], 0
+    for a, b in sorted(out, key=lambda x: (x[0], -x[1])):
+        if b > done:
+            kept.append((a, b))
+            done = b
+    return kept
+
+
+def _best_end(run: str, start: int, auto: Automaton, most: float, low: int, high: int) -> int:
+    """Where the likeliest accepted text from start ends; 0 where none is accepted."""
+    state, total, best, cost = 0, 0.0, 0, math.inf
+    arcs, ends, limit = auto.arcs, auto.ends, most * high
+    for i in range(start, min(len(run), start + high)):
+        arc = arcs[state].get(run[i])
+        if arc is None or total > limit:
+            break
+        state = arc[0]
+        total += arc[1]
+        n = i + 1 - start
+        if n >= low and (each := (total + ends[state]) / n) <= most and each <= cost:
+            best, cost = i + 1, each
+    return best
+
+
 def best_format(run: str, models: dict) -> str | None:
     """The format whose automaton accepts the run within its limit, at the fewest bits; None without one."""
     best, cost = None, math.inf
-    for name, (auto, most, low, high) in models.items():
+    for name, (auto, most, low, high, _) in models.items():
         if low <= len(run) <= high:
             bits = auto.bits(run, most * len(run))
             if bits <= most * len(run) and bits < cost:

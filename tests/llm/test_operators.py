@@ -277,6 +277,23 @@ def test_secrets_match_plain_patterns(docs, none):
     assert secret_scan.redact(docs).columns == docs.columns
 
 
+def test_credentials_are_found_within_runs(spark):
+    models = secret_scan.learn(secret_scan.labelled_credentials())
+    fresh = secret_scan.labelled_credentials(20, seed=9)
+    around = [("see ", ". Next"), ("GITHUB=", ""), ("https://host.example/x/", "/y"), ("a-", "_b"), ("n", ""), ("", "...")]
+    for before, behind in around:
+        missed = 0
+        for _, x in fresh:
+            spans = secret_scan.scan(before + x + behind, models)
+            missed += not any(a <= len(before) and b >= len(before) + len(x) for a, _, b in spans)
+        assert missed <= 0.03 * len(fresh), (before, behind, missed)
+    two = [x for n, x in fresh if n == "github_token"][:2]
+    assert secret_scan.scan("/".join(two), models) == [(0, "format", 40), (41, "format", 81)]
+    assert not [s for s in secret_scan.scan("ab" * 32 + " AKIA" + "A1" * 20, models) if s[1] == "format"]
+    (row,) = secret_scan.redact(spark.createDataFrame([(1, f"a key={two[0]}. b")], "doc_id long, text string"), models).collect()
+    assert row.text == "a key=[SECRET]. b"
+
+
 def test_separator_scan_matches_a_plain_split(spark, docs, none):
     rng = random.Random(6)
     want, rows = [], []
