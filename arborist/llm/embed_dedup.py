@@ -3,9 +3,8 @@
 Centroids are fitted on a bounded, hashed sample (SAMPLE vectors at most, about) of the distinct
 directions; every vector is assigned. A pair that is linked may lie on two sides of a cell's border,
 so a vector also visits each cell of a lower number whose border with its own is nearer than
-`margin`. The pair's difference has length sqrt(2 - 2 cos) at most; a margin of that length finds
-every pair, the default of 0.12 covers five standard deviations of what a difference in a random
-direction of 64 dimensions puts across a border.
+`margin`. The pair's difference has length sqrt(2 - 2 cos) at most; a margin of that length, the
+default, finds every pair.
 
 Members of a cell are dealt to blocks of about BLOCK vectors; each pair of blocks is one matrix
 product in one task. Equal vectors are one class throughout: copies are counted, never paired.
@@ -61,7 +60,7 @@ def near_duplicate_vectors(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str | None = "label",
-    margin: float = 0.12,
+    margin: float | None = None,
     sample: int = SAMPLE,
     per_cell: int = PER_CELL,
 ) -> DataFrame:
@@ -74,6 +73,7 @@ def near_duplicate_vectors(
     rows count as vectors of their own. Vectors of different lengths never link. Other columns are
     left out; an empty table gives no rows.
     """
+    margin = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6 if margin is None else margin
     label = F.lit(0).cast("string") if label_col is None else F.col(f"`{label_col}`").cast("string")
     rows = columns(vectors.withColumn("__label", label), (id_col, "vec_id", "long"), (vector_col, "v", "array<double>"), ("__label", "label", "string"))
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))

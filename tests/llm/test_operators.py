@@ -110,6 +110,17 @@ def test_embeddings_match_brute_force(spark):
     assert embed_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_by_default_find_all_links_along_centroid_differences(spark):
+    turn = np.arange(900) * 2 * np.pi / 900
+    v = np.stack([np.cos(turn), np.sin(turn), 0 * turn, 0 * turn], axis=1)
+    v = np.concatenate([v, [(1 - t) * v[0] + t * np.eye(4)[2] for t in np.linspace(0.01, 1, 60)]])
+    df = spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.98).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicate_vectors(df).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
