@@ -192,7 +192,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 s = b.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array([shingle_set(t, words) for t in s.column(1).to_pylist()], pa.list_(pa.int64()))], ["cid", "s"])
 
-    texts = docs.join(few, docs.doc_id == few.cid, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = docs.join(few, docs.doc_id == few.cid, "left_semi")
     return stored(texts.mapInArrow(sets, "cid long, s array<long>"), "sets")
 
 
@@ -245,6 +245,15 @@ def _unsettled(rows: DataFrame, best: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(after.join(many, "g"), "buckets")
 
 
+def _one_text_an_id(docs: DataFrame) -> DataFrame:
+    """docs with the smallest text of each repeated id; where no id is repeated, docs."""
+    again = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return docs
+    settled = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return docs.join(again, "doc_id", "left_anti").unionByName(settled)
+
+
 def similar_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """(doc_id, component_id) over texts whose sets of word shingles have a Jaccard similarity of at least `similarity`.
 
@@ -257,9 +266,9 @@ def similar_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.
     smallest text.
     """
     docs = columns(docs, (id_col, "doc_id", "long"), (text_col, "text", "string")).where("doc_id is not null")
+    docs = _one_text_an_id(docs)
     seen = stored(_features(docs, words, similarity), "features")
     prints = stored(seen.groupBy("same").agg(F.min("doc_id").alias("cid"), F.min_by("n", "doc_id").alias("n"), F.min_by("prefix", "doc_id").alias("prefix")), "prints")
-    prints = prints.dropDuplicates(["cid"])
     postings = _postings(prints)
     ranks = stored(postings.groupBy("cid").agg(F.sum("c").alias("rank")), "ranks")
     rows = postings.drop("c").join(ranks, "cid")
@@ -281,7 +290,7 @@ def similar_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.
     classes = prints.select("same", F.col("cid").alias("node")).join(roots, "node", "left").select("same", F.coalesce("component", "node").alias("root"))
     named = seen.select("doc_id", "same").join(classes, "same")
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(lowest, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return named.join(lowest, "root").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -74,6 +74,13 @@ def test_block_edits_are_found_without_a_third_copy(spark):
     assert len(want) > 40 and {(c, d) for d, c in got.items() if d != c} == want
 
 
+def test_a_repeated_id_counts_by_its_smallest_text(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, two), (1, one), (2, one), (3, one), (4, two), (5, two), (6, None), (6, two)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
+
+
 def test_pipeline_keeps_good_documents(spark, sf):
     docs = table(spark, sf, "documents")
     model = zquality.train(docs, table(spark, sf, "labels"))
