@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, stored
+from .common import columns, forget, stored
 from .components import connected_components
 
 SEED = 42
@@ -128,6 +128,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 BROADCAST_IDS = 200_000
 SHINGLE = 5
 SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 4, 200_000
+SKETCH = 1024
 
 
 def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
@@ -166,8 +167,15 @@ def rarest(s: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray
     return s[: int((1 - similarity) * len(s) + 1e-9) + 1]
 
 
+def occupied(s: np.ndarray) -> np.ndarray:
+    """SKETCH bits as longs: those that some hash of the set falls on."""
+    bits = np.zeros(SKETCH, np.uint8)
+    bits[s.view(np.uint64) % np.uint64(SKETCH)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _features(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, same, n, prefix): a digest of the shingle set, its size and its rarest shingles."""
+    """(doc_id, same, n, bits, prefix): a digest of the shingle set, its size, its occupied bits and its rarest shingles."""
     frequent = frequent_shingles(docs, words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +184,11 @@ def _features(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                 s = b.slice(at, 512)
                 sets = [shingle_set(t, words) for t in s.column(1).to_pylist()]
                 same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+                bits = pa.array([occupied(x) for x in sets], pa.list_(pa.int64()))
                 prefix = pa.array([rarest(x, frequent, similarity) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(same, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), prefix], ["doc_id", "same", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(same, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), bits, prefix], ["doc_id", "same", "n", "bits", "prefix"])
 
-    return docs.mapInArrow(work, "doc_id long, same binary, n int, prefix array<long>")
+    return docs.mapInArrow(work, "doc_id long, same binary, n int, bits array<long>, prefix array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -226,14 +235,24 @@ def _apart(postings: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     return left.join(other, ["g", "r2"]).where(_fits("n", "at", "m", "there", similarity)).select("cid", "centre").distinct()
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) those whose shingle sets have the Jaccard similarity."""
-    near = stored(pairs, "near")
+def _similar(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) those whose shingle sets have the Jaccard similarity.
+
+    Whole sets are fetched for the pairs alone that can have it by their sketches: each bit that only
+    one of two sets occupies stands for a shingle, at least, that the other lacks.
+    """
+    side = lambda x: sketches.select(F.col("cid").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    alone = lambda x, y: F.aggregate(F.zip_with(f"{x}_bits", f"{y}_bits", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, k: t + k)
+    most = F.least(F.col("a_n") - alone("a", "b"), F.col("b_n") - alone("b", "a"))
+    near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(most >= similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-9).select("a", "b"), "near")
     ids = stored(near.select(F.col("a").alias("cid")).union(near.select("b")).distinct(), "ids")
     grams = _sets(docs, ids, words)
     both = near.join(grams.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(grams.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("i", common).where(F.col("i") >= similarity * (F.size("sa") + F.size("sb") - F.col("i")) - 1e-9).select("a", "b")
+    good = stored(both.withColumn("i", common).where(F.col("i") >= similarity * (F.size("sa") + F.size("sb") - F.col("i")) - 1e-9).select("a", "b"), "links")
+    for done in (grams, ids, near):
+        forget(done)
+    return good
 
 
 def _unsettled(rows: DataFrame, best: DataFrame, roots: DataFrame) -> DataFrame:
@@ -267,27 +286,31 @@ def similar_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.
     """
     docs = columns(docs, (id_col, "doc_id", "long"), (text_col, "text", "string")).where("doc_id is not null")
     docs = _one_text_an_id(docs)
-    seen = stored(_features(docs, words, similarity), "features")
-    prints = stored(seen.groupBy("same").agg(F.min("doc_id").alias("cid"), F.min_by("n", "doc_id").alias("n"), F.min_by("prefix", "doc_id").alias("prefix")), "prints")
-    postings = _postings(prints)
+    features = stored(_features(docs, words, similarity), "features")
+    seen = stored(features.select("doc_id", "same"), "digests")
+    classes = stored(seen.groupBy("same").agg(F.min("doc_id").alias("cid")), "classes")
+    prints = stored(features.join(classes, features.doc_id == classes.cid, "left_semi").select(F.col("doc_id").alias("cid"), "n", "bits", "prefix"), "prints")
+    forget(features)
+    sketches, postings = stored(prints.select("cid", "n", "bits"), "sketches"), _postings(prints)
+    forget(prints)
     ranks = stored(postings.groupBy("cid").agg(F.sum("c").alias("rank")), "ranks")
     rows = postings.drop("c").join(ranks, "cid")
     links, roots = None, rows.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(rounds + 1):
         if turn < rounds:
-            best = rows.groupBy("g").agg(F.max(F.struct("rank", "cid", "n")).alias("top"))
-            met = rows.join(best, "g").select("cid", "n", F.col("top.cid").alias("centre"), F.col("top.n").alias("m"))
-            tests = met.where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
+            best = rows.groupBy("g").agg(F.max(F.struct("rank", "cid", "n", "at")).alias("top"))
+            met = rows.join(best, "g").select("cid", "n", "at", F.col("top.cid").alias("centre"), F.col("top.n").alias("m"), F.col("top.at").alias("there"))
+            tests = met.where(_fits("n", "at", "m", "there", similarity))
         else:
             tests = _apart(postings, roots, similarity)
         pairs = tests.where("cid <> centre").select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct()
-        good = stored(_similar(pairs, docs, words, similarity), "links")
+        good = _similar(pairs, sketches, docs, words, similarity)
         if not good.isEmpty():
             links = good if links is None else links.unionByName(good)
             roots = connected_components(links)
         if turn < rounds:
             rows = _unsettled(rows, best, roots)
-    classes = prints.select("same", F.col("cid").alias("node")).join(roots, "node", "left").select("same", F.coalesce("component", "node").alias("root"))
+    classes = classes.select("same", F.col("cid").alias("node")).join(roots, "node", "left").select("same", F.coalesce("component", "node").alias("root"))
     named = seen.select("doc_id", "same").join(classes, "same")
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(lowest, "root").select("doc_id", "component_id")
