@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -279,9 +279,12 @@ def dfs_search_docs(spark, sf):
 
 
 def chunk_scores(spark, sf) -> DataFrame:
-    hits = R.bm25(docs(spark, sf), asked(spark, sf), 10).join(asked(spark, sf).withColumnRenamed("text", "query"), "query_id").join(docs(spark, sf), "doc_id")
-    c = hits.select("query_id", F.col("doc_id").alias("chunk_id"), "query", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.substring("text", 1, 600).alias("text"), "rank")
-    return c
+    """The hits of each passage, their whole texts in chunks of 600 characters; rank goes by hit, then by place."""
+    hits = R.bm25(docs(spark, sf), asked(spark, sf), 10).select("query_id", "doc_id", "rank")
+    chunks = X.chunk_chars(docs(spark, sf).join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), 600)
+    j = hits.join(asked(spark, sf).withColumnRenamed("text", "query"), "query_id").join(chunks, "doc_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "ord"))
+    return j.select("query_id", "chunk_id", "query", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), "text", place.alias("rank"))
 
 
 @query
@@ -449,8 +452,7 @@ def ndcg_graded(spark, sf):
 
 @query
 def rouge_l_pairs(spark, sf):
-    p = pairs(spark, sf).select("answer_id", F.substring("question", 1, 200).alias("question"), F.substring("answer", 1, 200).alias("answer"))
-    return M.rouge_l(p, "answer_id", "question", "answer")
+    return M.rouge_l(pairs(spark, sf), "answer_id", "question", "answer")
 
 
 @query

@@ -185,3 +185,24 @@ def test_vector_topk_finds_itself_nowhere(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     top = R.vector_topk(v.where("vec_id < 3"), v, 5).collect()
     assert len(top) == 15 and all(r.query_id != r.doc_id for r in top)
+
+
+def test_whole_turns_and_whole_documents_count(spark, monkeypatch):
+    from arborist.plans import queries as Q
+
+    long = " ".join(f"w{i}" for i in range(120))
+    turns = spark.createDataFrame([(1, long, long), (2, long, long[:400])], "answer_id int, question string, answer string")
+    monkeypatch.setattr(Q, "pairs", lambda *_: turns)
+    n = len(long[:400].split())
+    got = {r.answer_id: (r.precision, r.recall) for r in Q.rouge_l_pairs(spark, "").collect()}
+    assert got[1] == (1.0, 1.0) and abs(got[2][1] - n / 120) < 0.01
+    filler = "plain filler words here " * 60
+    texts = spark.createDataFrame([(1, filler + "zebra quartz violin " * 3), (2, filler)], "doc_id long, text string")
+    monkeypatch.setattr(Q, "docs", lambda *_: texts)
+    monkeypatch.setattr(Q, "asked", lambda *_: spark.createDataFrame([(7, "zebra quartz violin")], "query_id long, text string"))
+    chunks = Q.chunk_scores(spark, "").orderBy("rank").collect()
+    assert "".join(c.text for c in chunks if "_1_" in c.chunk_id) == texts.first().text
+    scores = {r.chunk_id: r.score for r in Q.compress_relevance(spark, "").collect()}
+    assert max(scores, key=scores.get) == "doc_1_chunk_2" and scores["doc_1_chunk_2"] > 0.3
+    assert {r.chunk_id for r in Q.compress_keep(spark, "").collect()} == {"doc_1_chunk_2"}
+    assert sum(r.n_tokens for r in Q.budget_truncate(spark, "").collect()) >= len(filler) // 3 - 2 and Q.leader_merge(spark, "").count() == len(chunks)
