@@ -4,7 +4,10 @@ Text is escaped as SentencePiece does (a whitespace marker before it and for eac
 no piece covers costs the lowest score less UNKNOWN and is written as its bytes' pieces. When no piece
 has the marker after another character, the best path never crosses the start of a run of markers;
 the chunks between are segmented once and kept in a bounded dictionary, and all new chunks of a batch
-go through trie and Viterbi together, array-wise.
+go through trie and Viterbi together, array-wise, in double precision. SentencePiece adds scores in
+single precision from the start of the text, so paths of almost equal score are ranked by its
+rounding: where a chunk's best path leads by less than that can move, it is searched again from the
+sum so far in single precision, the first of equals by start. So ids are the library's, ties included.
 
 The installed vocabulary gives pieces in the order of their merges; as log score each piece gets that
 of a Zipf law at its rank. Another list of (piece, score) may be given.
@@ -152,7 +155,7 @@ class Unigram:
             if k == BYTE:
                 self.bytes_at[int(p[3:5], 16)] = i
         self.cuts = not any(MARK in p.lstrip(MARK) for p, _, k in pieces if k in (NORMAL, USER))
-        self.known: dict[str, tuple[bytes, float]] = {}
+        self.known: dict[str, tuple[bytes, bytes, float]] = {}
         raw = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNK else p.encode() for p, _, k in pieces]
         self.raw = dict(enumerate(raw))
 
@@ -182,19 +185,71 @@ class Unigram:
         out = []
         for parts in split:
             found = [known.get(c) or fresh[c] for c in parts]
-            out.append((np.frombuffer(b"".join([f[0] for f in found]), "<i4"), math.fsum([f[1] for f in found])))
+            costs = np.frombuffer(b"".join([f[1] for f in found]), np.float32)
+            lead = np.fromiter((f[2] for f in found), np.float64, len(found))
+            # each of a path's sums is off by half a unit in the last place of the whole sum, at most
+            moves = np.spacing(np.float32(abs(costs.sum(dtype=np.float64)) + 1))
+            if len(found) and lead.min() <= 2 * moves * max(map(len, parts)) * 4:
+                found = self._settled(parts, found, lead, float(moves))
+                costs = np.frombuffer(b"".join([f[1] for f in found]), np.float32)
+            out.append((np.frombuffer(b"".join([f[0] for f in found]), "<i4"), math.fsum(costs.tolist())))
         if len(known) + len(fresh) > KEPT:
             known.clear()
         known.update((c, v) for c, v in fresh.items() if len(c) < SHORT)
         return out
 
-    def _segment(self, chunks: list[str]) -> list[tuple[bytes, float]]:
-        out: list[tuple[bytes, float]] = []
+    def _settled(self, parts: list[str], found: list[tuple], lead: np.ndarray, moves: float) -> list[tuple]:
+        """found, where chunks whose best path may lose by rounding are searched again from the sum so far."""
+        out, so_far = list(found), np.float32(0)
+        at = 0
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) * 4 + 2
+        for k in np.flatnonzero(lead <= 2 * moves * sizes).tolist():
+            between = np.frombuffer(b"".join([f[1] for f in out[at:k]]), np.float32)
+            so_far = np.add.accumulate(np.concatenate(([so_far], between)), dtype=np.float32)[-1]
+            out[k] = self._single(parts[k].encode(), so_far)
+            at = k
+        return out
+
+    def _single(self, word: bytes, so_far: np.float32) -> tuple[bytes, bytes, float]:
+        """One chunk's path by single-precision sums that begin with so_far."""
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        n = len(word)
+        best: list[np.float32 | None] = [so_far] + [None] * n
+        back, via = [0] * (n + 1), [-1] * (n + 1)
+        at = 0
+        while at < n:
+            wide = 1 if word[at] < 0x80 else 2 if word[at] < 0xE0 else 3 if word[at] < 0xF0 else 4
+            state, single = 0, False
+            for end in range(at + 1, n + 1):
+                step = base[state] + word[end - 1] + 1
+                if check[step] != state:
+                    break
+                state = step
+                if value[state] >= 0:
+                    single |= end - at == wide
+                    score = self.scores[value[state]] + best[at]
+                    if best[end] is None or score > best[end]:
+                        best[end], back[end], via[end] = score, at, int(value[state])
+            if not single:
+                score = self.unknown + best[at]
+                if best[at + wide] is None or score > best[at + wide]:
+                    best[at + wide], back[at + wide], via[at + wide] = score, at, -1
+            at += wide
+        ids, costs, at = [], [], n
+        while at:
+            costs.append(self.unknown if via[at] < 0 else self.scores[via[at]])
+            ids.append([int(self.bytes_at[c]) for c in word[back[at] : at]] if via[at] < 0 else [via[at]])
+            at = back[at]
+        return np.array([i for some in reversed(ids) for i in some], "<i4").tobytes(), np.array(costs[::-1], np.float32).tobytes(), math.inf
+
+    def _segment(self, chunks: list[str]) -> list[tuple[bytes, bytes, float]]:
+        out: list[tuple[bytes, bytes, float]] = []
         for a in range(0, len(chunks), 20_000):
             out += self._viterbi([c.encode() for c in chunks[a : a + 20_000]])
         return out
 
-    def _viterbi(self, words: list[bytes]) -> list[tuple[bytes, float]]:
+    def _viterbi(self, words: list[bytes]) -> list[tuple[bytes, bytes, float]]:
+        """(ids, the cost of each piece, by how much the best path leads at its narrowest choice) of each chunk."""
         base, check, value = self.trie.base, self.trie.check, self.trie.value
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         text = np.frombuffer(b"".join(w + b"\0" for w in words), np.uint8).astype(np.int64)  # one more place for each word's end
@@ -220,34 +275,39 @@ class Unigram:
         lone = starts[~single]
         edges.append((lone, lone + length[~single], np.full(len(lone), -1)))
         src, dst, ids = (np.concatenate([e[i] for e in edges]) for i in range(3))
-        cost = np.where(ids < 0, self.unknown, self.scores[ids])
+        cost = np.where(ids < 0, self.unknown, self.scores[ids]).astype(np.float64)
         order = np.argsort(offset[src], kind="stable")
         src, dst, ids, cost = src[order], dst[order], ids[order], cost[order]
         steps = offset[src]
         bounds = np.flatnonzero(np.r_[True, steps[1:] != steps[:-1], True]) if len(steps) else []
-        best, back, via = np.full(len(text), -np.inf, np.float32), np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+        best, back, via = np.full(len(text), -np.inf), np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+        lead, paid = np.full(len(text), np.inf), np.zeros(len(text), np.float32)
         best[firsts] = 0
         for a, b in zip(bounds[:-1], bounds[1:]):
-            score = best[src[a:b]] + cost[a:b]
-            good = score > best[dst[a:b]]
-            to = dst[a:b][good]
-            best[to], back[to], via[to] = score[good], src[a:b][good], ids[a:b][good]
+            score, to = best[src[a:b]] + cost[a:b], dst[a:b]
+            ahead = score - best[to]
+            good = ahead > 0
+            lead[to] = np.where(good, ahead, np.minimum(lead[to], -ahead))
+            to = to[good]
+            best[to], back[to], via[to], paid[to] = score[good], src[a:b][good], ids[a:b][good], cost[a:b][good]
         here, word, path = ends.copy(), np.arange(len(words)), []
         while len(here):
             go = here > firsts[word]
             here, word = here[go], word[go]
-            path.append((word, back[here], here, via[here]))
+            path.append((word, back[here], here, via[here], paid[here], lead[here]))
             here = back[here]
-        word, frm, to, ids = (np.concatenate([p[i] for p in path]) for i in range(4))
+        word, frm, to, ids, paid, lead = (np.concatenate([p[i] for p in path]) for i in range(6))
         order = np.lexsort((frm, word))
-        word, frm, to, ids = word[order], frm[order], to[order], ids[order]
+        word, frm, to, ids, paid, lead = word[order], frm[order], to[order], ids[order], paid[order], lead[order]
         reps = np.where(ids < 0, to - frm, 1)
         which = np.repeat(np.arange(len(ids)), reps)
         inner = np.arange(len(which)) - np.repeat(np.cumsum(reps) - reps, reps)
         final = np.where(ids[which] < 0, self.bytes_at[text[frm[which] + inner]], ids[which]).astype("<i4")
-        counts = np.bincount(word[which], minlength=len(words))
+        counts, steps = np.bincount(word[which], minlength=len(words)), np.bincount(word, minlength=len(words))
         flat, cut = final.tobytes(), np.concatenate(([0], np.cumsum(counts))) * 4
-        return [(flat[a:b], float(s)) for a, b, s in zip(cut[:-1].tolist(), cut[1:].tolist(), best[ends].tolist())]
+        costs, at = paid.tobytes(), np.concatenate(([0], np.cumsum(steps)))
+        narrow = np.minimum.reduceat(lead, at[:-1]) if len(lead) else lead
+        return [(flat[a:b], costs[4 * c : 4 * d], x) for a, b, c, d, x in zip(cut[:-1].tolist(), cut[1:].tolist(), at[:-1].tolist(), at[1:].tolist(), narrow.tolist())]
 
     def decode(self, ids) -> str:
         """The text of ids: pieces and bytes joined, markers to spaces, without the one put before the text."""

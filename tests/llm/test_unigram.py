@@ -47,16 +47,9 @@ def test_ids_equal_the_library(spark, sf, pieces, library):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     texts += ["".join(rng.choices(["a", "the", " ", "  ", "é", "中", "🙂", "\n", "x\t", "ing", "▁", "́", "Z9"], k=rng.randrange(40))) for _ in range(1500)]
     texts += ["", " ", "   ", "a", " a", "a ", "x" * 3000]
-    same = 0
     for t, (ids, score) in zip(texts, model.encode_many(texts)):
-        want = library.encode(t)
-        if ids.tolist() == want:
-            same += 1
-        else:  # only a tie in single precision may be broken the other way
-            cost = lambda some: sum(pieces[i][1] for i in some)
-            assert abs(cost(ids.tolist()) - cost(want)) < 1e-2, repr(t)
+        assert ids.tolist() == library.encode(t), repr(t)
         assert model.decode(ids.tolist()) == t.replace("▁", " ")
-    assert same >= 0.99 * len(texts)
 
 
 def test_rows(spark, pieces):
