@@ -2,7 +2,8 @@
 
 The vocabulary and its merges are read from that file. Where ids are in the order of the merges (as in
 the public byte-level files) tiktoken's core applies them, several times faster and with the same
-ids; for any other file the tokenizers library itself does.
+ids; for any other file the tokenizers library itself does. White space of LONG characters or more,
+for which the core's pattern would run out of stack, is cut off by the same rule beforehand.
 """
 
 from __future__ import annotations
@@ -11,10 +12,14 @@ import json
 import os
 
 import numpy as np
+import regex
 
 # Fixed value: the pre-tokenizer's rule of byte-level BPE, as the tokenizers library has it built in.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+LONG = 10_000
+_SPACES = regex.compile(r"\p{White_Space}{%d,}+" % LONG)
+
 
 def byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the others from 256 on in order."""
@@ -42,6 +47,9 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind, self.fast = kind, None
+        self.largest = max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec.get("added_tokens", []))], default=0) if isinstance(spec["model"]["vocab"], dict) else 0
+        if self.largest > np.iinfo(kind).max:
+            raise ValueError(f"ids up to {self.largest} do not fit {kind}")
         pre = spec.get("pre_tokenizer") or {}
         added = spec.get("added_tokens", [])
         simple = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
@@ -50,6 +58,7 @@ class Encoder:
             import tiktoken
 
             special = {} if special_as_text else {a["content"]: a["id"] for a in added}
+            self.special = list(special)
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         else:
             from tokenizers import Tokenizer
@@ -57,9 +66,26 @@ class Encoder:
             self.slow = Tokenizer.from_file(path)
             self.slow.encode_special_tokens = special_as_text
 
+    def _parts(self, text: str) -> list[tuple[str, bool]]:
+        """The text cut at its very long white space; those parts that are white space and one pre-token are marked.
+
+        White space is one pre-token but for its last character, which goes with what follows; at the end
+        of the text or before a special token it is whole.
+        """
+        out, at = [], 0
+        for m in _SPACES.finditer(text):
+            whole = m.end() == len(text) or any(text.startswith(s, m.end()) for s in self.special)
+            cut = m.end() if whole else m.end() - 1
+            out += [(text[at : m.start()], False), (text[m.start() : cut], True)]
+            at = cut
+        return [p for p in [*out, (text[at:], False)] if p[0]]
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.fast:
-            return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype(self.kind, copy=False).tobytes()
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if not self.fast:
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if len(text) >= LONG and _SPACES.search(text):
+            parts = [self.fast._core_bpe.encode_single_piece(p.encode()) if one else self.fast.encode(p, allowed_special="all", disallowed_special=()) for p, one in self._parts(text)]
+            return np.concatenate([np.array(p, self.kind) for p in parts]).tobytes()
+        return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype(self.kind, copy=False).tobytes()
