@@ -2,7 +2,9 @@
 
 States of the prefix tree are visited in breadth-first order. One is merged with an earlier state when
 a Hoeffding bound cannot tell their ends and their next symbols apart, and neither their successors',
-with the one under which its own continuations are likeliest if there are several; otherwise it stays a state of its own. What is left is a deterministic automaton whose transitions
+with the one under which its own continuations are likeliest if there are several; otherwise it stays a
+state of its own. The chain of states that all examples pass, their common beginning, takes no other
+state in, so that a format's literal stays literal. What is left is a deterministic automaton whose transitions
 carry the relative frequencies of the examples. A state that was left by VARIED symbols or more also
 lets the alphabet's other symbols pass, to where most of its own lead, as one unseen example would.
 """
@@ -53,6 +55,10 @@ def infer(examples: list[str], alpha: float = 0.05) -> Automaton:
             s = kids[s][c]
             seen[s] += 1
         ended[s] += 1
+    literal, s = set(), 0
+    while len(kids[s]) == 1 and not ended[s]:
+        literal.add(s)
+        s = next(iter(kids[s].values()))
     width = len({c for x in examples for c in x})
     bound = math.sqrt(0.5 * math.log(2 / alpha))
 
@@ -108,7 +114,7 @@ def infer(examples: list[str], alpha: float = 0.05) -> Automaton:
         state = kids[parent][c]
         if state in fixed:
             continue
-        match = max((r for r in kept if compatible(r, state)), key=lambda r, state=state: (likeness(r, state), -r), default=None)
+        match = max((r for r in kept if r not in literal and compatible(r, state)), key=lambda r, state=state: (likeness(r, state), -r), default=None)
         if match is None:
             kept.append(state)
             fixed.add(state)

@@ -2,9 +2,10 @@
 
 Every run of credential characters of MIN_RUN or more is scored by each format's automaton, as a whole
 and from each place where the beginning stands that all of the format's examples share (every
-character, if they share none). What an automaton accepts at no more bits a character than that
-format's own examples need (with a margin) is reported. So a credential counts wherever it stands in
-a run: behind "=", in a URL, before a full stop. Automata are bounded by their examples and travel with the task.
+character, if they share none: then between characters other than letters and digits only). What an
+automaton accepts at no more bits a character than that format's own examples need (with a margin), and
+at GAIN bits less than the background needs (each credential character as likely as the others), is
+reported. So a credential counts wherever it stands in a run: behind "=", in a URL, before a full stop. Automata are bounded by their examples and travel with the task.
 """
 
 from __future__ import annotations
@@ -25,17 +26,17 @@ from .common import columns
 from .grammar import Automaton, infer
 
 MIN_RUN = 16
-MARGIN = 1.0
+MARGIN, GAIN = 1.0, 16.0
 KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_RUN)
-_LONG = re.compile(r"\S{%d,}" % MIN_RUN)
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _ALNUM = _UPPER + _LOWER + _DIGIT
+BACKGROUND = math.log2(len(_ALNUM + "+/_.=-"))
 # Public credential formats, each as runs of (literal) or (alphabet, length).
 FORMATS = {
     "aws_access_key": ["AKIA", (_UPPER + _DIGIT, 16)],
@@ -108,7 +109,7 @@ def formats_in(run: str, models: dict) -> list[tuple[int, int]]:
     for auto, most, low, high, lead in models.values():
         a = run.find(lead)
         while 0 <= a <= len(run) - low:
-            b = _best_end(run, a, auto, most, low, high)
+            b = 0 if not lead and a and run[a - 1].isalnum() else _best_end(run, a, auto, most, low, high, not lead)
             if b:
                 out.add((a, b))
             a = run.find(lead, b or a + 1)
@@ -120,8 +121,8 @@ def formats_in(run: str, models: dict) -> list[tuple[int, int]]:
     return kept
 
 
-def _best_end(run: str, start: int, auto: Automaton, most: float, low: int, high: int) -> int:
-    """Where the likeliest accepted text from start ends; 0 where none is accepted."""
+def _best_end(run: str, start: int, auto: Automaton, most: float, low: int, high: int, border: bool) -> int:
+    """Where the likeliest accepted text from start ends (border: not before a letter or digit); 0 where none is accepted."""
     state, total, best, cost = 0, 0.0, 0, math.inf
     arcs, ends, limit = auto.arcs, auto.ends, most * high
     for i in range(start, min(len(run), start + high)):
@@ -131,7 +132,7 @@ def _best_end(run: str, start: int, auto: Automaton, most: float, low: int, high
         state = arc[0]
         total += arc[1]
         n = i + 1 - start
-        if n >= low and (each := (total + ends[state]) / n) <= most and each <= cost:
+        if n >= low and (each := (total + ends[state]) / n) <= min(most, BACKGROUND - GAIN / n) and each <= cost and not (border and run[i + 1 : i + 2].isalnum()):
             best, cost = i + 1, each
     return best
 
@@ -141,8 +142,9 @@ def best_format(run: str, models: dict) -> str | None:
     best, cost = None, math.inf
     for name, (auto, most, low, high, _) in models.items():
         if low <= len(run) <= high:
-            bits = auto.bits(run, most * len(run))
-            if bits <= most * len(run) and bits < cost:
+            limit = min(most * len(run), BACKGROUND * len(run) - GAIN)
+            bits = auto.bits(run, limit)
+            if bits <= limit and bits < cost:
                 best, cost = name, bits
     return best
 
