@@ -7,7 +7,9 @@ so a vector also visits each cell of a lower number whose border with its own is
 default, finds every pair.
 
 Members of a cell are dealt to blocks of about BLOCK vectors; each pair of blocks is one matrix
-product in one task. Equal vectors are one class throughout: copies are counted, never paired.
+product in one task, of which only each vector's number of links and one tie to its group within
+the two blocks leave the task: a group's links are counted, never listed. Equal vectors are one class
+throughout. There are as many cells as the largest label needs for about PER_CELL members of it each.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .common import columns, stored
 from .components import connected_components
 
 SAMPLE = 40_000
-PER_CELL = 256
+PER_CELL = 1024
 MOST_CELLS = 4096
 BLOCK = 1024
 
@@ -82,11 +84,9 @@ def near_duplicate_vectors(
     rows = stored(rows.withColumn("fit", fit).withColumn("v", F.when(F.col("fit"), F.transform("v", lambda x: x + F.lit(0.0)))), "vectors")
     classes = stored(rows.where("fit").groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies")), "classes")
 
-    pairs = stored(_links(classes, threshold, margin, sample, per_cell), "links")
-    tied = pairs.select(F.col("a").alias("cid"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("cid"), F.col("a").alias("other")))
-    copies = classes.select(F.col("cid").alias("other"), F.col("copies").alias("n"))
-    counts = tied.join(copies, "other").groupBy("cid").agg(F.sum("n").alias("others"))
-    roots = connected_components(pairs).select(F.col("node").alias("cid"), "component")
+    ties = stored(_links(classes, threshold, margin, sample, per_cell), "links")
+    counts = ties.groupBy("cid").agg(F.sum("n").alias("others"))
+    roots = connected_components(ties, "cid", "rep").select(F.col("node").alias("cid"), "component")
     named = classes.join(counts, "cid", "left").join(roots, "cid", "left").select(
         F.col("label").alias("l2"), F.col("v").alias("v2"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id")
     )
@@ -96,20 +96,57 @@ def near_duplicate_vectors(
 
 
 def _links(classes: DataFrame, threshold: float, margin: float, sample: int, per_cell: int) -> DataFrame:
-    """(a, b), a < b: classes of one label whose vectors' cosine is at least threshold, each pair once."""
+    """(cid, rep, n): for blocks of vectors of one label, how many vectors in them (copies counted) each class is linked with, and a class it is connected to."""
     spark = classes.sparkSession
-    per_dim = {r["d"]: r["n"] for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    per_label = classes.groupBy(F.size("v").alias("d"), "label").agg(F.count("*").alias("n"))
+    per_dim = {r["d"]: (r["n"], r["most"]) for r in per_label.groupBy("d").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()}
     found = None
-    for dim, n in sorted(per_dim.items()):
+    for dim, (n, most) in sorted(per_dim.items()):
         part = classes.where(F.size("v") == dim)
         share = min(1.0, sample / n)
         picked = part.where(F.pmod(F.xxhash64("v", "label"), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").toArrow()
         x = _matrix(picked.column("v").combine_chunks(), dim) if picked.num_rows else np.eye(1, dim)
         x = x[np.lexsort(x.T[:4])] if len(x) else x
-        cents = spherical_kmeans(_unit(x), int(min(MOST_CELLS, max(1, math.ceil(n / per_cell)), len(x))))
+        cents = spherical_kmeans(_unit(x), int(min(MOST_CELLS, max(1, math.ceil(most / per_cell)), len(x))))
         one = _links_of(part, spark.sparkContext.broadcast(cents), dim, threshold, margin)
         found = one if found is None else found.unionByName(one)
-    return found if found is not None else spark.createDataFrame([], "a long, b long")
+    return found if found is not None else spark.createDataFrame([], TIES)
+
+
+TIES = "cid long, rep long, n long"
+
+
+def _groups(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """The smallest node connected to each of `size` nodes by the edges (i, j)."""
+    low = np.arange(size)
+    while True:
+        least = np.minimum(low[i], low[j])
+        after = low.copy()
+        np.minimum.at(after, i, least)
+        np.minimum.at(after, j, least)
+        after = after[after]
+        if np.array_equal(after, low):
+            return low
+        low = after
+
+
+def linked_in_blocks(x: np.ndarray, y: np.ndarray | None, hx: np.ndarray, hy: np.ndarray, nx: np.ndarray, ny: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of unit rows x and y (None: of x with itself): how many copies each is linked with, x first, and the smallest row each is connected to.
+
+    A pair counts where one of the two is at home. A cosine within 1e-9 of the threshold is summed exactly.
+    """
+    same = y is None
+    other = x if same else y
+    dots = x @ other.T
+    linked = (dots >= threshold) & (hx[:, None] | hy[None, :])
+    for a, b in zip(*np.nonzero((np.abs(dots - threshold) < 1e-9) & (hx[:, None] | hy[None, :]))):
+        linked[a, b] = math.fsum(x[a] * other[b]) >= threshold
+    if same:
+        np.fill_diagonal(linked, False)
+    i, j = np.nonzero(linked)
+    if same:
+        return linked @ nx, _groups(i, j, len(x))
+    return np.concatenate([linked @ ny, linked.T @ nx]), _groups(i, len(x) + j, len(x) + len(y))
 
 
 def _links_of(part: DataFrame, shared, dim: int, threshold: float, margin: float) -> DataFrame:
@@ -128,11 +165,11 @@ def _links_of(part: DataFrame, shared, dim: int, threshold: float, margin: float
                 row, cell = np.nonzero(near)
                 took = s.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [took.column("cid"), took.column("label"), took.column("v"), pa.array(cell.astype(np.int32)), pa.array(cell == home[row])], ["cid", "label", "v", "cell", "home"]
+                    [took.column("cid"), took.column("label"), took.column("v"), took.column("copies"), pa.array(cell.astype(np.int32)), pa.array(cell == home[row])], ["cid", "label", "v", "copies", "cell", "home"]
                 )
 
-    kinds = "cid long, label string, v array<double>, cell int, home boolean"
-    placed = stored(part.select("cid", "label", "v").mapInArrow(assign, kinds), "cells")
+    kinds = "cid long, label string, v array<double>, copies long, cell int, home boolean"
+    placed = stored(part.select("cid", "label", "v", "copies").mapInArrow(assign, kinds), "cells")
     sizes = placed.groupBy("label", "cell").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).drop("m")
     block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     dealt = placed.join(sizes, ["label", "cell"]).withColumn("block", block)
@@ -142,18 +179,13 @@ def _links_of(part: DataFrame, shared, dim: int, threshold: float, margin: float
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         low, high = key[2], key[3]
-        first = rows if low == high else rows[rows["block"] == low]
-        second = rows if low == high else rows[rows["block"] == high]
-        x, y = (_unit(np.array(r["v"].tolist(), np.float64).reshape(-1, dim)) for r in (first, second))
-        i, j = np.nonzero(x @ y.T >= threshold - 1e-9)
-        hx, hy = first["home"].to_numpy(bool), second["home"].to_numpy(bool)
-        keep = hx[i] | hy[j]
-        if low == high:
-            keep &= i < j
-        i, j = i[keep], j[keep]
-        exact = np.array([math.fsum(x[a] * y[b]) for a, b in zip(i, j)], np.float64).reshape(-1)
-        i, j = i[exact >= threshold], j[exact >= threshold]
-        a, b = first["cid"].to_numpy(np.int64)[i], second["cid"].to_numpy(np.int64)[j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return both.groupBy("label", "cell", "low", "high").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
+        sides = [rows] if low == high else [rows[rows["block"] == low], rows[rows["block"] == high]]
+        v = [_unit(np.array(r["v"].tolist(), np.float64).reshape(-1, dim)) for r in sides]
+        home = [r["home"].to_numpy(bool) for r in sides]
+        copies = [r["copies"].to_numpy(np.int64) for r in sides]
+        n, low_of = linked_in_blocks(v[0], v[1] if len(v) > 1 else None, home[0], home[-1], copies[0], copies[-1], threshold)
+        cid = np.concatenate([r["cid"].to_numpy(np.int64) for r in sides])
+        some = n > 0
+        return pd.DataFrame({"cid": cid[some], "rep": cid[low_of][some], "n": n[some]})
+
+    return both.groupBy("label", "cell", "low", "high").applyInPandas(compare, TIES)
