@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests), a local temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one in local mode (tests), an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="arborist-")
         spark.sparkContext.setCheckpointDir(root)
@@ -54,8 +56,8 @@ def _sweep() -> None:
     for spark, path in _made:
         try:
             _remove(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            return
+        except Exception:  # noqa: BLE001, S112 - gone already, or the session is; the next path may still be there
+            continue
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -57,9 +57,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as read back from the compacted version, with a digest of its text and the version's row count."""
-    docs = shards.shard_and_compact(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
-    return docs.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    """Every document as read back from the compacted version, with a digest of its text and the rows its manifest counts."""
+    store = shards.ShardStore(spark, new_path(spark, "shards"))
+    store.append(table(spark, sf_dir, "documents"))
+    store.compact()
+    rows = store.manifest().agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("version_rows")).first().version_rows
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.lit(rows).cast("long").alias("version_rows"))
 
 
 def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +99,7 @@ FROM v JOIN roots r USING (vec_id) LEFT JOIN degrees d ON d.x = v.vec_id
 """
 
 
-OP9_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
+OP9_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, (SELECT count(*) FROM documents) AS version_rows FROM documents"
 
 
 def oracle_sql() -> dict[str, str]:

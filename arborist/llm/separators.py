@@ -5,7 +5,8 @@ where documents begin. Files come as blocks (file, block, data) cut anywhere bet
 is searched at once for the separator; what it leaves open on either side is stitched to its
 neighbours by a prefix scan of block summaries: the running number of separators and the place of the
 last one. The scan has two levels (blocks in spans of SPAN, then spans), so a file of any length,
-which may hold most of the tokens, never meets in one task.
+which may hold most of the tokens, never meets in one task. Files on disk come in by Spark's binary
+source, hence one by one whole and of 2 GB at most; longer ones come as rows (file, block, data).
 """
 
 from __future__ import annotations

@@ -7,12 +7,16 @@ similar sizes, so equal numbers of them make files of equal size. Larger files a
 row is rewritten only when its shard moves up a tier.
 
 A version is a manifest folder that appears by one rename, after its number was claimed by an
-exclusive create; readers see a version whole or not at all. Files are never changed in place.
+exclusive create; readers see a version whole or not at all. Files are never changed in place. A claim
+that no version followed within CLAIM_S is void: the next writer takes the number, and the first one,
+should it still live, finds the name taken and starts again. What dead writers left behind no version
+names; vacuum() removes it. Like any scan's, the list of a version's files is held by the driver.
 """
 
 from __future__ import annotations
 
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +25,15 @@ from pyspark.sql import functions as F
 TARGET = 32 << 20
 SHARD_ROWS = 2048
 TIER, RUN, FLOOR = 4, 4, 64 << 10
+CLAIM_S = 600.0
 MANIFEST = "path string, bytes long, n_rows long, tier int"
 
 
 class ShardStore:
     """The shards below `root`, a path that Spark and Hadoop's file systems understand."""
 
-    def __init__(self, spark: SparkSession, root: str, target: int = TARGET, shard_rows: int = SHARD_ROWS):
+    def __init__(self, spark: SparkSession, root: str, target: int = TARGET, shard_rows: int = SHARD_ROWS, claim_s: float = CLAIM_S):
+        self.claim_s = claim_s
         self.spark, self.root, self.target, self.shard_rows = spark, root.rstrip("/"), target, shard_rows
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -70,35 +76,50 @@ class ShardStore:
         """Merges every tier that has a run of shards; the new version, or None when there was nothing to merge."""
         version = None
         while True:
-            live = self.manifest().where(F.col("bytes") < self.target // 2)
+            base = self.manifest()
+            live = base.where(F.col("bytes") < self.target // 2)
             runs = live.groupBy("tier").agg(F.count("*").alias("k"), F.sum("bytes").alias("b")).where(F.col("k") >= RUN).orderBy("tier").collect()
             merged = False
             for run in runs:
                 files = max(1, round(run.b / self.target))
                 if files >= run.k:
                     continue
-                paths = [r.path for r in live.where(F.col("tier") == run.tier).orderBy("bytes", "path").select("path").collect()]
+                tier = live.where(F.col("tier") == run.tier)
+                paths = [r.path for r in tier.orderBy("bytes", "path").select("path").collect()]
                 schema = self.spark.read.parquet(f"{self.root}/schema").schema
                 new = self._write(self.spark.read.schema(schema).parquet(*paths).coalesce(files).write)
-                gone = self.spark.createDataFrame([(p,) for p in paths], "path string")
-                version = self._commit(lambda old, gone=gone, new=new: old.join(F.broadcast(gone), "path", "left_anti").unionByName(new))
+
+                def swap(old: DataFrame, gone: DataFrame = tier.select("path"), new: DataFrame = new, k: int = run.k) -> DataFrame:
+                    if old.join(gone, "path", "left_semi").count() != k:
+                        raise RuntimeError("another writer has merged these shards")
+                    return old.join(gone, "path", "left_anti").unionByName(new)
+
+                version = self._commit(swap)
                 merged = True
             if not merged:
                 return version
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Removes shards and manifests that none of the last `keep` versions names; the number of shards removed."""
+    def vacuum(self, keep: int = 1, older_s: float = 0.0) -> int:
+        """Removes what none of the last `keep` versions names: shards and manifests of older versions, and what writers that died left (if no younger than older_s); the number of shards removed."""
         known = self.versions()
         old, live = known[:-keep], known[-keep:]
-        if not old:
-            return 0
-        paths = lambda some: {r.path for v in some for r in self.manifest(v).select("path").collect()}
-        gone = paths(old) - paths(live)
-        for p in gone:
-            self._fs.delete(self._path(p), False)
-        for v in old:
-            self._fs.delete(self._path(f"{self.root}/manifest/v{v:08d}"), True)
-        return len(gone)
+        names = lambda some: [self.manifest(v).select("path") for v in some]
+        union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
+        count = 0
+        if old:
+            for r in union(names(old)).distinct().join(union(names(live)), "path", "left_anti").toLocalIterator():
+                count += bool(self._fs.delete(self._path(r.path), False))
+            for v in old:
+                self._fs.delete(self._path(f"{self.root}/manifest/v{v:08d}"), True)
+        folder = F.regexp_extract("path", "/data/([0-9a-f]{32})/", 1)
+        used = {r[0] for r in union(names(live)).select(folder).distinct().toLocalIterator()} if live else set()
+        now = time.time() * 1000
+        for at, keeps in (("data", lambda n: n in used), ("manifest", lambda n: not n.startswith(".pending-"))):
+            where = self._path(f"{self.root}/{at}")
+            for s in self._fs.listStatus(where) if self._fs.exists(where) else []:
+                if not keeps(s.getPath().getName()) and now - s.getModificationTime() >= older_s * 1000:
+                    self._fs.delete(s.getPath(), True)
+        return count
 
     def _write(self, writer) -> DataFrame:
         at = f"{self.root}/data/{uuid.uuid4().hex}"
@@ -108,24 +129,46 @@ class ShardStore:
         return meta.groupBy("path", "bytes").agg(F.count("*").alias("n_rows")).select("path", "bytes", "n_rows", tier.alias("tier"))
 
     def _commit(self, change) -> int:
-        """Writes change(manifest) aside, claims the next number and renames; starts again when another writer was faster."""
+        """Writes change(manifest) aside, claims the next number and renames; waits and starts again when another writer was faster."""
         self._fs.mkdirs(self._path(f"{self.root}/manifest"))
         while True:
             now = (self.versions() or [0])[-1] + 1
             aside = f"{self.root}/manifest/.pending-{uuid.uuid4().hex}"
             change(self.manifest()).coalesce(1).write.parquet(aside)
+            claim = self._path(f"{self.root}/manifest/claim-{now:08d}")
             try:
-                self._fs.create(self._path(f"{self.root}/manifest/claim-{now:08d}"), False).close()
+                self._fs.create(claim, False).close()
             except Exception as why:
                 if "AlreadyExists" not in str(why):
                     raise
                 self._fs.delete(self._path(aside), True)
-                if now not in self.versions():
-                    raise RuntimeError(f"version {now} is claimed but not committed") from why
+                self._wait(now, claim)
                 continue
-            if not self._fs.rename(self._path(aside), self._path(f"{self.root}/manifest/v{now:08d}")):
-                raise RuntimeError(f"version {now} could not be committed")
-            return now
+            if self._appear(aside, f"{self.root}/manifest/v{now:08d}"):
+                return now
+            self._fs.delete(self._path(aside), True)
+
+    def _wait(self, number: int, claim) -> None:
+        """Until the version is there, or its claim is gone or void (then it is removed)."""
+        pause = 0.05
+        while number not in self.versions() and self._fs.exists(claim):
+            if time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > self.claim_s:
+                self._fs.delete(claim, False)
+                return
+            time.sleep(pause)
+            pause = min(2.0, 2 * pause)
+
+    def _appear(self, aside: str, name: str) -> bool:
+        """Renames a folder unless the name is taken."""
+        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(name).toUri(), sc._jsc.hadoopConfiguration())
+        try:
+            context.rename(context.makeQualified(self._path(aside)), context.makeQualified(self._path(name)), sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as why:
+            if "AlreadyExists" in str(why):
+                return False
+            raise
+        return True
 
 
 def shard_and_compact(docs: DataFrame, root: str, target: int = TARGET, shard_rows: int = SHARD_ROWS) -> DataFrame:

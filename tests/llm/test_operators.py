@@ -133,6 +133,24 @@ def test_ids_equal_the_tokenizer():
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_very_long_runs_are_encoded_as_the_library_does(spark):
+    path = queries.tokenizer()
+    plain, ours = Tokenizer.from_file(path), bpe.Encoder(path)
+    runs = [c * 10**6 for c in (" ", "\n", "\t", "a", "-")]
+    runs += ["x" + " " * 10**6 + "a", "hi" + " " * 50_000 + "\n" * 7 + " <|endoftext|>" + " " * 30_000 + "<|endoftext|> " + "\u3000" * 20_000 + "\x1c" * 5 + " b"]
+    for t in runs:
+        assert ours.encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:9]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    assert {r.doc_id: r.n for r in packing.pack(docs, path).groupBy("doc_id").sum("length").withColumnRenamed("sum(length)", "n").collect()} == {i: len(plain.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(runs)}
+    counted = {r.doc_id: r.n_tokens for r in separators.token_counts(docs.where("doc_id < 5"), path, queries.END_OF_TEXT).collect()}
+    assert counted == {i: len(plain.encode(t, add_special_tokens=False).ids) for i, t in enumerate(runs[:5])}
+
+
+def test_wide_ids_are_refused():
+    with pytest.raises(ValueError):
+        bpe.Encoder(queries.tokenizer(), "<u1")
+
+
 def test_packing_places_every_id_once(spark, docs, none):
     from tokenizers import Tokenizer
 
@@ -288,6 +306,32 @@ def test_secrets_match_plain_patterns(docs, none):
     assert secret_scan.redact(docs).columns == docs.columns
 
 
+def test_every_format_is_found_in_every_surrounding_and_noise_is_not():
+    models, rng = secret_scan.learn(secret_scan.labelled_credentials()), random.Random(4)
+    for name, x in secret_scan.labelled_credentials(20, seed=77):
+        for around in ("%s", "see %s.", "KEY=%s", "http://x/%s/", "(%s)", '"%s",', "a_%s-b" if name != "hex_key" else "%s"):
+            t = around % x
+            assert any(a <= around.index("%") and b >= around.index("%") + len(x) for a, _, b in secret_scan.scan(t, models)), (name, t)
+    alphabets = (secret_scan._ALNUM, secret_scan._ALNUM + "+/_.=-", "abcdefghijklmnopqrstuvwxyz0123456789")
+    noise = ["".join(rng.choices(a, k=n)) for a in alphabets for n in range(16, 81) for _ in range(10)]
+    assert sum(any(k == "format" for _, k, _ in secret_scan.scan(t, models)) for t in noise) < 0.01 * len(noise)
+
+
+def test_automata_score_what_plain_frequencies_say():
+    """Without merges the automaton is the prefix tree: a text's bits are those of its examples' relative frequencies."""
+    from arborist.llm.grammar import infer
+
+    rng = random.Random(8)
+    shown = ["".join(rng.choices("ab", k=3)) for _ in range(400)]
+    auto = infer(shown, alpha=0.999999)
+    for t in set(shown):
+        want = -math.log2(shown.count(t) / len(shown))
+        assert abs(auto.bits(t) - want) < 0.7, t  # states of one tail may merge; counts are the same but for chance
+    assert auto.bits("abc") == math.inf and auto.bits("ab") == math.inf and infer([]).bits("") == math.inf
+    tail = infer(["key-" + "".join(rng.choices("01234567", k=8)) for _ in range(300)])
+    assert abs(tail.bits("key-01234567") - 24) < 4 and tail.bits("kex-01234567") == math.inf
+
+
 def test_credentials_are_found_within_runs(spark):
     models = secret_scan.learn(secret_scan.labelled_credentials())
     fresh = secret_scan.labelled_credentials(20, seed=9)
@@ -357,3 +401,19 @@ def test_shards_compact_and_keep_versions(spark, docs, none, tmp_path):
     with pytest.raises(ValueError):
         store.append(docs.drop("lang"))
     assert shards.shard_and_compact(none, f"file://{tmp_path}/e").count() == 0
+
+
+def test_a_dead_writer_blocks_no_one(spark, tmp_path):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/s", target=1 << 20, shard_rows=3, claim_s=0.2)
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "doc_id long, text string")
+    assert store.append(rows) == 1
+    (tmp_path / "s" / "manifest" / "claim-00000002").touch()  # claimed, never committed
+    store._write(rows.write)  # shards no manifest names
+    assert store.append(rows) == 2 and store.read().count() == 40
+    taken, other = f"file://{tmp_path}/s/manifest/v00000002", f"file://{tmp_path}/s/manifest/.pending-x"
+    store.manifest().write.parquet(other)
+    assert not store._appear(other, taken) and store.manifest(2).count() == store.manifest().count()
+    store.compact()
+    before = len(list((tmp_path / "s" / "data").iterdir()))
+    assert store.vacuum() > 0 and store.read().count() == 40
+    assert len(list((tmp_path / "s" / "data").iterdir())) < before and not list((tmp_path / "s" / "manifest").glob(".pending-*"))
