@@ -11,12 +11,14 @@ Only distinct fingerprints are indexed, hence a thousand copies cost as much as
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns, forget, stored
@@ -128,7 +130,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 BROADCAST_IDS = 200_000
 SHINGLE = 5
 SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 4, 200_000
-SKETCH = 1024
+SKETCH_BITS_EACH = 4
+CROWD_SHARE, CROWD, CROWD_BITS, CROWD_PART = 4, 3, 1 << 26, 1 << 15
 
 
 def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
@@ -138,8 +141,8 @@ def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
     return np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)).view(np.int64))
 
 
-def frequent_shingles(docs: DataFrame, words: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of shingles that FREQUENT or more of about SAMPLE documents share, the MOST_FREQUENT first of them."""
+def frequent_shingles(docs: DataFrame, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that FREQUENT or more of about SAMPLE documents share, the MOST_FREQUENT first of them, and classes by how many (half powers of two)."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,33 +153,72 @@ def frequent_shingles(docs: DataFrame, words: int = SHINGLE) -> np.ndarray:
 
     picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
     counts = picked.mapInArrow(grams, "g long").groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT)
-    return np.sort(np.array([r.g for r in counts.orderBy(F.desc("c"), "g").limit(MOST_FREQUENT).collect()], np.int64))
+    found = np.array([(r.g, r.c) for r in counts.orderBy(F.desc("c"), "g").limit(MOST_FREQUENT).collect()], np.int64).reshape(-1, 2)
+    found = found[np.argsort(found[:, 0])]
+    return found[:, 0].copy(), np.floor(2 * np.log2(found[:, 1])).astype(np.int8)
 
 
-def rarest(s: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
-    """The prefix of a sorted shingle set in the one order all sets share: by hash, the frequent ones last.
+def rarest(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float, crowd: np.ndarray | None = None) -> np.ndarray:
+    """The prefix of a sorted shingle set in the one order all sets share: by hash, crowded ones behind, the frequent ones last, by how frequent they are.
 
     Of two sets x and y that have the similarity t, |x & y| >= t / (1 + t) (|x| + |y|) =: o, so that
     the first |x| - o + 1 of x and the first |y| - o + 1 of y have a shingle in common, whatever the
     order is. No o is below t |x|: floor((1 - t) |x|) + 1 shingles do for every partner.
     """
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        often = frequent[at] == s
-        s = np.concatenate((s[~often], s[often]))
+    late = np.zeros(len(s), np.int8)
+    if crowd is not None:
+        place = s.view(np.uint64) & np.uint64(CROWD_BITS - 1)
+        late[crowd[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7)).astype(np.uint8)) & 1 == 1] = 1
+    often, kinds = frequent
+    if len(often):
+        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+        late = np.where(often[at] == s, 2 + kinds[at], late)
+    s = s[np.argsort(late, kind="stable")]
     return s[: int((1 - similarity) * len(s) + 1e-9) + 1]
 
 
+def crowded(docs: DataFrame, words: int, similarity: float, frequent) -> np.ndarray:
+    """A bitmap of CROWD_BITS places: those of shingles that CROWD or more prefixes of one document in CROWD_SHARE hold.
+
+    Any order of the shingles makes prefixes complete, hence neither a sample nor two shingles in one
+    place lose a pair; the bitmap's size is fixed, so it may travel with every task.
+    """
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                texts = b.column(0).slice(at, 256).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rarest(shingle_set(t, words), frequent.value, similarity) for t in texts]))], ["g"])
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(CROWD_PART, np.uint8)
+        bits[rows["bit"].to_numpy()] = 1
+        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("crowd")), F.lit(CROWD_SHARE)) == 0).select("text")
+    counts = some.mapInArrow(grams, "g long").groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") >= CROWD)
+    place = F.col("g").bitwiseAND(F.lit(CROWD_BITS - 1))
+    places = counts.select(F.floor(place / CROWD_PART).cast("int").alias("part"), F.pmod(place, F.lit(CROWD_PART)).cast("int").alias("bit")).distinct()
+    out = np.zeros(CROWD_BITS // 8, np.uint8)
+    each = CROWD_PART // 8
+    for r in places.groupBy("part").applyInPandas(pack, "part int, bits binary").toLocalIterator():
+        out[r.part * each : (r.part + 1) * each] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 def occupied(s: np.ndarray) -> np.ndarray:
-    """SKETCH bits as longs: those that some hash of the set falls on."""
-    bits = np.zeros(SKETCH, np.uint8)
-    bits[s.view(np.uint64) % np.uint64(SKETCH)] = 1
+    """A bitmap as longs: the places some hash of the set falls on. It has SKETCH_BITS_EACH bits a hash or more, and 2^k of them, so that it folds."""
+    size = max(64, 1 << (SKETCH_BITS_EACH * len(s) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[s.view(np.uint64) % np.uint64(size)] = 1
     return np.packbits(bits).view(np.int64)
 
 
 def _features(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(doc_id, same, n, bits, prefix): a digest of the shingle set, its size, its occupied bits and its rarest shingles."""
-    frequent = frequent_shingles(docs, words)
+    context = docs.sparkSession.sparkContext
+    frequent = context.broadcast(frequent_shingles(docs, words))
+    crowd = context.broadcast(crowded(docs, words, similarity, frequent))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,7 +227,7 @@ def _features(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                 sets = [shingle_set(t, words) for t in s.column(1).to_pylist()]
                 same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
                 bits = pa.array([occupied(x) for x in sets], pa.list_(pa.int64()))
-                prefix = pa.array([rarest(x, frequent, similarity) for x in sets], pa.list_(pa.int64()))
+                prefix = pa.array([rarest(x, frequent.value, similarity, crowd.value) for x in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(same, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), bits, prefix], ["doc_id", "same", "n", "bits", "prefix"])
 
     return docs.mapInArrow(work, "doc_id long, same binary, n int, bits array<long>, prefix array<long>")
@@ -205,46 +247,81 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return stored(texts.mapInArrow(sets, "cid long, s array<long>"), "sets")
 
 
-def _postings(prints: DataFrame) -> DataFrame:
-    """(g, cid, n, at, c): the place of each shingle in the prefixes that hold it, and how many do, where there are two or more."""
+def _postings(prints: DataFrame, similarity: float) -> DataFrame:
+    """(g, cid, n, at, c, first, band): the place of each shingle in the prefixes that hold it, and how many do, where there are two or more.
+
+    Of shingles that the same prefixes hold (those of a shared passage) the first in the common order
+    stands for all: whoever meets under a later one meets under it, at places no later; c counts them
+    all. first: the place is in the shorter prefix that is enough against partners of no more shingles.
+    band: sizes by powers of 1 / similarity; a pair's bands are equal or neighbours.
+    """
     each = prints.select("cid", "n", F.posexplode("prefix").alias("at", "g"))
-    shared = each.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    return stored(each.join(shared, "g"), "postings")
+    n = F.col("n").cast("double")
+    first = F.col("at") <= n - F.ceil(2 * similarity / (1 + similarity) * n - 1e-9)
+    band = F.floor(F.log(n) / math.log(1 / similarity)).cast("int") if similarity < 1 else F.col("n")
+    counted = each.withColumn("k", F.count("*").over(Window.partitionBy("g"))).where("k > 1")  # a document is one row under a shingle, at most
+    shared = stored(counted.withColumns({"first": first, "band": band}), "shared")
+    lead = F.min(F.struct("cid", "at")).alias("lead")
+    holders = [F.bit_xor(F.xxhash64("cid", F.lit(x))).alias(f"h{x}") for x in (0, 1)]
+    held = shared.groupBy("g").agg(F.count("*").alias("k"), lead, *holders)
+    kept = held.groupBy("k", "h0", "h1", "lead.cid").agg(F.min_by("g", "lead.at").alias("g"), (F.count("*") * F.col("k")).alias("c"))
+    out = stored(shared.drop("k").join(kept.select("g", "c"), "g"), "postings")
+    forget(shared)
+    return out
 
 
 def _fits(n: str, at: str, m: str, other: str, similarity: float) -> Column:
     """Whether sets of n and m shingles that share the ones at these places can have the similarity, and have these in their pair's prefixes."""
     n, i, m, j = (F.col(x) for x in (n, at, m, other))
     need = F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
-    most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (i <= n - need) & (j <= m - need) & (most >= need)
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (i <= n - need) & (j <= m - need)
 
 
 def _apart(postings: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(cid, centre): of all classes the pairs in different components that can have the similarity, each once.
+    """(a, b): of all classes the pairs in different components that can have the similarity, each once.
 
-    Within a shingle's postings the components are paired first, so that members of one never meet.
+    Within a shingle's postings the components are paired first, by bounds over their members (exact ones
+    where each has one member), so that members of one never meet; the smaller set of a pair needs the
+    shingle in its shorter prefix, and sizes meet by band.
     """
-    rows = postings.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("component", "cid")).drop("component")
-    mixed = rows.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
+    rows = postings.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumns({"root": F.coalesce("component", "cid"), "lone": F.col("component").isNull()}).drop("component", "c")
+    mixed = rows.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("first").alias("any")).where("lo <> hi and any").select("g")
     rows = stored(rows.join(mixed, "g"), "mixed")
-    of = rows.select("g", F.col("root").alias("r")).distinct()
-    meet = of.join(of.select("g", F.col("r").alias("r2")), "g").where("r < r2")
-    other = rows.select("g", F.col("root").alias("r2"), F.col("cid").alias("centre"), F.col("n").alias("m"), F.col("at").alias("there"))
-    left = meet.join(rows.withColumnRenamed("root", "r"), ["g", "r"])
-    return left.join(other, ["g", "r2"]).where(_fits("n", "at", "m", "there", similarity)).select("cid", "centre").distinct()
+    small = rows.where("first").withColumnsRenamed({"cid": "centre", "n": "m", "at": "there", "root": "r2", "lone": "lone2"}).drop("first")
+    large = rows.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).drop("first")
+    share = similarity / (1 + similarity)
+    room = lambda n, i: F.max((1 - share) * F.col(n) - F.col(i))  # noqa: E731 - by _fits no less than `share` of the other's size
+    of_large = large.groupBy("g", "band", "root", "lone").agg(room("n", "at").alias("a"), F.min("n").alias("n"))
+    of_small = small.groupBy("g", "band", "r2", "lone2").agg(room("m", "there").alias("b"), F.min("m").alias("m"))
+    may = (F.col("a") >= share * F.col("m") - 1e-6) & (F.col("b") >= share * F.col("n") - 1e-6)
+    ordered = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("root") > F.col("r2")))
+    exact = ordered & (F.col("m") >= similarity * F.col("n") - 1e-9)
+    meet = stored(of_large.join(of_small, ["g", "band"]).where((F.col("root") != F.col("r2")) & may & (~(F.col("lone") & F.col("lone2")) | exact)).select("g", "band", "root", "r2", (F.col("lone") & F.col("lone2")).alias("lone")), "meet")
+    alone = meet.where("lone").select(F.least("root", "r2").alias("a"), F.greatest("root", "r2").alias("b"))
+    met = large.drop("lone").join(meet.where("not lone").drop("lone"), ["g", "band", "root"]).join(small.drop("lone2"), ["g", "band", "r2"])
+    met = met.where(((F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("cid") > F.col("centre")))) & _fits("n", "at", "m", "there", similarity))
+    return met.select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).unionByName(alone).distinct()
+
+
+def _folded(bits: str, other: str) -> Column:
+    """The bitmap at the size of the other where that is smaller (sizes are powers of two, a pair's at most a factor of two apart)."""
+    half = F.size(bits) / 2
+    low, high = F.slice(bits, F.lit(1), half.cast("int")), F.slice(bits, half.cast("int") + 1, half.cast("int"))
+    return F.when(F.size(bits) > F.size(other), F.zip_with(low, high, lambda p, q: p.bitwiseOR(q))).otherwise(F.col(bits))
 
 
 def _similar(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of the pairs (a, b) those whose shingle sets have the Jaccard similarity.
 
-    Whole sets are fetched for the pairs alone that can have it by their sketches: each bit that only
+    Whole sets are fetched for the pairs alone that can have it by their bitmaps: each bit that only
     one of two sets occupies stands for a shingle, at least, that the other lacks.
     """
     side = lambda x: sketches.select(F.col("cid").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
-    alone = lambda x, y: F.aggregate(F.zip_with(f"{x}_bits", f"{y}_bits", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, k: t + k)
-    most = F.least(F.col("a_n") - alone("a", "b"), F.col("b_n") - alone("b", "a"))
-    near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(most >= similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-9).select("a", "b"), "near")
+    alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, k: t + k)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumns({"x": _folded("a_bits", "b_bits"), "y": _folded("b_bits", "a_bits")})
+    most = F.least(F.col("a_n") - alone("x", "y"), F.col("b_n") - alone("y", "x"))
+    fit = (F.size("x") == F.size("y")) & (most >= similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    near = stored(both.where(fit).select("a", "b"), "near")
     ids = stored(near.select(F.col("a").alias("cid")).union(near.select("b")).distinct(), "ids")
     grams = _sets(docs, ids, words)
     both = near.join(grams.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(grams.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
@@ -291,29 +368,27 @@ def similar_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.
     classes = stored(seen.groupBy("same").agg(F.min("doc_id").alias("cid")), "classes")
     prints = stored(features.join(classes, features.doc_id == classes.cid, "left_semi").select(F.col("doc_id").alias("cid"), "n", "bits", "prefix"), "prints")
     forget(features)
-    sketches, postings = stored(prints.select("cid", "n", "bits"), "sketches"), _postings(prints)
+    sketches, postings = stored(prints.select("cid", "n", "bits"), "sketches"), _postings(prints, similarity)
     forget(prints)
     ranks = stored(postings.groupBy("cid").agg(F.sum("c").alias("rank")), "ranks")
-    rows = postings.drop("c").join(ranks, "cid")
+    rows = postings.drop("c", "first", "band").join(ranks, "cid")
     links, roots = None, rows.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(rounds + 1):
         if turn < rounds:
             best = rows.groupBy("g").agg(F.max(F.struct("rank", "cid", "n", "at")).alias("top"))
             met = rows.join(best, "g").select("cid", "n", "at", F.col("top.cid").alias("centre"), F.col("top.n").alias("m"), F.col("top.at").alias("there"))
-            tests = met.where(_fits("n", "at", "m", "there", similarity))
+            pairs = met.where(_fits("n", "at", "m", "there", similarity) & (F.col("cid") != F.col("centre"))).select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct()
         else:
-            tests = _apart(postings, roots, similarity)
-        pairs = tests.where("cid <> centre").select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct()
+            pairs = _apart(postings, roots, similarity)
         good = _similar(pairs, sketches, docs, words, similarity)
         if not good.isEmpty():
             links = good if links is None else links.unionByName(good)
             roots = connected_components(links)
         if turn < rounds:
             rows = _unsettled(rows, best, roots)
-    classes = classes.select("same", F.col("cid").alias("node")).join(roots, "node", "left").select("same", F.coalesce("component", "node").alias("root"))
-    named = seen.select("doc_id", "same").join(classes, "same")
-    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(lowest, "root").select("doc_id", "component_id")
+    # a class goes by its smallest id and a component by its smallest class: no rows are gathered by component
+    classes = classes.select("same", F.col("cid").alias("node")).join(roots, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    return seen.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
