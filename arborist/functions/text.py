@@ -83,7 +83,7 @@ def char_windows(c: Column | str, width: int = 15, stride: int = 7) -> Column:
 
 
 def sentences(c: Column | str, pattern: str = r"[.!?]+\s+") -> Column:
-    return F.filter(F.transform(F.split(_col(c), pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_col(c), pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def normalised(c: Column | str) -> Column:

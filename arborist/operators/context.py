@@ -88,6 +88,59 @@ def budget(chunks: DataFrame, tokens: int) -> DataFrame:
     return folded.select("grp", "x.ord", "x.n_tokens", "x.taken")
 
 
+def compress(hits: DataFrame, tokens: int = 2000, least: float = 0.2, similar: float = 0.7, chars_each: int = 3) -> DataFrame:
+    """The stages in a row over hits (query_id, chunk_id, query, title, text, page_ref, rank): scored, kept, merged by leader, cut to the budget.
+
+    (query_id, place, chunk_id, text, pages, score, n_merged, n_tokens): what is in the context, best first.
+    """
+    kept = keep_relevant(relevance(hits, ("query_id", "chunk_id", "rank", "page_ref")), least)
+    items = kept.select(F.col("query_id").alias("grp"), F.col("rank").cast("int").alias("ord"), "chunk_id", F.concat_ws(" ", "title", "text").alias("text"), "page_ref", "score")
+    merged = merge(items, leaders(items.select("grp", "ord", "text"), similar)).withColumn("n_tokens", F.floor(F.length("text") / chars_each))
+    taken = budget(merged.select("grp", F.col("leader").alias("ord"), "score", "n_tokens"), tokens).where("taken").select("grp", F.col("ord").alias("leader"))
+    out = merged.join(taken, ["grp", "leader"])
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "leader"))
+    return out.select(F.col("grp").alias("query_id"), place.alias("place"), "chunk_id", "text", "pages", "score", "n_merged", "n_tokens")
+
+
+def compression_report(hits: DataFrame, compressed: DataFrame, chars_each: int = 3) -> DataFrame:
+    """For each query: pieces and tokens before and after, the ratio and the tokens saved."""
+    before = hits.groupBy("query_id").agg(F.count("*").alias("n_before"), F.sum(F.floor(F.length("text") / chars_each)).alias("tokens_before"))
+    after = compressed.groupBy("query_id").agg(F.count("*").alias("n_after"), F.sum("n_tokens").alias("tokens_after"))
+    j = before.join(after, "query_id", "left").fillna(0, ["n_after", "tokens_after"])
+    return j.withColumns({"ratio": F.round(F.col("n_after") / F.col("n_before"), 6), "tokens_saved": F.greatest(F.lit(0), F.col("tokens_before") - F.col("tokens_after"))})
+
+
+def joined(compressed: DataFrame) -> DataFrame:
+    """(query_id, context): the pieces in order under their pages."""
+    part = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] (p."), F.col("pages"), F.lit(")\n"), F.col("text"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", part.alias("part")))), lambda x: x["part"])
+    return compressed.groupBy("query_id").agg(F.array_join(listed, "\n\n").alias("context"))
+
+
+NO_CONTEXT = {"ko": "관련 내용을 찾지 못했습니다.", "ja": "関連する内容が見つかりませんでした。", "en": "Nothing relevant was found."}
+
+
+def no_context_answer(question: Column, answers: dict[str, str] = NO_CONTEXT) -> Column:
+    """What to say without a context, in the question's language."""
+    lang = T.language(question)
+    return F.coalesce(*[F.when(lang == k, F.lit(v)) for k, v in answers.items()])
+
+
+def enhanced_question(question: Column, title: Column, page: Column, summary: Column) -> Column:
+    """The question with the node it is asked about; as it is without one."""
+    note = F.concat(question, F.lit("\n\n[Section: "), title, F.lit(" (p."), F.coalesce(page, F.lit("N/A")), F.lit(")] "), F.coalesce(summary, F.lit("")))
+    return F.coalesce(note, question)
+
+
+def prompts(contexts: DataFrame, templates: DataFrame) -> DataFrame:
+    """(query_id, prompt): contexts (query_id, question, context, domain) in the template (domain, lang, head) of their domain and question's language; "general" for others."""
+    c = contexts.withColumn("lang", T.language("question"))
+    own = templates.select("domain", "lang", F.col("head").alias("own"))
+    rest = templates.where("domain = 'general'").select("lang", F.col("head").alias("rest"))
+    j = c.join(F.broadcast(own), ["domain", "lang"], "left").join(F.broadcast(rest), "lang", "left")
+    return j.select("query_id", F.concat(F.coalesce("own", "rest", F.lit("")), F.lit("\n\nContext:\n"), "context", F.lit("\n\nQuestion: "), "question").alias("prompt"))
+
+
 def detect_references(texts: DataFrame, patterns: dict[str, str] = REFERENCES) -> DataFrame:
     """(doc_id, kind, number) of every mention, one row each, by all patterns."""
 

@@ -64,6 +64,20 @@ def distinct_paths(paths: DataFrame, k: int = 5) -> DataFrame:
     return paths.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n").orderBy(F.desc("confidence"), "path").limit(k)
 
 
+def search(edges: DataFrame, seeds: DataFrame, hops: int = 3, k: int = 5, least: float = 0.5) -> DataFrame:
+    """(place, node, n_paths, confidence): the nodes of the k best paths in the order they first stand in, twice k at most, with how many of the paths hold them."""
+    paths = distinct_paths(best_paths(edges, seeds, hops, least), k).withColumn("p", F.row_number().over(Window.orderBy(F.desc("confidence"), "path")))
+    each = paths.select("p", "confidence", F.posexplode("path").alias("i", "node"))
+    per = each.groupBy("node").agg(F.min(F.struct("p", "i")).alias("first"), F.count("*").alias("n_paths"), F.max("confidence").alias("confidence"))
+    ranked = per.withColumn("place", F.row_number().over(Window.orderBy("first")))  # at most k paths of `hops` nodes
+    return ranked.where(F.col("place") <= 2 * k).select("place", "node", "n_paths", F.round("confidence", 6).alias("confidence"))
+
+
+def connection_phrase(types: Column) -> Column:
+    """What a path's edge types say, in words."""
+    return F.array_join(F.transform(types, lambda t: F.replace(t, F.lit("_"), F.lit(" "))), ", then ")
+
+
 def neighbourhood(edges: DataFrame) -> DataFrame:
     """(node, n_out, n_in, out_nodes, in_nodes)."""
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.array_sort(F.collect_set("dst")).alias("out_nodes"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,22 +48,30 @@ def graded_ndcg(run: DataFrame, qrels: DataFrame, k: int = 5, linear: bool = Fal
     return ideal.join(got, "query_id", "left").select("query_id", F.round(F.when(F.col("idcg") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).otherwise(0.0), 6).alias("ndcg"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, a row of the table at a time."""
-    zero = F.array_repeat(F.lit(0), F.size(b) + 1)
+def lcs(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a machine word of b's places at a time (a row of the table is one integer)."""
+    where: dict[str, int] = {}
+    for i, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & where.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
 
-    def row(prev: Column, x: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            up, left, diag = F.get(prev, j + 1), F.element_at(acc, -1), F.get(prev, j)
-            return F.concat(acc, F.array(F.when(F.get(b, j) == x, diag + 1).otherwise(F.greatest(up, left))))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.array(F.lit(0)), cell)
+def lcs_length(a: Column, b: Column) -> Column:
+    """Of two arrays of words, whole texts; in Arrow batches."""
+    @F.pandas_udf("int")
+    def length(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([0 if p is None or q is None else lcs(list(p), list(q)) for p, q in zip(x, y)], dtype="int32")
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, zero, row), -1))
+    return length(a, b)
 
 
 def rouge_l(pairs: DataFrame, key: str, reference: str, answer: str) -> DataFrame:
-    """(key, precision, recall, f1) of the longest common subsequence of words; for texts of up to some hundred words."""
+    """(key, precision, recall, f1) of the longest common subsequence of words."""
     rows = pairs.select(key, T.tokens_cjk(reference).alias("a"), T.tokens_cjk(answer).alias("b")).withColumn("l", lcs_length(F.col("a"), F.col("b")))
     p, r = F.when(F.size("b") > 0, F.col("l") / F.size("b")).otherwise(0.0), F.when(F.size("a") > 0, F.col("l") / F.size("a")).otherwise(0.0)
     return rows.select(key, F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(p + r > 0, 2.0 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"))
@@ -72,7 +81,18 @@ def exact_match(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return pairs.select(key, (T.normalised(a) == T.normalised(b)).cast("int").alias("exact"))
 
 
-def term_recall(pairs: DataFrame, key: str, reference: str, answer: str, terms: tuple[str, ...]) -> DataFrame:
+# The medical terms whose recall is measured by default.
+MEDICAL_TERMS = (
+    "cardiac", "pulmonary", "hepatic", "renal", "cerebral", "vascular", "myocardial", "neural", "skeletal", "endocrine", "cardiovascular", "musculoskeletal", "gait", "stroke volume", "heart rate",
+    "hypertension", "diabetes", "myocardial infarction", "stroke", "sepsis", "pneumonia", "arrhythmia", "fibrillation", "thrombosis", "embolism",
+    "mmhg", "bpm", "ml/min", "mg/dl", "mcg/kg", "iu/l", "khz", "mhz", "hz", "decibel", "frequency", "wavelength", "amplitude",
+    "ultrasound", "doppler", "transducer", "piezoelectric", "impedance", "electrode", "biosignal", "prosthetic", "scaffold", "biocompatibility", "in vitro", "in vivo", "signal-to-noise", "attenuation", "reflection",
+    "acoustic", "echo", "b-mode", "sonar", "imaging", "diagnosis", "resolution", "penetration", "probe", "gel", "tissue",
+    "초음파", "압전", "감쇠", "임피던스", "주파수", "파장", "도플러", "심장", "혈류", "진단", "영상", "전극", "생체", "조직", "반사", "보행", "근골격계", "심박", "프로브", "탐촉자", "음향", "해상도",
+)
+
+
+def term_recall(pairs: DataFrame, key: str, reference: str, answer: str, terms: tuple[str, ...] = MEDICAL_TERMS) -> DataFrame:
     """(key, n_terms, recall): of the terms in the reference those in the answer, as substrings; 1 without any."""
     has = lambda c: F.filter(F.array(*map(F.lit, terms)), lambda x: F.contains(F.lower(F.col(c)), x))
     return pairs.select(key, F.size(has(reference)).alias("n_terms"), F.round(F.when(F.size(has(reference)) == 0, 1.0).otherwise(F.size(F.array_intersect(has(reference), has(answer))) / F.size(has(reference))), 6).alias("recall"))
@@ -127,8 +147,10 @@ def cohen_kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def spearman(rows: DataFrame, a: str, b: str, ties: str) -> DataFrame:
-    """One row: correlation of ordinal ranks; equal values by `ties`. Ranks need a total order, hence one sorted run: for report-sized tables."""
-    r = rows.withColumns({"ra": F.row_number().over(Window.orderBy(a, ties)), "rb": F.row_number().over(Window.orderBy(b, ties))})
+    """One row: correlation of ordinal ranks; equal values by the numeric column `ties`."""
+    from .statistics import place
+
+    r = place(place(rows.select(a, b, ties), F.col(a), ties, "ra"), F.col(b), ties, "rb")
     return r.agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 6).alias("rho"))
 
 

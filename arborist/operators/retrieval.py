@@ -145,6 +145,17 @@ def token_f1(pairs: DataFrame, key: str, a: str, b: str, tokenizer=T.words) -> D
     return sized.select(key, F.round(p, DIGITS).alias("precision"), F.round(r, DIGITS).alias("recall"), F.round(F.when(p + r > 0, 2.0 * p * r / (p + r)).otherwise(0.0), DIGITS).alias("f1"))
 
 
+def token_f1_nodes(nodes: DataFrame, queries: DataFrame, k: int = 3, decay: float = 0.9, tokenizer=T.tokens_cjk) -> DataFrame:
+    """(query_id, node_id, f1, rank): the nodes (node_id, depth, text) of the best multiset token F1 with each query, times decay^depth; a node called ROOT is left out."""
+    sized = nodes.where("node_id <> 'ROOT'").select("node_id", "depth", tokenizer(F.col("text")).alias("t")).withColumn("nd", F.size("t"))
+    asked = queries.select("query_id", tokenizer(F.col("text")).alias("t")).withColumn("nq", F.size("t"))
+    d = sized.select("node_id", "depth", "nd", F.explode("t").alias("t")).groupBy("node_id", "depth", "nd", "t").agg(F.count("*").alias("x"))
+    q = asked.select("query_id", "nq", F.explode("t").alias("t")).groupBy("query_id", "nq", "t").agg(F.count("*").alias("y"))
+    both = d.join(q, "t").groupBy("query_id", "node_id", "depth", "nd", "nq").agg(F.sum(F.least("x", "y")).alias("n"))
+    f1 = F.round(2.0 * F.col("n") / (F.col("nd") + F.col("nq")) * F.pow(F.lit(decay), F.col("depth")), DIGITS)
+    return rank_by(both.select("query_id", "node_id", f1.alias("f1")), "f1", k, ties=("node_id",))
+
+
 def formal_relevance(nodes: DataFrame, weights: tuple[float, float, float] = (0.7, 0.2, 0.1), max_depth: int = 10) -> DataFrame:
     """Adds sem, struct, ctx and relevance to nodes with query, title, summary, depth, parent_title."""
     if abs(sum(weights) - 1) > 1e-6:
@@ -159,6 +170,29 @@ def formal_relevance(nodes: DataFrame, weights: tuple[float, float, float] = (0.
     return nodes.withColumns({"sem": F.round(sem, DIGITS), "struct": F.round(struct, DIGITS), "ctx": F.round(ctx, DIGITS), "relevance": F.round(rel, DIGITS)})
 
 
+def rank_siblings(scored: DataFrame) -> DataFrame:
+    """Adds rank: the place by relevance among the children of one parent, ties by id."""
+    return rank_by(scored, "relevance", None, by=("parent_id",), ties=("node_id",))
+
+
+def explained(scored: DataFrame, weights: tuple[float, float, float] = (0.7, 0.2, 0.1)) -> DataFrame:
+    """Adds explanation: the parts of formal_relevance in one line."""
+    a, b, c = weights
+    return scored.withColumn("explanation", F.format_string(f"relevance %.3f = {a} x semantic %.3f + {b} x structure %.3f + {c} x context %.3f", "relevance", "sem", "struct", "ctx"))
+
+
+def cosine_relevance(similarity: Column) -> Column:
+    """A cosine of embeddings as a relevance of 0 to 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (similarity + 1.0) / 2.0))
+
+
+def leaf_answers(docs: DataFrame, queries: DataFrame, k: int = 5, limit: int = 600) -> DataFrame:
+    """(query_id, answer, n_tokens): trigram retrieval over flat chunks, the best texts joined and cut, tokens by length over four."""
+    hits = trigram(docs, queries, k).select("query_id", "doc_id", "rank").join(docs.select("doc_id", "text"), "doc_id")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ")
+    return hits.groupBy("query_id").agg(F.substring(joined, 1, limit).alias("answer")).withColumn("n_tokens", F.floor(F.length("answer") / 4))
+
+
 def context_block(hits: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """One context text for each group: "[Document i: title (p.ref)]" and the text, by rank."""
     part = F.concat(F.lit("[Document "), F.col("rank").cast("string"), F.lit(": "), F.col("title"), F.lit(" (p."), F.col("page_ref"), F.lit(")]\n"), F.col("text"), F.lit("\n"))

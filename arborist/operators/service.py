@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,18 +20,58 @@ def cache_key(question: Column, files: Column, *rest: Column) -> Column:
 
 
 def ttl_hits(log: DataFrame, key: str, ts: str, ttl_s: float, ties: str) -> DataFrame:
-    """Adds hit: whether the entry that the last miss of the key stored is at most ttl_s old.
+    """Adds hit: whether the entry that the last miss of the key stored is at most ttl_s old. One pass along each key's requests."""
+    schema = f"{key} {log.schema[key].dataType.simpleString()}, {ties} {log.schema[ties].dataType.simpleString()}, hit boolean"
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["t", ties])
+        since, hits = None, []
+        for now in rows["t"]:
+            hits.append(since is not None and now - since <= ttl_s)
+            since = since if hits[-1] else now
+        return pd.DataFrame({key: rows[key], ties: rows[ties], "hit": hits})
+
+    return log.select(key, ties, F.col(ts).cast("double").alias("t")).groupBy(key).applyInPandas(one, schema)
 
-    A fold along each key's requests; a key's requests are one group.
+
+def lru_hits(log: DataFrame, cache: str, key: str, ts: str, ties: str, capacity: int = 100, ttl_s: float = 3600.0) -> DataFrame:
+    """(cache, ties, hit, evicted) of caches of `capacity` entries, the least recently used one leaving first, entries for ttl_s at most.
+
+    A miss stores its entry; at capacity something leaves even where the key itself is stored anew. One cache's log is one
+    sequence by nature, hence one group; the state is `capacity` entries.
     """
-    arr = F.array_sort(F.collect_list(F.struct(F.col(ts).cast("double").alias("t"), F.col(ties).alias("id"))))
-    zero = F.struct(F.lit(None).cast("double").alias("since"), F.array().cast("array<struct<id:bigint,hit:boolean>>").alias("out"))
+    schema = f"{cache} {log.schema[cache].dataType.simpleString()}, {ties} {log.schema[ties].dataType.simpleString()}, hit boolean, evicted boolean"
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["t", ties])
+        held: OrderedDict = OrderedDict()
+        out = []
+        for k, now in zip(rows["k"], rows["t"]):
+            if k in held and now - held[k] > ttl_s:
+                del held[k]
+            hit, gone = k in held, False
+            if hit:
+                held.move_to_end(k)
+            else:
+                if len(held) >= capacity:
+                    held.popitem(last=False)
+                    gone = True
+                held[k] = now
+            out.append((hit, gone))
+        return pd.DataFrame({cache: rows[cache], ties: rows[ties], "hit": [o[0] for o in out], "evicted": [o[1] for o in out]})
 
-    def step(acc: Column, x: Column) -> Column:
-        hit = F.coalesce(x["t"] - acc["since"] <= ttl_s, F.lit(False))
-        return F.struct(F.when(hit, acc["since"]).otherwise(x["t"]).alias("since"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), hit.alias("hit")))).alias("out"))
+    return log.select(cache, ties, F.col(key).alias("k"), F.col(ts).cast("double").alias("t")).groupBy(cache).applyInPandas(one, schema)
 
-    return log.groupBy(key).agg(arr.alias("r")).select(key, F.explode(F.aggregate("r", zero, step)["out"]).alias("o")).select(key, F.col("o.id").alias(ties), "o.hit")
+
+def cache_statistics(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Hits, misses and the hit rate as text."""
+    h = F.count(F.when(F.col("hit"), 1))
+    return hits.groupBy(*by).agg(h.alias("hits"), (F.count("*") - h).alias("misses"), F.format_string("%.2f%%", F.when(F.count("*") > 0, 100.0 * h / F.count("*")).otherwise(0.0)).alias("hit_rate"))
+
+
+def short_key(question: Column, files: Column, *rest: Column, size: int = 16) -> Column:
+    """The first digits of cache_key, for shared backends."""
+    return F.substring(cache_key(question, files, *rest), 1, size)
 
 
 def admit(times: list[float], most: int, window_s: float) -> list[tuple[bool, int]]:
@@ -80,6 +122,34 @@ def offline_questions(nodes: DataFrame, factual: int = 5, linked: int = 3) -> Da
     return one.unionByName(two).unionByName(three)
 
 
+CYCLE = (("definition", 6), ("mechanism", 4), ("comparison", 3), ("summary", 1))
+
+
+def cycled_questions(nodes: DataFrame, counts: tuple[tuple[str, int], ...] = CYCLE) -> DataFrame:
+    """(doc_id, category, i, question, expected): so many questions of each category, going round the content nodes of a document in order."""
+    n = nodes.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("path_ord")) - 1)
+    size = nodes.groupBy("doc_id").agg(F.count("*").alias("size"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("k")) for c, k in counts])).alias("c")
+    want = size.select("doc_id", "size", kinds).select("doc_id", "size", "c.category", F.explode(F.sequence(F.lit(0), F.col("c.k") - 1)).alias("i"))
+    j = want.withColumn("at", F.pmod("i", F.col("size")).cast("int")).join(n.select("doc_id", "at", "title", "node_id"), ["doc_id", "at"])
+    return j.select("doc_id", "category", "i", F.concat(F.col("category"), F.lit(": "), F.col("title"), F.lit("?")).alias("question"), F.col("node_id").alias("expected"))
+
+
+def add_questions(questions: DataFrame, new: DataFrame) -> DataFrame:
+    """questions (question_id, doc_id, question) and the new ones (doc_id, question) that are not among them, under the first twelve digits of their md5."""
+    ident = F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "question").cast("binary")), 1, 12)
+    fresh = new.select("doc_id", "question").distinct().join(questions.select("doc_id", "question"), ["doc_id", "question"], "left_anti")
+    return questions.select("question_id", "doc_id", "question").unionByName(fresh.select(ident.alias("question_id"), "doc_id", "question"))
+
+
+def catalog_update(catalog: DataFrame, gone: DataFrame, saved: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(row, status): the catalog without `gone`, with `saved` in place of equal keys; status existing, replaced or created."""
+    left = catalog.join(gone.select(key), key, "left_anti")
+    old = left.select(key).withColumn("__old", F.lit(True))
+    new = saved.join(old, key, "left").withColumn("status", F.when(F.col("__old"), "replaced").otherwise("created")).drop("__old")
+    return left.join(saved.select(key), key, "left_anti").withColumn("status", F.lit("existing")).unionByName(new)
+
+
 def question_problems(questions: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, problem, n): repeated questions, unknown documents, missing fields."""
     twice = questions.groupBy("doc_id", "question").agg(F.count("*").alias("n")).where("n > 1").groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit("repeated question").alias("problem"), "n")
@@ -94,4 +164,4 @@ def turns(conversations: DataFrame) -> DataFrame:
     return conversations.withColumns({"r": F.lead("role").over(w), "answer": F.lead("text").over(w)}).where("role = 'user' and r = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"annotations", "Column", "DataFrame", "Window", "F", "T", "pd"}]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in {"annotations", "Column", "DataFrame", "OrderedDict", "Window", "F", "T", "pd"}]

@@ -11,6 +11,26 @@ def align(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return a.select(key, F.col(value).cast("double").alias("a")).join(b.select(key, F.col(value).cast("double").alias("b")), key).where("a is not null and b is not null")
 
 
+def place(rows: DataFrame, value: Column, ties: str, name: str, buckets: int = 200) -> DataFrame:
+    """Adds name: the row's place (from 1) by value, then by the numeric column `ties`, without sorting in one task.
+
+    Values are cut at quantiles; a value that is a cut itself has a bucket of its own, cut again by `ties`. Rows are
+    numbered within their bucket and moved by the count of the buckets before it: at most (2 buckets + 1)^2 numbers.
+    """
+    rows = rows.withColumn("__v", value.cast("double"))
+    at = F.array(*[F.lit((i + 1) / (buckets + 1)) for i in range(buckets)])
+    cuts = rows.agg(F.percentile_approx("__v", at, F.lit(10_000)).alias("v"), F.percentile_approx(F.col(ties).cast("double"), at, F.lit(10_000)).alias("t")).first()
+    own = lambda c: F.array(*[F.lit(x) for x in sorted(set(c or []))]).cast("array<double>")
+    below = lambda c, x: F.size(F.filter(own(c), lambda y: y < x))
+    cut = F.array_contains(own(cuts.v), F.col("__v"))
+    b = 2 * below(cuts.v, F.col("__v")) + cut.cast("int")
+    rows = rows.withColumns({"__b": b, "__s": F.when(cut, below(cuts.t, F.col(ties).cast("double"))).otherwise(0)})
+    sizes = rows.groupBy("__b", "__s").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__o", F.coalesce(F.sum("__n").over(Window.orderBy("__b", "__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    own_place = F.row_number().over(Window.partitionBy("__b", "__s").orderBy("__v", ties))
+    return rows.withColumn("__r", own_place).join(before, ["__b", "__s"]).withColumn(name, F.col("__o") + F.col("__r")).drop("__b", "__s", "__o", "__r", "__v")
+
+
 def phi(x: Column) -> Column:
     """Normal distribution function by a rational approximation of the error function (absolute error under 1.5e-7)."""
     z = F.abs(x) / F.sqrt(F.lit(2.0))
@@ -20,6 +40,10 @@ def phi(x: Column) -> Column:
     return F.when(x >= 0, 0.5 * (1.0 + erf)).otherwise(0.5 * (1.0 - erf))
 
 
+def r_label(r: Column) -> Column:
+    return F.when(F.abs(r) < 0.1, "negligible").when(F.abs(r) < 0.3, "small").when(F.abs(r) < 0.5, "medium").otherwise("large")
+
+
 def effect_label(d: Column) -> Column:
     return F.when(F.abs(d) < 0.2, "negligible").when(F.abs(d) < 0.5, "small").when(F.abs(d) < 0.8, "medium").otherwise("large")
 
@@ -36,7 +60,7 @@ def paired_t(pairs: DataFrame) -> DataFrame:
 def wilcoxon(pairs: DataFrame, key: str) -> DataFrame:
     """One row: signed-rank W, z, p and r; zero differences dropped, equal ones ranked by key, as in the plain rule."""
     d = pairs.select(key, (F.col("a") - F.col("b")).alias("d")).where("d <> 0")
-    r = d.withColumn("r", F.row_number().over(Window.orderBy(F.round(F.abs("d"), 9), key)))
+    r = place(d, F.round(F.abs("d"), 9), key, "r")
     t = r.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0)).alias("wp"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0)).alias("wm"))
     w = F.least("wp", "wm")
     n = F.col("n")
@@ -44,15 +68,19 @@ def wilcoxon(pairs: DataFrame, key: str) -> DataFrame:
     return t.select(n.cast("long").alias("n"), w.cast("double").alias("w"), F.round(z, 6).alias("z"), F.round(2.0 * (1.0 - phi(F.abs(z))), 6).alias("p"), F.round(F.when(n > 0, F.abs(z) / F.sqrt(n)).otherwise(0.0), 6).alias("r"))
 
 
-def bootstrap(pairs: DataFrame, key: str, samples: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """One row: mean difference and its percentile interval. Each pair's weight in a resample is a Poisson(1) draw from a hash of (key, sample), so no rows are moved but sums."""
+def bootstrap(pairs: DataFrame, key: str, samples: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """One row: mean difference and its percentile interval. Each pair's weight in a resample is a Poisson(1) draw from a hash of (key, sample).
+
+    The samples go round the pairs inside one generated loop whose sums are added up map-side: a row a
+    sample and task is shuffled, pairs never are.
+    """
     u = (F.pmod(F.xxhash64(F.col(key).cast("string"), F.col("id"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     cum, prob, weight = 0.0, 0.36787944117144233, F.lit(0)
     for k in range(8):
         cum += prob
-        weight = weight + (u > cum).cast("int")
+        weight = weight + (F.col("u") > cum).cast("int")
         prob /= k + 1
-    rows = pairs.crossJoin(F.broadcast(pairs.sparkSession.range(samples))).withColumn("w", weight)
+    rows = pairs.crossJoin(F.broadcast(pairs.sparkSession.range(samples))).withColumn("u", u).withColumn("w", weight)
     means = rows.groupBy("id").agg((F.sum(F.col("w") * (F.col("a") - F.col("b"))) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
     ci = means.agg(F.percentile("m", F.lit((1 - level) / 2)).alias("low"), F.percentile("m", F.lit((1 + level) / 2)).alias("high"))
     return pairs.agg(F.avg(F.col("a") - F.col("b")).alias("mean_diff")).crossJoin(ci)
@@ -66,6 +94,22 @@ def permutation(pairs: DataFrame, key: str, samples: int = 1000, seed: int = 42)
     return sums.crossJoin(F.broadcast(seen)).groupBy("mean_diff").agg(((F.sum((F.col("x") >= F.abs("mean_diff") - 1e-12).cast("int")) + 1) / (samples + 1.0)).alias("p"))
 
 
+def required_pairs(d_z: Column, z_level: float = 1.959963984540054, z_power: float = 0.8416212335729143) -> Column:
+    """Pairs that a two-sided test at 5 % needs for a power of 80 %, by the normal approximation; null for no effect."""
+    return F.when(d_z != 0, F.ceil(F.pow((F.lit(z_level) + z_power) / F.abs(d_z), F.lit(2.0))))
+
+
+def compare(pairs: DataFrame, key: str, level: float = 0.05, samples: int = 1000) -> DataFrame:
+    """One row for two systems' aligned scores: means, deviations, the p or interval of four tests, how many are significant, confidence and winner."""
+    t, w, b, x = paired_t(pairs), wilcoxon(pairs, key), bootstrap(pairs, key, samples), permutation(pairs, key, samples)
+    m = pairs.agg(F.count("*").alias("n"), *[F.round(f(c), 6).alias(f"{n}_{c}") for c in ("a", "b") for n, f in (("mean", F.avg), ("std", lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))))])
+    one = m.crossJoin(F.broadcast(t.select(F.col("p").alias("p_t"), "d", "effect", "d_z"))).crossJoin(F.broadcast(w.select(F.col("p").alias("p_wilcoxon"), "r"))).crossJoin(F.broadcast(b.select("low", "high"))).crossJoin(F.broadcast(x.select(F.col("p").alias("p_permutation"))))
+    sig = [F.col("p_t") < level, F.col("p_wilcoxon") < level, (F.col("low") > 0) | (F.col("high") < 0), F.col("p_permutation") < level]
+    one = one.withColumn("n_significant", sum((c.cast("int") for c in sig), F.lit(0)))
+    sure = F.when(F.col("n_significant") >= 3, "high").when(F.col("n_significant") == 2, "medium").when(F.col("n_significant") == 1, "low").otherwise("none")
+    return one.withColumns({"r_effect": r_label(F.col("r")), "required_n": required_pairs(F.col("d_z")), "confidence": sure}).withColumn("winner", F.when(F.col("confidence") != "none", F.when(F.col("mean_a") > F.col("mean_b"), "a").otherwise("b")))
+
+
 def corrections(tests: DataFrame, key: str, level: float = 0.05) -> DataFrame:
     """Adds bonferroni, bh_forward (running maximum of p n / rank) and bh_standard (backward minimum), each at most 1, with significance at level."""
     whole = Window.partitionBy()

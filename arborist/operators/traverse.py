@@ -188,16 +188,19 @@ def _dfs_one(rows: pd.DataFrame, branches: int, levels: int, base: float) -> lis
     return chosen
 
 
-def traverse_exact(nodes: DataFrame, queries: DataFrame, algorithm: str = "beam", width: int = 5, branches: int = 3, levels: int = 5, base: float | None = None, semantic: Column | None = None) -> DataFrame:
+def traverse_exact(nodes: DataFrame, queries: DataFrame, algorithm: str = "beam", width: int = 5, branches: int = 3, levels: int = 5, base: float | None = None, semantic: Column | None = None, routes: DataFrame | None = None) -> DataFrame:
     """HITS of every query on every tree, one (query, tree) a group, with the thresholds that follow the running counts.
 
     nodes as in section_tree; queries (query_id, text). semantic is a column expression over query,
-    title and summary (0.5 by default). Trees hold up to NODES nodes by contract.
+    title and summary (0.5 by default). Trees hold up to NODES nodes by contract. With routes (query_id,
+    doc_id) only those trees are visited, so that work follows the routed pairs.
     """
     if levels > DEPTHS:
         raise ValueError(f"at most {DEPTHS} levels")
     sem = F.lit(0.5) if semantic is None else semantic
-    pairs = nodes.crossJoin(F.broadcast(queries.select("query_id", F.col("text").alias("query")))).select("query_id", "doc_id", "node_id", "parent_id", "ord", "depth", "title", F.coalesce("summary", F.lit("")).alias("summary"), "query")
+    asked = queries.select("query_id", F.col("text").alias("query"))
+    met = nodes.crossJoin(asked) if routes is None else nodes.join(routes.select("query_id", "doc_id").distinct(), "doc_id").join(asked, "query_id")
+    pairs = met.select("query_id", "doc_id", "node_id", "parent_id", "ord", "depth", "title", F.coalesce("summary", F.lit("")).alias("summary"), "query")
     body = F.concat_ws(" ", "title", "summary")
     pairs = pairs.withColumns({
         "score": beam_score(sem, term_share(F.col("query"), body), F.col("depth")),
@@ -214,3 +217,39 @@ def traverse_exact(nodes: DataFrame, queries: DataFrame, algorithm: str = "beam"
         return frame
 
     return pairs.groupBy("query_id", "doc_id").applyInPandas(one, HITS)
+
+
+def traverse_auto(nodes: DataFrame, queries: DataFrame, routes: DataFrame, margin: float = 0.15, **kwargs) -> DataFrame:
+    """HITS of each routed (query, tree) by the algorithm that its root children's token F1 calls for, and which one (algorithm)."""
+    from .retrieval import token_f1_nodes
+
+    kids = nodes.where("depth = 1").select("doc_id", "node_id", "depth", F.concat_ws(" ", "title", "summary").alias("text"))
+    f1 = token_f1_nodes(kids, queries, None, 1.0).select("query_id", "node_id", "f1")
+    met = kids.select("doc_id", "node_id").join(routes.select("query_id", "doc_id").distinct(), "doc_id").join(f1, ["query_id", "node_id"], "left")
+    chosen = choose_algorithm(met.select("query_id", "doc_id", F.coalesce("f1", F.lit(0.0)).alias("score")), margin)
+    rest = routes.select("query_id", "doc_id").distinct().join(chosen, ["query_id", "doc_id"], "left").withColumn("algorithm", F.coalesce("algorithm", F.lit("dfs")))
+    found = [traverse_exact(nodes, queries, a, routes=rest.where(F.col("algorithm") == a), **kwargs).withColumn("algorithm", F.lit(a)) for a in ("beam", "dfs")]
+    return found[0].unionByName(found[1])
+
+
+def traversal_statistics(hits: DataFrame, nodes: DataFrame, routes: DataFrame) -> DataFrame:
+    """For each routed (query, tree): nodes of the tree, hits, recovered ones, deepest hit and best score."""
+    size = nodes.groupBy("doc_id").agg(F.count("*").alias("tree_nodes"))
+    per = hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("n_hits"), F.count(F.when(F.col("recovered"), 1)).alias("n_recovered"), F.max("depth").alias("deepest"), F.round(F.max("score"), 6).alias("best"))
+    j = routes.select("query_id", "doc_id").distinct().join(size, "doc_id").join(per, ["query_id", "doc_id"], "left")
+    return j.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_hits", "n_recovered")})
+
+
+def format_hits(hits: DataFrame, nodes: DataFrame, limit: int | None = 500) -> DataFrame:
+    """(query_id, doc_id, block): each tree's hits in order as headed paragraphs, texts cut to `limit` characters (None: whole)."""
+    body = F.coalesce("text", "summary", F.lit(""))
+    part = F.concat(F.lit("### "), F.coalesce("path", "title"), F.lit(" (p."), F.coalesce("page_ref", F.lit("N/A")), F.lit(")\n"), body if limit is None else F.substring(body, 1, limit))
+    j = hits.join(nodes.select("doc_id", "node_id", "title", "summary", "text", "page_ref"), ["doc_id", "node_id"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "node_id", part.alias("part")))), lambda x: x["part"])
+    return j.groupBy("query_id", "doc_id").agg(F.array_join(listed, "\n\n").alias("block"))
+
+
+def flat_context(nodes: DataFrame) -> DataFrame:
+    """(doc_id, context): a tree's nodes as one JSON list in pre-order."""
+    rows = F.array_sort(F.collect_list(F.struct("path_ord", "node_id", "depth", "title", "summary", "page_ref")))
+    return nodes.groupBy("doc_id").agg(F.to_json(F.transform(rows, lambda x: x.dropFields("path_ord"))).alias("context"))

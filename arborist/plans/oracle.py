@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..operators.context import REFERENCES
+from ..operators.grounding import DATE, ENTITY, HAS_NUMBER, LEXICONS
+
 
 def w(t: str, longer: int = 0) -> str:
     found = f"regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+')"
@@ -83,18 +86,11 @@ def f1(p: str, r: str) -> str:
     return f"round(CASE WHEN {p} + {r} > 0 THEN 2e0 * {p} * {r} / ({p} + {r}) ELSE 0e0 END, 6)"
 
 
-DOMAINS = {
-    "medical": ("patient", "clinical", "disease", "treatment", "drug", "diagnosis"),
-    "legal": ("license", "law", "court", "contract", "clause", "liability"),
-    "technical": ("system", "software", "server", "algorithm", "token", "password"),
-    "finance": ("price", "market", "account", "invoice", "bank", "tax"),
-    "academic": ("study", "research", "method", "theory", "university", "paper"),
-    "regulatory": ("regulation", "compliance", "guideline", "standard", "agency", "requirement"),
-}
-_COUNTS = ", ".join("(" + " + ".join(f"contains(lower(text), '{x}')::INT" for x in ws_) + f") AS {k}" for k, ws_ in DOMAINS.items())
-_BEST = "greatest(" + ", ".join(DOMAINS) + ")"
-_TOTAL = "(" + " + ".join(DOMAINS) + ")"
-_NAME = "CASE " + " ".join(f"WHEN {k} = {_BEST} THEN '{k}'" for k in DOMAINS) + " END"
+_COUNTS = ", ".join("len(list_filter([" + ", ".join(f"'{x}'" for x in ws_) + f"], lambda x: contains(lower(text), x))) AS {k}" for k, ws_ in LEXICONS.items())
+_BEST = "greatest(" + ", ".join(LEXICONS) + ")"
+_TOTAL = "(" + " + ".join(LEXICONS) + ")"
+_NAME = "CASE " + " ".join(f"WHEN {k} = {_BEST} THEN '{k}'" for k in LEXICONS) + " END"
+CLAIMS = "regexp_split_to_array(answer, '[.!?]\\s+|[。！？]')"
 TERMS = "['the', 'and', 'license', 'version', 'der', 'que']"
 KW = "['the', 'and', 'license', 'version']"
 KEYWORDS = "list_filter(['the', 'of', 'and', 'license', 'version'], lambda x: length(x) > 2)"
@@ -124,10 +120,13 @@ SQL: dict[str, str] = {
       c AS (SELECT answer_id, sum(least(x.n, y.n)) AS n FROM x JOIN y USING (answer_id, t) GROUP BY 1),
       pq AS (SELECT answer_id, CASE WHEN len({w('answer')}) > 0 THEN coalesce(n, 0) / len({w('answer')}) ELSE 0e0 END AS p, CASE WHEN len({w('question')}) > 0 THEN coalesce(n, 0) / len({w('question')}) ELSE 0e0 END AS r FROM pr LEFT JOIN c USING (answer_id))
       SELECT answer_id, round(p, 6) AS precision, round(r, 6) AS recall, {f1('p', 'r')} AS f1 FROM pq""",
-    "keyword_traversal": f"""WITH d0 AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {SECTIONS.replace('FROM d)', 'FROM d0)')}, d AS (SELECT 'd' || doc_id || '.' || (ord + 1) AS doc_id, 'Section ' || (ord + 1) || ' ' || substring(array_to_string(ww, ' '), 1, 200) AS text FROM sec), {A},
-      o AS ({overlap(w('text'))}), f AS (SELECT query_id, doc_id, round(2 * score / (1 + score) * 0.9e0, 6) AS f1 FROM o)
-      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f1 DESC, doc_id) AS rank FROM f WHERE f1 > 0) WHERE rank <= 3""",
-    "formal_relevance": f"""WITH {GEO}, n AS (SELECT g.node_id, g.depth, list_distinct({w("'the AFRICA nation of egypt'")}) AS q, list_distinct({w("g.title || ' ' || g.title")}) AS n, list_distinct({w('g.title')}) AS t, CASE WHEN p.title IS NULL THEN NULL ELSE list_distinct({w('p.title')}) END AS p FROM geo g LEFT JOIN geo p ON p.node_id = g.parent_id WHERE g.depth < 2),
+    "keyword_traversal": f"""WITH d0 AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {SECTIONS.replace('FROM d)', 'FROM d0)')}, {A},
+      nodes AS (SELECT 'd' || doc_id AS node_id, 0 AS depth, 'Document ' || doc_id || ' ' || substring(text, 1, 200) AS text FROM d0 UNION ALL SELECT 'd' || doc_id || '.' || (ord + 1), 1, 'Section ' || (ord + 1) || ' ' || substring(array_to_string(ww, ' '), 1, 200) FROM sec),
+      nt AS (SELECT node_id, depth, regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+|[一-鿿]') AS t FROM nodes), qt AS (SELECT query_id, regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+|[一-鿿]') AS t FROM q),
+      x AS (SELECT node_id, depth, nd, t, count(*) AS x FROM (SELECT node_id, depth, len(t) AS nd, unnest(t) AS t FROM nt) GROUP BY ALL), y AS (SELECT query_id, nq, t, count(*) AS y FROM (SELECT query_id, len(t) AS nq, unnest(t) AS t FROM qt) GROUP BY ALL),
+      f AS (SELECT query_id, node_id, round(2e0 * sum(least(x, y)) / (nd + nq) * pow(0.9e0, depth), 6) AS f1 FROM x JOIN y USING (t) GROUP BY query_id, node_id, nd, nq, depth)
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f1 DESC, node_id) AS rank FROM f) WHERE rank <= 3""",
+    "formal_relevance": f"""WITH {GEO}, n AS (SELECT g.node_id, g.depth, list_distinct({w("'the AFRICA nation of egypt'")}) AS q, list_distinct({w("g.title || ' ' || g.title")}) AS n, list_distinct({w('g.title')}) AS t, CASE WHEN p.title IS NULL THEN NULL ELSE list_distinct({w('p.title')}) END AS p FROM geo g LEFT JOIN geo p ON p.node_id = g.parent_id),
       s AS (SELECT node_id, least(1e0, len(list_intersect(q, n)) / len(q) + CASE WHEN len(list_intersect(q, t)) > 0 THEN 0.2e0 ELSE 0e0 END) AS sem, CASE WHEN depth >= 10 THEN 0e0 ELSE pow(0.9e0, depth) END AS struct, CASE WHEN p IS NULL THEN 1e0 WHEN len(p) = 0 OR len(t) = 0 THEN 0.5e0 ELSE greatest(0.3e0, len(list_intersect(t, p)) / len(p)) END AS ctx FROM n)
       SELECT node_id, round(sem, 6) AS sem, round(struct, 6) AS struct, round(ctx, 6) AS ctx, round(least(1e0, greatest(0e0, 0.7e0 * sem + 0.2e0 * struct + 0.1e0 * ctx)), 6) AS relevance FROM s""",
     "chunk_300": f"WITH {D}, {CHUNKS} SELECT doc_id, ord, 'doc_' || doc_id || '_chunk_' || ord AS chunk_id, length(text) AS n, md5(text) AS digest FROM ch",
@@ -148,17 +147,14 @@ SQL: dict[str, str] = {
       f2 AS (SELECT * FROM (SELECT g.query_id, g.doc_id, g.node_id, round(f.score * g.score, 6) AS score, f.path || ' > ' || g.title AS path, row_number() OVER (PARTITION BY g.query_id, g.doc_id ORDER BY round(f.score * g.score, 6) DESC, g.node_id) AS rank FROM f1 f JOIN gs g ON g.query_id = f.query_id AND g.parent_id = f.node_id) WHERE rank <= 5)
       SELECT query_id, doc_id, node_id, 0 AS depth, score, path FROM f0 WHERE node_id NOT IN (SELECT node_id FROM kids) AND score >= 0.2e0 UNION ALL SELECT query_id, doc_id, node_id, 1, score, path FROM f1 WHERE node_id NOT IN (SELECT node_id FROM kids) AND score >= 0.2e0 UNION ALL SELECT query_id, doc_id, node_id, 2, score, path FROM f2 WHERE score >= 0.2e0""",
     "policy_choice": f"WITH {GEO}, {GSCORE}, s AS (SELECT query_id, doc_id, list_reverse_sort(list(score)) AS s FROM gs WHERE depth = 1 GROUP BY ALL) SELECT query_id, doc_id, CASE WHEN len(s) < 2 OR s[1] - s[2] >= 0.15e0 THEN 'dfs' ELSE 'beam' END AS algorithm FROM s",
-    "dual_stage_filter": f"""WITH {D}, k AS (SELECT doc_id, {KEYWORDS} AS k, lower(substring(text, 1, 60)) AS a, lower(substring(text, 61, 240)) AS b FROM d),
+    "dual_stage_filter": f"""WITH {D}, k AS (SELECT doc_id, {KEYWORDS} AS k, 'document ' || doc_id AS a, lower(text) AS b FROM d),
       s AS (SELECT doc_id, round(0.4e0 * (len(list_filter(k, lambda x: contains(a, x))) / len(k)) + 0.6e0 * (len(list_filter(k, lambda x: contains(b, x))) / len(k)), 6) AS kw FROM k), r AS (SELECT *, 0.7e0 * 0.5e0 + 0.3e0 * kw AS sc FROM s)
       SELECT doc_id, sc > 0.45e0 AS relevant, round(sc, 6) AS score, round(0.3e0 * CASE WHEN kw > 0.5e0 THEN 1e0 ELSE 0.3e0 END, 6) AS confidence, CASE WHEN sc > 0.45e0 AND kw >= 0.5e0 THEN 'both agree' WHEN sc > 0.45e0 AND 0.5e0 >= kw THEN 'semantic' WHEN sc > 0.45e0 THEN 'keyword' ELSE 'below threshold' END AS reason FROM r""",
     "adaptive_threshold": """WITH e AS (SELECT event_id, user_id % 20 AS s, event_id % 80 + 20 AS t, event_id % 130 AS n, event_id % 6 AS d FROM events), f AS (SELECT *, 1e0 - s / t AS fr FROM e)
       SELECT event_id, round(0.6e0 + CASE WHEN fr > 0.9e0 THEN -0.15e0 WHEN fr > 0.7e0 THEN -0.10e0 WHEN fr < 0.3e0 THEN 0.10e0 ELSE 0e0 END + CASE WHEN n < 10 THEN 0.10e0 WHEN n > 100 THEN -0.05e0 ELSE 0e0 END + CASE WHEN d <= 1 THEN -0.05e0 WHEN d >= 4 THEN 0.05e0 ELSE 0e0 END, 6) AS tau FROM f""",
-    "detect_references": f"""WITH {D}, p(kind, p) AS (VALUES ('section', '(?i)(?:section|sec\\.)\\s+([0-9]+(?:\\.[0-9]+)*)'), ('chapter', '(?i)chapter\\s+([0-9]+)'), ('table', '(?i)table\\s+([0-9]+(?:[.-][0-9]+)*)'), ('figure', '(?i)(?:figure|fig\\.)\\s+([0-9]+(?:[.-][0-9]+)*)'), ('appendix', '(?i)appendix\\s+([A-Z])'), ('page', '(?i)(?:page|p\\.)\\s*([0-9]+)'), ('section', '([0-9]+(?:\\.[0-9]+)*)\\s*절'), ('chapter', '제?\\s*([0-9]+)\\s*장'), ('table', '표\\s*([0-9]+(?:[.-][0-9]+)*)'), ('figure', '그림\\s*([0-9]+(?:[.-][0-9]+)*)')),
-      r AS (SELECT doc_id, 'section' AS kind, unnest(regexp_extract_all(text, '(?i)(?:section|sec\\.)\\s+([0-9]+(?:\\.[0-9]+)*)', 1)) AS number FROM d
-        UNION ALL SELECT doc_id, 'chapter', unnest(regexp_extract_all(text, '(?i)chapter\\s+([0-9]+)', 1)) FROM d UNION ALL SELECT doc_id, 'table', unnest(regexp_extract_all(text, '(?i)table\\s+([0-9]+(?:[.-][0-9]+)*)', 1)) FROM d
-        UNION ALL SELECT doc_id, 'figure', unnest(regexp_extract_all(text, '(?i)(?:figure|fig\\.)\\s+([0-9]+(?:[.-][0-9]+)*)', 1)) FROM d UNION ALL SELECT doc_id, 'appendix', unnest(regexp_extract_all(text, '(?i)appendix\\s+([A-Z])', 1)) FROM d
-        UNION ALL SELECT doc_id, 'page', unnest(regexp_extract_all(text, '(?i)(?:page|p\\.)\\s*([0-9]+)', 1)) FROM d UNION ALL SELECT doc_id, 'section', unnest(regexp_extract_all(text, '([0-9]+(?:\\.[0-9]+)*)\\s*절', 1)) FROM d)
-      SELECT doc_id, kind, number, count(*) AS n FROM r GROUP BY ALL""",
+    "detect_references": "WITH d AS (SELECT o_orderkey AS doc_id, 'As Section ' || o_orderkey % 9 || '.' || o_custkey % 7 || ' shows, see Table ' || o_orderkey % 13 || '-' || o_custkey % 5 || ' and fig. ' || o_custkey % 11 || ' in chapter ' || o_orderkey % 17 || ', page ' || o_custkey % 89 || '; 제 3 장, 표 ' || o_orderkey % 6 || '.' AS text FROM orders), r AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{k.removesuffix('_ko')}' AS kind, unnest(regexp_extract_all(text, '{p}', 1)) AS number FROM d" for k, p in REFERENCES.items())
+    + ") SELECT doc_id, kind, number, count(*) AS n FROM r GROUP BY ALL",
     "graph_paths_3hop": f"""WITH {TRADE}, s AS (SELECT DISTINCT src AS seed FROM tr), p1 AS (SELECT seed, seed || '>' || dst AS path, [seed, dst] AS nodes, [edge_type] AS ty, round(confidence, 9) AS c, dst AS last FROM s JOIN tr ON src = seed),
       b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed, last ORDER BY c DESC, nodes, ty) AS n FROM p1) WHERE n = 1),
       p2 AS (SELECT seed, path || '>' || dst AS path, list_append(nodes, dst) AS nodes, list_append(ty, edge_type) AS ty, round(c * confidence, 9) AS c, dst AS last FROM b1 JOIN tr ON src = last WHERE NOT list_contains(nodes, dst)),
@@ -173,15 +169,16 @@ SQL: dict[str, str] = {
     "calibration_summary": f"WITH {D}, {SCORED}, b AS (SELECT least(floor(confidence * 10), 9)::INT AS bin, count(*) AS n, sum(confidence) AS c, sum(correct::INT::DOUBLE) AS a, sum(pow(confidence - correct::INT::DOUBLE, 2)) AS sq FROM sc GROUP BY 1) SELECT sum(n)::BIGINT AS n, round(sum(a) / sum(n), 6) AS accuracy, round(sum(sq) / sum(n), 6) AS brier, round(sum(abs(c - a)) / sum(n), 6) AS ece, round(max(abs(c - a) / n), 6) AS mce FROM b",
     "temperature_grid": f"""WITH {D}, {SCORED}, z AS (SELECT ln(c / (1e0 - c)) AS z, correct::INT::DOUBLE AS y FROM (SELECT least(0.999e0, greatest(0.001e0, confidence)) AS c, correct FROM sc)), p AS (SELECT t / 10e0 AS t, y, least(0.999999e0, greatest(0.000001e0, 1e0 / (1e0 + exp(-z / (t / 10e0))))) AS p FROM z, range(1, 51) g(t))
       SELECT t, round(-avg(y * ln(p) + (1e0 - y) * ln(1e0 - p)), 9) AS nll FROM p GROUP BY t ORDER BY nll, t LIMIT 1""",
-    "domain_classify": f"WITH {D}, c AS (SELECT doc_id, {_COUNTS} FROM d), s AS (SELECT doc_id, {_NAME} AS name, CASE WHEN {_TOTAL} > 0 THEN {_BEST} / {_TOTAL} ELSE 0e0 END AS share FROM c) SELECT doc_id, CASE WHEN share < 0.3e0 THEN 'general' ELSE name END AS domain, round(CASE WHEN share < 0.3e0 THEN share ELSE least(1e0, share + 0.3e0) END, 6) AS confidence FROM s",
+    "domain_classify": f"WITH {D}, c AS (SELECT doc_id, {_COUNTS} FROM d), s AS (SELECT doc_id, {_NAME} AS name, {_TOTAL} AS total, CASE WHEN {_TOTAL} > 0 THEN {_BEST} / {_TOTAL} ELSE 0e0 END AS share FROM c) SELECT doc_id, CASE WHEN share < 0.3e0 THEN 'general' ELSE name END AS domain, round(CASE WHEN total = 0 THEN 0.5e0 WHEN share < 0.3e0 THEN share ELSE least(1e0, share + 0.3e0) END, 6) AS confidence FROM s",
     "language_detect": f"WITH {D} SELECT doc_id, CASE WHEN regexp_matches(text, '[가-힣]') THEN 'ko' WHEN regexp_matches(text, '[぀-ヿ一-鿿]') THEN 'ja' ELSE 'en' END AS script FROM d",
     "section_citation_f1": f"""WITH f AS (SELECT DISTINCT o_custkey % 97 AS key, (o_orderkey % 5) || '.' || (o_orderkey % 7) || '.' || (o_orderkey % 3) AS f FROM orders), e AS (SELECT DISTINCT o_custkey % 97 AS key, (o_orderkey % 11) || '.' || (o_orderkey % 4) AS e FROM orders),
       p AS (SELECT key, f, e FROM f JOIN e USING (key) WHERE f = e OR starts_with(f, e || '.') OR starts_with(e, f || '.')), r AS (SELECT key, count(DISTINCT f) AS fr, count(DISTINCT e) AS er FROM p GROUP BY 1),
       j AS (SELECT ne.key, coalesce(fr / nf, 0e0) AS p, coalesce(er / ne, 0e0) AS r FROM (SELECT key, count(*) AS ne FROM e GROUP BY 1) ne LEFT JOIN (SELECT key, count(*) AS nf FROM f GROUP BY 1) nf USING (key) LEFT JOIN r USING (key)) SELECT key, round(p, 6) AS precision, round(r, 6) AS recall, {f1('p', 'r')} AS f1 FROM j""",
     "citation_accuracy": f"""WITH c AS (SELECT DISTINCT o_custkey % 97 AS key, o_orderkey % 41 AS c FROM orders WHERE o_orderstatus = 'O'), g AS (SELECT DISTINCT o_custkey % 97 AS key, o_orderkey % 41 AS c FROM orders WHERE o_orderstatus = 'F'),
       j AS (SELECT g.key, CASE WHEN n > 0 THEN coalesce(h, 0) / n ELSE 0e0 END AS p, coalesce(h, 0) / g AS r FROM (SELECT key, count(*) AS g FROM g GROUP BY 1) g LEFT JOIN (SELECT key, count(*) AS n FROM c GROUP BY 1) c USING (key) LEFT JOIN (SELECT key, count(*) AS h FROM c JOIN g USING (key, c) GROUP BY 1) h USING (key)) SELECT key, round(p, 6) AS precision, round(r, 6) AS recall, {f1('p', 'r')} AS f1 FROM j""",
-    "faithfulness": f"""WITH {TURNS}, s AS (SELECT answer_id, question, list_filter(list_transform(string_split(answer, '.'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM pr), u AS (SELECT answer_id, question, unnest(ss) AS s FROM s), b AS (SELECT answer_id, list_distinct({ws('s')}) AS a, {ws('question')} AS c FROM u)
-      SELECT answer_id, round(avg((len(list_intersect(a, list_distinct(c))) / len(a) >= 0.5e0)::INT::DOUBLE), 6) AS faithfulness FROM b GROUP BY 1""",
+    "faithfulness": f"""WITH {TURNS}, s AS (SELECT answer_id, question, list_filter(list_transform(string_split(answer, '.'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM pr), u AS (SELECT answer_id, question, unnest(ss) AS s FROM s), b AS (SELECT answer_id, list_distinct({ws('s')}) AS a, list_distinct({ws('question')}) AS c FROM u),
+      e AS (SELECT answer_id, avg(x) AS m, count(*) FILTER (x < 0.5e0) AS k FROM (SELECT answer_id, CASE WHEN len(a) > 0 THEN len(list_intersect(a, c)) / len(a) ELSE 0e0 END AS x FROM b) GROUP BY 1)
+      SELECT answer_id, round(coalesce(m, 1e0), 6) AS faithfulness, round(coalesce(m, 1e0), 6) >= 0.5e0 AS faithful, coalesce(k, 0) AS n_low FROM pr LEFT JOIN e USING (answer_id)""",
     "ir_metrics": f"{BASE}, {GOLD}, {RUNS}, {METRICS} SELECT * FROM met",
     "ir_macro": f"{BASE}, {GOLD}, {RUNS}, {METRICS.replace(', 6)', ', 12)')} SELECT system, k, count(*) AS n_queries, round(avg(hit), 6) AS hit_rate, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS rr, round(avg(ap), 6) AS ap FROM met GROUP BY ALL",
     "ndcg_graded": f"""{BASE}, rel AS (SELECT query_id, doc_id, floor(score * 5) AS g FROM ({overlap(w('text'), 'share')}) WHERE score >= 0.4e0), run AS ({top(bm25('1e0'), 10)}),
@@ -200,15 +197,16 @@ SQL: dict[str, str] = {
     "stratified_sample": "SELECT * FROM (SELECT c_custkey, c_mktsegment, c_nationkey, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY md5(c_custkey::VARCHAR), c_custkey) AS turn FROM customer) ORDER BY turn, c_mktsegment, c_nationkey, c_custkey LIMIT 100",
     "paired_ttest": f"""WITH {SYSTEMS}, t AS (SELECT count(*) AS n, avg(a - b) AS m, stddev_samp(a - b) AS sd, stddev_samp(a) AS sa, stddev_samp(b) AS sb FROM sy), u AS (SELECT *, m / (sd / sqrt(n::DOUBLE)) AS t, abs(m) / sqrt((sa * sa + sb * sb) / 2e0) AS d FROM t)
       SELECT n, round(m, 6) AS mean_diff, round(t, 6) AS t, round(2e0 * (1e0 - {phi('t')}), 6) AS p, round(d, 6) AS d, CASE WHEN abs(d) < 0.2e0 THEN 'negligible' WHEN abs(d) < 0.5e0 THEN 'small' WHEN abs(d) < 0.8e0 THEN 'medium' ELSE 'large' END AS effect, round(m / sd, 6) AS d_z FROM u""",
-    "wilcoxon_signed_rank": f"""WITH {SYSTEMS}, r AS (SELECT a - b AS d, row_number() OVER (ORDER BY round(abs(a - b), 9), key) AS r FROM sy WHERE key < 5000 AND a - b <> 0), t AS (SELECT count(*)::DOUBLE AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0))::DOUBLE AS w FROM r), u AS (SELECT *, (w - n * (n + 1) / 4e0) / sqrt(n * (n + 1) * (2 * n + 1) / 24e0) AS z FROM t)
+    "wilcoxon_signed_rank": f"""WITH {SYSTEMS}, r AS (SELECT a - b AS d, row_number() OVER (ORDER BY round(abs(a - b), 9), key) AS r FROM sy WHERE a - b <> 0), t AS (SELECT count(*)::DOUBLE AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0))::DOUBLE AS w FROM r), u AS (SELECT *, (w - n * (n + 1) / 4e0) / sqrt(n * (n + 1) * (2 * n + 1) / 24e0) AS z FROM t)
       SELECT n::BIGINT AS n, w, round(z, 6) AS z, round(2e0 * (1e0 - {phi('z')}), 6) AS p, round(abs(z) / sqrt(n), 6) AS r FROM u""",
     "p_value_corrections": """WITH t AS (SELECT n_nationkey, round(((n_nationkey * 7) % 25 + 1) / 400e0, 6) AS p FROM nation), r AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p, n_nationkey) AS r FROM t), x AS (SELECT *, p * n / r AS raw FROM r)
       SELECT n_nationkey, p, round(least(1e0, p * n), 6) AS bonferroni, round(least(1e0, max(raw) OVER (ORDER BY p, n_nationkey ROWS UNBOUNDED PRECEDING)), 6) AS bh_forward, round(least(1e0, min(raw) OVER (ORDER BY p, n_nationkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bh_standard, p * n < 0.05e0 AS significant FROM x""",
     "offline_qa": f"""WITH {D}, {SECTIONS}, s AS (SELECT doc_id, 'd' || doc_id || '.' || (ord + 1) AS id, 'Section ' || (ord + 1) AS t, ord + 1 AS i FROM sec), n AS (SELECT *, lead(t) OVER w AS t1, lead(t, 2) OVER w AS t2, lead(id) OVER w AS i1, lead(id, 2) OVER w AS i2 FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i))
       SELECT doc_id, 'factual' AS category, i, 'What does ' || t || ' say?' AS question, id AS expected FROM n WHERE i <= 5 UNION ALL SELECT doc_id, 'multi_hop', i, 'How does ' || t || ' lead to ' || t1 || '?', id || ',' || i1 FROM n WHERE i <= 3 AND t1 IS NOT NULL UNION ALL SELECT doc_id, 'comparative', i, 'How do ' || t || ' and ' || t2 || ' differ?', id || ',' || i2 FROM n WHERE i <= 2 AND t2 IS NOT NULL""",
-    "qa_validation": """WITH c AS (SELECT conv_id * 3 AS doc_id, text AS question FROM conversations) SELECT doc_id, 'repeated question' AS problem, count(*) AS n FROM (SELECT doc_id, question FROM c GROUP BY ALL HAVING count(*) > 1) GROUP BY 1
+    "qa_validation": """WITH b AS (SELECT conv_id * 37 AS doc_id, CASE WHEN conv_id % 7 = 0 THEN ' ' ELSE substring(text, 1, 40) END AS question FROM conversations), c AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE doc_id % 5 = 0)
+      SELECT doc_id, 'repeated question' AS problem, count(*) AS n FROM (SELECT doc_id, question FROM c GROUP BY ALL HAVING count(*) > 1) GROUP BY 1
       UNION ALL SELECT doc_id, 'unknown document', count(*) FROM c WHERE doc_id NOT IN (SELECT doc_id FROM documents) GROUP BY 1 UNION ALL SELECT doc_id, 'no question', count(*) FROM c WHERE coalesce(trim(question), '') = '' GROUP BY 1""",
     "conversation_pairs": f"WITH {TURNS} SELECT conv_id, turn, length(question) AS n_question, length(answer) AS n_answer FROM pr",
-    "claims_by_type": f"""WITH {TURNS}, c AS (SELECT unnest(list_filter(list_transform(regexp_split_to_array(answer, '[.!?]\\s+|[。！？]'), lambda x: trim(x)), lambda x: length(x) > 10)) AS claim FROM pr)
-      SELECT CASE WHEN regexp_matches(claim, '[0-9]') THEN 'number' WHEN regexp_matches(claim, '(?i)(?:^|[^\\p{{L}}])(?:today|yesterday|year|month|week|january|december)(?:[^\\p{{L}}]|$)') THEN 'temporal' WHEN regexp_matches(claim, '\\p{{Lu}}\\p{{Ll}}+ \\p{{Lu}}\\p{{Ll}}+') THEN 'entity' ELSE 'fact' END AS kind, count(*) AS n_claims FROM c GROUP BY 1""",
+    "claims_by_type": f"""WITH {TURNS}, c AS (SELECT unnest(list_filter(list_transform({CLAIMS}, lambda x: trim(x)), lambda x: length(x) >= 10)) AS claim FROM pr)
+      SELECT CASE WHEN regexp_matches(claim, '{HAS_NUMBER}') THEN 'number' WHEN regexp_matches(claim, '{DATE}') THEN 'temporal' WHEN regexp_matches(claim, '{ENTITY}') THEN 'entity' ELSE 'fact' END AS kind, count(*) AS n_claims FROM c GROUP BY 1""",
 }

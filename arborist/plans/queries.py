@@ -149,16 +149,14 @@ def token_f1_pairs(spark, sf):
 @query
 def keyword_traversal(spark, sf):
     n = X.section_tree(docs(spark, sf))
-    body = n.where("depth > 0").select(F.col("node_id").alias("doc_id"), F.concat_ws(" ", "title", "summary").alias("text"))
-    f1 = R.overlap(body, asked(spark, sf)).withColumn("f1", F.round(2 * F.col("score") / (1 + F.col("score")) * 0.9, 6))
-    return R.rank_by(f1.where("f1 > 0").select("query_id", "doc_id", "f1"), "f1", 3)
+    return R.token_f1_nodes(n.select("node_id", "depth", F.concat_ws(" ", "title", "summary").alias("text")), asked(spark, sf))
 
 
 @query
 def formal_relevance(spark, sf):
     g = geo(spark, sf)
     up = g.select(F.col("node_id").alias("parent_id"), F.col("title").alias("parent_title"))
-    n = g.where("depth < 2").join(up, "parent_id", "left").withColumn("query", F.lit("the AFRICA nation of egypt")).withColumn("summary", F.col("title"))
+    n = g.join(up, "parent_id", "left").withColumn("query", F.lit("the AFRICA nation of egypt")).withColumn("summary", F.col("title"))
     return R.formal_relevance(n).select("node_id", "sem", "struct", "ctx", "relevance")
 
 
@@ -251,7 +249,7 @@ def policy_choice(spark, sf):
 
 @query
 def dual_stage_filter(spark, sf):
-    d = docs(spark, sf).select("doc_id", F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 240).alias("summary"))
+    d = docs(spark, sf).select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("summary"))
     kw = V.keyword_evidence(F.lit("the of and license version"), F.col("title"), F.col("summary"))
     r = V.dual_stage(F.lit(0.5), F.lit(0.0), F.round(kw, 6), F.lit(0.45))
     return d.select("doc_id", r.alias("r")).select("doc_id", "r.*")
@@ -265,14 +263,14 @@ def adaptive_threshold(spark, sf):
 
 @query
 def beam_search_docs(spark, sf):
-    q = asked(spark, sf).where("query_id < 3")
-    return V.traverse_exact(X.section_tree(docs(spark, sf)), q, "beam").select("query_id", "doc_id", "node_id", "depth", F.round("score", 6).alias("score"), "recovered")
+    q, d = asked(spark, sf), docs(spark, sf)
+    return V.traverse_exact(X.section_tree(d), q, "beam", routes=S.route(q, d)).select("query_id", "doc_id", "node_id", "depth", F.round("score", 6).alias("score"), "recovered")
 
 
 @query
 def dfs_search_docs(spark, sf):
-    q = asked(spark, sf).where("query_id < 3")
-    return V.traverse_exact(X.section_tree(docs(spark, sf)), q, "dfs").select("query_id", "doc_id", "node_id", "depth", F.round("score", 6).alias("score"), "recovered")
+    q, d = asked(spark, sf), docs(spark, sf)
+    return V.traverse_exact(X.section_tree(d), q, "dfs", routes=S.route(q, d)).select("query_id", "doc_id", "node_id", "depth", F.round("score", 6).alias("score"), "recovered")
 
 
 # context
@@ -309,9 +307,17 @@ def budget_truncate(spark, sf):
     return C.budget(c, 500)
 
 
+def referring(spark, sf) -> DataFrame:
+    """Texts with cross-references, out of the orders' numbers."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    n = lambda x, m: F.pmod(x, F.lit(m)).cast("string")
+    text = F.concat(F.lit("As Section "), n(k, 9), F.lit("."), n(c, 7), F.lit(" shows, see Table "), n(k, 13), F.lit("-"), n(c, 5), F.lit(" and fig. "), n(c, 11), F.lit(" in chapter "), n(k, 17), F.lit(", page "), n(c, 89), F.lit("; 제 3 장, 표 "), n(k, 6), F.lit("."))
+    return read(spark, sf, "orders").select(k.alias("doc_id"), text.alias("text"))
+
+
 @query
 def detect_references(spark, sf):
-    return C.detect_references(docs(spark, sf)).groupBy("doc_id", "kind", "number").agg(F.count("*").alias("n"))
+    return C.detect_references(referring(spark, sf)).groupBy("doc_id", "kind", "number").agg(F.count("*").alias("n"))
 
 
 # graph
@@ -369,8 +375,26 @@ def claims_by_type(spark, sf):
 
 @query
 def claim_support(spark, sf):
+    return H.claim_support(pairs(spark, sf))
+
+
+@query
+def hallucination_rates(spark, sf):
+    p = pairs(spark, sf)
+    return H.hallucination_rates(H.claim_support(p), p.select("answer_id", F.round(F.least(F.lit(1.0), F.length("answer") / 400), 6).alias("confidence")))
+
+
+@query
+def fidelity_by_kind(spark, sf):
+    p = pairs(spark, sf)
+    v = H.verify_claims(H.claims(p), p.select("answer_id", "source"))
+    return v.groupBy("kind", F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("n_claims"))
+
+
+@query
+def fidelity_summary(spark, sf):
     p = pairs(spark, sf)
-    return H.verify_claims(H.claims(p), p.select("answer_id", "source")).select("answer_id", "i", "support", "verified", "grade", "severity")
+    return H.fidelity_summary(H.fidelity(H.verify_claims(H.claims(p), p.select("answer_id", "source")), p))
 
 
 @query
@@ -528,7 +552,7 @@ def paired_ttest(spark, sf):
 
 @query
 def wilcoxon_signed_rank(spark, sf):
-    return Z.wilcoxon(systems(spark, sf).where("key < 5000"), "key")
+    return Z.wilcoxon(systems(spark, sf), "key")
 
 
 @query
@@ -539,12 +563,12 @@ def p_value_corrections(spark, sf):
 
 @query
 def bootstrap_interval(spark, sf):
-    return Z.bootstrap(systems(spark, sf), "key", 200)
+    return Z.bootstrap(systems(spark, sf), "key")
 
 
 @query
 def permutation_test(spark, sf):
-    return Z.permutation(systems(spark, sf), "key", 200)
+    return Z.permutation(systems(spark, sf), "key", 10_000)
 
 
 # questions and service
@@ -558,8 +582,9 @@ def offline_qa(spark, sf):
 
 @query
 def qa_validation(spark, sf):
-    c = read(spark, sf, "conversations").select((F.col("conv_id") * 3).alias("doc_id"), F.col("text").alias("question"))
-    return S.question_problems(c, docs(spark, sf))
+    c = read(spark, sf, "conversations").select((F.col("conv_id") * 37).alias("doc_id"), "turn", F.when(F.pmod("conv_id", F.lit(7)) == 0, F.lit(" ")).otherwise(F.substring("text", 1, 40)).alias("question"))
+    again = c.where(F.pmod("doc_id", F.lit(5)) == 0)
+    return S.question_problems(c.unionByName(again).drop("turn"), docs(spark, sf))
 
 
 @query

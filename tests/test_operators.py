@@ -206,3 +206,81 @@ def test_whole_turns_and_whole_documents_count(spark, monkeypatch):
     assert max(scores, key=scores.get) == "doc_1_chunk_2" and scores["doc_1_chunk_2"] > 0.3
     assert {r.chunk_id for r in Q.compress_keep(spark, "").collect()} == {"doc_1_chunk_2"}
     assert sum(r.n_tokens for r in Q.budget_truncate(spark, "").collect()) >= len(filler) // 3 - 2 and Q.leader_merge(spark, "").count() == len(chunks)
+
+
+def test_faithfulness_is_the_mean_of_best_overlaps(spark):
+    a = spark.createDataFrame([(1, "The cat sat. The dog ran fast."), (2, ""), (3, " ... ")], "answer_id int, answer string")
+    c = spark.createDataFrame([(1, "the cat sat on a mat"), (1, "a dog ran")], "answer_id int, context string")
+    got = {r.answer_id: (r.faithfulness, r.faithful, r.n_low) for r in H.faithfulness(a, c).collect()}
+    assert got == {1: (0.75, True, 0), 2: (1.0, True, 0), 3: (1.0, True, 0)}  # 3 of 3 words, 2 of 4
+
+
+def test_node_choice_by_token_f1_and_depth(spark):
+    n = spark.createDataFrame([("ROOT", 0, "a b"), ("x", 1, "a a b"), ("y", 2, "a b"), ("z", 1, "c")], "node_id string, depth int, text string")
+    got = R.token_f1_nodes(n, spark.createDataFrame([(1, "a b")], "query_id int, text string")).orderBy("rank").collect()
+    assert [(r.node_id, r.f1) for r in got] == [("y", 0.81), ("x", 0.72)]  # 1 x 0.9^2, 2 * 2 / 5 x 0.9
+
+
+def test_errors_by_markers_and_pairs(spark):
+    rows = [(1, "This will definitely always work", "it works", "It may work"), (2, "The drug is not safe", "drug safe", "the drug is safe"), (3, "All is well 42 Paris", "well", "all is well"), (4, "fine", "planets moons orbit", "nothing here")]
+    got = {(r.answer_id, r.category, r.severity) for r in H.errors(spark.createDataFrame(rows, "answer_id int, answer string, reference string, context string")).collect()}
+    assert {(1, "overclaim", "minor"), (2, "contradiction", "critical"), (3, "hallucination", "major"), (4, "retrieval_miss", "critical")} <= got
+    assert (3, "overclaim", "minor") not in got and (4, "contradiction", "critical") not in got
+
+
+def test_claims_are_verified_by_numbers_names_and_words(spark):
+    a = spark.createDataFrame([(1, "It costs 300 units in all. Angela Merkel spoke then. on 3월 4일 it rained. the cats were sleeping. and so on")], "answer_id int, answer string")
+    src = spark.createDataFrame([(1, "a total of 300 was paid; angela merkel was there; cats are sleeping")], "answer_id int, source string")
+    got = {r.kind + str(r.i): (r.verified, r.error) for r in H.verify_claims(H.claims(a), src).collect()}
+    assert got["number0"] == (True, None) and got["entity1"] == (True, None) and got["fact3"] == (True, None)
+    assert got["number2"] == (False, "quantitative_error")  # a date holds a number, which wins
+    f = H.fidelity(H.verify_claims(H.claims(a), src), a.unionByName(spark.createDataFrame([(2, "no")], "answer_id int, answer string"))).orderBy("answer_id").collect()
+    assert [(r.n_claims, r.groundedness) for r in f] == [(4, 0.75), (0, 1.0)]
+
+
+def test_citations_with_their_surroundings(spark):
+    a = spark.createDataFrame([(1, "Thermal noise limits the amplifier [1] (Source: manual)"), (2, "plain")], "answer_id int, answer string")
+    s = spark.createDataFrame([("1", "thermal noise in every amplifier limits it"), ("manual", "unrelated words only")], "citation string, source string")
+    got = {r.citation: (r.place, r.valid) for r in H.cited_windows(a, s).collect()}
+    assert got == {"1": (35, True), "manual": (39, False)}
+
+
+def test_domains_by_lexicon(spark):
+    d = spark.createDataFrame([(1, "the patient needs treatment and a drug"), (2, "zzz"), (3, "data paper law")], "doc_id int, text string")
+    got = {r.doc_id: (r.domain, r.confidence) for r in H.domains(d).collect()}
+    assert got[1] == ("medical", 1.0) and got[2] == ("general", 0.5) and got[3] == ("legal", 0.633333)
+
+
+def test_places_equal_a_total_sort(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([0.0, 0.0, 1.5, float(rng.randrange(50))])) for i in rng.sample(range(10_000), 3000)]
+    got = {r.k: r.r for r in Z.place(spark.createDataFrame(rows, "k long, v double"), F.col("v"), "k", "r", 20).collect()}
+    assert got == {k: i for i, (k, _) in enumerate(sorted(rows, key=lambda x: (x[1], x[0])), 1)}
+    assert Z.place(spark.createDataFrame([], "k long, v double"), F.col("v"), "k", "r").count() == 0
+
+
+def test_caches_evict_and_expire(spark):
+    log = spark.createDataFrame([(0, "a", 1, 0.0), (0, "b", 2, 1.0), (0, "a", 3, 2.0), (0, "c", 4, 3.0), (0, "b", 5, 4.0), (0, "a", 6, 50.0)], "node int, key string, event_id long, ts double")
+    got = [(r.hit, r.evicted) for r in S.lru_hits(log, "node", "key", "ts", "event_id", 2, 10.0).orderBy("event_id").collect()]
+    assert got == [(False, False), (False, False), (True, False), (False, True), (False, True), (False, True)]
+    stats = S.cache_statistics(S.lru_hits(log, "node", "key", "ts", "event_id", 2, 10.0)).first()
+    assert (stats.hits, stats.misses, stats.hit_rate) == (1, 5, "16.67%")
+
+
+def test_query_path_from_route_to_context(spark):
+    words = lambda w: " ".join(w for _ in range(5))
+    docs = spark.createDataFrame([(1, " ".join(["battery voltage"] * 200 + ["charger safety"] * 200 + ["river bank"] * 200)), (2, words("music")), (3, None)], "doc_id long, text string").fillna("")
+    q = spark.createDataFrame([(7, "battery voltage limits"), (8, "charger safety rules"), (9, "zz")], "query_id long, text string")
+    n, routes = X.section_tree(docs), S.route(q, docs)
+    hits = W.traverse_auto(n, q, routes)
+    assert {r.query_id for r in hits.select("query_id").distinct().collect()} == {7, 8}
+    body = n.select("doc_id", "node_id", "title", F.coalesce("text", "summary").alias("text"), "page_ref")
+    found = hits.join(body, ["doc_id", "node_id"]).join(q.select("query_id", F.col("text").alias("query")), "query_id").withColumn("chunk_id", F.col("node_id"))
+    ranked = R.rank_by(found, "score", None, ties=("chunk_id",)).select("query_id", "chunk_id", "query", "title", "text", "page_ref", "rank")
+    small = C.compress(ranked, tokens=700)
+    assert {r.query_id: "charger" in r.context for r in C.joined(small).collect()} == {7: "charger" in C.joined(small.where("query_id = 7")).first().context, 8: True}
+    report = {r.query_id: r for r in C.compression_report(ranked, small).collect()}
+    assert report[8].n_after <= report[8].n_before and report[8].tokens_saved >= 0
+    stats = W.traversal_statistics(hits, n, routes).collect()
+    assert all(r.tree_nodes == (4 if r.doc_id == 1 else 2) for r in stats)
+    assert "### " in W.format_hits(hits, n).first().block and W.flat_context(n).count() == 3
