@@ -7,6 +7,10 @@ row_number over the score, rounded to DIGITS, then doc_id: order is total and en
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from ..functions import text as T
 from ..functions import vector as V
 
 DIGITS = 6
+FEW_TERMS, FEW_QUERIES = 200_000, 5_000
 
 
 def rank_by(df: DataFrame, score: str, keep: int | None, by: tuple[str, ...] = ("query_id",), ties: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -22,6 +27,11 @@ def rank_by(df: DataFrame, score: str, keep: int | None, by: tuple[str, ...] = (
     return out.where(F.col("rank") <= keep) if keep else out
 
 
+def _counted(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast where it has `most` rows or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def postings(docs: DataFrame, tokenizer=lambda c: T.words(c, 1)) -> DataFrame:
     """(doc_id, term, tf, len): a row for each term of a document."""
     own = docs.select("doc_id", tokenizer(F.col("text")).alias("t")).withColumn("len", F.size("t"))
@@ -37,22 +47,30 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
 
 
-def _weighted(docs: DataFrame, queries: DataFrame, tokenizer) -> DataFrame:
-    post = postings(docs, tokenizer)
+def _live(docs: DataFrame, asked: DataFrame, tokenizer) -> DataFrame:
+    """postings of the asked terms alone: the others are dropped before anything is shuffled."""
+    own = docs.select("doc_id", tokenizer(F.col("text")).alias("t")).withColumn("len", F.size("t"))
+    met = own.select("doc_id", "len", F.explode("t").alias("term")).join(_counted(asked, FEW_TERMS), "term")
+    return met.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+
+
+def _weighted(docs: DataFrame, queries: DataFrame, tokenizer, scored: DataFrame | None = None) -> DataFrame:
+    """Postings with their terms' frequencies; with scored (some of docs) of these alone, frequencies still being those of docs."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenizer(F.col("text")))).alias("term"))
     asked = terms.select("term").distinct()
-    live = post.join(asked, "term")
+    live = _live(docs, asked, tokenizer)
     dfs = live.groupBy("term").agg(F.count("*").alias("df"))
-    return live.join(dfs, "term").crossJoin(F.broadcast(corpus(docs, tokenizer))).join(terms, "term")
+    own = live if scored is None else _live(scored, asked, tokenizer)
+    return own.join(dfs, "term").crossJoin(F.broadcast(corpus(docs, tokenizer))).join(terms, "term")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, binary: bool = True, tokenizer=lambda c: T.words(c, 1)) -> DataFrame:
-    """(query_id, doc_id, score, rank) over the distinct query terms; binary: each term of a document counts once."""
-    w = _weighted(docs, queries, tokenizer)
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, binary: bool = True, tokenizer=lambda c: T.words(c, 1), scored: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) over the distinct query terms; binary: each term of a document counts once. scored: the documents to rank, where not all."""
+    w = _weighted(docs, queries, tokenizer, scored)
     tf = F.lit(1.0) if binary else F.col("tf").cast("double")
     part = idf(F.col("n_docs"), F.col("df")) * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("len") / F.col("avg_len")))
-    scored = w.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
-    return rank_by(scored, "score", k)
+    found = w.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    return rank_by(found, "score", k)
 
 
 def okapi(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -70,9 +88,8 @@ def okapi(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1
 
 def bm25_candidates(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """First phase of a search: documents by the sum of idf over the query's terms, repeats counted."""
-    post = postings(docs)
     terms = queries.select("query_id", F.explode(T.words("text", 1)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    live = post.join(terms.select("term").distinct(), "term")
+    live = _live(docs, terms.select("term").distinct(), lambda c: T.words(c, 1))
     dfs = live.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_docs"))))
     scored = live.join(dfs, "term").join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * idf(F.col("n_docs"), F.col("df"))), DIGITS).alias("score"))
     return rank_by(scored, "score", k)
@@ -94,9 +111,10 @@ def structural(depth: Column, decay: float = 0.85, least: float = 0.1) -> Column
 
 def hybrid(docs: DataFrame, queries: DataFrame, k: int = 3, weights: DataFrame | tuple[float, float, float] = (0.6, 0.25, 0.15), candidates: int = 20) -> DataFrame:
     """BM25 over its best, Jaccard and depth decay, mixed; docs need a depth. With a table of weights (config, w_bm25, w_jaccard, w_depth): a ranking for each."""
-    first = bm25_candidates(docs, queries, candidates).select("query_id", "doc_id")
-    full = bm25(docs, queries, None).select("query_id", "doc_id", F.col("score").alias("bm25"))
-    mixed = first.join(full, ["query_id", "doc_id"], "left").join(overlap(docs, queries, digits=12).withColumnRenamed("score", "jac"), ["query_id", "doc_id"], "left").join(docs.select("doc_id", "depth"), "doc_id")
+    first = bm25_candidates(docs, queries, candidates).select("query_id", "doc_id").cache()  # `candidates` rows a query, read twice
+    near = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
+    full = bm25(docs, queries, None, scored=near).select("query_id", "doc_id", F.col("score").alias("bm25"))
+    mixed = first.join(full, ["query_id", "doc_id"], "left").join(overlap(near, queries, digits=12).withColumnRenamed("score", "jac"), ["query_id", "doc_id"], "left").join(docs.select("doc_id", "depth"), "doc_id")
     best = F.max("bm25").over(Window.partitionBy("query_id"))
     mixed = mixed.withColumn("rel", F.when(best > 0, F.coalesce("bm25", F.lit(0.0)) / best).otherwise(0.0)).withColumn("jac", F.coalesce("jac", F.lit(0.0)))
     if isinstance(weights, tuple):
@@ -114,25 +132,89 @@ def trigram(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return rank_by(overlap(docs, queries, "jaccard", T.char_ngrams), "score", k)
 
 
+def _best_products(vectors: DataFrame, queries: DataFrame, k: int, apart: bool) -> DataFrame | None:
+    """(query_id, doc_id, score) of the k best documents for each query, by products of unit vectors: (doc_id, v) against (query_id, q).
+
+    The counted query set travels as one matrix; each batch of documents is one product, of which only
+    what may be among the k best leaves the task. None where there are more than FEW_QUERIES queries.
+    apart: a document is not its own neighbour.
+    """
+    held = queries.limit(FEW_QUERIES + 1).toArrow()
+    if held.num_rows > FEW_QUERIES:
+        return None
+    ids = held.column("query_id").to_numpy()
+    q = np.array(held.column("q").to_pylist(), np.float64).reshape(len(ids), -1)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best = None
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            docs = b.column("doc_id").to_numpy()
+            v = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
+            x = q @ v.T
+            if apart:
+                x[ids[:, None] == docs[None, :]] = -np.inf
+            d = np.broadcast_to(docs, x.shape)
+            if best is not None:
+                x, d = np.hstack([best[0], x]), np.hstack([best[1], d])
+            if x.shape[1] > k:  # ties of the rounded score go by doc_id
+                order = np.lexsort((d, -np.round(x, DIGITS + 2)), axis=1)[:, : 2 * k + 8]
+                x, d = np.take_along_axis(x, order, 1), np.take_along_axis(d, order, 1)
+            best = x, d
+        if best is not None:
+            x, d = best
+            good = np.isfinite(x) & (x > (-np.inf if apart else 0.0))
+            row = np.nonzero(good)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(d[good]), pa.array(x[good])], ["query_id", "doc_id", "score"])
+
+    found = vectors.select("doc_id", "v").mapInArrow(work, f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double")
+    return found.withColumn("score", F.round("score", DIGITS))
+
+
 def hashed(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Cosine of hashed bag-of-words vectors with 256 places, as a join on the places."""
+    """Cosine of hashed bag-of-words vectors with 256 places: one matrix product a batch of documents, or a join on the places for more than FEW_QUERIES queries. Pairs without a common place are left out."""
 
-    def vectors(df: DataFrame, key: str) -> DataFrame:
+    def sparse(df: DataFrame, key: str) -> DataFrame:
         counts = df.select(key, F.explode(T.tokens_cjk("text")).alias("t")).groupBy(key, V.hash_bucket(F.col("t")).alias("at")).agg(F.count("*").cast("double").alias("n"))
         sizes = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
         return counts.join(sizes, key).select(key, "at", (F.col("n") / F.col("size")).alias(f"{key}_x"))
 
-    pairs = vectors(docs, "doc_id").join(vectors(queries, "query_id"), "at")
-    scored = pairs.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("doc_id_x") * F.col("query_id_x")), DIGITS).alias("score"))
-    return rank_by(scored, "score", k)
+    few = _best_products(_dense(docs, "doc_id", "v"), _dense(queries, "query_id", "q"), k, False)
+    if few is None:
+        pairs = sparse(docs, "doc_id").join(sparse(queries, "query_id"), "at")
+        few = pairs.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("doc_id_x") * F.col("query_id_x")), DIGITS).alias("score"))
+    return rank_by(few, "score", k)
+
+
+def _dense(df: DataFrame, key: str, name: str, size: int = 256) -> DataFrame:
+    """(key, name): the unit vector of hashed token counts of each text that has tokens; a batch at a time."""
+    rows = df.select(key, F.transform(T.tokens_cjk("text"), lambda t: V.hash_bucket(t)).alias("p")).where(F.size("p") > 0)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, p = b.num_rows, b.column("p")
+            row = np.repeat(np.arange(n), np.diff(p.offsets.to_numpy()))
+            v = np.bincount(row * size + p.flatten().to_numpy(), minlength=n * size).reshape(n, size).astype(np.float64)
+            v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), pa.array(v.ravel()))], [key, name])
+
+    return rows.mapInArrow(work, f"{key} {df.schema[key].dataType.simpleString()}, {name} array<double>")
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """The k nearest vectors (by cosine, not itself) of each query vector; both have (vec_id, embedding). The query set is the small side."""
+    """The k nearest vectors (by cosine, not itself) of each query vector; both have (vec_id, embedding).
+
+    Up to FEW_QUERIES queries are one matrix (see _best_products); beyond, the query set is the small side of a join.
+    """
     q = queries.select(F.col("vec_id").alias("query_id"), V.unit(F.col("embedding")).alias("q"))
     v = vectors.select(F.col("vec_id").alias("doc_id"), V.unit(F.col("embedding")).alias("v"))
-    scored = v.join(q, F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", F.round(V.dot(F.col("q"), F.col("v")), DIGITS).alias("score"))
-    return rank_by(scored, "score", k)
+    few = _best_products(v, q, k, True)
+    if few is None:
+        few = v.join(q, F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", F.round(V.dot(F.col("q"), F.col("v")), DIGITS).alias("score"))
+    return rank_by(few, "score", k)
 
 
 def token_f1(pairs: DataFrame, key: str, a: str, b: str, tokenizer=T.words) -> DataFrame:

@@ -31,8 +31,14 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key where a small input comes in fewer partitions than there are cores (one row group, say): tokenising is the work, not the move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def docs(spark, sf) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
 
 
 def asked(spark, sf) -> DataFrame:
