@@ -6,9 +6,12 @@ and half the product of its longer contexts'. After training the mixture is fixe
 longest context that was seen, a node's own estimate gets its posterior weight, the longer context's
 prediction the rest. The code length of a text is the sum over its bytes.
 
-Nothing of the model is gathered in one place but the two shortest depths (at most 256 x 255 nodes).
-Texts are cut to blocks; a block asks for its own distinct byte strings and words, the answers are
-joined to it by key. What is shuffled follows the distinct strings of the blocks, not their length.
+Nothing of the model is gathered in one place but the two shortest depths (at most 256 x 255 nodes):
+one pass over the counts gives their sums, a second one the mixed probabilities, so that nothing but
+counts is kept between. Texts are cut to blocks; a block asks for its own distinct byte strings and
+words, the answers are joined to it by key and packed by block. What is shuffled follows the distinct
+strings of the blocks, not their length. Words go by their 128-bit hash's upper half: 64 bits, under
+which two words of a corpus meet by a chance of one in some millions.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import columns, stored
 
-DEPTH = 4
+DEPTH = 5
 BLOCK = 24_000_000
-CHUNK = 2_000_000
+CHUNK, PACK = 2_000_000, 1_000_000
 ROWS_A_TASK = 150_000
 STOP = 10  # the byte that ends a text; words hold no white space
 HALF = math.log(0.5)
@@ -109,13 +113,13 @@ class Nodes:
         return np.where(seen, w * own + (1 - w) * np.nan_to_num(longer), np.nan)
 
 
-def subtree(codes: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, Nodes]:
-    """From depth up to `top`: each string's bit probabilities there (nan: never seen), and the nodes at top."""
+def subtree(codes: np.ndarray, n: np.ndarray, depth: int, top: int, mix: bool = True) -> tuple[np.ndarray | None, Nodes]:
+    """From depth up to `top`: each string's bit probabilities there (nan: never seen; None without mix), and the nodes at top."""
     below, mixed = None, None
     for d in range(depth, top - 1, -1):
         nodes = Nodes(codes, n, d)
         nodes.weigh(below, d + 1)
-        mixed, below = nodes.mix(mixed), nodes
+        mixed, below = nodes.mix(mixed) if mix else None, nodes
     return mixed, below
 
 
@@ -128,29 +132,21 @@ def train(counts: DataFrame, depth: int) -> DataFrame:
     rows = counts.count()
     key = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1))
     dealt = counts.repartition(max(1, math.ceil(rows / ROWS_A_TASK)), key)
-    schema = "code long, q array<double>, context int, node int, n0 double, n1 double, log double"
 
-    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def table(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray] | None:
         got = [b for b in batches if b.num_rows]
         if not got:
-            return
+            return None
         t = pa.Table.from_batches(got)
-        codes, n = t.column("code").to_numpy().view(np.uint64), t.column("n").to_numpy()
-        mixed, top = subtree(codes, n, depth, TOP)
-        for a in range(0, len(codes), 20_000):
-            q = np.ascontiguousarray(mixed[:, a : a + 20_000].T)
-            m = len(q)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * m + 1, 8, dtype=np.int32)), pa.array(q.ravel()))
-            none = [pa.nulls(m, k) for k in (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(codes[a : a + 20_000].view(np.int64)), lists, *none], ["code", "q", "context", "node", "n0", "n1", "log"])
-        m = len(top.keys)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.float64())), pa.array((top.keys >> np.uint64(8)).astype(np.int32)), pa.array((top.keys & np.uint64(255)).astype(np.int32)), pa.array(top.n0), pa.array(top.n1), pa.array(top.log)],
-            ["code", "q", "context", "node", "n0", "n1", "log"],
-        )
-
-    done = stored(dealt.mapInArrow(lower, schema), "ctw-low")
-    first = done.where("code is null").groupBy(F.col("context").bitwiseAND(F.lit(255)).alias("byte"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log").alias("kids"))
+        return t.column("code").to_numpy().view(np.uint64), t.column("n").to_numpy()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := table(batches):
+            top = subtree(*got, depth, TOP, False)[1]
+            context, node = (top.keys >> np.uint64(8) & np.uint64(255)).astype(np.int32), (top.keys & np.uint64(255)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(node), pa.array(top.n0), pa.array(top.n1), pa.array(top.log)], ["byte", "node", "n0", "n1", "log"])
+
+    first = dealt.mapInArrow(sums, "byte int, node int, n0 double, n1 double, log double").groupBy("byte", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log").alias("kids"))
     one, zero = np.zeros((2, 256, 256)), np.zeros((2, 256))
     one[1] = zero[1] = np.nan
     logs, n0, n1 = np.zeros(256), np.zeros(256), np.zeros(256)
@@ -167,33 +163,80 @@ def train(counts: DataFrame, depth: int) -> DataFrame:
     zero[1] = (n1 + 0.5) / (n0 + n1 + 1)
     shared = spark.sparkContext.broadcast((one, zero))
 
-    def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, zero = shared.value
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (got := table(batches)):
+            return
+        (one, zero), q = shared.value, subtree(*got, depth, TOP)[0]
+        codes = got[0].view(np.int64)
+        byte, before = codes & 255, codes >> 8 & 255
+        lp = np.zeros(len(codes))
+        for i in range(8):
+            node, bit = (1 << i) | (byte >> (8 - i)), byte >> (7 - i) & 1
+            p = q[i]
+            for w, x in ((one[0][before, node], one[1][before, node]), (zero[0][node], zero[1][node])):
+                own = np.where(bit == 1, x, 1 - x)
+                w = np.where(np.isnan(p), 1.0, w)
+                p = np.where(np.isnan(own), p, w * own + (1 - w) * np.nan_to_num(p))
+            lp += np.log10(p)
+        for a in range(0, len(codes), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[a : a + 50_000]), pa.array(lp[a : a + 50_000])], ["code", "lp"])
+
+    return dealt.mapInArrow(answer, "code long, lp double")
+
+
+def packed(answers: DataFrame) -> DataFrame:
+    """Rows (block, code, x) as (block, payload): the codes and numbers of one block in a task, up to PACK rows of the task at a time."""
+
+    def rows(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        block, code, x = (t.column(c).to_numpy() for c in ("block", "code", "x"))
+        order = np.lexsort((code, block))
+        block, code, x = block[order], code[order], x[order]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
+        squeeze = zstandard.ZstdCompressor(level=1)
+        blobs = [squeeze.compress(np.diff(code[a:b], prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes() + x[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(blobs, pa.binary())], ["block", "payload"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            codes = b.column("code").to_numpy()
-            byte, before = codes & 255, codes >> 8 & 255
-            q = b.column("q").flatten().to_numpy(zero_copy_only=False).reshape(-1, 8)
-            lp = np.zeros(len(codes))
-            for i in range(8):
-                node, bit = (1 << i) | (byte >> (8 - i)), byte >> (7 - i) & 1
-                p = q[:, i]
-                for w, x in ((one[0][before, node], one[1][before, node]), (zero[0][node], zero[1][node])):
-                    own = np.where(bit == 1, x, 1 - x)
-                    w = np.where(np.isnan(p), 1.0, w)
-                    p = np.where(np.isnan(own), p, w * own + (1 - w) * np.nan_to_num(p))
-                lp += np.log10(p)
-            yield pa.RecordBatch.from_arrays([b.column("code"), pa.array(lp)], ["code", "lp"])
-
-    return done.where("code is not null").select("code", "q").mapInArrow(upper, "code long, lp double")
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size >= PACK:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
+
+    return answers.mapInArrow(work, "block long, payload binary")
+
+
+def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, ascending, and their numbers out of packed rows."""
+    codes, numbers = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for blob in blobs:
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+        n = len(raw) // 16
+        codes.append(np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.int64).ravel()))
+        numbers.append(raw[8 * n :].view(np.float64))
+    code, x = np.concatenate(codes), np.concatenate(numbers)
+    order = np.argsort(code, kind="stable")
+    return code[order], x[order]
+
+
+def word_codes(words: list[bytes]) -> np.ndarray:
+    """One number for each word."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(w)[:8] for w in words]), ">i8").astype(np.int64)
 
 
 def _held_out(doc: int | None) -> bool:
     return doc is not None and crc32(str(doc).encode()) % 10 == 0
 
 
-ASKS = "block long, kind int, code long, token binary, n long, payload binary"
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_ASK_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+ASKS = "block long, kind int, code long, n long, payload binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+_ASK_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 _ASK_NAMES = [x.split()[0] for x in ASKS.split(", ")]
 
 
@@ -248,10 +291,12 @@ class _Block:
             yield self._batch(block, 1, code=self.codes[a : a + 50_000].view(np.int64), n=self.n[a : a + 50_000])
         for t in self.other:
             self.words[t] += 0
-        words = sorted(self.words)
+        words = list(self.words)
+        codes, n = word_codes(words), np.fromiter(self.words.values(), np.int64, len(words))
+        order = np.argsort(codes)
         for a in range(0, len(words), 50_000):
-            some = words[a : a + 50_000]
-            yield self._batch(block, 2, token=some, n=[self.words[w] for w in some])
+            some = order[a : a + 50_000]
+            yield self._batch(block, 2, code=codes[some], n=n[some])
 
     @staticmethod
     def _batch(block: int, kind: int, **given) -> pa.RecordBatch:
@@ -261,7 +306,7 @@ class _Block:
 
 
 def score_texts(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: the unigram base score and the weighted context tree's log10 probability.
+    """One row for each row of docs: the unigram base score, the weighted context tree's log10 probability, and its code length for each byte of the model's text.
 
     A-Z are lower-cased; the model's text is the words, one space apart, and an end. Rows whose
     crc32(doc_id as text) mod 10 is 0 are held out, all others train (also those with a null id). A
@@ -287,26 +332,37 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", tex
     asked = stored(base.mapInArrow(ask, ASKS), "ctw-asks")
     strings, words = asked.where("kind = 1"), asked.where("kind = 2")
     model = train(stored(strings.groupBy("code").agg(F.sum("n").alias("n")), "ctw-counts"), depth)
-    counts = words.groupBy("token").agg(F.sum("n").alias("c"))
+    counts = stored(words.groupBy("code").agg(F.sum("n").alias("c")), "ctw-words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    answers = strings.select("block", "code").join(model, "code").select("block", F.lit(1).alias("kind"), "code", F.lit(None).cast("binary").alias("token"), F.col("lp").alias("x"), F.lit(None).cast("binary").alias("payload"))
-    known = words.select("block", "token").join(counts, "token").select("block", F.lit(2).alias("kind"), F.lit(None).cast("long").alias("code"), "token", F.col("c").cast("double").alias("x"), F.lit(None).cast("binary").alias("payload"))
-    texts = asked.where("kind = 0").select("block", "kind", "code", "token", F.lit(None).cast("double").alias("x"), "payload")
+    found = packed(strings.select("block", "code").join(model, "code").select("block", "code", F.col("lp").alias("x")))
+    known = packed(words.select("block", "code").join(counts, "code").select("block", "code", F.col("c").cast("double").alias("x")))
+    texts = asked.where("kind = 0").select("block", "kind", "payload")
+    parts = [texts, found.select("block", F.lit(1).alias("kind"), "payload"), known.select("block", F.lit(2).alias("kind"), "payload")]
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
-        kind = rows["kind"].to_numpy()
-        blob = rows["payload"].to_numpy()[kind == 0][0]
-        codes, lp = rows["code"].to_numpy()[kind == 1].astype(np.int64), rows["x"].to_numpy()[kind == 1]
-        order = np.argsort(codes)
-        codes, lp = pa.array(codes[order]), lp[order]
-        token, c = rows["token"].to_numpy()[kind == 2], rows["x"].to_numpy()[kind == 2]
-        del rows
-        logs = dict(zip(token, np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))))
-        new = {t for t, n in zip(token, c) if not n}
+        kind, payload = rows["kind"].to_numpy(), rows["payload"].to_numpy()
+        blob = payload[kind == 0][0]
+        codes, lp = unpacked(payload[kind == 1].tolist())
+        codes = pa.array(codes)
+        token, c = unpacked(payload[kind == 2].tolist())
+        log = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+        del rows, payload
+        logs: dict[bytes, float] = {}
+        new: set[bytes] = set()
+
+        def learn(tokens: list[bytes]) -> None:
+            """Fetches the numbers of words not met in this block so far."""
+            fresh = list(set(tokens).difference(logs))
+            if fresh:
+                at = np.searchsorted(token, word_codes(fresh))
+                logs.update(zip(fresh, log[at].tolist()))
+                new.update([w for w, n in zip(fresh, c[at].tolist()) if not n])
+
         with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)) as r:
             held = r.read_all()
         out, pending, sizes = [], [], []
         total_lp: list[float] = []
+        lengths: list[int] = []
 
         def look() -> None:
             if pending:
@@ -320,16 +376,19 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", tex
             codes_here = codes_of(tokens, depth)
             pending.append(codes_here)
             sizes.append(len(codes_here))
-            if sum(sizes) > 500_000:
+            lengths.append(len(codes_here))
+            if sum(sizes) > CHUNK:
                 look()
             tokens.append(b"")
-            n_new = sum(t in new for t in tokens) if new else 0
+            learn(tokens)
+            n_new = sum(map(new.__contains__, tokens)) if new else 0
             out.append((doc, _held_out(doc), len(tokens), len(tokens) - n_new, total, math.fsum(map(logs.__getitem__, tokens))))
         look()
         frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         frame["score"] = total_lp
+        frame["bits_per_byte"] = -frame["score"] * math.log2(10) / lengths
         return frame
 
-    both = texts.unionByName(answers).unionByName(known)
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return both.groupBy("block").applyInPandas(score, SCORES)
