@@ -155,9 +155,12 @@ class Unigram:
             if k == BYTE:
                 self.bytes_at[int(p[3:5], 16)] = i
         self.cuts = not any(MARK in p.lstrip(MARK) for p, _, k in pieces if k in (NORMAL, USER))
-        self.known: dict[str, tuple[bytes, bytes, float]] = {}
+        self.by_bytes = {w: (i, self.scores[i]) for w, i in words.items()}
+        self.held: dict[str, list] = {}
+        self.longest = max(map(len, words), default=1)
+        self.known: dict[str, tuple[bytes, float, float, bytes]] = {}
         raw = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNK else p.encode() for p, _, k in pieces]
-        self.raw = dict(enumerate(raw))
+        self.raw = raw
 
     def chunks(self, text: str) -> list[str]:
         """The escaped text in parts that no piece crosses."""
@@ -185,71 +188,82 @@ class Unigram:
         out = []
         for parts in split:
             found = [known.get(c) or fresh[c] for c in parts]
-            costs = np.frombuffer(b"".join([f[1] for f in found]), np.float32)
-            lead = np.fromiter((f[2] for f in found), np.float64, len(found))
-            # each of a path's sums is off by half a unit in the last place of the whole sum, at most
-            moves = np.spacing(np.float32(abs(costs.sum(dtype=np.float64)) + 1))
-            if len(found) and lead.min() <= 2 * moves * max(map(len, parts)) * 4:
-                found = self._settled(parts, found, lead, float(moves))
-                costs = np.frombuffer(b"".join([f[1] for f in found]), np.float32)
-            out.append((np.frombuffer(b"".join([f[0] for f in found]), "<i4"), math.fsum(costs.tolist())))
+            total = math.fsum([f[1] for f in found])
+            # leads count by the sums behind them, of which each is off by half a unit in the last place of the whole
+            if found and min([f[2] for f in found]) <= float(np.spacing(np.float32(abs(total) + 1))):
+                found = self._settled(parts, found)
+                total = math.fsum(np.frombuffer(b"".join([f[3] for f in found]), np.float32).tolist())
+            out.append((np.frombuffer(b"".join([f[0] for f in found]), "<i4"), total))
         if len(known) + len(fresh) > KEPT:
             known.clear()
         known.update((c, v) for c, v in fresh.items() if len(c) < SHORT)
         return out
 
-    def _settled(self, parts: list[str], found: list[tuple], lead: np.ndarray, moves: float) -> list[tuple]:
+    def _settled(self, parts: list[str], found: list[tuple]) -> list[tuple]:
         """found, where chunks whose best path may lose by rounding are searched again from the sum so far."""
-        out, so_far = list(found), np.float32(0)
-        at = 0
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) * 4 + 2
-        for k in np.flatnonzero(lead <= 2 * moves * sizes).tolist():
-            between = np.frombuffer(b"".join([f[1] for f in out[at:k]]), np.float32)
-            so_far = np.add.accumulate(np.concatenate(([so_far], between)), dtype=np.float32)[-1]
-            out[k] = self._single(parts[k].encode(), so_far)
-            at = k
+        out = list(found)
+        sums = np.add.accumulate(np.frombuffer(b"".join([f[3] for f in found]), np.float32))
+        firsts = np.concatenate(([0], np.cumsum([len(f[3]) // 4 for f in found])))
+        before = np.concatenate(([np.float32(0)], sums))[firsts[:-1]]
+        lead = np.fromiter([f[2] for f in found], np.float64, len(found))
+        may = np.spacing(np.abs(np.concatenate(([np.float32(0)], sums))[firsts[1:]]) + np.float32(1))
+        now, at = np.float32(0), -1  # the sum before chunk `at`, once an earlier chunk has taken another path
+        for k in np.flatnonzero(lead <= may).tolist():
+            if at < 0:
+                now = before[k]
+            elif k > at:
+                between = np.frombuffer(b"".join([f[3] for f in out[at:k]]), np.float32)
+                now = np.add.accumulate(np.concatenate(([now], between)), dtype=np.float32)[-1]
+                at = k
+            other = self._single(parts[k], now)
+            if other[0] != out[k][0]:
+                out[k], at = other, k
         return out
 
-    def _single(self, word: bytes, so_far: np.float32) -> tuple[bytes, bytes, float]:
-        """One chunk's path by single-precision sums that begin with so_far."""
-        base, check, value = self.trie.base, self.trie.check, self.trie.value
-        n = len(word)
-        best: list[np.float32 | None] = [so_far] + [None] * n
-        back, via = [0] * (n + 1), [-1] * (n + 1)
-        at = 0
+    def _edges(self, word: bytes) -> list[tuple[int, int, int, np.float32]]:
+        """(from, to, id or -1, score) of all pieces in a chunk, by where they begin."""
+        n, get, out, at = len(word), self.by_bytes.get, [], 0
         while at < n:
-            wide = 1 if word[at] < 0x80 else 2 if word[at] < 0xE0 else 3 if word[at] < 0xF0 else 4
-            state, single = 0, False
-            for end in range(at + 1, n + 1):
-                step = base[state] + word[end - 1] + 1
-                if check[step] != state:
-                    break
-                state = step
-                if value[state] >= 0:
-                    single |= end - at == wide
-                    score = self.scores[value[state]] + best[at]
-                    if best[end] is None or score > best[end]:
-                        best[end], back[end], via[end] = score, at, int(value[state])
-            if not single:
-                score = self.unknown + best[at]
-                if best[at + wide] is None or score > best[at + wide]:
-                    best[at + wide], back[at + wide], via[at + wide] = score, at, -1
+            c = word[at]
+            wide = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
+            found = [(at, end, *hit) for end in range(at + wide, min(n, at + self.longest) + 1) if (hit := get(word[at:end])) is not None]
+            if not found or found[0][1] != at + wide:
+                found.append((at, at + wide, -1, self.unknown))
+            out += found
             at += wide
-        ids, costs, at = [], [], n
-        while at:
-            costs.append(self.unknown if via[at] < 0 else self.scores[via[at]])
-            ids.append([int(self.bytes_at[c]) for c in word[back[at] : at]] if via[at] < 0 else [via[at]])
-            at = back[at]
-        return np.array([i for some in reversed(ids) for i in some], "<i4").tobytes(), np.array(costs[::-1], np.float32).tobytes(), math.inf
+        return out
 
-    def _segment(self, chunks: list[str]) -> list[tuple[bytes, bytes, float]]:
-        out: list[tuple[bytes, bytes, float]] = []
+    def _single(self, chunk: str, so_far: np.float32) -> tuple[bytes, float, float, bytes]:
+        """One chunk's path by single-precision sums that begin with so_far."""
+        word = chunk.encode()
+        edges = self.held.get(chunk)
+        if edges is None:
+            if len(self.held) >= KEPT // 10:
+                self.held.clear()
+            edges = self.held[chunk] = self._edges(word)
+        best: dict[int, np.float32] = {0: so_far}
+        back: dict[int, tuple] = {}
+        for edge in edges:
+            score, end = edge[3] + best[edge[0]], edge[1]
+            if end not in best or score > best[end]:
+                best[end], back[end] = score, edge
+        path, at = [], len(word)
+        while at:
+            path.append(back[at])
+            at = back[at][0]
+        path.reverse()
+        ids = [i for a, b, p, _ in path for i in ([p] if p >= 0 else self.bytes_at[list(word[a:b])].tolist())]
+        costs = [e[3] for e in path]
+        return np.array(ids, "<i4").tobytes(), float(sum(map(float, costs))), math.inf, np.array(costs, np.float32).tobytes()
+
+    def _segment(self, chunks: list[str]) -> list[tuple[bytes, float, float, bytes]]:
+        out: list[tuple[bytes, float, float, bytes]] = []
         for a in range(0, len(chunks), 20_000):
             out += self._viterbi([c.encode() for c in chunks[a : a + 20_000]])
         return out
 
-    def _viterbi(self, words: list[bytes]) -> list[tuple[bytes, bytes, float]]:
-        """(ids, the cost of each piece, by how much the best path leads at its narrowest choice) of each chunk."""
+    def _viterbi(self, words: list[bytes]) -> list[tuple[bytes, float, float, bytes]]:
+        """(ids, score, by how much the best path leads at its narrowest choice for each two sums compared there, the cost of each piece) of each chunk."""
         base, check, value = self.trie.base, self.trie.check, self.trie.value
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         text = np.frombuffer(b"".join(w + b"\0" for w in words), np.uint8).astype(np.int64)  # one more place for each word's end
@@ -281,15 +295,16 @@ class Unigram:
         steps = offset[src]
         bounds = np.flatnonzero(np.r_[True, steps[1:] != steps[:-1], True]) if len(steps) else []
         best, back, via = np.full(len(text), -np.inf), np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
-        lead, paid = np.full(len(text), np.inf), np.zeros(len(text), np.float32)
+        lead, paid, count = np.full(len(text), np.inf), np.zeros(len(text), np.float32), np.zeros(len(text), np.int64)
         best[firsts] = 0
         for a, b in zip(bounds[:-1], bounds[1:]):
             score, to = best[src[a:b]] + cost[a:b], dst[a:b]
             ahead = score - best[to]
             good = ahead > 0
-            lead[to] = np.where(good, ahead, np.minimum(lead[to], -ahead))
+            adds = count[src[a:b]] + 1
+            lead[to] = np.minimum(lead[to], 2 * np.abs(ahead) / (count[to] + adds))
             to = to[good]
-            best[to], back[to], via[to], paid[to] = score[good], src[a:b][good], ids[a:b][good], cost[a:b][good]
+            best[to], back[to], via[to], paid[to], count[to] = score[good], src[a:b][good], ids[a:b][good], cost[a:b][good], adds[good]
         here, word, path = ends.copy(), np.arange(len(words)), []
         while len(here):
             go = here > firsts[word]
@@ -307,11 +322,11 @@ class Unigram:
         flat, cut = final.tobytes(), np.concatenate(([0], np.cumsum(counts))) * 4
         costs, at = paid.tobytes(), np.concatenate(([0], np.cumsum(steps)))
         narrow = np.minimum.reduceat(lead, at[:-1]) if len(lead) else lead
-        return [(flat[a:b], costs[4 * c : 4 * d], x) for a, b, c, d, x in zip(cut[:-1].tolist(), cut[1:].tolist(), at[:-1].tolist(), at[1:].tolist(), narrow.tolist())]
+        return [(flat[a:b], z, x, costs[4 * c : 4 * d]) for a, b, c, d, x, z in zip(cut[:-1].tolist(), cut[1:].tolist(), at[:-1].tolist(), at[1:].tolist(), narrow.tolist(), best[ends].tolist())]
 
     def decode(self, ids) -> str:
         """The text of ids: pieces and bytes joined, markers to spaces, without the one put before the text."""
-        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
