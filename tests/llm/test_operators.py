@@ -134,6 +134,8 @@ def test_ids_equal_the_tokenizer():
 
 
 def test_very_long_runs_are_encoded_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
     path = queries.tokenizer()
     plain, ours = Tokenizer.from_file(path), bpe.Encoder(path)
     runs = [c * 10**6 for c in (" ", "\n", "\t", "a", "-")]
@@ -329,7 +331,8 @@ def test_automata_score_what_plain_frequencies_say():
         assert abs(auto.bits(t) - want) < 0.7, t  # states of one tail may merge; counts are the same but for chance
     assert auto.bits("abc") == math.inf and auto.bits("ab") == math.inf and infer([]).bits("") == math.inf
     tail = infer(["key-" + "".join(rng.choices("01234567", k=8)) for _ in range(300)])
-    assert abs(tail.bits("key-01234567") - 24) < 4 and tail.bits("kex-01234567") == math.inf
+    # one state for the whole tail: eight symbols and the end, each as likely as the others
+    assert abs(tail.bits("key-01234567") - 9 * math.log2(9)) < 1 and tail.bits("kex-01234567") == math.inf
 
 
 def test_credentials_are_found_within_runs(spark):
