@@ -184,19 +184,27 @@ class Unigram:
         split = [self.chunks(t or "") for t in texts]
         known = self.known
         new = list({c for parts in split for c in parts if c not in known})
-        fresh = dict(zip(new, self._segment(new))) if new else {}
+        if new:
+            known.update(zip(new, self._segment(new)))
         out = []
         for parts in split:
-            found = [known.get(c) or fresh[c] for c in parts]
-            total = math.fsum([f[1] for f in found])
+            if not parts:
+                out.append((np.zeros(0, "<i4"), 0.0))
+                continue
+            found = list(map(known.__getitem__, parts))
+            ids, scores, leads, _ = zip(*found)
+            total = math.fsum(scores)
             # leads count by the sums behind them, of which each is off by half a unit in the last place of the whole
-            if found and min([f[2] for f in found]) <= float(np.spacing(np.float32(abs(total) + 1))):
-                found = self._settled(parts, found)
-                total = math.fsum(np.frombuffer(b"".join([f[3] for f in found]), np.float32).tolist())
-            out.append((np.frombuffer(b"".join([f[0] for f in found]), "<i4"), total))
-        if len(known) + len(fresh) > KEPT:
+            if min(leads) <= float(np.spacing(np.float32(abs(total) + 1))):
+                ids, _, _, costs = zip(*self._settled(parts, found))
+                total = math.fsum(np.frombuffer(b"".join(costs), np.float32).tolist())
+            out.append((np.frombuffer(b"".join(ids), "<i4"), total))
+        if len(known) > KEPT:
             known.clear()
-        known.update((c, v) for c, v in fresh.items() if len(c) < SHORT)
+        else:
+            for c in new:
+                if len(c) >= SHORT:
+                    del known[c]
         return out
 
     def _settled(self, parts: list[str], found: list[tuple]) -> list[tuple]:
