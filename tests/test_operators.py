@@ -112,6 +112,16 @@ def test_streaming_limiter(spark, tmp_path):
     assert [r.allowed for r in spark.table("limited").orderBy("event_id").collect()] == [ok for ok, _ in S.admit([float(i) for i in range(6)], 2, 3.0)]
 
 
+def test_streaming_limiter_keeps_state_in_a_slow_stream(spark, tmp_path):
+    for part, rows in enumerate([[(1, 0, 0.0), (1, 1, 0.2)], [(2, 2, 0.3)], [(1, 3, 0.4), (1, 4, 1.3)]]):
+        spark.createDataFrame(rows, "user_id long, event_id long, s double").select("user_id", "event_id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("user_id long, event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = limits.rate_limited(stream, 2, 1.0).writeStream.format("memory").queryName("slow").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    q.stop()
+    assert [(r.event_id, r.allowed, r.retry_after) for r in spark.table("slow").orderBy("event_id").collect()] == [(0, True, 0), (1, True, 0), (2, True, 0), (3, False, 1), (4, True, 0)]
+
+
 def test_exact_traversal(spark):
     trees = spark.createDataFrame([(7, json.dumps(TREE))], "doc_id long, tree string")
     nodes = X.flatten(spark, trees)
