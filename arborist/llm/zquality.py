@@ -125,6 +125,12 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE, bytes_: int = SAMPLE_BYTES) -> Model:
+    """The model fitted on `sample`'s rows.
+
+    Rows without an id, labels other than 0 and 1 and ids without a text row teach nothing; of an id with several
+    labels the smaller counts, with several texts the smallest; null texts count as empty. With labels of one class,
+    or none (an empty table), every text scores (good rows + 1) / (rows + 2). Other columns are not read.
+    """
     return fit(sample(docs, labels, id_col, text_col, label_col, most, bytes_))
 
 
@@ -158,7 +164,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose text scores below threshold; columns and other rows stay as they are."""
+    """docs without the rows whose text scores below threshold; columns, whatever their names, and other rows stay as they are.
+
+    Null and empty texts have the score of an empty text; rows with a null id and repeated rows are judged by their
+    text alone; an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,11 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+import zstandard
+from pyspark.sql import functions as F
 
 from arborist.llm import bpe, components, ctw, embed_dedup, matroska, packing, queries, secret_scan, separators, shards, simhash, zquality
+from arborist.llm.common import table
 
 TEXTS = [
     None, "", " ", "a", "one two", "the cat sat on the mat", "the cat sat on the mat", "The cat sat  on\tthe mat\n", "x" * 5000, "wörter über ÄÖ ß " * 40,
@@ -252,6 +255,30 @@ def test_quality_learns_and_keeps_clean_rows(spark, docs, none):
     assert zquality.score(none, empty).count() == 0 and all(0 <= r.score <= 1 for r in zquality.score(docs, empty).collect())
 
 
+def test_quality_scores_are_what_plain_code_gives(spark, sf):
+    """Scores out of both dictionaries and the weights, one text at a time; labels of held-out rows teach nothing."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = zquality.train(docs, labels)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    assert zquality.train(docs, labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))) == model
+    tools = []
+    for data in (model.good, model.bad):
+        own = zstandard.ZstdCompressionDict(data)
+        own.precompute_compress(level=zquality.LEVEL)
+        tools.append(zstandard.ZstdCompressor(level=zquality.LEVEL, dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False))
+    got = {r.doc_id: r for r in zquality.score(docs, model).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        raw = (r.text or "").encode()
+        g, b = (len(c.compress(raw)) if raw else 0 for c in tools)
+        d, ratio, size = ((b - g) / (b + g), (b + g) / 2 / len(raw), math.log1p(len(raw))) if raw else (0.0, 0.0, 0.0)
+        z = model.weights[0]
+        for x, w, m, s in zip((d, d * size, ratio, size, d * d), model.weights[1:], model.mean, model.scale):
+            z += w * (x - m) / s
+        want = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        assert abs(got[r.doc_id].score - want) < 1e-9
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 @pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 576 * 8 + 1, 576 * 128, 576 * 300 + 5])
 def test_matroska_round_trip(n):
     text = "".join(random.Random(n).choices("abcé ", k=n))
