@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +114,7 @@ class Words:
 
 def _groups(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about GROUP_BYTES of text; a longer text is a slice of its own."""
-    sizes = np.array([0 if s is None else s for s in pa.compute.binary_length(batch.column(column)).to_pylist()], np.int64)
+    sizes = np.array([0 if s is None else s for s in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
     lo, held = 0, 0
     for i, s in enumerate(sizes.tolist()):
         if i > lo and held + s > GROUP_BYTES:
