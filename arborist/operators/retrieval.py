@@ -7,6 +7,7 @@ row_number over the score, rounded to DIGITS, then doc_id: order is total and en
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..sources.shared import kept
 
 DIGITS = 6
 FEW_TERMS, FEW_QUERIES = 200_000, 5_000
@@ -75,11 +77,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.
 
 def okapi(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi BM25 with raw counts, where negative idf becomes epsilon times the mean idf of the vocabulary."""
-    post = postings(docs)
     size = corpus(docs)
-    raw = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    every = docs.select(F.explode(F.array_distinct(T.words("text", 1))).alias("term"))
+    raw = every.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf").alias("mean_idf"))
     terms = queries.select("query_id", F.explode(T.words("text", 1)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    post = _live(docs, terms.select("term").distinct(), lambda c: T.words(c, 1))
     weights = raw.join(terms.select("term").distinct(), "term").crossJoin(F.broadcast(mean)).select("term", "avg_len", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("len") / F.col("avg_len")))
     scored = post.join(weights, "term").join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
@@ -97,10 +100,10 @@ def bm25_candidates(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFra
 
 def overlap(docs: DataFrame, queries: DataFrame, kind: str = "jaccard", tokenizer=T.word_set, digits: int = DIGITS) -> DataFrame:
     """(query_id, doc_id, score) for pairs that share a token: Jaccard of the sets, or the share of the query's tokens."""
-    d = docs.select("doc_id", F.explode(tokenizer(F.col("text"))).alias("term"))
-    q = queries.select("query_id", F.explode(tokenizer(F.col("text"))).alias("term"))
-    dn, qn = d.groupBy("doc_id").agg(F.count("*").alias("dn")), q.groupBy("query_id").agg(F.count("*").alias("qn"))
-    both = d.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("both")).join(dn, "doc_id").join(qn, "query_id")
+    q = queries.select("query_id", tokenizer(F.col("text")).alias("t")).select("query_id", F.size("t").alias("qn"), F.explode("t").alias("term"))
+    d = docs.select("doc_id", tokenizer(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dn"), F.explode("t").alias("term"))
+    live = d.join(_counted(q.select("term").distinct(), FEW_TERMS), "term")
+    both = live.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("both"), F.first("dn").alias("dn"), F.first("qn").alias("qn"))
     score = F.col("both") / (F.col("dn") + F.col("qn") - F.col("both")) if kind == "jaccard" else F.col("both") / F.col("qn")
     return both.select("query_id", "doc_id", F.round(score, digits).alias("score"))
 
@@ -111,7 +114,8 @@ def structural(depth: Column, decay: float = 0.85, least: float = 0.1) -> Column
 
 def hybrid(docs: DataFrame, queries: DataFrame, k: int = 3, weights: DataFrame | tuple[float, float, float] = (0.6, 0.25, 0.15), candidates: int = 20) -> DataFrame:
     """BM25 over its best, Jaccard and depth decay, mixed; docs need a depth. With a table of weights (config, w_bm25, w_jaccard, w_depth): a ranking for each."""
-    first = bm25_candidates(docs, queries, candidates).select("query_id", "doc_id").cache()  # `candidates` rows a query, read twice
+    first = bm25_candidates(docs, queries, candidates).select("query_id", "doc_id")
+    first = kept(first)  # `candidates` rows a query, read twice
     near = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
     full = bm25(docs, queries, None, scored=near).select("query_id", "doc_id", F.col("score").alias("bm25"))
     mixed = first.join(full, ["query_id", "doc_id"], "left").join(overlap(near, queries, digits=12).withColumnRenamed("score", "jac"), ["query_id", "doc_id"], "left").join(docs.select("doc_id", "depth"), "doc_id")
@@ -132,12 +136,36 @@ def trigram(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return rank_by(overlap(docs, queries, "jaccard", T.char_ngrams), "score", k)
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Scores as whole numbers of the last digit, rounded half up as in SQL: what ranks go by."""
+    return (np.sign(x) * np.floor(np.abs(x) * 10**DIGITS + 0.5)).astype(np.int64)
+
+
+def _k_best(score: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, score, doc) of the k best of each row of whole scores, ties by the smaller doc; FAR scores are none."""
+    if score.shape[1] > k:
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, -k]
+        row, col = np.nonzero((score >= least[:, None]) & (score > FAR))
+    else:
+        row, col = np.nonzero(score > FAR)
+    s, d = score[row, col], doc[row, col]
+    order = np.lexsort((d, -s, row))
+    row, s, d = row[order], s[order], d[order]
+    first = np.searchsorted(row, np.arange(len(score)))
+    good = np.arange(len(row)) - first[row] < k
+    return row[good], s[good], d[good]
+
+
+FAR = -(1 << 62)
+
+
 def _best_products(vectors: DataFrame, queries: DataFrame, k: int, apart: bool) -> DataFrame | None:
     """(query_id, doc_id, score) of the k best documents for each query, by products of unit vectors: (doc_id, v) against (query_id, q).
 
-    The counted query set travels as one matrix; each batch of documents is one product, of which only
-    what may be among the k best leaves the task. None where there are more than FEW_QUERIES queries.
-    apart: a document is not its own neighbour.
+    The counted query set travels as one matrix; each batch of documents is one product for every
+    QUERY_SLICE queries, of which only the k best so far stay. Scores are rounded before they are compared, so that
+    ties go by doc_id as everywhere. None where there are more than FEW_QUERIES queries. apart: a document
+    is not its own neighbour; otherwise pairs without a common place are left out.
     """
     held = queries.limit(FEW_QUERIES + 1).toArrow()
     if held.num_rows > FEW_QUERIES:
@@ -148,32 +176,42 @@ def _best_products(vectors: DataFrame, queries: DataFrame, k: int, apart: bool)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        best = None
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            docs = b.column("doc_id").to_numpy()
-            v = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
-            x = q @ v.T
-            if apart:
-                x[ids[:, None] == docs[None, :]] = -np.inf
-            d = np.broadcast_to(docs, x.shape)
-            if best is not None:
-                x, d = np.hstack([best[0], x]), np.hstack([best[1], d])
-            if x.shape[1] > k:  # ties of the rounded score go by doc_id
-                order = np.lexsort((d, -np.round(x, DIGITS + 2)), axis=1)[:, : 2 * k + 8]
-                x, d = np.take_along_axis(x, order, 1), np.take_along_axis(d, order, 1)
-            best = x, d
-        if best is not None:
-            x, d = best
-            good = np.isfinite(x) & (x > (-np.inf if apart else 0.0))
-            row = np.nonzero(good)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(d[good]), pa.array(x[good])], ["query_id", "doc_id", "score"])
-
-    found = vectors.select("doc_id", "v").mapInArrow(work, f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double")
+        none = np.full((len(ids), k), FAR), np.zeros((len(ids), k), np.int64)
+        best_score, best_doc = none
+        seen = False
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(ids) else 0, DOC_SLICE):
+                b = whole.slice(at, DOC_SLICE)
+                docs = b.column("doc_id").to_numpy()
+                v = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
+                seen = True
+                for lo in range(0, len(ids), QUERY_SLICE):
+                    own = slice(lo, lo + QUERY_SLICE)
+                    x = _whole(q[own] @ v.T)
+                    x[(ids[own, None] == docs[None, :]) if apart else (x <= 0)] = FAR
+                    row, s, d = _k_best(np.hstack([best_score[own], x]), np.hstack([best_doc[own], np.broadcast_to(docs, x.shape)]), k)
+                    place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(x)))[row]
+                    best_score[own] = FAR
+                    best_score[lo + row, place], best_doc[lo + row, place] = s, d
+        if seen:
+            row, col = np.nonzero(best_score > FAR)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_doc[row, col]), pa.array(best_score[row, col] / 10**DIGITS)], ["query_id", "doc_id", "score"])
+
+    found = vectors.select("doc_id", "v").mapInArrow(work, f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id long, score double")
     return found.withColumn("score", F.round("score", DIGITS))
 
 
+QUERY_SLICE, DOC_SLICE = 1000, 4096
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best of the unit vectors (doc_id, v) for each query (query_id, q), by cosine above zero."""
+    few = _best_products(vectors, queries, k, False)
+    if few is None:
+        few = vectors.join(queries, F.lit(True)).select("query_id", "doc_id", F.round(V.dot(F.col("q"), F.col("v")), DIGITS).alias("score")).where("score > 0")
+    return rank_by(few, "score", k)
+
+
 def hashed(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Cosine of hashed bag-of-words vectors with 256 places: one matrix product a batch of documents, or a join on the places for more than FEW_QUERIES queries. Pairs without a common place are left out."""
 
@@ -182,24 +220,27 @@ def hashed(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         sizes = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
         return counts.join(sizes, key).select(key, "at", (F.col("n") / F.col("size")).alias(f"{key}_x"))
 
-    few = _best_products(_dense(docs, "doc_id", "v"), _dense(queries, "query_id", "q"), k, False)
+    few = _best_products(dense(docs, "doc_id", "v"), dense(queries, "query_id", "q"), k, False)
     if few is None:
         pairs = sparse(docs, "doc_id").join(sparse(queries, "query_id"), "at")
         few = pairs.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("doc_id_x") * F.col("query_id_x")), DIGITS).alias("score"))
     return rank_by(few, "score", k)
 
 
-def _dense(df: DataFrame, key: str, name: str, size: int = 256) -> DataFrame:
-    """(key, name): the unit vector of hashed token counts of each text that has tokens; a batch at a time."""
-    rows = df.select(key, F.transform(T.tokens_cjk("text"), lambda t: V.hash_bucket(t)).alias("p")).where(F.size("p") > 0)
+def dense(df: DataFrame, key: str, name: str, size: int = 256) -> DataFrame:
+    """(key, name): the unit vector of hashed token counts of each text that has tokens; a batch's distinct tokens are hashed once."""
+    rows = df.select(key, T.tokens_cjk("text").alias("t")).where(F.size("t") > 0)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, p = b.num_rows, b.column("p")
-            row = np.repeat(np.arange(n), np.diff(p.offsets.to_numpy()))
-            v = np.bincount(row * size + p.flatten().to_numpy(), minlength=n * size).reshape(n, size).astype(np.float64)
-            v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), pa.array(v.ravel()))], [key, name])
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOC_SLICE):
+                b = whole.slice(at, DOC_SLICE)
+                n, coded = b.num_rows, b.column("t").flatten().dictionary_encode()
+                place = np.array([hashlib.md5(t.encode()).digest()[-1] for t in coded.dictionary.to_pylist()], np.int64)
+                row = np.repeat(np.arange(n), b.column("t").value_lengths().to_numpy())
+                v = np.bincount(row * size + place[coded.indices.to_numpy()], minlength=n * size).reshape(n, size).astype(np.float64)
+                v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), pa.array(v.ravel()))], [key, name])
 
     return rows.mapInArrow(work, f"{key} {df.schema[key].dataType.simpleString()}, {name} array<double>")
 

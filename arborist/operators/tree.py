@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import kept
 
 
 def chunk_chars(docs: DataFrame, size: int = 300) -> DataFrame:
@@ -45,16 +46,22 @@ def section_tree(docs: DataFrame, size: int = 400, summary: int = 200) -> DataFr
     return root.unionByName(leaf)
 
 
-def flatten(spark: SparkSession, trees: DataFrame, levels: int = 100) -> DataFrame:
-    """Nodes of JSON trees (doc_id, tree as text): id, title, summary, page_ref, text, children at any depth, pre-order numbered. Broken JSON gives no rows."""
-    trees.select("doc_id", "tree").createOrReplaceTempView("arborist_trees")
-    rows = spark.sql(f"""
-        WITH RECURSIVE t(doc_id, node, depth, path_ord, parent_id) MAX RECURSION LEVEL {levels} AS (
-          SELECT doc_id, try_parse_json(tree), 0, array(0), CAST(NULL AS STRING) FROM arborist_trees WHERE try_parse_json(tree) IS NOT NULL
-          UNION ALL
-          SELECT t.doc_id, c.value, t.depth + 1, concat(t.path_ord, array(c.pos)), coalesce(try_variant_get(t.node, '$.id', 'string'), 'node')
-          FROM t, LATERAL variant_explode(try_variant_get(t.node, '$.children', 'variant')) AS c
-        ) SELECT doc_id, depth, path_ord, parent_id, node FROM t""")
+def flatten(spark: SparkSession, trees: DataFrame) -> DataFrame:
+    """Nodes of JSON trees (doc_id, tree as text): id, title, summary, page_ref, text, children at any depth, pre-order numbered.
+
+    A node without an id is called "node_" and its path, also by its children. Broken JSON gives no rows.
+    Goes down by levels, each written once to shared storage: neither depth nor the number of nodes has a limit.
+    """
+    level = trees.select("doc_id", F.try_parse_json("tree").alias("node")).where("node is not null")
+    level = kept(level.select("doc_id", "node", F.lit(0).alias("depth"), F.array(F.lit(0)).alias("path_ord"), F.lit(None).cast("string").alias("parent_id")))
+    rows = level
+    own = "coalesce(try_variant_get(t.node, '$.id', 'string'), concat('node_', array_join(cast(t.path_ord AS array<string>), '.')))"
+    while not level.isEmpty():
+        level = kept(spark.sql(
+            f"SELECT t.doc_id, c.value AS node, t.depth + 1 AS depth, concat(t.path_ord, array(c.pos)) AS path_ord, {own} AS parent_id "
+            "FROM {level} AS t, LATERAL variant_explode(try_variant_get(t.node, '$.children', 'variant')) AS c", level=level
+        ))
+        rows = rows.unionByName(level)
     get = lambda k: F.expr(f"try_variant_get(node, '$.{k}', 'string')")
     order = Window.partitionBy("doc_id").orderBy("path_ord")
     return rows.select(
@@ -64,13 +71,11 @@ def flatten(spark: SparkSession, trees: DataFrame, levels: int = 100) -> DataFra
     )
 
 
-def rebuild(nodes: DataFrame, levels: int = 10) -> DataFrame:
-    """(doc_id, tree): JSON trees out of nodes, children in order and empty fields left out; one pass for each level."""
+def rebuild(nodes: DataFrame, unnamed: str | None = None) -> DataFrame:
+    """(doc_id, tree): JSON trees out of nodes, children in order and empty fields left out; one pass for each level. unnamed: a column that is true where the id is to be left out."""
     deepest = nodes.agg(F.max("depth")).first()[0]
     if deepest is None:
         return nodes.select("doc_id", F.lit("").alias("tree")).limit(0)
-    if deepest > levels:
-        raise ValueError(f"trees deeper than {levels} levels")
     below = None
     for d in range(deepest, -1, -1):
         here = nodes.where(F.col("depth") == d)
@@ -80,8 +85,10 @@ def rebuild(nodes: DataFrame, levels: int = 10) -> DataFrame:
             here = here.join(grouped.withColumnRenamed("parent_id", "node_id"), ["doc_id", "node_id"], "left")
             kids = F.col("kids")
         fields = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f'"{k}":'), F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1))) for k, c in (("id", "node_id"), ("title", "title"), ("summary", "summary"), ("page_ref", "page_ref"))]
+        if unnamed:
+            fields[0] = F.when(~F.col(unnamed), fields[0])
         fields.append(F.when(kids.isNotNull(), F.concat(F.lit('"children":['), kids, F.lit("]"))))
-        below = here.select("doc_id", "parent_id", "ord", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("tree"))
+        below = kept(here.select("doc_id", "parent_id", "ord", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("tree")))
     return below.select("doc_id", "tree")
 
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from arborist.plans import evaluation, oracle, queries
+from arborist.plans import evaluation, measures, oracle, queries  # noqa: F401 - measures registers queries
 
 ALL = oracle.SQL | evaluation.SQL
 
