@@ -10,7 +10,7 @@ A version is a manifest folder that appears by one rename, after its number was
 exclusive create; readers see a version whole or not at all. Files are never changed in place. A claim
 that no version followed within CLAIM_S is void: the next writer takes the number, and the first one,
 should it still live, finds the name taken and starts again. What dead writers left behind no version
-names; vacuum() removes it. Like any scan's, the list of a version's files is held by the driver.
+names; vacuum() removes it once nothing has changed there for ABANDONED_S. Like any scan's, the list of a version's files is held by the driver.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ TARGET = 32 << 20
 SHARD_ROWS = 2048
 TIER, RUN, FLOOR = 4, 4, 64 << 10
 CLAIM_S = 600.0
+ABANDONED_S = 86_400.0
 MANIFEST = "path string, bytes long, n_rows long, tier int"
 
 
@@ -50,7 +51,7 @@ class ShardStore:
         if version is not None and version not in known:
             raise ValueError(f"no version {version}")
         if not known:
-            return self.spark.createDataFrame([], MANIFEST)
+            return self.spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in map(str.split, MANIFEST.split(", "))])
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{version or known[-1]:08d}")
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -60,7 +61,7 @@ class ShardStore:
             raise ValueError("nothing has been appended yet")
         paths = [r.path for r in self.manifest(version or known[-1]).select("path").collect()]
         schema = self.spark.read.parquet(f"{self.root}/schema").schema
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(paths or [f"{self.root}/schema"]))  # the schema's folder has no rows
 
     def append(self, rows: DataFrame) -> int:
         """Adds rows (any columns and nulls; repeated rows stay) as small shards; gives the new version. All appends need one schema."""
@@ -99,8 +100,14 @@ class ShardStore:
             if not merged:
                 return version
 
-    def vacuum(self, keep: int = 1, older_s: float = 0.0) -> int:
-        """Removes what none of the last `keep` versions names: shards and manifests of older versions, and what writers that died left (if no younger than older_s); the number of shards removed."""
+    def vacuum(self, keep: int = 1, older_s: float = ABANDONED_S) -> int:
+        """Removes what none of the last `keep` versions names: shards and manifests of older versions, and what writers left that died; the number of shards removed.
+
+        A folder that no version names may be that of a writer still at work: it goes only if nothing in
+        it is younger than older_s. What is there is listed before the versions are, so that a
+        writer who commits meanwhile is seen. Readers of the versions that go must be done.
+        """
+        found = [(p, self._youngest(p)) for at in ("data", "manifest") for p in self._children(at)]
         known = self.versions()
         old, live = known[:-keep], known[-keep:]
         names = lambda some: [self.manifest(v).select("path") for v in some]
@@ -113,14 +120,29 @@ class ShardStore:
                 self._fs.delete(self._path(f"{self.root}/manifest/v{v:08d}"), True)
         folder = F.regexp_extract("path", "/data/([0-9a-f]{32})/", 1)
         used = {r[0] for r in union(names(live)).select(folder).distinct().toLocalIterator()} if live else set()
-        now = time.time() * 1000
-        for at, keeps in (("data", lambda n: n in used), ("manifest", lambda n: not n.startswith(".pending-"))):
-            where = self._path(f"{self.root}/{at}")
-            for s in self._fs.listStatus(where) if self._fs.exists(where) else []:
-                if not keeps(s.getPath().getName()) and now - s.getModificationTime() >= older_s * 1000:
-                    self._fs.delete(s.getPath(), True)
+        before = (time.time() - older_s) * 1000
+        for path, changed in found:
+            name = path.getName()
+            loose = name.startswith(".pending-") if path.getParent().getName() == "manifest" else name not in used
+            if loose and changed <= before:
+                self._fs.delete(path, True)
         return count
 
+    def _children(self, at: str) -> list:
+        where = self._path(f"{self.root}/{at}")
+        return [s.getPath() for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+
+    def _youngest(self, path) -> float:
+        """When the last file or folder below a path was changed, in milliseconds; now where it changes as it is read."""
+        try:
+            own = self._fs.getFileStatus(path)
+            below = [self._youngest(s.getPath()) for s in self._fs.listStatus(path)] if own.isDirectory() else []
+            return max([float(own.getModificationTime()), *below])
+        except Exception as why:
+            if "FileNotFound" not in str(why):
+                raise
+            return time.time() * 1000
+
     def _write(self, writer) -> DataFrame:
         at = f"{self.root}/data/{uuid.uuid4().hex}"
         writer.option("compression", "zstd").parquet(at)
@@ -151,8 +173,14 @@ class ShardStore:
     def _wait(self, number: int, claim) -> None:
         """Until the version is there, or its claim is gone or void (then it is removed)."""
         pause = 0.05
-        while number not in self.versions() and self._fs.exists(claim):
-            if time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > self.claim_s:
+        while number not in self.versions():
+            try:
+                made = self._fs.getFileStatus(claim).getModificationTime() / 1000
+            except Exception as why:
+                if "FileNotFound" in str(why):
+                    return
+                raise
+            if time.time() - made > self.claim_s:
                 self._fs.delete(claim, False)
                 return
             time.sleep(pause)

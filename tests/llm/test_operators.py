@@ -446,4 +446,37 @@ def test_a_dead_writer_blocks_no_one(spark, tmp_path):
     store.compact()
     before = len(list((tmp_path / "s" / "data").iterdir()))
     assert store.vacuum() > 0 and store.read().count() == 40
+    store.vacuum(older_s=0.0)
+    assert store.read().count() == 40
     assert len(list((tmp_path / "s" / "data").iterdir())) < before and not list((tmp_path / "s" / "manifest").glob(".pending-*"))
+
+
+def test_vacuum_leaves_writers_at_work_alone(spark, tmp_path):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/s", shard_rows=3)
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "doc_id long, text string")
+    store.append(rows)
+    made = store._write(rows.write)  # a writer that has not committed yet
+    assert store.vacuum() == 0
+    assert store._commit(lambda old: old.unionByName(made)) == 2 and store.read().count() == 40
+    listed = store._children
+
+    def slow(at):  # another writer commits after the folders were listed
+        found = listed(at)
+        if at == "manifest":
+            late = store._write(rows.write)
+            store._commit(lambda old: old.unionByName(late))
+        return found
+
+    store._children = slow
+    store.vacuum(older_s=0.0)
+    assert store.read().count() == 60
+
+
+def test_shards_need_no_python(spark, sf, tmp_path):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/s")
+    plan = store.manifest()._jdf.queryExecution().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan and [f.name for f in store.manifest().schema] == ["path", "bytes", "n_rows", "tier"]
+    docs = table(spark, sf, "documents")
+    store.append(docs)
+    store.compact()
+    assert all("Python" not in d._jdf.queryExecution().toString() for d in (store.manifest(), store.read(), queries.op9_sharding(spark, sf)))
