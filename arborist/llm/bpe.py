@@ -2,8 +2,9 @@
 
 The vocabulary and its merges are read from that file. Where ids are in the order of the merges (as in
 the public byte-level files) tiktoken's core applies them, several times faster and with the same
-ids; for any other file the tokenizers library itself does. White space of LONG characters or more,
-for which the core's pattern would run out of stack, is cut off by the same rule beforehand.
+ids; for any other file the tokenizers library itself does. White space of LONG characters or more, in
+which the core's pattern looks ahead again for every character and at last runs out of stack, is cut
+off by the same rule beforehand: time is linear in a text's length.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import regex
 # Fixed value: the pre-tokenizer's rule of byte-level BPE, as the tokenizers library has it built in.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-LONG = 10_000
+LONG = 300
 _SPACES = regex.compile(r"\p{White_Space}{%d,}+" % LONG)
 
 

@@ -151,6 +151,23 @@ def test_very_long_runs_are_encoded_as_the_library_does(spark):
     assert counted == {i: len(plain.encode(t, add_special_tokens=False).ids) for i, t in enumerate(runs[:5])}
 
 
+def test_white_space_of_any_length_takes_linear_time():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer()
+    plain, ours = Tokenizer.from_file(path), bpe.Encoder(path)
+    for n in (1, 2, 30, 298, 299, 300, 301, 302, 500, 1500, 3000, 9000, 9999, 10_000, 20_000):
+        for c in (" ", "\t", "\n", " \n", "\u3000", "\x85 "):
+            run = (c * n)[:n]
+            for t in (f"{run}a", f"a{run}", f"a{run}b{run} c{run}", f"x{run}<|endoftext|>{run}"):
+                assert ours.encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), (n, c)
+    began = time.time()
+    ours.encode(("\t" * 9_999 + "x") * 50)
+    assert time.time() - began < 5
+
+
 def test_wide_ids_are_refused():
     with pytest.raises(ValueError):
         bpe.Encoder(queries.tokenizer(), "<u1")
