@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, forget, stored
@@ -259,13 +259,13 @@ def _postings(prints: DataFrame, similarity: float) -> DataFrame:
     n = F.col("n").cast("double")
     first = F.col("at") <= n - F.ceil(2 * similarity / (1 + similarity) * n - 1e-9)
     band = F.floor(F.log(n) / math.log(1 / similarity)).cast("int") if similarity < 1 else F.col("n")
-    counted = each.withColumn("k", F.count("*").over(Window.partitionBy("g"))).where("k > 1")  # a document is one row under a shingle, at most
-    shared = stored(counted.withColumns({"first": first, "band": band}), "shared")
+    many = each.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")  # a document is one row under a shingle, at most
+    shared = stored(each.join(many, "g", "left_semi").withColumns({"first": first, "band": band}), "shared")
     lead = F.min(F.struct("cid", "at")).alias("lead")
     holders = [F.bit_xor(F.xxhash64("cid", F.lit(x))).alias(f"h{x}") for x in (0, 1)]
     held = shared.groupBy("g").agg(F.count("*").alias("k"), lead, *holders)
     kept = held.groupBy("k", "h0", "h1", "lead.cid").agg(F.min_by("g", "lead.at").alias("g"), (F.count("*") * F.col("k")).alias("c"))
-    out = stored(shared.drop("k").join(kept.select("g", "c"), "g"), "postings")
+    out = stored(shared.join(kept.select("g", "c"), "g"), "postings")
     forget(shared)
     return out
 
