@@ -124,6 +124,25 @@ def test_embeddings_by_default_find_all_links_along_centroid_differences(spark):
     assert got == dict(enumerate(want.tolist()))
 
 
+@pytest.mark.parametrize("dim", [2, 4, 16, 64])
+@pytest.mark.parametrize("threshold", [0.9, 0.98])
+def test_embeddings_across_many_cells_lose_no_link(spark, dim, threshold):
+    rng = np.random.default_rng(dim)
+    base = rng.normal(size=(12, dim))
+    spread = 0.35 * math.sqrt(2 - 2 * threshold) / math.sqrt(dim)
+    v = np.concatenate([base[rng.integers(0, 12, 260)] + rng.normal(size=(260, dim)) * spread * np.linalg.norm(base, axis=1).mean(), rng.normal(size=(140, dim))])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = (unit @ unit.T) >= threshold
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    root = union_find([(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(linked)))], range(len(v)))
+    want = {i: (int(linked[i].sum()), root[i]) for i in range(len(v))}
+    assert linked.any() and embed_dedup.cells_for(400, 10) == 40 and embed_dedup.cells_for(59, embed_dedup.PER_CELL) > 1
+    for per_cell in (10, embed_dedup.PER_CELL):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicate_vectors(df, threshold, per_cell=per_cell).collect()}
+        assert got == want
+
+
 def test_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
