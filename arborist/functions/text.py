@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 CJK_WORD = "[0-9A-Za-z가-힣]+|[一-鿿]"
-# Small stop lists; every function takes another in their place.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "with")
-QUESTION_WORDS = ("what", "which", "who", "when", "where", "why", "how", "is", "are", "the", "a", "an", "of", "in", "for", "to", "does", "do", "and")
+# Words that carry no content, English and Korean, for context compression and for node scores; every function takes others in their place.
+STOPWORDS = ("the", "a", "an", "is", "are", "was", "were", "be", "been", "은", "는", "이", "가", "을", "를", "의", "에", "에서", "으로", "로")
+QUESTION_WORDS = ("을", "를", "이", "가", "은", "는", "의", "에", "로", "와", "과", "에서", "the", "a", "an", "is", "are", "was", "were")
+#: Particles that follow a Korean noun without a space; a default, callers may pass their own.
+PARTICLES = (
+    "에서는", "에서의", "으로는", "으로의", "에서", "에게", "한테", "께서", "으로", "부터", "까지", "보다", "처럼", "마다", "조차", "밖에", "이나", "이란", "이라", "하고",
+    "은", "는", "이", "가", "을", "를", "의", "에", "로", "와", "과", "도", "만", "나", "란", "랑",
+)
 
 
 def _col(c: Column | str) -> Column:
@@ -50,11 +55,22 @@ def query_keywords(c: Column | str, longer_than: int = 2) -> Column:
 
 
 def question_terms(c: Column | str, stop: tuple[str, ...] = QUESTION_WORDS) -> Column:
-    return F.filter(white_space_tokens(c), lambda x: ~x.isin(*stop))
+    """The distinct white-space tokens outside the stop list."""
+    return F.array_distinct(F.filter(white_space_tokens(c), lambda x: ~x.isin(*stop)))
 
 
-def critical_keywords(c: Column | str) -> Column:
-    return words(c, 3)
+def without_particle(token: Column, particles: tuple[str, ...] = PARTICLES) -> Column:
+    """A Korean token less the longest particle that it ends with, if two syllables are left; others as they are.
+
+    The shortest possible beginning is taken first, hence the longest of the particles.
+    """
+    return F.regexp_replace(token, rf"^([가-힣]{{2,}}?)(?:{'|'.join(particles)})$", "$1")
+
+
+def critical_keywords(c: Column | str, particles: tuple[str, ...] = PARTICLES) -> Column:
+    """Words of four characters or more; in a text with Korean ones, their stems of two syllables or more and the other words of four."""
+    korean = F.filter(F.transform(words(c), lambda x: F.when(x.rlike("^[가-힣]+$"), without_particle(x, particles)).otherwise(x)), lambda x: F.when(x.rlike("^[가-힣]+$"), F.length(x) >= 2).otherwise(F.length(x) > 3))
+    return F.when(_col(c).rlike("[가-힣]"), korean).otherwise(words(c, 3))
 
 
 def char_ngrams(c: Column | str, n: int = 3, collapse: bool = True) -> Column:

@@ -1,19 +1,19 @@
 """Pruned tree traversal: beam and depth-first, adaptive thresholds, recovery.
 
-Two forms of the beam: level by level over whole tables with a fixed threshold (any number of trees
-at once, joins and one window a level), and exact, one (query, tree) a group, where the threshold
-follows the running counts. A tree is bounded by NODES; a group is one tree for one query.
+beam() goes level by level with a fixed threshold; beam_exact() and dfs_exact() with one that follows the
+running counts, which are the state of a (query, tree) pair. All work on any number of trees at once:
+joins, one window a level, and folds over arrays of a bounded length.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import kept
 
-NODES, DEPTHS = 1000, 10
+DEPTHS = 10
 
 
 def keyword_evidence(query: Column, title: Column, summary: Column) -> Column:
@@ -101,122 +101,128 @@ def beam(nodes: DataFrame, scores: DataFrame, width: int = 5, levels: int = 3, t
     return out
 
 
-def tau(base: float, selected: int, total: int, length: int, depth: int) -> float:
-    """The adaptive threshold for plain numbers."""
-    fr = 0.0 if total == 0 else 1 - selected / total
-    rate = -0.15 if fr > 0.9 else -0.10 if fr > 0.7 else 0.10 if fr < 0.3 else 0.0
-    return base + rate + (0.10 if length < 10 else -0.05 if length > 100 else 0.0) + (-0.05 if depth <= 1 else 0.05 if depth >= 4 else 0.0)
+HITS = "query_id long, doc_id long, node_id string, path string, depth int, score double, recovered boolean"
+_CHOSEN = "array<struct<node_id: string, path: string, depth: int, score: double, recovered: boolean>>"
 
 
-HITS = "query_id long, doc_id long, node_id string, path string, depth int, score double, recovered boolean"
+def _hit(node: Column, path: Column, depth: Column, score: Column, recovered: bool) -> Column:
+    return F.array(F.struct(node.alias("node_id"), path.alias("path"), depth.cast("int").alias("depth"), score.cast("double").alias("score"), F.lit(recovered).alias("recovered")))
+
+
+def _struct(**fields: Column) -> Column:
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+
+def _routed(nodes: DataFrame, queries: DataFrame, routes: DataFrame) -> DataFrame:
+    """(query_id, doc_id, query) of the routed pairs whose tree has a node."""
+    trees = nodes.where("depth = 0").select("doc_id").distinct()
+    return routes.select("query_id", "doc_id").distinct().join(trees, "doc_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+
+
+def _trees(nodes: DataFrame) -> DataFrame:
+    """The nodes with their number of children and a summary that is not null."""
+    kids = nodes.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("kids"))
+    return nodes.join(kids, ["doc_id", "node_id"], "left").select("doc_id", "node_id", "parent_id", "ord", "depth", "path_ord", "title", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("kids", F.lit(0)).alias("kids"))
+
 
+def beam_exact(nodes: DataFrame, queries: DataFrame, routes: DataFrame, width: int = 5, levels: int = 5, base: float = 0.2, semantic: Column | None = None) -> DataFrame:
+    """HITS of a beam over every routed (query, tree) at once, with thresholds that follow the running counts.
 
-def _tree(rows: pd.DataFrame) -> tuple[dict, dict, list]:
-    rows = rows.sort_values(["depth", "ord"], kind="stable")
-    info, kids, roots = {}, {}, []
-    for r in rows.itertuples():
-        info[r.node_id] = r
-        if r.parent_id is None or r.parent_id != r.parent_id:
-            roots.append(r.node_id)
-        else:
-            kids.setdefault(r.parent_id, []).append(r.node_id)
-    return info, kids, roots
-
-
-def _beam_one(rows: pd.DataFrame, width: int, levels: int, base: float) -> list[tuple]:
-    info, kids, roots = _tree(rows)
-    length = len(rows["query"].iloc[0])
-    front = [(r, 1.0, info[r].title) for r in roots[:1]]
-    seen: set[str] = set()
-    chosen: list[tuple] = []
+    The state of a pair is one row: its counts, what it has chosen, and its front of `width` nodes at most,
+    best first. A level goes along the fronts in order (a node that may not grow is chosen if its score passes
+    the threshold at that moment), joins the children of the others, scores them and keeps the best. Where
+    nothing grows, what is left of the front is held against the threshold once more. Work follows the
+    nodes that are reached. Node ids are unique in a tree; ties go by the order of the front, then of children.
+    """
+    sem = F.lit(0.5) if semantic is None else semantic
+    trees = kept(_trees(nodes))
+    root = trees.where("depth = 0").select("doc_id", F.array(_struct(pos=F.lit(1), node_id=F.col("node_id"), kids=F.col("kids"), score=F.lit(1.0), path=F.col("title"))).alias("front"))
+    state = _routed(nodes, queries, routes).join(root, "doc_id").select(
+        "query_id", "doc_id", "query", F.length("query").alias("size"), "front", F.lit(0).alias("sel"), F.lit(0).alias("vis"), F.lit(None).cast(_CHOSEN).alias("chosen")
+    )
+    state = state.withColumn("chosen", F.coalesce("chosen", F.array().cast(_CHOSEN)))
+    done = None
     for depth in range(levels):
-        grown = []
-        for node, score, path in front:
-            if node in seen:
-                continue
-            seen.add(node)
-            below = kids.get(node, [])
-            if below and depth < levels - 1:
-                grown += [(k, score * info[k].score, f"{path} > {info[k].title}") for k in below]
-            elif score >= tau(base, len(chosen), len(seen), length, depth):
-                chosen.append((node, path, depth, score, False))
-        if not grown:
-            break
-        front = sorted(grown, key=lambda x: -x[1])[:width]
-    have = {c[0] for c in chosen}
-    for node, score, path in front:
-        if node not in have and score >= tau(base, len(chosen), len(seen), length, info[node].depth):
-            chosen.append((node, path, int(info[node].depth), score, False))
-    return sorted(chosen, key=lambda c: -c[3])
-
-
-def _dfs_one(rows: pd.DataFrame, branches: int, levels: int, base: float) -> list[tuple]:
-    info, kids, roots = _tree(rows)
-    query = rows["query"].iloc[0]
-    stack = [(r, 0, "") for r in roots[:1]]
-    seen, chosen, rejected, pops = set(), [], [], 0
-    while stack:
-        node, depth, above = stack.pop()
-        pops += 1
-        if pops > NODES:
-            raise ValueError(f"more than {NODES} nodes visited")
-        if depth >= levels or node in seen:
-            continue
-        seen.add(node)
-        r = info[node]
-        path = f"{above} > {r.title}" if above else r.title
-        thin = len(r.summary or "") < 20 and len(r.title or "") < 10
-        good = depth == 0 or (not thin and r.gate > tau(base, len(chosen), pops, len(query), depth))
-        if not good:
-            rejected.append((node, path))
-            continue
-        below = kids.get(node, [])
-        if not below or depth >= levels - 1:
-            chosen.append((node, path, depth, float(r.gate), False))
-        for k in reversed(below[:branches]):
-            stack.append((k, depth + 1, path))
-    n, m = len(chosen), len(rejected)
-    if (n == 0 and m >= 1) or (n < 2 and m > 2 * n):
-        words = {w for w in rows["critical"].iloc[0]}
-        picked = []
-        for node, path in rejected:
-            title = (info[node].title or "").lower()
-            hits = sum(w in title for w in words)
-            if hits >= 2 or (hits >= 1 and len(title.split()) >= 3):
-                picked.append((node, "[RECOVERED] " + path, 1, float(info[node].gate), True))
-        chosen += picked[:3]
-    return chosen
-
-
-def traverse_exact(nodes: DataFrame, queries: DataFrame, algorithm: str = "beam", width: int = 5, branches: int = 3, levels: int = 5, base: float | None = None, semantic: Column | None = None, routes: DataFrame | None = None) -> DataFrame:
-    """HITS of every query on every tree, one (query, tree) a group, with the thresholds that follow the running counts.
-
-    nodes as in section_tree; queries (query_id, text). semantic is a column expression over query,
-    title and summary (0.5 by default). Trees hold up to NODES nodes by contract. With routes (query_id,
-    doc_id) only those trees are visited, so that work follows the routed pairs.
+        d = F.lit(depth)
+        grows = lambda x: (x["kids"] > 0) if depth < levels - 1 else F.lit(False)  # noqa: B023, E731
+
+        def step(a: Column, x: Column) -> Column:
+            vis = a["vis"] + 1
+            take = ~grows(x) & (x["score"] >= adaptive_threshold(F.lit(base), a["sel"], vis, a["size"], d))  # noqa: B023
+            hit = _hit(x["node_id"], x["path"], d, x["score"], False)  # noqa: B023
+            return _struct(sel=a["sel"] + take.cast("int"), vis=vis, size=a["size"], chosen=F.when(take, F.concat(a["chosen"], hit)).otherwise(a["chosen"]))
+
+        state = state.withColumn("s", F.aggregate("front", _struct(sel=F.col("sel"), vis=F.col("vis"), size=F.col("size"), chosen=F.col("chosen")), step))
+        state = kept(state.select("query_id", "doc_id", "query", "size", "front", "s.sel", "s.vis", "s.chosen", F.exists("front", grows).alias("more")))
+        still = state.where("not more")
+        done = still if done is None else done.unionByName(still)
+        up = state.where("more").select("query_id", "doc_id", "query", F.explode(F.filter("front", grows)).alias("f"))
+        step2 = up.select("query_id", "doc_id", "query", F.col("f.node_id").alias("parent_id"), F.col("f.pos").alias("above"), F.col("f.score").alias("held"), F.col("f.path").alias("front")).join(trees, ["doc_id", "parent_id"])
+        own = beam_score(sem, term_share(F.col("query"), F.concat_ws(" ", "title", "summary")), F.col("depth"))
+        best = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "above", "ord", "node_id")
+        step2 = step2.withColumn("score", F.col("held") * own).withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= width)
+        item = _struct(pos=F.col("pos"), node_id=F.col("node_id"), kids=F.col("kids"), score=F.col("score"), path=F.concat("front", F.lit(" > "), "title"))
+        fronts = step2.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(item)).alias("front"))
+        state = state.where("more").drop("front", "more").join(fronts, ["query_id", "doc_id"])
+
+    def sweep(a: Column, x: Column) -> Column:
+        there = F.exists(a["chosen"], lambda c: c["node_id"] == x["node_id"])
+        take = ~there & (x["score"] >= adaptive_threshold(F.lit(base), a["sel"], a["vis"], a["size"], a["depth"]))
+        hit = _hit(x["node_id"], x["path"], a["depth"], x["score"], False)
+        return _struct(sel=a["sel"] + take.cast("int"), vis=a["vis"], size=a["size"], depth=a["depth"], chosen=F.when(take, F.concat(a["chosen"], hit)).otherwise(a["chosen"]))
+
+    ends = done.join(trees.select("doc_id", F.col("node_id").alias("first"), "depth"), (done.doc_id == trees.doc_id) & (F.get("front", F.lit(0))["node_id"] == F.col("first"))).select(done["*"], "depth")
+    last = ends.withColumn("s", F.aggregate("front", _struct(sel=F.col("sel"), vis=F.col("vis"), size=F.col("size"), depth=F.col("depth"), chosen=F.col("chosen")), sweep))
+    return last.select("query_id", "doc_id", F.inline("s.chosen"))
+
+
+def dfs_exact(nodes: DataFrame, queries: DataFrame, routes: DataFrame, branches: int = 3, levels: int = 5, base: float = 0.5, semantic: Column | None = None) -> DataFrame:
+    """HITS of a depth-first search over every routed (query, tree), with thresholds that follow the running counts.
+
+    A tree's first `branches` children at each node, down to `levels`, are at most (branches^(levels + 1) - 1) /
+    (branches - 1) nodes: in pre-order they are one array, along which the search is one fold. A node below a
+    rejected one is passed over. Where too little was chosen, up to three rejected nodes whose titles hold the
+    query's critical words come back. path_ord counts siblings from 0.
     """
-    if levels > DEPTHS:
-        raise ValueError(f"at most {DEPTHS} levels")
     sem = F.lit(0.5) if semantic is None else semantic
-    asked = queries.select("query_id", F.col("text").alias("query"))
-    met = nodes.crossJoin(asked) if routes is None else nodes.join(routes.select("query_id", "doc_id").distinct(), "doc_id").join(asked, "query_id")
-    pairs = met.select("query_id", "doc_id", "node_id", "parent_id", "ord", "depth", "title", F.coalesce("summary", F.lit("")).alias("summary"), "query")
-    body = F.concat_ws(" ", "title", "summary")
+    near = _trees(nodes).where((F.col("depth") <= levels) & F.forall(F.slice("path_ord", F.lit(2), F.greatest(F.size("path_ord") - 1, F.lit(0))), lambda x: x < branches))
+    pairs = _routed(nodes, queries, routes).join(near, "doc_id")
+    critical = F.array_distinct(T.critical_keywords("query"))
+    words = F.size(F.filter(critical, lambda x: F.contains(F.lower("title"), x)))
     pairs = pairs.withColumns({
-        "score": beam_score(sem, term_share(F.col("query"), body), F.col("depth")),
-        "gate": 0.7 * sem + 0.3 * keyword_evidence(F.col("query"), F.col("title"), F.col("summary")),
-        "critical": T.critical_keywords("query"),
+        "gate": (0.7 * sem + 0.3 * keyword_evidence(F.col("query"), F.col("title"), F.col("summary"))).cast("double"),
+        "thin": (F.length("summary") < 20) & (F.length(F.coalesce("title", F.lit(""))) < 10),
+        "known": (words >= 2) | ((words >= 1) & (F.size(T.white_space_tokens("title")) >= 3)),
     })
-    start = base if base is not None else (0.2 if algorithm == "beam" else 0.5)
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        got = _beam_one(rows, width, levels, start) if algorithm == "beam" else _dfs_one(rows, branches, levels, start)
-        frame = pd.DataFrame(got, columns=["node_id", "path", "depth", "score", "recovered"])
-        frame.insert(0, "doc_id", key[1])
-        frame.insert(0, "query_id", key[0])
-        return frame
-
-    return pairs.groupBy("query_id", "doc_id").applyInPandas(one, HITS)
+    rows = pairs.groupBy("query_id", "doc_id", F.length("query").alias("size")).agg(F.array_sort(F.collect_list(F.struct("path_ord", "node_id", "title", "depth", "kids", "gate", "thin", "known"))).alias("nodes"))
+    none = F.array().cast(_CHOSEN)
+    zero = _struct(sel=F.lit(0), pops=F.lit(0), skip=F.lit(1 << 20), size=F.col("size"), paths=F.array().cast("array<string>"), chosen=none, rejected=none, m=F.lit(0))
+
+    def step(a: Column, x: Column) -> Column:
+        inside, deep = x["depth"] <= a["skip"], x["depth"] >= levels
+        pops = a["pops"] + inside.cast("int")
+        met = inside & ~deep
+        path = F.when(x["depth"] == 0, x["title"]).otherwise(F.concat(F.element_at(a["paths"], -1 - F.size(a["paths"]) + x["depth"]), F.lit(" > "), x["title"]))
+        good = (x["depth"] == 0) | (~x["thin"] & (x["gate"] > adaptive_threshold(F.lit(base), a["sel"], pops, a["size"], x["depth"])))
+        take, drop = met & good & ((x["kids"] == 0) | (x["depth"] >= levels - 1)), met & ~good
+        back = F.concat(a["rejected"], _hit(x["node_id"], F.concat(F.lit("[RECOVERED] "), path), F.lit(1), x["gate"], True))
+        return _struct(
+            sel=a["sel"] + take.cast("int"), pops=pops, skip=F.when(drop, x["depth"]).when(inside, F.lit(1 << 20)).otherwise(a["skip"]), size=a["size"],
+            paths=F.when(met, F.concat(F.slice(a["paths"], F.lit(1), x["depth"]), F.array(path))).otherwise(a["paths"]),
+            chosen=F.when(take, F.concat(a["chosen"], _hit(x["node_id"], path, x["depth"], x["gate"], False))).otherwise(a["chosen"]),
+            rejected=F.when(drop & x["known"], back).otherwise(a["rejected"]), m=a["m"] + drop.cast("int"),
+        )
+
+    found = rows.select("query_id", "doc_id", F.aggregate("nodes", zero, step).alias("s"))
+    more = F.when(over_filtered(F.col("s.sel"), F.col("s.m")), F.slice("s.rejected", 1, 3)).otherwise(none)
+    return found.select("query_id", "doc_id", F.inline(F.concat("s.chosen", more)))
+
+
+def traverse_exact(nodes: DataFrame, queries: DataFrame, algorithm: str, routes: DataFrame, **kwargs) -> DataFrame:
+    """HITS of beam_exact ("beam") or dfs_exact ("dfs") on the routed (query_id, doc_id) pairs."""
+    if kwargs.get("levels", 1) > DEPTHS:
+        raise ValueError(f"at most {DEPTHS} levels")
+    return (beam_exact if algorithm == "beam" else dfs_exact)(nodes, queries, routes, **kwargs)
 
 
 def traverse_auto(nodes: DataFrame, queries: DataFrame, routes: DataFrame, margin: float = 0.15, **kwargs) -> DataFrame:

@@ -126,13 +126,118 @@ def test_exact_traversal(spark):
     trees = spark.createDataFrame([(7, json.dumps(TREE))], "doc_id long, tree string")
     nodes = X.flatten(spark, trees)
     q = spark.createDataFrame([(1, "quality control limits")], "query_id long, text string")
-    beam = W.traverse_exact(nodes, q, "beam").collect()
-    assert {r.node_id for r in beam} == {"a1", "a2", "b"} and [r.score for r in beam] == sorted((r.score for r in beam), reverse=True)
-    dfs = {r.node_id: r for r in W.traverse_exact(nodes, q, "dfs").collect()}
+    routes = spark.createDataFrame([(1, 7), (1, 7), (1, 8), (2, 7)], "query_id long, doc_id long")
+    assert {r.node_id for r in W.traverse_exact(nodes, q, "beam", routes).collect()} == {"a1", "a2", "b"}
+    dfs = {r.node_id: r for r in W.traverse_exact(nodes, q, "dfs", routes).collect()}
     assert all(not r.recovered or r.path.startswith("[RECOVERED] ") for r in dfs.values())
-    assert W.tau(0.6, 1, 100, 20, 1) == pytest.approx(0.40) and W.tau(0.6, 90, 100, 20, 1) == pytest.approx(0.65) and W.tau(0.6, 50, 100, 5, 1) == pytest.approx(0.65) and W.tau(0.6, 50, 100, 150, 1) == pytest.approx(0.50)
     with pytest.raises(ValueError):
-        W.traverse_exact(nodes, q, "beam", levels=11)
+        W.traverse_exact(nodes, q, "beam", routes, levels=11)
+
+
+def tau(base, selected, total, length, depth):
+    fr = 0.0 if total == 0 else 1 - selected / total
+    rate = -0.15 if fr > 0.9 else -0.10 if fr > 0.7 else 0.10 if fr < 0.3 else 0.0
+    return base + rate + (0.10 if length < 10 else -0.05 if length > 100 else 0.0) + (-0.05 if depth <= 1 else 0.05 if depth >= 4 else 0.0)
+
+
+def plain_share(query, node):
+    import re
+
+    terms = {w for w in re.split(r"\s+", query.lower()) if w} - set(T.QUESTION_WORDS)
+    body = f"{node['title']} {node['summary']}".lower()
+    return sum(t in body for t in terms) / len(terms) if terms else 0.5
+
+
+def plain_gate(query, node):
+    import re
+
+    keys = [w for w in re.findall(r"\w+", query.lower()) if len(w) > 2]
+    if not keys:
+        return 0.7 * 0.5 + 0.3 * 0.3
+    part = lambda c: sum(k in node[c].lower() for k in keys) / len(keys)
+    return 0.7 * 0.5 + 0.3 * (0.4 * part("title") + 0.6 * part("summary"))
+
+
+def plain_beam(tree, query, width, levels, base):
+    front, chosen, visited = [(tree, 1.0, tree["title"], 0)], [], 0
+    for depth in range(levels):
+        grown = []
+        for node, score, path, _ in front:
+            visited += 1
+            if node["children"] and depth < levels - 1:
+                for c in node["children"]:
+                    own = 0.6 * 0.5 + 0.2 * plain_share(query, c) + 0.2 * max(0.3, 1.0 - 0.1 * (depth + 1))
+                    grown.append((c, score * own, f"{path} > {c['title']}", depth + 1))
+            elif score >= tau(base, len(chosen), visited, len(query), depth):
+                chosen.append((node["id"], path, depth, score))
+        if not grown:
+            break
+        front = sorted(grown, key=lambda x: -x[1])[:width]
+    for node, score, path, depth in front:
+        if node["id"] not in {c[0] for c in chosen} and score >= tau(base, len(chosen), visited, len(query), depth):
+            chosen.append((node["id"], path, depth, score))
+    return sorted((i, p, d, round(s, 9), False) for i, p, d, s in chosen)
+
+
+def plain_dfs(tree, query, branches, levels, base):
+    import re
+
+    stack, chosen, rejected, pops = [(tree, 0, "")], [], [], 0
+    while stack:
+        node, depth, above = stack.pop()
+        pops += 1
+        if depth >= levels:
+            continue
+        path = f"{above} > {node['title']}" if above else node["title"]
+        gate = plain_gate(query, node)
+        thin = len(node["summary"]) < 20 and len(node["title"]) < 10
+        if depth and (thin or not gate > tau(base, len(chosen), pops, len(query), depth)):
+            rejected.append((node, path, gate))
+            continue
+        if not node["children"] or depth >= levels - 1:
+            chosen.append((node["id"], path, depth, round(gate, 9), False))
+        stack += [(c, depth + 1, path) for c in reversed(node["children"][:branches])]
+    n, m = len(chosen), len(rejected)
+    if (n == 0 and m >= 1) or (n < 2 and m > 2 * n):
+        critical = {w for w in re.findall(r"\w+", query.lower()) if len(w) > 3}
+        good = []
+        for node, path, gate in rejected:
+            hits = sum(w in node["title"].lower() for w in critical)
+            if hits >= 2 or (hits >= 1 and len(node["title"].split()) >= 3):
+                good.append((node["id"], f"[RECOVERED] {path}", 1, round(gate, 9), True))
+        chosen += good[:3]
+    return sorted(chosen)
+
+
+def test_traversal_over_all_pairs_equals_plain_traversal(spark):
+    rng = random.Random(11)
+    words = ["quality", "control", "limits", "risk", "safety", "scope", "of", "the", "annex", "review"]
+    say = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randrange(a, b)))
+
+    def grow(name, depth):
+        kids = [grow(f"{name}.{i}", depth + 1) for i in range(rng.choice([0, 1, 2, 4, 6] if depth else [3, 5]))] if depth < 6 and rng.random() < 0.75 ** max(0, depth - 1) else []
+        return {"id": name, "title": say(1, 5), "summary": say(0, 12), "children": kids}
+
+    trees = {i: grow(f"t{i}", 0) for i in range(14)}
+    asked = {1: "quality control limits", 2: "the of", 3: "safety risk review annex scope " * 5, 4: "is", 5: "review of safety and quality in scope"}
+    nodes = X.flatten(spark, spark.createDataFrame([(i, json.dumps(t)) for i, t in trees.items()], "doc_id long, tree string"))
+    q = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    routes = q.select("query_id").crossJoin(spark.createDataFrame([(i,) for i in trees], "doc_id long"))
+    for algorithm, plain, ways in (("beam", plain_beam, ({"width": 5, "levels": 5, "base": 0.2}, {"width": 2, "levels": 3, "base": 0.05})), ("dfs", plain_dfs, ({"branches": 3, "levels": 5, "base": 0.5}, {"branches": 2, "levels": 4, "base": 0.42}))):
+        for way in ways:
+            got = {}
+            for r in W.traverse_exact(nodes, q, algorithm, routes, **way).collect():
+                got.setdefault((r.query_id, r.doc_id), []).append((r.node_id, r.path, r.depth, round(r.score, 9), r.recovered))
+            want = {(k, i): plain(t, text, *way.values()) for k, text in asked.items() for i, t in trees.items()}
+            assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}, (algorithm, way)
+
+
+def test_korean_forms(spark):
+    row = spark.sql("SELECT '초음파의 원리와 심장에서는 blood pressure 측정을 나는' AS t").select(T.critical_keywords("t").alias("k"), T.question_terms("t").alias("q"), T.content_tokens("t").alias("c")).first()
+    assert row.k == ["초음파", "원리", "심장", "blood", "pressure", "측정", "나는"]
+    assert row.q == ["초음파의", "원리와", "심장에서는", "blood", "pressure", "측정을", "나는"]
+    assert spark.sql("SELECT '에서 the Cat 의 is a 고양이 에' AS t").select(T.content_tokens("t").alias("c"), T.question_terms("t").alias("q")).first() == (["cat", "고양이"], ["cat", "고양이"])
+    assert spark.sql("SELECT 'to be or not that question' AS t").select(T.critical_keywords("t").alias("k")).first().k == ["that", "question"]
 
 
 def test_paths_on_a_chain(spark):

@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from arborist.plans import evaluation, measures, oracle, queries  # noqa: F401 - measures registers queries
+from arborist.plans import evaluation, measures, oracle, queries, twins  # noqa: F401 - measures registers queries
 
-ALL = oracle.SQL | evaluation.SQL
+ALL = oracle.SQL | evaluation.SQL | twins.SQL
 
 EMPTY: set[str] = set()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
