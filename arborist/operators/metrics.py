@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import quantiles
 
 
 def rank_metrics(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10, 20), digits: int = 6) -> DataFrame:
@@ -107,15 +108,27 @@ def identical_answers(a: DataFrame, b: DataFrame, prefix: int = 80) -> DataFrame
 
 
 def latency(log: DataFrame, by: tuple[str, ...], value: str = "value") -> DataFrame:
-    """Mean, median, deviation and interpolated percentiles of a measure."""
-    q = lambda p: F.round(F.percentile(value, F.lit(p)), 6)
-    return log.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), q(0.5).alias("median"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("stdev"), q(0.95).alias("p95"), q(0.99).alias("p99"))
+    """Mean, median, deviation and interpolated percentiles of a measure.
 
-
-def nearest_rank(log: DataFrame, by: tuple[str, ...], value: str = "value", p: float = 0.95, ties: str = "event_id") -> DataFrame:
-    """The value at place floor(p n) from 0, without gathering a group: by row_number."""
+    Spark's percentile keeps a group's distinct values together; where the largest group has more than
+    quantiles.MOST rows, its exact values are found without that (see quantiles).
+    """
+    shares = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    own = [F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("stdev")]
+    if quantiles.largest_group(log, by) <= quantiles.MOST:
+        j = log.groupBy(*by).agg(*own, *[F.percentile(value, F.lit(p)).alias(c) for c, p in shares.items()])
+    else:
+        each = log.groupBy(F.struct(*by).alias("g")).agg(*own)
+        j = each.join(quantiles.interpolated(log, by, value, shares), "g", "left").select("g.*", *[c for c in ("n", "mean", "stdev")], *shares)
+    return j.select(*by, "n", "mean", F.round("median", 6).alias("median"), "stdev", F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99"))
+
+
+def nearest_rank(log: DataFrame, by: tuple[str, ...], value: str = "value", p: float = 0.95) -> DataFrame:
+    """The value at place floor(p n) from 0 of each group; of one with more than quantiles.MOST rows without sorting it in one task (see quantiles)."""
+    if quantiles.largest_group(log, by) > quantiles.MOST:
+        return quantiles.nearest(log, by, value, p).select("g.*", F.col("x").alias("nearest"))
     w = Window.partitionBy(*by)
-    ranked = log.withColumns({"r": F.row_number().over(w.orderBy(value, ties)) - 1, "n": F.count("*").over(w)})
+    ranked = log.where(F.col(value).isNotNull()).withColumns({"r": F.row_number().over(w.orderBy(value)) - 1, "n": F.count("*").over(w)})
     return ranked.where(F.col("r") == F.least(F.floor(F.col("n") * p), F.col("n") - 1)).select(*by, F.col(value).alias("nearest"))
 
 

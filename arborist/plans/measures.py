@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import context, folds
 from ..operators import experiments as X
 from ..operators import power as P
 from ..operators import resampling as B
@@ -16,8 +17,9 @@ from ..sources.embedding_index import EmbeddingIndex
 from ..sources.shared import kept, shared_dir
 from ..streaming import expiry
 from . import oracle as O
+from . import twins
 from .evaluation import twin
-from .queries import asked, docs, geo, pairs, query, read, systems, timed
+from .queries import asked, chunk_scores, docs, geo, pairs, query, read, systems, timed
 
 CJK = "regexp_extract_all(lower({0}), '[0-9A-Za-z가-힣]+|[一-鿿]')"
 
@@ -327,3 +329,18 @@ def session_merges(spark, sf):
     store.merge(c.where("conv_id % 10 = 0").select(F.col("conv_id").cast("string").alias("session_id"), as_json(F.col("n") + 1000).alias("session")))
     store.delete(rows.where("conv_id % 7 = 3"))
     return store.table.read()
+
+
+# sequences as table functions
+
+
+@twin(f"SELECT grp::VARCHAR AS grp, ord, leader FROM ({twins.SQL['leader_merge']})")
+def leader_merge_streamed(spark, sf):
+    c = chunk_scores(spark, sf).select(F.col("query_id").alias("grp"), F.col("rank").alias("ord"), "text")
+    return folds.streamed_leaders(c, 0.3)
+
+
+@twin(f"SELECT grp::VARCHAR AS grp, ord, n_tokens, taken FROM ({twins.SQL['budget_truncate']})")
+def budget_truncate_streamed(spark, sf):
+    c = context.relevance(chunk_scores(spark, sf), ("query_id", "chunk_id", "rank")).select(F.col("query_id").alias("grp"), F.col("rank").alias("ord"), "score", F.floor(F.length("text") / 3).alias("n_tokens"))
+    return folds.streamed_budget(c, 500)

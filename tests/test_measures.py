@@ -12,7 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborist.operators import experiments as X
+from arborist.operators import metrics as M
 from arborist.operators import power as P
+from arborist.operators import quantiles as Q
 from arborist.operators import resampling as B
 from arborist.operators import retrieval as R
 from arborist.operators import similarity as Y
@@ -405,3 +407,22 @@ def test_all_systems_answer_every_question(spark, folder):
     assert whole[("treerag_dfs", "recall@3")].n == 2 and whole[("raptor", "recall@5")].mean == 0.0 and whole[("bm25", "answer_length")].n == 4
     grid = {(r.system, r.branches, r.k): r for r in X.ablation_grid(nodes, q, gold, {"dfs": X.tree_dfs, "bm25": X.bm25}, (1, 3)).collect()}
     assert {(s, b) for s, b, _ in grid} == {("dfs", 1), ("dfs", 3), ("bm25", 1), ("bm25", 3)} and grid[("bm25", 3, 3)].recall >= grid[("bm25", 1, 3)].recall
+
+
+# quantiles
+
+
+@pytest.mark.parametrize("most", [1_000_000, 5])
+def test_quantiles_are_exact_without_gathering_a_group(spark, monkeypatch, most):
+    rng = random.Random(4)
+    monkeypatch.setattr(Q, "MOST", most)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(2500)] + [("b", float(rng.randrange(4))) for _ in range(700)] + [("one", 3.5), ("none", None), (None, 1.0), (None, 2.0), ("same", 7.0), ("same", 7.0), ("skew", 1e9)] + [("skew", 0.001 * i * i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(5)
+    got = {r.g: r for r in M.latency(df, ("g",)).collect()}
+    assert got["none"].n == 0 and got["none"].median is None and set(got) == {"a", "b", "one", "none", None, "same", "skew"}
+    near = {r.g: r.nearest for r in M.nearest_rank(df, ("g",)).collect()}
+    for g in ("a", "b", "one", None, "same", "skew"):
+        x = np.array(sorted(v for k, v in rows if k == g and v is not None))
+        for name, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99)):
+            assert got[g][name] == pytest.approx(float(np.percentile(x, 100 * p)), abs=2e-6), (g, name)
+        assert near[g] == x[min(int(len(x) * 0.95), len(x) - 1)]
