@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .power import paired_t_exact
+from .statistics import phi
+
 
 def _r(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits)
@@ -65,6 +68,30 @@ def pairwise_wins(metrics: DataFrame, names: tuple[str, ...], system: str = "sys
     return j.groupBy("first", "second", "metric").agg(F.count("*").alias("n"), _r(F.avg(F.col("x") - F.col("y"))).alias("mean_diff"), count(F.col("x") > F.col("y")).alias("wins"), count(F.col("x") < F.col("y")).alias("losses"), count(F.col("x") == F.col("y")).alias("ties"))
 
 
+def pairwise_tests(metrics: DataFrame, names: tuple[str, ...], system: str = "system", key: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """pairwise_wins with the exact paired t test beside them: t, p, d_z, and the winner where p is below 0.05 after correction over all rows (Bonferroni: there are few)."""
+    long = metrics.select(system, *key, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("x")) for n in names])).alias("m")).select(F.col(system).alias("first"), *key, "m.metric", F.col("m.x").alias("a"))
+    pairs = long.join(long.withColumnsRenamed({"first": "second", "a": "b"}), [*key, "metric"]).where("first < second and a is not null and b is not null")
+    tests = paired_t_exact(pairs, ("first", "second", "metric"), digits=9)
+    wins = pairwise_wins(metrics, names, system, key)
+    j = wins.join(tests.select("first", "second", "metric", "t", "p", "d_z"), ["first", "second", "metric"], "left")
+    n = F.count("p").over(Window.partitionBy())  # a row for each pair of systems and metric
+    sure = F.col("p") * n < 0.05
+    return j.withColumn("winner", F.when(sure, F.when(F.col("t") > 0, F.col("first")).otherwise(F.col("second")))).withColumns({c: _r(F.col(c)) for c in ("t", "p", "d_z")})
+
+
+def rating_tests(pairs: DataFrame, by: tuple[str, ...], key: str) -> DataFrame:
+    """(by..., n, w, z, p, r): the signed-rank test of (key, a, b) in each group, a rating's dimension and rival, say; as statistics.wilcoxon, over groups that fit a task."""
+    d = pairs.select(*by, key, (F.col("a") - F.col("b")).alias("d")).where("d <> 0")
+    ranked = d.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.round(F.abs("d"), 9), key)))
+    up, down = (F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0)).cast("double") for c in (F.col("d") > 0, F.col("d") < 0))
+    g = ranked.groupBy(*by).agg(F.count("*").cast("double").alias("n"), F.least(up, down).alias("w"))
+    n = F.col("n")
+    z = (F.col("w") - n * (n + 1) / 4.0) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0)
+    g = g.withColumn("z", z)
+    return g.select(*by, n.cast("long").alias("n"), "w", _r(F.col("z")).alias("z"), _r(2.0 * (1.0 - phi(F.abs("z")))).alias("p"), _r(F.abs("z") / F.sqrt(n)).alias("r"))
+
+
 def ablation_deltas(configs: DataFrame, value: str, full: str, config: str = "config") -> DataFrame:
     """Adds delta against the full configuration (null without one) and its size as importance; configs has a row for each configuration, a report's few."""
     base = configs.where(F.col(config) == full).agg(F.max(value).alias("__full"))

@@ -186,6 +186,11 @@ def extractive(hits: DataFrame) -> DataFrame:
     return rows.select("question_id", F.array_join(F.transform("h", lambda x: x["part"]), " ").alias("answer"), F.transform("h", lambda x: x["node_id"]).alias("retrieved"))
 
 
+def citation_available(hits: DataFrame) -> DataFrame:
+    """(question_id, available): whether any node found says its page."""
+    return hits.groupBy("question_id").agg(F.bool_or(F.coalesce("page_ref", F.lit("")) != "").alias("available"))
+
+
 ROWS = (
     "question_id long, doc_id long, category string, answer string, retrieved array<string>, retrieved_count int, context_tokens long, "
     "chosen string, rouge_l double, bertscore double, entity_recall double"

@@ -23,6 +23,72 @@ def infer_edges(pairs: DataFrame, nodes: DataFrame, least: float = 0.6, scorer=N
     return j.select("doc_id", "src", "dst", F.lit("similar").alias("edge_type"), F.round(conf, 6).alias("confidence"), F.lit(True).alias("bidirectional")).where(F.col("confidence") >= least)
 
 
+def by_words(a: Column, b: Column) -> Column:
+    """A deterministic stand-in for a judged relation of two texts: the one with more distinct words elaborates on the other, as surely as their words are the same."""
+    x, y = T.word_set(a), T.word_set(b)
+    way = F.when(F.size(x) < F.size(y), "a_to_b").when(F.size(x) > F.size(y), "b_to_a").otherwise("bidirectional")
+    return F.struct(F.lit("elaboration").alias("relationship"), F.round(T.jaccard(x, y), 6).alias("confidence"), way.alias("direction"))
+
+
+def infer_relations(pairs: DataFrame, nodes: DataFrame, relate=by_words, least: float = 0.6, longest: int = 500) -> DataFrame:
+    """Typed edges between pairs (doc_id, src, dst): relate(text a, text b) gives a struct of relationship (or "none"), confidence and direction (a_to_b, b_to_a, bidirectional)."""
+    body = nodes.select("doc_id", "node_id", F.concat_ws(" ", "title", F.substring("summary", 1, longest)).alias("body"))
+    j = pairs.join(body.select("doc_id", F.col("node_id").alias("src"), F.col("body").alias("a")), ["doc_id", "src"]).join(body.select("doc_id", F.col("node_id").alias("dst"), F.col("body").alias("b")), ["doc_id", "dst"])
+    j = j.withColumn("r", relate(F.col("a"), F.col("b"))).where((F.col("r.relationship") != "none") & (F.col("r.confidence") >= least))
+    back = F.col("r.direction") == "b_to_a"
+    return j.select(
+        "doc_id", F.when(back, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(back, F.col("src")).otherwise(F.col("dst")).alias("dst"), F.col("r.relationship").alias("edge_type"),
+        F.col("r.confidence").alias("confidence"), (F.col("r.direction") == "bidirectional").alias("bidirectional"),
+    )
+
+
+def build(nodes: DataFrame, relate=by_words, distance: int = 2, least: float = 0.6) -> DataFrame:
+    """The edges (doc_id, src, dst, edge_type, confidence, bidirectional) of trees: parents to children, and what is inferred between siblings at most `distance` apart, in both directions where it holds both ways."""
+    down = nodes.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("src"), F.col("node_id").alias("dst"), F.lit("parent_child").alias("edge_type"), F.lit(1.0).alias("confidence"), F.lit(False).alias("bidirectional"))
+    return with_reverse(down.unionByName(infer_relations(sibling_pairs(nodes, distance), nodes, relate, least)))
+
+
+# How an edge of each type reads, {a} being its source and {b} its target.
+PHRASES = {
+    "cause_effect": "'{a}' leads to '{b}'", "support": "'{a}' supports '{b}'", "contrast": "'{a}' contrasts with '{b}'", "elaboration": "'{b}' elaborates on '{a}'", "temporal": "'{a}' precedes '{b}'",
+    "reference": "'{a}' references '{b}'", "definition": "'{a}' defines concepts in '{b}'", "example": "'{b}' exemplifies '{a}'", "parent_child": "'{b}' is a section of '{a}'",
+}
+OTHER_PHRASE = "'{a}' relates to '{b}'"
+SAME, APART = "Direct reference.", "No reasoning path found between these sections."
+
+
+def edge_phrase(kind: Column, a: Column, b: Column) -> Column:
+    """An edge in words."""
+    said = lambda p: F.replace(F.replace(F.lit(p), F.lit("{a}"), a), F.lit("{b}"), b)
+    out = F.lit(None).cast("string")
+    for name, phrase in PHRASES.items():
+        out = F.coalesce(F.when(kind == name, said(phrase)), out)
+    return F.coalesce(out, said(OTHER_PHRASE))
+
+
+def explain(edges: DataFrame, titles: DataFrame, pairs: DataFrame, hops: int = 6) -> DataFrame:
+    """(a, b, connected, path_length, nodes, types, explanation) for asked pairs (a, b) of nodes that have a title (node, title).
+
+    The shortest path within `hops`, the first by its nodes; of several edges between two nodes the surest
+    speaks, of equals the first by type. Pairs with an unknown node are left out; without a path the length is -1.
+    """
+    known = titles.select("node", "title")
+    asked = pairs.select("a", "b").distinct().join(known.select(F.col("node").alias("a")), "a", "left_semi").join(known.select(F.col("node").alias("b")), "b", "left_semi")
+    paths = shortest_paths(edges, asked, hops)
+    best = edges.groupBy("src", "dst").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "edge_type")).alias("e")).select("src", "dst", F.col("e.edge_type").alias("edge_type"))
+    each = paths.select("a", "b", F.posexplode("path").alias("i", "node")).join(known, "node")
+    line = Window.partitionBy("a", "b").orderBy("i")  # one path
+    each = each.withColumns({"to": F.lead("node").over(line), "to_title": F.lead("title").over(line)})
+    each = each.join(best.withColumnsRenamed({"src": "node", "dst": "to"}), ["node", "to"], "left")
+    said = F.when(F.col("to").isNotNull(), edge_phrase(F.col("edge_type"), F.col("title"), F.col("to_title")))
+    rows = each.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("i", "title", "edge_type", said.alias("said")))).alias("p"))
+    part = lambda c: F.array_compact(F.transform("p", lambda x: x[c]))
+    told = rows.select("a", "b", part("title").alias("nodes"), part("edge_type").alias("types"), part("said").alias("said"))
+    j = asked.join(told, ["a", "b"], "left")
+    text = F.when(F.col("said").isNull(), APART).when(F.size("said") == 0, SAME).otherwise(F.array_join("said", " \u2192 "))
+    return j.select("a", "b", F.col("said").isNotNull().alias("connected"), F.when(F.col("said").isNotNull(), F.size("nodes") - 1).otherwise(-1).alias("path_length"), "nodes", "types", text.alias("explanation"))
+
+
 def with_reverse(edges: DataFrame) -> DataFrame:
     """Edges and the reverse of bidirectional ones, each (src, dst, type) once with its best confidence."""
     back = edges.where("bidirectional").select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_type", "confidence", "bidirectional")

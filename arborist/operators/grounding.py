@@ -310,4 +310,3 @@ def domains(docs: DataFrame, lexicons: dict[str, tuple[str, ...]] = LEXICONS) ->
     return rows.select("doc_id", F.when(general, "general").otherwise(name).alias("domain"), F.round(F.when(F.col("total") == 0, 0.5).when(general, share).otherwise(F.least(F.lit(1.0), share + 0.3)), 6).alias("confidence"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"annotations", "Column", "DataFrame", "Window", "F", "T", "pd", "re"}]

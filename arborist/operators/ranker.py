@@ -1,4 +1,4 @@
-"""Learning to rank: features, pairwise losses, full-batch gradient descent over DataFrames."""
+"""Learning to rank: features, pairwise losses, full-batch gradient descent; training has mini-batches, a split and early stopping."""
 
 from __future__ import annotations
 
@@ -7,23 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-FEATURES = ("jaccard", "depth_fit", "overlap", "lexical", "position", "parent", "siblings", "bias")
+FEATURES = ("jaccard", "depth_fit", "overlap", "lexical", "position", "parent", "siblings", "children")
 
 
 def features(nodes: DataFrame) -> DataFrame:
-    """Adds the array `features` to nodes (query, text, depth, max_depth, position, parent_text)."""
-    q, t, p = (F.array_distinct(T.white_space_tokens(c)) for c in ("query", "text", "parent_text"))
+    """Adds the array `features` to nodes (query_id, parent_id, query, text, depth, max_depth, position, parent_text[, child_text]).
+
+    By white-space words: Jaccard with the query, fit of the depth (0.4 of the deepest is best), share of
+    the query's words, BM25 for texts of 100 words over its largest possible value, earliness, Jaccard of the parent,
+    mean Jaccard of the siblings, and share of the query's words in the children's text (0 where there is none).
+    """
+    every = lambda c: T.white_space_tokens(c)
+    q, t, p = (F.array_distinct(every(c)) for c in ("query", "text", "parent_text"))
     share = lambda a, b: F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
-    fit = F.when(F.col("max_depth") > 0, 1.0 - F.abs(F.col("depth") / F.col("max_depth") - 0.4)).otherwise(0.5)
-    n = F.size(T.white_space_tokens("text"))
-    hits = F.size(F.array_intersect(q, t)).cast("double")
-    lexical = hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * n / 100.0))
-    jac = T.jaccard(q, t)
+    fit = F.when(F.col("max_depth") > 0, F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("depth") - 0.4 * F.col("max_depth")) / F.col("max_depth"))).otherwise(0.5)
+    own = nodes.withColumns({"_q": every("query"), "_t": every("text")})
+    n = F.size("_t")
+    tf = lambda x: F.size(F.filter("_t", lambda y: y == x)).cast("double")
+    part = F.transform(F.transform("_q", tf), lambda c: c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / 100.0)))
+    lexical = F.when((F.size("_q") > 0) & (n > 0), F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / (F.size("_q") * 2.2)).otherwise(0.0)
     w = Window.partitionBy("query_id", "parent_id")
-    with_jac = nodes.withColumn("_j", jac)
+    with_jac = own.withColumn("_j", F.when((F.size(q) > 0) & (F.size(t) > 0), T.jaccard(q, t)).otherwise(0.0))
     siblings = F.coalesce((F.sum("_j").over(w) - F.col("_j")) / F.nullif(F.count("*").over(w) - 1, F.lit(0)), F.lit(0.0))
     place = F.when(F.col("position").isNull(), 0.0).otherwise(1.0 - F.col("position"))
-    return with_jac.withColumn("features", F.array(F.col("_j"), fit, share(q, t), F.when(hits > 0, lexical).otherwise(0.0), place, F.coalesce(share(q, p), F.lit(0.0)), siblings, F.lit(0.0))).drop("_j")
+    parent = F.coalesce(F.when((F.size(q) > 0) & (F.size(p) > 0), T.jaccard(q, p)), F.lit(0.0))
+    below = F.coalesce(share(q, F.array_distinct(every("child_text"))), F.lit(0.0)) if "child_text" in nodes.columns else F.lit(0.0)
+    return with_jac.withColumn("features", F.array(F.col("_j"), fit, share(q, t), lexical, place, parent, siblings, below)).drop("_j", "_q", "_t")
 
 
 def training_pairs(rows: DataFrame, negatives: int = 10) -> DataFrame:

@@ -150,6 +150,22 @@ def catalog_update(catalog: DataFrame, gone: DataFrame, saved: DataFrame, key: s
     return left.join(saved.select(key), key, "left_anti").withColumn("status", F.lit("existing")).unionByName(new)
 
 
+def filter_questions(questions: DataFrame, domains: tuple[str, ...] | None = None, difficulties: tuple[str, ...] | None = None) -> DataFrame:
+    """The questions (domain, difficulty, ...) of the named domains and difficulties; None: of all."""
+    out = questions if domains is None else questions.where(F.lower("domain").isin(*[d.lower() for d in domains]))
+    return out if difficulties is None else out.where(F.lower("difficulty").isin(*[d.lower() for d in difficulties]))
+
+
+def source_nodes(nodes: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
+    """(question_id, node_id, n, rank): the k nodes of each question's own tree that share most of its words, ties in the order of the tree."""
+    q = questions.select("question_id", "doc_id", F.explode(T.word_set("question")).alias("t"))
+    body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
+    n = nodes.select("doc_id", "node_id", "path_ord", F.explode(T.word_set(body)).alias("t"))
+    met = q.join(n, ["doc_id", "t"]).groupBy("question_id", "node_id", "path_ord").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("question_id").orderBy(F.desc("n"), "path_ord")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", "node_id", "n", "rank")
+
+
 def question_problems(questions: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, problem, n): repeated questions, unknown documents, missing fields."""
     twice = questions.groupBy("doc_id", "question").agg(F.count("*").alias("n")).where("n > 1").groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit("repeated question").alias("problem"), "n")
@@ -163,5 +179,3 @@ def turns(conversations: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     return conversations.withColumns({"r": F.lead("role").over(w), "answer": F.lead("text").over(w)}).where("role = 'user' and r = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"annotations", "Column", "DataFrame", "OrderedDict", "Window", "F", "T", "pd"}]

@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import context, folds
+from ..operators import context, evaluation, folds, graph
 from ..operators import experiments as X
 from ..operators import power as P
+from ..operators import ranker
 from ..operators import resampling as B
 from ..operators import service as S
 from ..operators import similarity as Y
+from ..operators import training
 from ..operators import tree as T
 from ..sources.embedding_index import EmbeddingIndex
 from ..sources.shared import kept, shared_dir
@@ -19,7 +21,7 @@ from ..streaming import expiry
 from . import oracle as O
 from . import twins
 from .evaluation import twin
-from .queries import asked, chunk_scores, docs, geo, pairs, query, read, systems, timed
+from .queries import REGISTRY, asked, chunk_scores, docs, geo, pairs, query, read, systems, timed, trade
 
 CJK = "regexp_extract_all(lower({0}), '[0-9A-Za-z가-힣]+|[一-鿿]')"
 
@@ -344,3 +346,103 @@ def leader_merge_streamed(spark, sf):
 def budget_truncate_streamed(spark, sf):
     c = context.relevance(chunk_scores(spark, sf), ("query_id", "chunk_id", "rank")).select(F.col("query_id").alias("grp"), F.col("rank").alias("ord"), "score", F.floor(F.length("text") / 3).alias("n_tokens"))
     return folds.streamed_budget(c, 500)
+
+
+# learning to rank
+
+
+def ranking_examples(spark, sf):
+    """The cases' questions against all nodes of their trees, those that share half the question's words being relevant."""
+    nodes, q, gold = cases(spark, sf)
+    top = nodes.groupBy("doc_id").agg(F.max("depth").alias("max_depth"), F.count("*").alias("size"))
+    up = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("summary").alias("parent_text"))
+    down = nodes.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "summary"))), lambda x: x["summary"]), " ").alias("child_text"))
+    place = F.when(F.col("depth") == 0, 0.0).otherwise((F.col("ord") + 1) / F.col("size"))
+    own = nodes.join(top, "doc_id").join(up, ["doc_id", "parent_id"], "left").join(down, ["doc_id", "node_id"], "left").withColumns({"position": place, "text": F.coalesce("text", "summary")})
+    rows = q.select(F.col("question_id").alias("query_id"), "doc_id", F.col("question").alias("query")).join(own, "doc_id")
+    rows = ranker.features(rows).join(gold.select(F.col("question_id").alias("query_id"), "node_id", F.lit(True).alias("relevant")), ["query_id", "node_id"], "left")
+    return training.examples(rows.select("query_id", "node_id", (F.col("depth") * 1000 + F.col("ord")).alias("ord"), F.coalesce("relevant", F.lit(False)).alias("relevant"), "features"))
+
+
+@query
+def ranker_training(spark, sf):
+    """The course of a training of a few epochs, and how well the model that was saved and loaded again ranks."""
+    e = kept(ranking_examples(spark, sf))
+    at = new_folder(spark, "model")
+    training.train(e, epochs=3, batches=3, rate=0.5).save(spark, at)
+    model = training.Ranker.load(spark, at)
+    course = spark.createDataFrame([(h["epoch"], round(h["train_loss"], 9), round(h["val_loss"], 9)) for h in model.history], "epoch int, train_loss double, val_loss double")
+    return course.crossJoin(F.broadcast(training.quality(e, model)))
+
+
+# graphs
+
+
+_SIBLINGS = f"""d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {O.SECTIONS},
+  nb AS (SELECT doc_id, ord, 'd' || doc_id || '.' || (ord + 1) AS node_id, list_distinct({O.w("'Section ' || (ord + 1) || ' ' || substring(array_to_string(ww, ' '), 1, 200)")}) AS w FROM sec)"""
+
+
+@twin(f"""WITH {_SIBLINGS}, pr AS (SELECT a.doc_id, a.node_id AS x, b.node_id AS y, len(a.w) AS nx, len(b.w) AS ny, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS c FROM nb a JOIN nb b ON a.doc_id = b.doc_id AND b.ord - a.ord IN (1, 2)),
+  e AS (SELECT doc_id, CASE WHEN nx > ny THEN y ELSE x END AS src, CASE WHEN nx > ny THEN x ELSE y END AS dst, 'elaboration' AS edge_type, c AS confidence, nx = ny AS bidirectional FROM pr WHERE c >= 0.2e0
+    UNION ALL SELECT doc_id, y, x, 'elaboration', c, true FROM pr WHERE c >= 0.2e0 AND nx = ny)
+  SELECT * FROM e UNION ALL SELECT doc_id, 'd' || doc_id, node_id, 'parent_child', 1e0, false FROM nb""")
+def graph_build_docs(spark, sf):
+    """The reasoning graphs of all documents' section trees."""
+    return graph.build(T.section_tree(docs(spark, sf)), least=0.2)
+
+
+@twin(f"""WITH RECURSIVE {O.TRADE}, asked AS (SELECT 'n' || n_nationkey AS a, 'n' || ((n_nationkey * 7 + 5) % 25) AS b FROM nation UNION SELECT 'n' || n_nationkey, 'n' || n_nationkey FROM nation),
+  p AS (SELECT a, b, [a] AS path, a AS last FROM asked UNION ALL SELECT p.a, p.b, list_append(path, dst), dst FROM p JOIN (SELECT DISTINCT src, dst FROM tr) e ON e.src = p.last WHERE last <> b AND len(path) < 5 AND NOT list_contains(path, dst)),
+  s AS (SELECT a, b, path FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY len(path), path) AS n FROM p WHERE last = b) WHERE n = 1),
+  k AS (SELECT src, dst, edge_type FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY confidence DESC, edge_type) AS n FROM tr) WHERE n = 1),
+  h AS (SELECT a, b, i, path[i] AS x, path[i + 1] AS y FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM s)),
+  t AS (SELECT a, b, string_agg(nx.n_name, '>' ORDER BY i) AS nodes, coalesce(string_agg(edge_type, '>' ORDER BY i), '') AS types,
+    string_agg(CASE edge_type WHEN 'temporal' THEN '''' || nx.n_name || ''' precedes ''' || ny.n_name || '''' WHEN 'support' THEN '''' || nx.n_name || ''' supports ''' || ny.n_name || '''' WHEN 'cause_effect' THEN '''' || nx.n_name || ''' leads to ''' || ny.n_name || '''' END, ' → ' ORDER BY i) AS said, count(*) - 1 AS l
+    FROM h JOIN nation nx ON 'n' || nx.n_nationkey = x LEFT JOIN nation ny ON 'n' || ny.n_nationkey = y LEFT JOIN k ON k.src = x AND k.dst = y GROUP BY a, b)
+  SELECT a, b, t.a IS NOT NULL AS connected, coalesce(l, -1)::INT AS path_length, nodes, types, CASE WHEN t.a IS NULL THEN 'No reasoning path found between these sections.' WHEN l = 0 THEN 'Direct reference.' ELSE said END AS explanation FROM asked LEFT JOIN t USING (a, b)""")
+def graph_explain(spark, sf):
+    """How asked pairs of nations are connected, in words."""
+    n = read(spark, sf, "nation")
+    name = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    titles = n.select(name.alias("node"), F.col("n_name").alias("title"))
+    to = F.concat(F.lit("n"), F.pmod(F.col("n_nationkey") * 7 + 5, F.lit(25)).cast("string"))
+    asked_pairs = n.select(name.alias("a"), F.explode(F.array(to, name)).alias("b"))
+    out = graph.explain(trade(spark, sf), titles, asked_pairs, 4)
+    return out.withColumns({"nodes": F.array_join("nodes", ">"), "types": F.array_join("types", ">")})
+
+
+# comparisons
+
+
+@twin(f"""WITH m AS (SELECT * FROM ({O.SQL['ir_metrics']})), l AS (SELECT system, query_id, k, 'ndcg' AS metric, ndcg AS x FROM m UNION ALL SELECT system, query_id, k, 'recall', recall FROM m),
+  j AS (SELECT a.system AS first, b.system AS second, metric, a.x, b.x AS y FROM l a JOIN l b USING (query_id, k, metric) WHERE a.system < b.system),
+  g AS (SELECT first, second, metric, count(*) AS n, avg(x - y) AS m, stddev_samp(x - y) AS sd, count(*) FILTER (x > y) AS wins, count(*) FILTER (x < y) AS losses, count(*) FILTER (x = y) AS ties FROM j GROUP BY ALL),
+  t AS (SELECT *, CASE WHEN sd > 0 THEN m / (sd / sqrt(n)) WHEN m = 0 THEN 0e0 END AS t, CASE WHEN sd > 0 THEN m / sd ELSE 0e0 END AS d_z, n - 1 AS v FROM g), x AS (SELECT *, atan(abs(t) / sqrt(v)) AS th FROM t),
+  p AS (SELECT *, CASE WHEN t IS NOT NULL THEN 1e0 - {_CLOSED} END AS p FROM x)
+  SELECT first, second, metric, n, round(m, 6) AS mean_diff, wins, losses, ties, round(t, 6) AS t, round(p, 6) AS p, round(d_z, 6) AS d_z, CASE WHEN p * count(p) OVER () < 0.05 THEN CASE WHEN t > 0 THEN first ELSE second END END AS winner FROM p""")
+def system_tests(spark, sf):
+    """Pairs of retrieval systems with wins, exact tests and a winner."""
+    return evaluation.pairwise_tests(REGISTRY["ir_metrics"](spark, sf), ("ndcg", "recall"), key=("query_id", "k"))
+
+
+@twin(f"""WITH {O.SYSTEMS}, d AS (SELECT o_orderpriority AS dimension, key, a - b AS d FROM sy JOIN orders ON o_orderkey = key WHERE a <> b), r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY round(abs(d), 9), key) AS k FROM d),
+  g AS (SELECT dimension, count(*)::DOUBLE AS n, least(coalesce(sum(k) FILTER (d > 0), 0), coalesce(sum(k) FILTER (d < 0), 0))::DOUBLE AS w FROM r GROUP BY 1), z AS (SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24) AS z FROM g)
+  SELECT dimension, n::BIGINT AS n, w, round(z, 6) AS z, round(2e0 * (1e0 - {O.phi('abs(z)')}), 6) AS p, round(abs(z) / sqrt(n), 6) AS r FROM z""")
+def rating_tests(spark, sf):
+    o = systems(spark, sf).join(read(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("dimension")), "key")
+    return evaluation.rating_tests(o, ("dimension",), "key")
+
+
+@twin(f"""WITH {_CASES}, qw AS (SELECT question_id, doc_id, unnest(list_distinct({O.w('question')})) AS t FROM qs), nt AS (SELECT doc_id, node_id, po, unnest(list_distinct({O.w("title || ' ' || body")})) AS t FROM nd),
+  m AS (SELECT question_id, node_id, po, count(*) AS n FROM qw JOIN nt USING (doc_id, t) GROUP BY ALL)
+  SELECT question_id, node_id, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, po) AS rank FROM m) WHERE rank <= 3""")
+def source_nodes(spark, sf):
+    nodes, q, _ = cases(spark, sf)
+    return S.source_nodes(nodes, q)
+
+
+@query
+def ablation_grid(spark, sf):
+    """Two retrieval plans under one, three and five branches, by the cases' gold sections."""
+    nodes, q, gold = cases(spark, sf)
+    return X.ablation_grid(nodes, q, gold, {"treerag_dfs": X.tree_dfs, "bm25": X.bm25}, (1, 3, 5))

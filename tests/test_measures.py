@@ -15,9 +15,11 @@ from arborist.operators import experiments as X
 from arborist.operators import metrics as M
 from arborist.operators import power as P
 from arborist.operators import quantiles as Q
+from arborist.operators import ranker
 from arborist.operators import resampling as B
 from arborist.operators import retrieval as R
 from arborist.operators import similarity as Y
+from arborist.operators import training as L
 from arborist.operators import tree as T
 from arborist.sources.embedding_index import EmbeddingIndex
 from arborist.sources.sessions import SessionStore
@@ -426,3 +428,93 @@ def test_quantiles_are_exact_without_gathering_a_group(spark, monkeypatch, most)
         for name, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99)):
             assert got[g][name] == pytest.approx(float(np.percentile(x, 100 * p)), abs=2e-6), (g, name)
         assert near[g] == x[min(int(len(x) * 0.95), len(x) - 1)]
+
+
+# learning to rank
+
+
+def plain_loss(pos, negs, w, b, kind):
+    s = lambda f: 1 / (1 + math.exp(-(sum(x * y for x, y in zip(w, f)) + b)))
+    p, d = s(pos), len(w)
+    loss, g, h = 0.0, [0.0] * d, 0.0
+    if kind in ("bpr", "hinge"):
+        for f in negs:
+            gap = p - s(f)
+            pull = 1 / (1 + math.exp(gap)) if kind == "bpr" else float(0.1 - gap > 0)
+            loss += -math.log(max(1 - pull, 1e-10)) if kind == "bpr" else max(0, 0.1 - gap)
+            g = [a + pull * (f[i] - pos[i]) for i, a in enumerate(g)]
+            h -= pull
+        n = len(negs)
+        return loss / n, [x / n for x in g], h / n
+    up = p - 1 if kind == "cross_entropy" else 2 * (p - 1) * p * (1 - p)
+    loss = -math.log(max(p, 1e-10)) if kind == "cross_entropy" else (p - 1) ** 2
+    g, h = [up * x for x in pos], up
+    for f in negs:
+        q = s(f)
+        down = q if kind == "cross_entropy" else 2 * q * q * (1 - q)
+        loss += -math.log(max(1 - q, 1e-10)) if kind == "cross_entropy" else q * q
+        g = [a + down * f[i] for i, a in enumerate(g)]
+        h += down
+    n = 1 + len(negs)
+    return loss / n, [x / n for x in g], h / n
+
+
+@pytest.mark.parametrize("kind", L.LOSSES)
+def test_losses_and_gradients_equal_plain_loops(kind):
+    rng = random.Random(6)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(5)]
+    pos, negs = [vec() for _ in range(7)], [[vec() for _ in range(rng.randrange(1, 5))] for _ in range(7)]
+    w, b = vec(), 0.3
+    owner = np.repeat(np.arange(7), [len(n) for n in negs])
+    loss, g, h = L.losses(np.array(pos), np.array([f for n in negs for f in n]), owner, np.array(w), b, kind)
+    for i in range(7):
+        want = plain_loss(pos[i], negs[i], w, b, kind)
+        assert loss[i] == pytest.approx(want[0]) and g[i].tolist() == pytest.approx(want[1]) and h[i] == pytest.approx(want[2])
+
+
+def test_training_equals_plain_loops_and_does_not_depend_on_partitions(spark, folder):
+    rng = random.Random(7)
+    rows = []
+    for q in range(40):
+        for n in range(6):
+            good = n == 0 or (n == 1 and q % 5 == 0)
+            rows.append((q, f"n{n}", n, good, [rng.gauss(1.0 if good else 0.0, 0.5), rng.gauss(0, 1), rng.random()]))
+    rows += [(100, "alone", 0, True, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "query_id int, node_id string, ord int, relevant boolean, features array<double>")
+    given = L.examples(df, 3)
+    assert given.count() == 48
+    start = L.Ranker([0.1, -0.2, 0.3])
+    args = {"epochs": 3, "batches": 3, "rate": 0.3, "start": start, "patience": 5}
+    model = L.train(given, **args)
+    tags = given.select("example", "pos", "negs", F.pmod(F.xxhash64("example", F.lit(42)), F.lit(1000)).alias("u"), *[F.pmod(F.xxhash64("example", F.lit(e), F.lit(42)), F.lit(3)).alias(f"b{e}") for e in (1, 2, 3)]).collect()
+    w, b, history = [0.1, -0.2, 0.3], 0.0, []
+    for e in (1, 2, 3):
+        seen = []
+        for k in range(3):
+            some = [plain_loss(r.pos, r.negs, w, b, "bpr") for r in tags if r.u >= 200 and r[f"b{e}"] == k]
+            seen.append(sum(x[0] for x in some) / len(some))
+            w = [x - 0.3 * (sum(s[1][i] for s in some) / len(some) + 0.01 * x) for i, x in enumerate(w)]
+            b -= 0.3 * sum(s[2] for s in some) / len(some)
+        val = [plain_loss(r.pos, r.negs, w, b, "bpr")[0] for r in tags if r.u < 200]
+        history.append((sum(seen) / len(seen), sum(val) / len(val)))
+    assert model.weights == pytest.approx(w) and model.bias == pytest.approx(b)
+    assert np.allclose([(h["train_loss"], h["val_loss"]) for h in model.history], history)
+    again = L.train(given.repartition(7), **args)
+    assert again.weights == pytest.approx(model.weights)
+    assert model.save(spark, folder) == 1 and again.save(spark, folder) == 2
+    assert L.Ranker.load(spark, folder, 1) == model
+    score = L.quality(given, model).first()
+    assert score.n == 48 and 0.5 < score.accuracy <= 1 and score.mrr >= score.accuracy
+    assert len(L.train(given, epochs=30, batches=2, rate=-0.5, start=start, patience=2).history) == 3, "a loss that only grows stops the training"
+    assert L.train(given.limit(0), start=start).history == []
+    with pytest.raises(ValueError):
+        L.Ranker.load(spark, folder + "-none")
+
+
+def test_ranking_features_follow_their_rules(spark):
+    rows = [(1, "p", "red fish swim", "red red fish blue", 1, 2, 0.25, "red things", "fish here"), (1, "p", "red fish swim", "nothing", 2, 2, None, None, None), (2, "p", "", "x", 0, 0, 0.0, "x", "x")]
+    df = spark.createDataFrame(rows, "query_id int, parent_id string, query string, text string, depth int, max_depth int, position double, parent_text string, child_text string")
+    a, b, c = (r.features for r in ranker.features(df).orderBy("query_id", F.desc(F.length("text"))).collect())
+    part = lambda tf: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * 4 / 100))
+    assert a == pytest.approx([2 / 4, 1 - 0.2 / 2, 2 / 3, (part(2) + part(1)) / 6.6, 0.75, 1 / 4, 0.0, 1 / 3])
+    assert b == pytest.approx([0.0, 1 - 1.2 / 2, 0.0, 0.0, 0.0, 0.0, 0.5, 0.0]) and c == pytest.approx([0.0, 0.5, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0])
