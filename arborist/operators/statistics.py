@@ -5,30 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+from . import resampling
+
 
 def align(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """(key, a, b) of two systems' scores; rows with a null are dropped."""
     return a.select(key, F.col(value).cast("double").alias("a")).join(b.select(key, F.col(value).cast("double").alias("b")), key).where("a is not null and b is not null")
 
 
-def place(rows: DataFrame, value: Column, ties: str, name: str, buckets: int = 200) -> DataFrame:
-    """Adds name: the row's place (from 1) by value, then by the numeric column `ties`, without sorting in one task.
+def place(rows: DataFrame, value: Column, ties: str, name: str, parts: int | None = None) -> DataFrame:
+    """Adds name: the row's place (from 1) by value, then by the column `ties`, without sorting in one task.
 
-    Values are cut at quantiles; a value that is a cut itself has a bucket of its own, cut again by `ties`. Rows are
-    numbered within their bucket and moved by the count of the buckets before it: at most (2 buckets + 1)^2 numbers.
+    Rows are dealt by ranges of both and numbered within their range; ranges are moved by the counts of
+    those before them (a number for each partition). parts: how many, by default what Spark chooses.
     """
-    rows = rows.withColumn("__v", value.cast("double"))
-    at = F.array(*[F.lit((i + 1) / (buckets + 1)) for i in range(buckets)])
-    cuts = rows.agg(F.percentile_approx("__v", at, F.lit(10_000)).alias("v"), F.percentile_approx(F.col(ties).cast("double"), at, F.lit(10_000)).alias("t")).first()
-    own = lambda c: F.array(*[F.lit(x) for x in sorted(set(c or []))]).cast("array<double>")
-    below = lambda c, x: F.size(F.filter(own(c), lambda y: y < x))
-    cut = F.array_contains(own(cuts.v), F.col("__v"))
-    b = 2 * below(cuts.v, F.col("__v")) + cut.cast("int")
-    rows = rows.withColumns({"__b": b, "__s": F.when(cut, below(cuts.t, F.col(ties).cast("double"))).otherwise(0)})
-    sizes = rows.groupBy("__b", "__s").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__o", F.coalesce(F.sum("__n").over(Window.orderBy("__b", "__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    own_place = F.row_number().over(Window.partitionBy("__b", "__s").orderBy("__v", ties))
-    return rows.withColumn("__r", own_place).join(before, ["__b", "__s"]).withColumn(name, F.col("__o") + F.col("__r")).drop("__b", "__s", "__o", "__r", "__v")
+    valued = rows.withColumn("__v", value.cast("double"))
+    ranged = (valued.repartitionByRange(parts, "__v", ties) if parts else valued.repartitionByRange("__v", ties)).sortWithinPartitions("__v", ties)
+    ranged = kept(ranged.withColumn("__i", F.monotonically_increasing_id()))  # the partition above bit 33, the row within it below
+    part = F.shiftrightunsigned("__i", 33)
+    sizes = ranged.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__o", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    at = F.col("__o") + F.col("__i").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranged.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn(name, at).drop("__p", "__i", "__o", "__v")
 
 
 def phi(x: Column) -> Column:
@@ -69,29 +68,13 @@ def wilcoxon(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def bootstrap(pairs: DataFrame, key: str, samples: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """One row: mean difference and its percentile interval. Each pair's weight in a resample is a Poisson(1) draw from a hash of (key, sample).
-
-    The samples go round the pairs inside one generated loop whose sums are added up map-side: a row a
-    sample and task is shuffled, pairs never are.
-    """
-    u = (F.pmod(F.xxhash64(F.col(key).cast("string"), F.col("id"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cum, prob, weight = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(8):
-        cum += prob
-        weight = weight + (F.col("u") > cum).cast("int")
-        prob /= k + 1
-    rows = pairs.crossJoin(F.broadcast(pairs.sparkSession.range(samples))).withColumn("u", u).withColumn("w", weight)
-    means = rows.groupBy("id").agg((F.sum(F.col("w") * (F.col("a") - F.col("b"))) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
-    ci = means.agg(F.percentile("m", F.lit((1 - level) / 2)).alias("low"), F.percentile("m", F.lit((1 + level) / 2)).alias("high"))
-    return pairs.agg(F.avg(F.col("a") - F.col("b")).alias("mean_diff")).crossJoin(ci)
+    """One row: mean difference and its percentile interval; see resampling.bootstrap, which has that of d_z too."""
+    return resampling.bootstrap(pairs, key, samples, level, seed).select("mean_diff", "low", "high")
 
 
 def permutation(pairs: DataFrame, key: str, samples: int = 1000, seed: int = 42) -> DataFrame:
-    """One row: mean difference and the sign-flip p, (count + 1) / (samples + 1); coins are hashes of (key, sample)."""
-    flip = F.when(F.pmod(F.xxhash64(F.col(key).cast("string"), F.col("id"), F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    sums = pairs.crossJoin(F.broadcast(pairs.sparkSession.range(samples))).groupBy("id").agg(F.abs(F.avg(flip * (F.col("a") - F.col("b")))).alias("x"))
-    seen = pairs.agg(F.avg(F.col("a") - F.col("b")).alias("mean_diff"))
-    return sums.crossJoin(F.broadcast(seen)).groupBy("mean_diff").agg(((F.sum((F.col("x") >= F.abs("mean_diff") - 1e-12).cast("int")) + 1) / (samples + 1.0)).alias("p"))
+    """One row: mean difference and the sign-flip p, (count + 1) / (samples + 1)."""
+    return resampling.permutation(pairs, key, samples, seed)
 
 
 def required_pairs(d_z: Column, z_level: float = 1.959963984540054, z_power: float = 0.8416212335729143) -> Column:

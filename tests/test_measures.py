@@ -11,14 +11,18 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from arborist.operators import evaluation as E
 from arborist.operators import experiments as X
+from arborist.operators import graph as G
 from arborist.operators import metrics as M
 from arborist.operators import power as P
 from arborist.operators import quantiles as Q
 from arborist.operators import ranker
 from arborist.operators import resampling as B
 from arborist.operators import retrieval as R
+from arborist.operators import service as S
 from arborist.operators import similarity as Y
+from arborist.operators import statistics as Z
 from arborist.operators import training as L
 from arborist.operators import tree as T
 from arborist.sources.embedding_index import EmbeddingIndex
@@ -518,3 +522,50 @@ def test_ranking_features_follow_their_rules(spark):
     part = lambda tf: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * 4 / 100))
     assert a == pytest.approx([2 / 4, 1 - 0.2 / 2, 2 / 3, (part(2) + part(1)) / 6.6, 0.75, 1 / 4, 0.0, 1 / 3])
     assert b == pytest.approx([0.0, 1 - 1.2 / 2, 0.0, 0.0, 0.0, 0.0, 0.5, 0.0]) and c == pytest.approx([0.0, 0.5, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0])
+
+
+# graphs and small rules
+
+
+def test_graphs_are_built_with_types_and_directions(spark):
+    tree = '{"id":"r","children":[{"id":"a","title":"red fish"},{"id":"b","title":"red fish swim"},{"id":"c","title":"fish red"},{"id":"d","title":"other"}]}'
+    nodes = T.flatten(spark, spark.createDataFrame([(1, tree)], "doc_id long, tree string"))
+    got = {(r.src, r.dst, r.edge_type): (r.confidence, r.bidirectional) for r in G.build(nodes, least=0.6).collect()}
+    down = {("r", x, "parent_child"): (1.0, False) for x in "abcd"}
+    assert got == down | {("a", "b", "elaboration"): (pytest.approx(2 / 3, abs=1e-6), False), ("c", "b", "elaboration"): (pytest.approx(2 / 3, abs=1e-6), False), ("a", "c", "elaboration"): (1.0, True), ("c", "a", "elaboration"): (1.0, True)}
+    judged = lambda a, b: F.struct(F.when(a.contains("other") | b.contains("other"), "contrast").otherwise("none").alias("relationship"), F.lit(0.9).alias("confidence"), F.lit("b_to_a").alias("direction"))
+    edges = G.build(nodes, judged)
+    assert {(r.src, r.dst) for r in edges.where("edge_type = 'contrast'").collect()} == {("d", "b"), ("d", "c")}
+    titles = nodes.select(F.col("node_id").alias("node"), F.when(F.col("title") == "", "Root").otherwise(F.col("title")).alias("title"))
+    asked = spark.createDataFrame([("r", "b"), ("d", "c"), ("a", "b"), ("a", "a"), ("a", "zz")], "a string, b string")
+    said = {(r.a, r.b): (r.connected, r.path_length, r.explanation) for r in G.explain(edges, titles, asked).collect()}
+    assert said == {
+        ("r", "b"): (True, 1, "'red fish swim' is a section of 'Root'"), ("d", "c"): (True, 1, "'other' contrasts with 'fish red'"),
+        ("a", "b"): (False, -1, G.APART), ("a", "a"): (True, 0, G.SAME),
+    }
+
+
+def test_system_tests_name_a_winner_only_where_it_is_sure(spark):
+    rng = random.Random(1)
+    rows = [(s, q, rng.random() + shift, 0.5) for q in range(60) for s, shift in (("a", 0.0), ("b", 0.01), ("c", 0.6))]
+    got = {(r.first, r.second, r.metric): r for r in E.pairwise_tests(spark.createDataFrame(rows, "system string, query_id int, x double, y double"), ("x", "y")).collect()}
+    assert got[("a", "c", "x")].winner == "c" and got[("a", "b", "x")].winner is None and got[("a", "b", "y")].p == 1.0 and got[("a", "b", "y")].ties == 60
+    assert got[("a", "c", "x")].wins + got[("a", "c", "x")].losses == 60 and got[("a", "c", "x")].p < 1e-5
+
+
+def test_places_by_range_are_those_of_one_sort(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([1.0, 1.0, 2.0, rng.random()])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key int, v double").repartition(6)
+    want = {k: n + 1 for n, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert {r.key: r.place for r in Z.place(df, F.col("v"), "key", "place").collect()} == want
+
+
+def test_questions_are_filtered_and_sources_found(spark):
+    q = spark.createDataFrame([(1, 1, "red fish?", "Medical", "easy"), (2, 1, "blue", "legal", "hard"), (3, 2, "", None, None)], "question_id int, doc_id int, question string, domain string, difficulty string")
+    ids = lambda d: sorted(r.question_id for r in d.collect())
+    assert ids(S.filter_questions(q)) == [1, 2, 3] and ids(S.filter_questions(q, ("medical",))) == [1] and ids(S.filter_questions(q, None, ("HARD", "easy"))) == [1, 2] and ids(S.filter_questions(q, ("legal",), ("easy",))) == []
+    nodes = spark.createDataFrame([(1, "a", [0], "red", "red red"), (1, "b", [0, 0], "fish", "red"), (1, "c", [0, 1], None, "fish"), (2, "d", [0], "red", "fish")], "doc_id int, node_id string, path_ord array<int>, title string, summary string")
+    assert [(r.question_id, r.node_id, r.n) for r in S.source_nodes(nodes, q, 2).orderBy("question_id", "rank").collect()] == [(1, "b", 2), (1, "a", 1)]
+    hits = spark.createDataFrame([(1, "3"), (1, ""), (2, None), (2, "")], "question_id int, page_ref string")
+    assert {r.question_id: r.available for r in X.citation_available(hits).collect()} == {1: True, 2: False}
