@@ -15,12 +15,13 @@ from ..operators import service as S
 from ..operators import similarity as Y
 from ..operators import training
 from ..operators import tree as T
+from ..sources import datasets, sinks
 from ..sources.embedding_index import EmbeddingIndex
 from ..sources.shared import kept, shared_dir
 from ..streaming import expiry
 from . import oracle as O
 from . import twins
-from .evaluation import twin
+from .evaluation import SQL, twin
 from .queries import REGISTRY, asked, chunk_scores, docs, geo, pairs, query, read, systems, timed, trade
 
 CJK = "regexp_extract_all(lower({0}), '[0-9A-Za-z가-힣]+|[一-鿿]')"
@@ -446,3 +447,47 @@ def ablation_grid(spark, sf):
     """Two retrieval plans under one, three and five branches, by the cases' gold sections."""
     nodes, q, gold = cases(spark, sf)
     return X.ablation_grid(nodes, q, gold, {"treerag_dfs": X.tree_dfs, "bm25": X.bm25}, (1, 3, 5))
+
+
+# question sets and graph files
+
+
+@twin(f"""WITH {O.D}, {O.SECTIONS}, n AS (SELECT doc_id, len(wd) AS w, greatest((len(wd) + 399) // 400, 1) AS n FROM sw)
+  SELECT doc_id, 'ROOT' AS node_id, '1-' || n AS page_ref, 'gr_' || doc_id AS question_id, md5('Government report (' || w || ' words, ' || n || ' sections)') AS digest, false AS relevant FROM n
+  UNION ALL SELECT doc_id, 'PAGE' || (ord + 1), (ord + 1)::VARCHAR, 'gr_' || doc_id, md5(array_to_string(ww, ' ')), true FROM sec
+  UNION ALL SELECT doc_id, 'PAGE1', '1', 'gr_' || doc_id, md5(''), true FROM n WHERE w = 0""")
+def report_benchmark(spark, sf):
+    """Every document as a long report: its tree, its question and what is relevant."""
+    d = docs(spark, sf).select("doc_id", F.col("text").alias("report"), F.substring("text", 1, 80).alias("summary"))
+    nodes, q, rel = datasets.report_benchmark(d, None)
+    j = nodes.join(q.select("question_id", "doc_id"), "doc_id").join(rel.withColumn("relevant", F.lit(True)), ["question_id", "node_id"], "left")
+    return j.select("doc_id", "node_id", "page_ref", "question_id", F.md5(F.col("summary").cast("binary")).alias("digest"), F.coalesce("relevant", F.lit(False)).alias("relevant"))
+
+
+_TURNS_AT = "t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, text FROM conversations)"
+
+
+@twin(f"WITH {_TURNS_AT} SELECT conv_id::VARCHAR AS question_id, 'SEC' || i AS node_id, CASE WHEN conv_id % 2 = 0 THEN 'hard' ELSE 'medium' END AS difficulty, (i + 1)::VARCHAR AS page_ref, md5(trim(text)) AS digest FROM t WHERE role = 'assistant'")
+def item_benchmark(spark, sf):
+    """Conversations as items whose sections are their turns, those of the assistant being relevant."""
+    c = read(spark, sf, "conversations")
+    s = F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("title"), "text", (F.col("role") == "assistant").alias("relevant"))))
+    items = c.groupBy("conv_id").agg(s.alias("sections")).select(
+        F.col("conv_id").cast("string").alias("question_id"), F.get("sections", F.lit(0))["text"].alias("question"), F.lit("x").alias("answer"), F.when(F.col("conv_id") % 2 == 0, "bridge").otherwise("comparison").alias("kind"), "sections",
+    )
+    nodes, q, rel = datasets.item_benchmark(items)
+    j = rel.join(nodes.withColumnRenamed("doc_id", "question_id"), ["question_id", "node_id"]).join(q.select("question_id", "difficulty"), "question_id")
+    return j.select("question_id", "node_id", "difficulty", "page_ref", F.md5(F.col("summary").cast("binary")).alias("digest"))
+
+
+@twin(f"""WITH g AS ({SQL['graph_build_docs']}), e AS (SELECT doc_id, count(*) AS n_edges, count(*) FILTER (edge_type = 'elaboration') AS n_elaborations, count(*) FILTER (bidirectional) AS n_both FROM g GROUP BY 1)
+  SELECT d.doc_id::VARCHAR AS doc_id, coalesce(any_value(n_edges) - any_value(n_elaborations), 0) + 1 AS n_nodes, coalesce(any_value(n_edges), 0) AS n_edges, coalesce(any_value(n_elaborations), 0) AS n_elaborations, coalesce(any_value(n_both), 0) AS n_both FROM documents d LEFT JOIN e USING (doc_id) GROUP BY d.doc_id""")
+def graph_files(spark, sf):
+    """The reasoning graphs written as JSON and read again, counted by document."""
+    nodes = kept(T.section_tree(docs(spark, sf)))
+    at = new_folder(spark, "graphs")
+    sinks.save_graphs(nodes, graph.build(nodes, least=0.2), at)
+    n, e = sinks.load_graphs(spark, at)
+    count = lambda c: F.count(F.when(c, 1))
+    per = e.groupBy("doc_id").agg(F.count("*").alias("n_edges"), count(F.col("edge_type") == "elaboration").alias("n_elaborations"), count(F.col("bidirectional")).alias("n_both"))
+    return n.groupBy("doc_id").agg(F.count("*").alias("n_nodes")).join(per, "doc_id", "left").fillna(0)

@@ -112,3 +112,22 @@ SQL = {
     "grounding_verdicts": f"""WITH {O.TURNS}, {GROUNDED}, a AS (SELECT answer_id, round(avg(confidence), 3) AS confidence, count(*) AS n_sentences, count(*) FILTER (confidence < 0.5e0) AS n_ungrounded FROM gr GROUP BY 1)
       SELECT *, confidence >= 0.6e0 AS reliable, n_ungrounded >= 0.4e0 * n_sentences AS warn, CASE WHEN confidence >= 0.9e0 THEN 'high' WHEN confidence >= 0.7e0 THEN 'good' WHEN confidence >= 0.5e0 THEN 'partial' ELSE 'low' END AS label FROM a""",
 }
+
+
+SQL["rouge_l_pairs"] = f"""WITH RECURSIVE {O.TURNS}, t AS (SELECT answer_id, regexp_extract_all(lower(question), '[0-9A-Za-z가-힣]+|[一-鿿]') AS a, regexp_extract_all(lower(answer), '[0-9A-Za-z가-힣]+|[一-鿿]') AS b FROM pr),
+  r AS (SELECT answer_id, 0::BIGINT AS i, list_transform(b, lambda x: 0::BIGINT) AS row FROM t
+    UNION ALL SELECT answer_id, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM (
+      SELECT r.answer_id, i, list_transform(range(1, len(b) + 1), lambda j: greatest(row[j], CASE WHEN b[j] = a[i + 1] THEN coalesce(row[j - 1], 0) + 1 ELSE 0 END)) AS c FROM r JOIN t USING (answer_id) WHERE i < len(a))),
+  l AS (SELECT answer_id, coalesce(list_max(row), 0) AS l, len(a) AS n, len(b) AS m FROM r JOIN t USING (answer_id) WHERE i = len(a)),
+  f AS (SELECT answer_id, CASE WHEN m > 0 THEN l / m ELSE 0e0 END AS p, CASE WHEN n > 0 THEN l / n ELSE 0e0 END AS r FROM l)
+  SELECT answer_id, round(p, 6) AS precision, round(r, 6) AS recall, {O.f1('p', 'r')} AS f1 FROM f"""
+
+_BEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed, last ORDER BY confidence DESC, path, types) AS n FROM (SELECT seed, list_append(path, dst) AS path, list_append(types, edge_type) AS types, round(p.confidence * tr.confidence, 9) AS confidence, dst AS last FROM {0} p JOIN tr ON src = last WHERE NOT list_contains(path, dst)) WHERE confidence >= 0.3e0) WHERE n = 1"
+SQL["graph_search"] = f"""WITH {O.TRADE}, p0 AS (SELECT seed, [seed] AS path, []::VARCHAR[] AS types, confidence, seed AS last FROM (VALUES ('n1', 1e0), ('n8', 0.9e0)) s(seed, confidence)),
+  p1 AS ({_BEST.format('p0')}), p2 AS ({_BEST.format('p1')}), a AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2),
+  k AS (SELECT * FROM (SELECT seed, path, confidence, row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, len(path), path) AS n FROM a) WHERE n <= 20),
+  u AS (SELECT * FROM (SELECT path, confidence, row_number() OVER (PARTITION BY list_sort(path) ORDER BY confidence DESC, path) AS m FROM k) WHERE m = 1),
+  b AS (SELECT * FROM (SELECT path, confidence, row_number() OVER (ORDER BY confidence DESC, path) AS p FROM u) WHERE p <= 5),
+  e AS (SELECT p, confidence, i, path[i + 1] AS node FROM (SELECT *, unnest(range(0, len(path))) AS i FROM b)),
+  g AS (SELECT node, min(p * 1000 + i) AS first, count(*) AS n_paths, max(confidence) AS confidence FROM e GROUP BY 1)
+  SELECT * FROM (SELECT row_number() OVER (ORDER BY first) AS place, node, n_paths, round(confidence, 6) AS confidence FROM g) WHERE place <= 10"""

@@ -25,6 +25,7 @@ from arborist.operators import similarity as Y
 from arborist.operators import statistics as Z
 from arborist.operators import training as L
 from arborist.operators import tree as T
+from arborist.sources import datasets, sinks
 from arborist.sources.embedding_index import EmbeddingIndex
 from arborist.sources.sessions import SessionStore
 from arborist.sources.shared import shared_dir
@@ -569,3 +570,46 @@ def test_questions_are_filtered_and_sources_found(spark):
     assert [(r.question_id, r.node_id, r.n) for r in S.source_nodes(nodes, q, 2).orderBy("question_id", "rank").collect()] == [(1, "b", 2), (1, "a", 1)]
     hits = spark.createDataFrame([(1, "3"), (1, ""), (2, None), (2, "")], "question_id int, page_ref string")
     assert {r.question_id: r.available for r in X.citation_available(hits).collect()} == {1: True, 2: False}
+
+
+# question sets and files
+
+
+def test_items_and_reports_become_trees_questions_and_qrels(spark, tmp_path):
+    import json
+
+    items = [
+        {"_id": "q1", "type": "bridge", "level": "hard", "question": "who?", "answer": "x", "supporting_facts": [["A", 0]], "context": [["A", ["one ", "two"]], ["B", ["three"]]]},
+        {"_id": "q2", "type": "comparison", "level": "easy", "question": "which?", "answer": "y", "supporting_facts": [["Z", 0]], "context": [["C", ["four"]]]},
+    ]
+    (tmp_path / "items.json").write_text(json.dumps(items))
+    nodes, q, rel = datasets.multi_hop_benchmark(spark, str(tmp_path / "items.json"), None)
+    assert {(r.doc_id, r.node_id, r.title, r.page_ref) for r in nodes.collect()} == {("q1", "ROOT", "who?", "1-2"), ("q1", "SEC0", "A", "1"), ("q1", "SEC1", "B", "2"), ("q2", "ROOT", "which?", "1-1"), ("q2", "SEC0", "C", "1")}
+    assert {(r.question_id, r.difficulty) for r in q.collect()} == {("q1", "hard"), ("q2", "medium")}
+    assert {tuple(r) for r in rel.collect()} == {("q1", "SEC0"), ("q2", "SEC0")}, "without a supporting title all are relevant"
+    nodes, q, rel = datasets.report_benchmark(spark.createDataFrame([(1, "w " * 801, "s"), (2, "", None), (3, None, "t")], "doc_id int, report string, summary string"), None)
+    assert nodes.groupBy("doc_id").count().orderBy("doc_id").collect() == [(1, 4), (2, 2), (3, 2)] and rel.count() == 5 and q.count() == 3
+    assert datasets.report_benchmark(spark.range(9).select(F.col("id").alias("doc_id"), F.lit("a b").alias("report"), F.lit("s").alias("summary")), 4)[1].count() == 4
+    (tmp_path / "set.json").write_text(json.dumps({"version": "1", "questions": [{"question_id": "a", "document_id": "d", "question": "q?", "expected_sections": ["s"], "difficulty": "easy"}]}))
+    row = datasets.load_dataset(spark, str(tmp_path / "set.json")).first()
+    assert (row.question_id, row.question, row.expected_sections, row.category) == ("a", "q?", ["s"], None)
+    assert datasets.load_dataset(spark, " Known ", {"known": lambda s: s.range(3)}).count() == 3
+
+
+def test_graphs_reports_and_tables_come_back(spark, tmp_path):
+    from arborist.sources import readers
+
+    nodes = T.section_tree(spark.createDataFrame([(1, "red fish " * 500), (2, "")], "doc_id long, text string"))
+    edges = G.build(nodes)
+    sinks.save_graphs(nodes, edges, str(tmp_path / "g"))
+    n, e = sinks.load_graphs(spark, str(tmp_path / "g"))
+    key = lambda d, *c: sorted(map(repr, d.select(F.col("doc_id").cast("string"), *c).collect()))
+    assert key(n, "node_id", "title", "summary", "page_ref", "depth") == key(nodes, "node_id", "title", "summary", "page_ref", "depth")
+    assert key(e, "src", "dst", "edge_type", "confidence", "bidirectional") == key(edges, "src", "dst", "edge_type", "confidence", "bidirectional")
+    rows = spark.createDataFrame([("b", 2, 0.5, 'say "x"'), ("a", 1, None, "é\n,"), ("b", 1, 0.25, None)], "system string, question_id int, rouge_l double, answer string")
+    sinks.save_report(rows, str(tmp_path / "r"))
+    back = readers.report_rows(spark, str(tmp_path / "r"), "question_id int, rouge_l double, answer string")
+    assert sorted(map(repr, back.select(*rows.columns).collect())) == sorted(map(repr, rows.collect()))
+    sinks.save_csv(rows.where("answer is not null"), str(tmp_path / "c"))
+    again = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "c"))
+    assert sorted(r.answer for r in again.collect()) == ['say "x"', "é\n,"]
