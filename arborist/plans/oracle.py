@@ -203,7 +203,7 @@ SQL: dict[str, str] = {
       SELECT n_nationkey, p, round(least(1e0, p * n), 6) AS bonferroni, round(least(1e0, max(raw) OVER (ORDER BY p, n_nationkey ROWS UNBOUNDED PRECEDING)), 6) AS bh_forward, round(least(1e0, min(raw) OVER (ORDER BY p, n_nationkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bh_standard, p * n < 0.05e0 AS significant FROM x""",
     "offline_qa": f"""WITH {D}, {SECTIONS}, s AS (SELECT doc_id, 'd' || doc_id || '.' || (ord + 1) AS id, 'Section ' || (ord + 1) AS t, ord + 1 AS i FROM sec), n AS (SELECT *, lead(t) OVER w AS t1, lead(t, 2) OVER w AS t2, lead(id) OVER w AS i1, lead(id, 2) OVER w AS i2 FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i))
       SELECT doc_id, 'factual' AS category, i, 'What does ' || t || ' say?' AS question, id AS expected FROM n WHERE i <= 5 UNION ALL SELECT doc_id, 'multi_hop', i, 'How does ' || t || ' lead to ' || t1 || '?', id || ',' || i1 FROM n WHERE i <= 3 AND t1 IS NOT NULL UNION ALL SELECT doc_id, 'comparative', i, 'How do ' || t || ' and ' || t2 || ' differ?', id || ',' || i2 FROM n WHERE i <= 2 AND t2 IS NOT NULL""",
-    "qa_validation": """WITH b AS (SELECT conv_id * 37 AS doc_id, CASE WHEN conv_id % 7 = 0 THEN ' ' ELSE substring(text, 1, 40) END AS question FROM conversations), c AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE doc_id % 5 = 0)
+    "qa_validation": """WITH b AS (SELECT conv_id * 37 AS doc_id, CASE WHEN conv_id % 7 = 0 THEN ' ' ELSE text END AS question FROM conversations), c AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE doc_id % 5 = 0)
       SELECT doc_id, 'repeated question' AS problem, count(*) AS n FROM (SELECT doc_id, question FROM c GROUP BY ALL HAVING count(*) > 1) GROUP BY 1
       UNION ALL SELECT doc_id, 'unknown document', count(*) FROM c WHERE doc_id NOT IN (SELECT doc_id FROM documents) GROUP BY 1 UNION ALL SELECT doc_id, 'no question', count(*) FROM c WHERE coalesce(trim(question), '') = '' GROUP BY 1""",
     "conversation_pairs": f"WITH {TURNS} SELECT conv_id, turn, length(question) AS n_question, length(answer) AS n_answer FROM pr",

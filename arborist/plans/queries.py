@@ -588,7 +588,7 @@ def offline_qa(spark, sf):
 
 @query
 def qa_validation(spark, sf):
-    c = read(spark, sf, "conversations").select((F.col("conv_id") * 37).alias("doc_id"), "turn", F.when(F.pmod("conv_id", F.lit(7)) == 0, F.lit(" ")).otherwise(F.substring("text", 1, 40)).alias("question"))
+    c = read(spark, sf, "conversations").select((F.col("conv_id") * 37).alias("doc_id"), "turn", F.when(F.pmod("conv_id", F.lit(7)) == 0, F.lit(" ")).otherwise(F.col("text")).alias("question"))
     again = c.where(F.pmod("doc_id", F.lit(5)) == 0)
     return S.question_problems(c.unionByName(again).drop("turn"), docs(spark, sf))
 
