@@ -56,19 +56,18 @@ def _live(docs: DataFrame, asked: DataFrame, tokenizer) -> DataFrame:
     return met.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def _weighted(docs: DataFrame, queries: DataFrame, tokenizer, scored: DataFrame | None = None) -> DataFrame:
-    """Postings with their terms' frequencies; with scored (some of docs) of these alone, frequencies still being those of docs."""
+def _weighted(docs: DataFrame, queries: DataFrame, tokenizer, scored: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
+    """Postings with their terms' frequencies; with scored (some of docs) of these alone, frequencies still being those of docs. live: the asked terms' postings, where they are there already."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenizer(F.col("text")))).alias("term"))
-    asked = terms.select("term").distinct()
-    live = _live(docs, asked, tokenizer)
+    live = _live(docs, terms.select("term").distinct(), tokenizer) if live is None else live
     dfs = live.groupBy("term").agg(F.count("*").alias("df"))
-    own = live if scored is None else _live(scored, asked, tokenizer)
+    own = live if scored is None else live.join(scored.select("doc_id"), "doc_id", "left_semi")
     return own.join(dfs, "term").crossJoin(F.broadcast(corpus(docs, tokenizer))).join(terms, "term")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, binary: bool = True, tokenizer=lambda c: T.words(c, 1), scored: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank) over the distinct query terms; binary: each term of a document counts once. scored: the documents to rank, where not all."""
-    w = _weighted(docs, queries, tokenizer, scored)
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, binary: bool = True, tokenizer=lambda c: T.words(c, 1), scored: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) over the distinct query terms; binary: each term of a document counts once. scored: the documents to rank, where not all; live: see asked_postings."""
+    w = _weighted(docs, queries, tokenizer, scored, live)
     tf = F.lit(1.0) if binary else F.col("tf").cast("double")
     part = idf(F.col("n_docs"), F.col("df")) * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("len") / F.col("avg_len")))
     found = w.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
@@ -89,21 +88,31 @@ def okapi(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1
     return rank_by(scored, "score", k)
 
 
-def bm25_candidates(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """First phase of a search: documents by the sum of idf over the query's terms, repeats counted."""
+def asked_postings(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(doc_id, term, tf, len) of the queries' terms, written once for several uses."""
+    return kept(_live(docs, queries.select(F.explode(T.words("text", 1)).alias("term")).distinct(), lambda c: T.words(c, 1)))
+
+
+def bm25_candidates(docs: DataFrame, queries: DataFrame, k: int = 20, live: DataFrame | None = None) -> DataFrame:
+    """First phase of a search: documents by the sum of idf over the query's terms, repeats counted. live: see asked_postings."""
     terms = queries.select("query_id", F.explode(T.words("text", 1)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    live = _live(docs, terms.select("term").distinct(), lambda c: T.words(c, 1))
+    live = _live(docs, terms.select("term").distinct(), lambda c: T.words(c, 1)) if live is None else live
     dfs = live.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_docs"))))
     scored = live.join(dfs, "term").join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * idf(F.col("n_docs"), F.col("df"))), DIGITS).alias("score"))
     return rank_by(scored, "score", k)
 
 
-def overlap(docs: DataFrame, queries: DataFrame, kind: str = "jaccard", tokenizer=T.word_set, digits: int = DIGITS) -> DataFrame:
-    """(query_id, doc_id, score) for pairs that share a token: Jaccard of the sets, or the share of the query's tokens."""
+def common_tokens(docs: DataFrame, queries: DataFrame, tokenizer=T.word_set) -> DataFrame:
+    """(query_id, doc_id, both, dn, qn) for pairs that share a token: how many they share, and the sizes of their sets."""
     q = queries.select("query_id", tokenizer(F.col("text")).alias("t")).select("query_id", F.size("t").alias("qn"), F.explode("t").alias("term"))
     d = docs.select("doc_id", tokenizer(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dn"), F.explode("t").alias("term"))
     live = d.join(_counted(q.select("term").distinct(), FEW_TERMS), "term")
-    both = live.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("both"), F.first("dn").alias("dn"), F.first("qn").alias("qn"))
+    return live.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("both"), F.first("dn").alias("dn"), F.first("qn").alias("qn"))
+
+
+def overlap(docs: DataFrame, queries: DataFrame, kind: str = "jaccard", tokenizer=T.word_set, digits: int = DIGITS, common: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) for pairs that share a token: Jaccard of the sets, or the share of the query's tokens. common: common_tokens, where they are there already."""
+    both = common_tokens(docs, queries, tokenizer) if common is None else common
     score = F.col("both") / (F.col("dn") + F.col("qn") - F.col("both")) if kind == "jaccard" else F.col("both") / F.col("qn")
     return both.select("query_id", "doc_id", F.round(score, digits).alias("score"))
 
@@ -114,10 +123,11 @@ def structural(depth: Column, decay: float = 0.85, least: float = 0.1) -> Column
 
 def hybrid(docs: DataFrame, queries: DataFrame, k: int = 3, weights: DataFrame | tuple[float, float, float] = (0.6, 0.25, 0.15), candidates: int = 20) -> DataFrame:
     """BM25 over its best, Jaccard and depth decay, mixed; docs need a depth. With a table of weights (config, w_bm25, w_jaccard, w_depth): a ranking for each."""
-    first = bm25_candidates(docs, queries, candidates).select("query_id", "doc_id")
+    live = asked_postings(docs, queries)
+    first = bm25_candidates(docs, queries, candidates, live).select("query_id", "doc_id")
     first = kept(first)  # `candidates` rows a query, read twice
     near = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
-    full = bm25(docs, queries, None, scored=near).select("query_id", "doc_id", F.col("score").alias("bm25"))
+    full = bm25(docs, queries, None, scored=near, live=live).select("query_id", "doc_id", F.col("score").alias("bm25"))
     mixed = first.join(full, ["query_id", "doc_id"], "left").join(overlap(near, queries, digits=12).withColumnRenamed("score", "jac"), ["query_id", "doc_id"], "left").join(docs.select("doc_id", "depth"), "doc_id")
     best = F.max("bm25").over(Window.partitionBy("query_id"))
     mixed = mixed.withColumn("rel", F.when(best > 0, F.coalesce("bm25", F.lit(0.0)) / best).otherwise(0.0)).withColumn("jac", F.coalesce("jac", F.lit(0.0)))

@@ -17,6 +17,7 @@ from ..operators import service as S
 from ..operators import statistics as Z
 from ..operators import traverse as V
 from ..operators import tree as X
+from ..sources.shared import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -63,9 +64,9 @@ def run_of(df: DataFrame, system: str) -> DataFrame:
     return df.select(F.lit(system).alias("system"), "query_id", "doc_id", "rank")
 
 
-def gold(spark, sf) -> DataFrame:
+def gold(spark, sf, common=None) -> DataFrame:
     """A passage's relevant documents: those that share four fifths of its words."""
-    return R.overlap(docs(spark, sf), asked(spark, sf), "share").where("score >= 0.8").select("query_id", "doc_id")
+    return R.overlap(docs(spark, sf), asked(spark, sf), "share", common=common).where("score >= 0.8").select("query_id", "doc_id")
 
 
 def scored(spark, sf) -> DataFrame:
@@ -459,19 +460,21 @@ def faithfulness(spark, sf):
 # metrics
 
 
-def runs(spark, sf) -> DataFrame:
+def runs_and_gold(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Two systems' runs over the passages, and what is relevant; both look at the same common words."""
     d, q = docs(spark, sf), asked(spark, sf)
-    return run_of(R.bm25(d, q, 20), "bm25").unionByName(run_of(R.rank_by(R.overlap(d, q), "score", 20), "jaccard"))
+    common = kept(R.common_tokens(d, q))
+    return run_of(R.bm25(d, q, 20), "bm25").unionByName(run_of(R.rank_by(R.overlap(d, q, common=common), "score", 20), "jaccard")), gold(spark, sf, common)
 
 
 @query
 def ir_metrics(spark, sf):
-    return M.rank_metrics(runs(spark, sf), gold(spark, sf))
+    return M.rank_metrics(*runs_and_gold(spark, sf))
 
 
 @query
 def ir_macro(spark, sf):
-    return M.macro(M.rank_metrics(runs(spark, sf), gold(spark, sf), digits=12))
+    return M.macro(M.rank_metrics(*runs_and_gold(spark, sf), digits=12))
 
 
 @query
