@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import QUESTION_WORDS, STOPWORDS
+from ..operators import grounding as H
 from ..operators.grounding import CITATION
 from . import oracle as O
 
@@ -131,3 +132,65 @@ SQL["graph_search"] = f"""WITH {O.TRADE}, p0 AS (SELECT seed, [seed] AS path, []
   e AS (SELECT p, confidence, i, path[i + 1] AS node FROM (SELECT *, unnest(range(0, len(path))) AS i FROM b)),
   g AS (SELECT node, min(p * 1000 + i) AS first, count(*) AS n_paths, max(confidence) AS confidence FROM e GROUP BY 1)
   SELECT * FROM (SELECT row_number() OVER (ORDER BY first) AS place, node, n_paths, round(confidence, 6) AS confidence FROM g) WHERE place <= 10"""
+
+
+# Claims and errors. Numbers are found one run of digits after the other, since there is no look-around here.
+
+_L = "[\\p{L}\\p{N}_]"
+_U = "(?:억|만|천|백|개|년|월|일)?"
+_AT = f"""coalesce(nullif(regexp_extract(rest, '^([0-9]+\\.[0-9]+%){_L}', 1), ''), nullif(regexp_extract(rest, '^([0-9]+\\.[0-9]+{_U})(?:[^\\p{{L}}\\p{{N}}_]|$)', 1), ''),
+    nullif(regexp_extract(rest, '^([0-9]+%){_L}', 1), ''), nullif(regexp_extract(rest, '^([0-9]+{_U})(?:[^\\p{{L}}\\p{{N}}_]|$)', 1), ''))"""
+
+
+def numbers(of: str, key: str, text: str) -> str:
+    """Tables ending in nums (key, nums): the numbers in each text that has a digit."""
+    return f"""scan AS (SELECT {key} AS id, {text} AS text, 1::BIGINT AS p, []::VARCHAR[] AS nums FROM {of} WHERE regexp_matches({text}, '[0-9]')
+    UNION ALL SELECT id, text, p + CASE WHEN m IS NULL THEN length(regexp_extract(rest, '^[0-9]+')) ELSE length(m) END, CASE WHEN m IS NULL THEN nums ELSE list_append(nums, m) END FROM (
+      SELECT *, CASE WHEN p = 1 OR NOT regexp_matches(substring(text, p - 1, 1), '{_L}') THEN {_AT} END AS m FROM (
+        SELECT id, text, nums, q AS p, substring(text, q) AS rest FROM (SELECT *, p + length(regexp_extract(substring(text, p), '^[^0-9]*')) AS q FROM scan) WHERE q <= length(text)))),
+  nums AS (SELECT id, arg_max(nums, len(nums)) AS nums FROM scan GROUP BY id)"""
+
+
+def _any(pairs: tuple, a: str, b: str) -> str:
+    return "(" + " OR ".join(f"(contains({a}, '{n.replace(chr(39), chr(39) * 2)}') AND contains({b}, '{p}'))" for n, p in pairs) + ")"
+
+
+_CLAIM_STOP = ", ".join(f"'{w}'" for w in H.CLAIM_STOP)
+_CLAIMS = f"""cl AS (SELECT answer_id, question AS source, c, unnest(range(0, len(c))) AS i FROM (SELECT answer_id, question, list_filter(list_transform({O.CLAIMS}, lambda x: trim(x)), lambda x: length(x) >= 10) AS c FROM pr)),
+  cm AS (SELECT answer_id || ':' || i AS id, answer_id, source, c[i + 1] AS claim FROM cl), {numbers('cm', 'id', 'claim')},
+  ck AS (SELECT cm.*, CASE WHEN regexp_matches(claim, '{H.HAS_NUMBER}') THEN 'number' WHEN regexp_matches(claim, '{H.DATE}') THEN 'temporal' WHEN regexp_matches(claim, '{H.ENTITY}') THEN 'entity' ELSE 'fact' END AS kind,
+    list_distinct(list_filter({O.w('claim', 2)}, lambda x: x NOT IN ({_CLAIM_STOP}))) AS w, {O.w('source', 2)} AS v, coalesce(nums, []::VARCHAR[]) AS nums FROM cm LEFT JOIN nums USING (id)),
+  cs AS (SELECT *, CASE WHEN len(w) > 0 THEN round(len(list_intersect(w, v)) / len(w), 6) ELSE 0e0 END AS support FROM ck),
+  cv AS (SELECT *, CASE WHEN len(w) = 0 THEN true WHEN kind = 'number' AND len(list_filter(nums, lambda x: contains(source, x))) > 0 THEN true WHEN kind = 'number' AND support < 0.5e0 THEN false
+    WHEN kind = 'entity' AND len(list_filter(regexp_extract_all(claim, '{H.ENTITY}'), lambda x: contains(lower(source), lower(x)))) > 0 THEN true ELSE support >= 0.4e0 END AS verified FROM cs),
+  ce AS (SELECT *, CASE WHEN verified THEN 'none' WHEN {_any(H.CLAIM_OPPOSITES, 'lower(claim)', 'lower(source)')} THEN 'contradictory' WHEN kind = 'number' THEN 'quantitative_error' WHEN kind = 'temporal' THEN 'temporal_error' WHEN kind = 'entity' THEN 'fabricated_entity' ELSE 'unsupported_claim' END AS error FROM cv)"""
+
+SQL["fidelity_by_kind"] = f"WITH RECURSIVE {O.TURNS}, {_CLAIMS} SELECT kind, error, count(*) AS n_claims FROM ce GROUP BY ALL"
+SQL["fidelity_summary"] = f"""WITH RECURSIVE {O.TURNS}, {_CLAIMS}, a AS (SELECT answer_id, count(id) AS n, count(id) FILTER (verified) AS g, round(CASE WHEN count(id) > 0 THEN count(id) FILTER (verified) / count(id) ELSE 1e0 END, 6) AS x FROM pr LEFT JOIN cv USING (answer_id) GROUP BY 1)
+  SELECT count(*) AS n_answers, sum(n)::BIGINT AS n_claims, sum(g)::BIGINT AS n_grounded, round(avg(x), 6) AS groundedness, round(coalesce(stddev_samp(x), 0e0), 6) AS deviation, round(1e0 - avg(x), 6) AS hallucination_rate FROM a"""
+
+_MISS_STOP = ", ".join(f"'{w}'" for w in H.MISS_STOP)
+_ERRORS = f"""{numbers('pr', 'answer_id', 'answer')}, ea AS (SELECT pr.answer_id, answer, question AS context, list_distinct(list_filter({O.ws('question')}, lambda x: x NOT IN ({_MISS_STOP}))) AS ref, {O.ws('question')} AS ctx, coalesce(nums, []::VARCHAR[]) AS nums FROM pr LEFT JOIN nums ON nums.id = pr.answer_id),
+  ef AS (SELECT answer_id, len(ref) > 0 AND len(list_intersect(ref, ctx)) / len(ref) < 0.3e0 AS miss,
+    len(list_filter(nums, lambda x: length(x) > 1 AND NOT contains(context, x))) > 0 OR len(list_filter(regexp_extract_all(answer, '{H.NAME}'), lambda x: length(x) > 3 AND NOT contains(context, x))) > 0 AS made_up,
+    {" OR ".join(f"(contains(lower(answer), '{m}') AND NOT contains(lower(context), '{m}'))" for m in H.OVERCLAIM)} AS over_, {_any(H.OPPOSITES, 'lower(answer)', 'lower(context)')} AS against FROM ea),
+  er AS (SELECT 'retrieval_miss' AS category, 'critical' AS severity FROM ef WHERE miss UNION ALL SELECT 'hallucination', 'major' FROM ef WHERE made_up UNION ALL SELECT 'overclaim', 'minor' FROM ef WHERE over_ UNION ALL SELECT 'contradiction', 'critical' FROM ef WHERE against)"""
+SQL["error_matrix"] = f"WITH RECURSIVE {O.TURNS}, {_ERRORS} SELECT category, severity, count(*) AS n_errors FROM er GROUP BY ROLLUP (category, severity)"
+SQL["error_crosstab"] = f"WITH RECURSIVE {O.TURNS}, {_ERRORS} SELECT category, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'major') AS major, count(*) FILTER (severity = 'minor') AS minor FROM er GROUP BY 1"
+
+#: The query path: hits by the chosen algorithm, scored, kept, merged by leader, cut to 2000 tokens and joined.
+_HITS = f"""{ROUTED}, {BEAM_WALK}, {DFS_WALK}, {CHOICE}, hits AS (SELECT b.* FROM beam b JOIN choice USING (query_id, doc_id) WHERE algorithm = 'beam' UNION ALL SELECT f.* FROM dfs f JOIN choice USING (query_id, doc_id) WHERE algorithm = 'dfs'),
+  hb AS (SELECT h.query_id, node_id AS chunk_id, p.query, c.title, array_to_string(sec.ww, ' ') AS text, (sec.ord + 1)::VARCHAR AS page, row_number() OVER (PARTITION BY h.query_id ORDER BY h.score DESC, node_id) AS rank
+    FROM hits h JOIN ch c USING (query_id, doc_id, node_id) JOIN pairs p USING (query_id, doc_id) JOIN sec ON sec.doc_id = h.doc_id AND sec.ord = c.ord),
+  tk AS (SELECT query_id, chunk_id, rank, title, text, page, list_filter({O.w('query', 1)}, lambda x: x NOT IN ({STOP})) AS qt, list_filter({O.w("title || ' ' || text", 1)}, lambda x: x NOT IN ({STOP})) AS dt FROM hb), {SCORED}"""
+SQL["query_context"] = f"""WITH RECURSIVE {_HITS},
+  kp AS (SELECT query_id AS grp, rank, chunk_id, title || ' ' || text AS text, page, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS ord FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM sc) WHERE score >= 0.2e0 OR (best < 0.2e0 AND n <= 3)),
+  {LEADERS.format(tokens=O.w('text', 1), stop=STOP, least='0.7e0').replace('query_id AS grp, rank::INT AS ord', 'grp, ord::INT AS ord').replace('FROM ck)', 'FROM kp)')},
+  mg AS (SELECT grp, leader, score, chunk_id, text, page, ord FROM kp JOIN lw USING (grp, ord)), mt AS (SELECT grp, leader, text, min(ord) AS o FROM mg GROUP BY ALL),
+  m3 AS (SELECT grp, leader, string_agg(text, ' | ' ORDER BY o) AS text FROM (SELECT *, row_number() OVER (PARTITION BY grp, leader ORDER BY o) AS k FROM mt) WHERE k <= 3 GROUP BY ALL),
+  mm AS (SELECT grp, leader, max(score) AS score, array_to_string(list_sort(list_distinct(list(page))), ', ') AS pages FROM mg GROUP BY ALL),
+  mo AS (SELECT grp, text, pages, score, length(text) // 3 AS t, row_number() OVER (PARTITION BY grp ORDER BY score DESC, leader) AS i FROM mm JOIN m3 USING (grp, leader)),
+  bg AS (SELECT grp, i, t AS total, true AS taken, t > 2000 AS stop FROM mo WHERE i = 1
+    UNION ALL SELECT mo.grp, mo.i, total + CASE WHEN NOT stop AND (total + t <= 2000 OR total = 0) THEN t ELSE 0 END, NOT stop AND (total + t <= 2000 OR total = 0), stop OR (total = 0 AND t > 2000) FROM bg JOIN mo ON mo.grp = bg.grp AND mo.i = bg.i + 1),
+  pl AS (SELECT grp, text, pages, row_number() OVER (PARTITION BY grp ORDER BY mo.i) AS place FROM mo JOIN bg USING (grp, i) WHERE taken)
+  SELECT grp AS query_id, string_agg('[' || place || '] (p.' || pages || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY place) AS context FROM pl GROUP BY grp"""
