@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import context, evaluation, folds, graph
+from ..operators import context, evaluation, folds, graph, grounding, traverse
+from ..operators import retrieval as R
 from ..operators import experiments as X
 from ..operators import power as P
 from ..operators import ranker
@@ -21,7 +22,7 @@ from ..sources.shared import kept, shared_dir
 from ..streaming import expiry
 from . import oracle as O
 from . import twins
-from .evaluation import SQL, twin
+from .evaluation import SQL, routed_hits, twin
 from .queries import REGISTRY, asked, chunk_scores, docs, geo, pairs, query, read, systems, timed, trade
 
 CJK = "regexp_extract_all(lower({0}), '[0-9A-Za-z가-힣]+|[一-鿿]')"
@@ -491,3 +492,71 @@ def graph_files(spark, sf):
     count = lambda c: F.count(F.when(c, 1))
     per = e.groupBy("doc_id").agg(F.count("*").alias("n_edges"), count(F.col("edge_type") == "elaboration").alias("n_elaborations"), count(F.col("bidirectional")).alias("n_both"))
     return n.groupBy("doc_id").agg(F.count("*").alias("n_nodes")).join(per, "doc_id", "left").fillna(0)
+
+
+# references, prompts, context reports
+
+
+@twin(f"""WITH {O.D}, {O.SECTIONS}, k AS (SELECT doc_id, key, arg_max(node_id, po) AS node_id FROM (
+    SELECT doc_id, 'd' || doc_id || '.' || (ord + 1) AS node_id, ord + 1 AS po, unnest(list_distinct(['d' || doc_id || '.' || (ord + 1), 'section ' || (ord + 1), 'section_' || (ord + 1)])) AS key FROM sec
+    UNION ALL SELECT doc_id, 'd' || doc_id, 0, unnest(['d' || doc_id, 'document ' || doc_id]) FROM d) GROUP BY ALL),
+  t AS (SELECT o_orderkey % 400 AS doc_id, 'see Section ' || (o_custkey % 7 + 1) || ' and table ' || (o_custkey % 5) || '; Sec. ' || (o_orderkey % 3 + 1) || ' or page ' || (o_custkey % 4) AS text FROM orders),
+  r AS (SELECT DISTINCT doc_id, kind, number FROM (SELECT doc_id, 'section' AS kind, unnest(regexp_extract_all(text, '(?i)(?:section|sec\\.)\\s+([0-9]+(?:\\.[0-9]+)*)', 1)) AS number FROM t
+    UNION ALL SELECT doc_id, 'table', unnest(regexp_extract_all(text, '(?i)table\\s+([0-9]+(?:[.-][0-9]+)*)', 1)) FROM t UNION ALL SELECT doc_id, 'page', unnest(regexp_extract_all(text, '(?i)(?:page|p\\.)\\s*([0-9]+)', 1)) FROM t))
+  SELECT r.doc_id, kind, number, coalesce(a.node_id, b.node_id) AS node_id FROM r LEFT JOIN k a ON a.doc_id = r.doc_id AND a.key = kind || '_' || number LEFT JOIN k b ON b.doc_id = r.doc_id AND b.key = number""")
+def resolved_references(spark, sf):
+    """Cross-references out of texts and the sections they mean."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    say = lambda x: x.cast("string")
+    text = F.concat(F.lit("see Section "), say(c % 7 + 1), F.lit(" and table "), say(c % 5), F.lit("; Sec. "), say(k % 3 + 1), F.lit(" or page "), say(c % 4))
+    found = context.detect_references(read(spark, sf, "orders").select((k % 400).alias("doc_id"), text.alias("text"))).distinct()
+    return context.resolve_references(found, context.reference_keys(T.section_tree(docs(spark, sf))))
+
+
+_HEADS = (("general", "en", "Answer from the context."), ("technical", "en", "Answer as an engineer."), ("general", "ko", "문맥으로 답하세요."))
+
+
+@twin(f"""WITH {_CASES}, dm AS ({O.SQL['domain_classify']}), tp(domain, lang, head) AS (VALUES {", ".join(str(h) for h in _HEADS)}),
+  e AS (SELECT question_id, question || chr(10) || chr(10) || '[Section: ' || title || ' (p.' || page || ')] ' || body AS q, body, coalesce(domain, 'general') AS domain FROM qs JOIN nd USING (doc_id) LEFT JOIN dm USING (doc_id) WHERE po = 1),
+  l AS (SELECT *, CASE WHEN regexp_matches(q, '[가-힣]') THEN 'ko' WHEN regexp_matches(q, '[぀-ヿ一-鿿]') THEN 'ja' ELSE 'en' END AS lang FROM e)
+  SELECT question_id AS query_id, md5(coalesce(a.head, b.head, '') || chr(10) || chr(10) || 'Context:' || chr(10) || body || chr(10) || chr(10) || 'Question: ' || q) AS digest FROM l LEFT JOIN tp a USING (domain, lang) LEFT JOIN tp b ON b.domain = 'general' AND b.lang = l.lang""")
+def question_prompts(spark, sf):
+    """Each case's question, enhanced by the first section of its document, in the template of the document's domain and the question's language."""
+    nodes, q, _ = cases(spark, sf)
+    first = nodes.where("depth = 1 and ord = 0").select("doc_id", "title", "page_ref", "summary")
+    told = context.enhanced_question(F.col("question"), F.col("title"), F.col("page_ref"), F.col("summary"))
+    rows = q.join(first, "doc_id").join(grounding.domains(docs(spark, sf)).select("doc_id", "domain"), "doc_id", "left")
+    rows = rows.select(F.col("question_id").alias("query_id"), told.alias("question"), F.col("summary").alias("context"), F.coalesce("domain", F.lit("general")).alias("domain"))
+    return context.prompts(rows, spark.createDataFrame(_HEADS, "domain string, lang string, head string")).select("query_id", F.md5(F.col("prompt").cast("binary")).alias("digest"))
+
+
+def found_chunks(spark, sf):
+    n, q, _, hits = routed_hits(spark, sf)
+    text = n.select("doc_id", "node_id", "title", F.coalesce("text", "summary").alias("text"), "page_ref")
+    found = hits.join(text, ["doc_id", "node_id"]).join(q.select("query_id", F.col("text").alias("query")), "query_id")
+    return R.rank_by(found.withColumnRenamed("node_id", "chunk_id"), "score", None, ties=("chunk_id",)).select("query_id", "chunk_id", "query", "title", "text", "page_ref", "rank")
+
+
+@twin(twins.SQL["query_context"].rpartition("SELECT grp AS query_id")[0].rstrip() + """, b4 AS (SELECT query_id, count(*) AS n_before, sum(length(text) // 3)::BIGINT AS tokens_before FROM hb GROUP BY 1), af AS (SELECT grp AS query_id, count(*) AS n_after, sum(t)::BIGINT AS tokens_after FROM mo JOIN bg USING (grp, i) WHERE taken GROUP BY 1)
+  SELECT query_id, n_before, tokens_before, coalesce(n_after, 0) AS n_after, coalesce(tokens_after, 0) AS tokens_after, round(coalesce(n_after, 0) / n_before, 6) AS ratio, greatest(0, tokens_before - coalesce(tokens_after, 0)) AS tokens_saved FROM b4 LEFT JOIN af USING (query_id)""")
+def compression_report(spark, sf):
+    """What compression of the query path's contexts saves."""
+    ranked = kept(found_chunks(spark, sf))
+    return context.compression_report(ranked, context.compress(ranked))
+
+
+@twin(f"""WITH RECURSIVE {twins._HITS}, pt AS (SELECT h.*, (CASE WHEN recovered THEN '[RECOVERED] ' ELSE '' END) || 'Document ' || doc_id || ' > ' || c.title AS path, array_to_string(sec.ww, ' ') AS text, (c.ord + 1)::VARCHAR AS page
+    FROM hits h JOIN ch c USING (query_id, doc_id, node_id) JOIN sec ON sec.doc_id = h.doc_id AND sec.ord = c.ord)
+  SELECT query_id, doc_id, md5(string_agg('### ' || path || ' (p.' || page || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY score DESC, node_id)) AS digest FROM pt GROUP BY ALL""")
+def formatted_hits(spark, sf):
+    """Each routed tree's hits as headed paragraphs, whole texts."""
+    n, _, _, hits = routed_hits(spark, sf)
+    return traverse.format_hits(hits, n, None).select("query_id", "doc_id", F.md5(F.col("block").cast("binary")).alias("digest"))
+
+
+@twin(f"""WITH {O.D}, {O.SECTIONS}, n AS (SELECT doc_id, 0 AS po, {{'node_id': 'd' || doc_id, 'depth': 0, 'title': 'Document ' || doc_id, 'summary': substring(text, 1, 200), 'page_ref': '1'}} AS s FROM d
+    UNION ALL SELECT doc_id, ord + 1, {{'node_id': 'd' || doc_id || '.' || (ord + 1), 'depth': 1, 'title': 'Section ' || (ord + 1), 'summary': substring(array_to_string(ww, ' '), 1, 200), 'page_ref': (ord + 1)::VARCHAR}} FROM sec)
+  SELECT doc_id, md5(to_json(list(s ORDER BY po))::VARCHAR) AS digest FROM n GROUP BY doc_id""")
+def flat_context(spark, sf):
+    """Every document's tree as one JSON list."""
+    return traverse.flat_context(T.section_tree(docs(spark, sf))).select("doc_id", F.md5(F.col("context").cast("binary")).alias("digest"))
