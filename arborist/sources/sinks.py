@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import SUFFIX
+
 NODE = "id string, title string, summary string, page_ref string, depth int"
 EDGE = "source_id string, target_id string, edge_type string, confidence double, bidirectional boolean"
 GRAPH = f"document_name string, nodes map<string, struct<{NODE}>>, edges array<struct<{EDGE}>>, stats struct<node_count bigint, edge_count bigint, edge_types map<string, bigint>>"
@@ -36,6 +38,24 @@ def load_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def save_catalog(trees: DataFrame, path: str) -> int:
+    """(doc_id, tree) as one file a tree, <doc_id>_index.json; how many. Tasks write, the driver only renames."""
+    spark = trees.sparkSession
+    aside = f"{path.rstrip('/')}/.writing"
+    trees.select(F.concat(F.col("doc_id").cast("string"), F.lit(SUFFIX)).alias("name"), "tree").repartition("name").write.mode("overwrite").partitionBy("name").text(aside)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    count = 0
+    for folder in fs.listStatus(jvm.Path(aside)):
+        key, _, name = folder.getPath().getName().partition("=")
+        for part in fs.listStatus(folder.getPath()) if key == "name" else []:
+            if part.getPath().getName().startswith("part-"):
+                fs.delete(jvm.Path(path, name), False)
+                count += bool(fs.rename(part.getPath(), jvm.Path(path, name)))
+    fs.delete(jvm.Path(aside), True)
+    return count
+
+
 def save_report(rows: DataFrame, path: str, system: str = "system") -> None:
     """One JSON file of an experiment: per_question maps each system to its rows, in order of question_id; a report is small."""
     fields = [c for c in rows.columns if c != system]

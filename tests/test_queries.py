@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from arborist.plans import evaluation, measures, oracle, queries, twins  # noqa: F401 - measures registers queries
+from arborist.plans import evaluation, measures, oracle, primitives, queries, twins  # noqa: F401 - some only register queries
 
 ALL = oracle.SQL | evaluation.SQL | twins.SQL
 
