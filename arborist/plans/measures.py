@@ -259,7 +259,7 @@ _HITS = f"""{_CASES},
 def experiment_hits(spark, sf):
     """What each of the seven systems finds."""
     nodes, q, _ = cases(spark, sf)
-    parts = [f(nodes, q, 3).select(F.lit(name).alias("system"), "question_id", "node_id", "score", "rank") for name, f in X.SYSTEMS.items()]
+    parts = [kept(f(nodes, q, 3).select(F.lit(name).alias("system"), "question_id", "node_id", "score", "rank")) for name, f in X.SYSTEMS.items()]  # a plan each, not one of seven
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

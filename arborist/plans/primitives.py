@@ -95,9 +95,9 @@ def text_measures(spark, sf):
     return own.join(chunks, "doc_id", "left").withColumn("n_chunks", F.coalesce("k", F.lit(0))).drop("k")
 
 
-@twin(f"SELECT query_id, doc_id, round(greatest(0e0, least(1e0, (score + 1e0) / 2e0)), 6) AS relevance FROM ({O.SQL['vector_cosine_topk']})")
+@twin(f"SELECT query_id, doc_id, round(greatest(0e0, least(1e0, (score + 1e0) / 2e0)), 7) AS relevance FROM ({O.SQL['vector_cosine_topk']})")
 def embedding_relevance(spark, sf):
-    return REGISTRY["vector_cosine_topk"](spark, sf).select("query_id", "doc_id", F.round(R.cosine_relevance(F.col("score")), 6).alias("relevance"))
+    return REGISTRY["vector_cosine_topk"](spark, sf).select("query_id", "doc_id", F.round(R.cosine_relevance(F.col("score")), 7).alias("relevance"))
 
 
 _TOP = f"{O.BASE}, h AS ({O.top(O.bm25('1e0'), 3)}), x AS (SELECT query_id, rank, 'Document ' || doc_id AS title, doc_id::VARCHAR AS page, text FROM h JOIN d USING (doc_id))"
