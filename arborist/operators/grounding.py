@@ -308,5 +308,3 @@ def domains(docs: DataFrame, lexicons: dict[str, tuple[str, ...]] = LEXICONS) ->
     share = F.when(F.col("total") > 0, F.col("best") / F.col("total")).otherwise(0.0)
     general = (share < 0.3) | (F.col("total") == 0)
     return rows.select("doc_id", F.when(general, "general").otherwise(name).alias("domain"), F.round(F.when(F.col("total") == 0, 0.5).when(general, share).otherwise(F.least(F.lit(1.0), share + 0.3)), 6).alias("confidence"))
-
-

@@ -178,4 +178,3 @@ def turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, question, answer): user turns and the assistant turn that follows each."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     return conversations.withColumns({"r": F.lead("role").over(w), "answer": F.lead("text").over(w)}).where("role = 'user' and r = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
-

@@ -202,6 +202,3 @@ def pseudo_text(nodes: DataFrame) -> DataFrame:
     page = F.regexp_extract("page_ref", "[0-9]+", 0)
     part = F.concat(F.when(page != "", F.concat(F.lit("--- PAGE "), page, F.lit(" ---\n"))).otherwise(""), F.col("title"), F.lit(" "), F.coalesce("summary", F.lit("")))
     return nodes.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path_ord", part.alias("p")))), lambda x: x["p"]), "\n").alias("text"))
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"annotations", "Column", "DataFrame", "SparkSession", "Window", "F", "T"}]
