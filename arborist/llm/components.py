@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star contractions.
 
-Each round is two aggregations by key with map-side minima and two equality joins, so a hub's rows
-may be split (adaptive skew joins) and no component is ever gathered in one place. Rounds grow with
+Each round is two aggregations by key with map-side minima and two equality joins by sorting (edges compress
+well: by the size of their files they would be broadcast through the driver), so a hub's rows may be split
+(adaptive skew joins) and no component is ever gathered in one place. Rounds grow with
 the logarithm of the graph; each is written to shared storage, the one before it is removed.
 """
 
@@ -21,13 +22,13 @@ def _large(e: DataFrame) -> DataFrame:
     """Every node hands the smallest of its surroundings to its larger neighbours."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = _minimum(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     """Every node ties its smaller neighbours, and itself, to the smallest of them."""
     low = _minimum(e)
-    tied = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    tied = e.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 

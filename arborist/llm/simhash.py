@@ -103,11 +103,15 @@ def _index(fps: DataFrame, ones: bool) -> DataFrame:
 
 
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
-    """(a, b) with a < b: the pairs of distinct fingerprints in column fp that differ in 1 to `bits` bits, each once."""
+    """(a, b) with a < b: the pairs of distinct fingerprints in column fp that differ in 1 to `bits` bits, each once.
+
+    Spark takes the exploded keys, some 33 a fingerprint, for no larger than the fingerprints; the hint keeps
+    it from sending them through the driver as a broadcast.
+    """
     if not 0 <= bits <= 3:
         raise ValueError("two segments with one blanked bit find up to 3 differing bits")
     low, high = _index(fps, False).select(F.col("fp").alias("x"), "key"), _index(fps, True).select(F.col("fp").alias("y"), "key")
-    near = low.join(high, "key").where((F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bits))
+    near = low.join(high.hint("merge"), "key").where((F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bits))
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

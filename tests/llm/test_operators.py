@@ -84,6 +84,15 @@ def test_simhash_matches_brute_force(spark, sf):
     assert got == {d: (f"{prints[d]:016x}", want[d]) for d in ids}
 
 
+def test_simhash_keys_are_never_broadcast(spark):
+    """However small the fingerprints look, their exploded keys do not go through the driver; nor do a graph's edges."""
+    found = simhash.links(spark.range(100).select(F.xxhash64("id").alias("fp")))
+    assert found.count() == 0 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    edges = spark.range(100).select((F.col("id") + 1).alias("u"), F.col("id").alias("v"))
+    for step in (components._large(edges), components._small(edges)):
+        assert step.count() > 0 and "Broadcast" not in step._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_links_are_complete_on_a_dense_ball(spark):
     rng = random.Random(3)
     prints = {0x123456789ABCDEF0 ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for _ in range(300)}
