@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,16 @@ def test_text_primitives(spark):
     assert one(spark, T.normalised("t"), t="A, b!  C.") == "a b c"
 
 
+def test_word_pairs_and_windows_take_linear_time(spark):
+    """A text of 20,000 words: the words were taken anew for each pair, and each window was sought from the text's start."""
+    began = time.monotonic()
+    text = " ".join(f"w{i}é" for i in range(20_000))
+    assert one(spark, T.word_ngrams(T.words("t"), 3), t=text)[-1] == "w19997é w19998é w19999é"
+    windows = one(spark, T.char_windows("t"), t=text)
+    assert windows == [text[i : i + 15] for i in range(0, len(text) - 14, 7)]
+    assert time.monotonic() - began < 20
+
+
 def test_trees_flatten_and_come_back(spark):
     trees = spark.createDataFrame([("d", json.dumps(TREE)), ("broken", "{")], "doc_id string, tree string")
     nodes = X.flatten(spark, trees).cache()
