@@ -395,9 +395,23 @@ def similar_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.
     return seen.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
 
 
+def both_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): texts tied by fingerprints as in near_duplicates, and then by similar_groups, which finds what fingerprints lose.
+
+    A text is in one group with whatever either way links it to, over any number of steps; the
+    component is its smallest id. Rows without an id are left out; ids that are repeated count once,
+    by the smallest text.
+    """
+    docs = columns(docs, (id_col, "doc_id", "long"), (text_col, "text", "string")).where("doc_id is not null")
+    docs = _one_text_an_id(docs)
+    found = stored(near_duplicates(docs).select("doc_id", "component_id").unionByName(similar_groups(docs, words, similarity)), "groups")
+    tied = connected_components(found.where("doc_id <> component_id"), "doc_id", "component_id")
+    return docs.select("doc_id").join(tied, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near copies (the one with the smallest id), and all rows without an id; columns stay."""
-    groups = similar_groups(docs, words, similarity, id_col, text_col)
+    """docs with one row of each group of near copies, by both_groups (the one with the smallest id), and all rows without an id; columns stay."""
+    groups = both_groups(docs, id_col, text_col, words, similarity)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
     left = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
     return left

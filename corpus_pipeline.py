@@ -23,9 +23,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles have a similarity of 0.8 or more: the one with the smallest id.
+    """One document of each group of near copies: the one with the smallest id.
 
-    Texts without words are one group; rows without an id stay; a repeated id counts by its smallest text and its
+    Links are SimHash fingerprints at two or fewer differing bits, as in operator 8; an exact search follows, for texts
+    whose five-word shingles have a similarity of 0.8 or more and whose fingerprints are farther apart. Texts without words are one group; rows without an id stay; a repeated id counts by its smallest text and its
     rows stay or go together. Texts of any length are compared whole.
     """
     return simhash.drop_near_duplicates(docs)

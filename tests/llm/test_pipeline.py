@@ -39,6 +39,18 @@ def test_near_copies_match_all_pairs(spark):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_copies_are_linked_by_fingerprints_too(spark):
+    """Of a text that says one line again and again a copy with a few words more has few shingles in common, but the same fingerprint."""
+    line = [f"q{i}" for i in range(11)]
+    once, again = " ".join(line * 40), " ".join([*line * 40, "z1", "z2", "z3", "z4", "z5"])
+    docs = spark.createDataFrame([(1, again), (2, once), (3, "something else altogether"), (None, once)], "doc_id long, text string")
+    assert jaccard(once, again) < 0.8
+    prints = [r.fingerprint for r in simhash.near_duplicates(docs.where("doc_id < 3")).collect()]
+    assert bin(int(prints[0], 16) ^ int(prints[1], 16)).count("1") <= 2
+    assert sorted(r.doc_id or 0 for r in simhash.drop_near_duplicates(docs).collect()) == [0, 1, 3]
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 1, 3]
+
+
 def test_links_beside_a_star_are_found(spark):
     """A centre's copies link with copies of their own that are too far from the centre; and a chain."""
     rng, rows = random.Random(2), []
