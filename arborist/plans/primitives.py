@@ -122,7 +122,7 @@ def extractive_answers(spark, sf):
 @twin(O.SQL["ndcg_graded"].replace("(pow(2e0, g) - 1e0)", "g"))
 def ndcg_linear(spark, sf):
     d, q = docs(spark, sf), asked(spark, sf)
-    rel = R.overlap(d, q, "share").where("score >= 0.4").select("query_id", "doc_id", F.floor(F.col("score") * 5).cast("double").alias("relevance"))
+    rel = R.best_overlap(d, q, "share", least=0.4).select("query_id", "doc_id", F.floor(F.col("score") * 5).cast("double").alias("relevance"))
     return M.graded_ndcg(R.bm25(d, q), rel, linear=True)
 
 
