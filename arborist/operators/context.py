@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import folds
 
 # How cross-references are written, English and Korean; group 1 is the number.
 REFERENCES = {
@@ -46,17 +47,10 @@ def keep_relevant(scored: DataFrame, least: float = 0.2, fallback: int = 3) -> D
 def leaders(items: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(grp, ord, leader): greedy in order, each item joins the first leader whose word set is similar enough, or leads.
 
-    items (grp, ord, text); a group is one query's context, tens of rows by contract.
+    items (grp, ord, text); a group's items come one after the other (see folds).
     """
-    arr = F.array_sort(F.collect_list(F.struct("ord", F.array_distinct(T.content_tokens("text")).alias("w"))))
-    zero = F.array().cast("array<struct<ord:int,w:array<string>,leader:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        first = F.get(F.filter(acc, lambda a: (a["leader"] == a["ord"]) & (T.jaccard(a["w"], x["w"]) >= threshold)), F.lit(0))["ord"]
-        return F.concat(acc, F.array(F.struct(x["ord"].cast("int").alias("ord"), x["w"].alias("w"), F.coalesce(first, x["ord"]).cast("int").alias("leader"))))
-
-    folded = items.groupBy("grp").agg(arr.alias("items")).select("grp", F.explode(F.aggregate("items", zero, step)).alias("x"))
-    return folded.select("grp", F.col("x.ord").alias("ord"), F.col("x.leader").alias("leader"))
+    folded = folds.streamed_leaders(items, threshold)
+    return folded.select(F.col("grp").cast(items.schema["grp"].dataType).alias("grp"), "ord", "leader")
 
 
 def merge(items: DataFrame, groups: DataFrame) -> DataFrame:

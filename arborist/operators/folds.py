@@ -6,6 +6,9 @@ rows, the function sees them as a stream.
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import chain
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -15,19 +18,24 @@ from ..functions import text as T
 
 @udtf(returnType="grp string, ord int, leader int")
 class LeaderFold:
-    """Each item joins the first leader whose words are similar enough, or leads; the leaders' words are the state."""
+    """Each item joins the first leader whose words are similar enough, or leads; the leaders' sizes, and which of them hold a word, are the state."""
 
     def __init__(self) -> None:
-        self.leaders: list[tuple[int, frozenset]] = []
+        self.leaders: list[tuple[int, int]] = []
+        self.holders: dict[str, list[int]] = {}
 
     def eval(self, row: Row):
-        words = frozenset(row["words"] or ())
-        for leader, own in self.leaders:
-            both = len(words | own)
-            if both and len(words & own) / both >= row["least"]:
+        words = set(row["words"] or ())
+        shared = Counter(chain.from_iterable(self.holders.get(w, ()) for w in words))
+        for i in sorted(shared) if row["least"] > 0 else range(len(self.leaders)):
+            leader, size = self.leaders[i]
+            both = size + len(words) - shared[i]
+            if both and shared[i] / both >= row["least"]:
                 yield row["grp"], row["ord"], leader
                 return
-        self.leaders.append((row["ord"], words))
+        for w in words:
+            self.holders.setdefault(w, []).append(len(self.leaders))
+        self.leaders.append((row["ord"], len(words)))
         yield row["grp"], row["ord"], row["ord"]
 
 
@@ -48,7 +56,7 @@ class BudgetFold:
 
 
 def streamed_leaders(items: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """As context.leaders, for items (grp, ord, text) of groups of any length; grp comes back as text."""
+    """(grp, ord, leader) for items (grp, ord, text) of groups of any length; grp comes back as text."""
     rows = items.select(F.col("grp").cast("string").alias("grp"), F.col("ord").cast("int").alias("ord"), F.array_distinct(T.content_tokens("text")).alias("words"), F.lit(float(threshold)).alias("least"))
     return LeaderFold(rows.asTable().partitionBy("grp").orderBy("ord"))
 

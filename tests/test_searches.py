@@ -66,3 +66,16 @@ def test_scoring_some_documents_counts_terms_in_all(spark):
     got = {(r.query_id, r.doc_id): r.score for r in R.bm25(docs, asked, None, scored=some).collect()}
     assert got == {k: v for k, v in every.items() if k[1] < 5} and got
     assert "MapInArrow" in plan(R.bm25(docs, asked, None, scored=some))
+
+
+def test_leaders_of_a_long_group_take_linear_time(spark):
+    """1,500 items without common words: each was held against all items before it, word set by word set."""
+    from arborist.operators import context as C
+
+    rows = [(7, i, " ".join(f"w{i}x{j}" for j in range(100))) for i in range(1500)] + [(7, 1500, " ".join(f"w900x{j}" for j in range(60))), (8, 0, ""), (8, 1, None), (None, 0, "some words")]
+    items = spark.createDataFrame(rows, "grp long, ord int, text string")
+    C.leaders(items.where("grp = 8"), 0.5).collect()
+    began = time.monotonic()
+    got = {(r.grp, r.ord): r.leader for r in C.leaders(items, 0.5).collect()}
+    assert time.monotonic() - began < 20
+    assert got == {(g, i): 900 if i == 1500 else i for g, i, _ in rows} and dict(C.leaders(items, 0.5).dtypes)["grp"] == "bigint"
