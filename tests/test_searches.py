@@ -79,3 +79,41 @@ def test_leaders_of_a_long_group_take_linear_time(spark):
     got = {(r.grp, r.ord): r.leader for r in C.leaders(items, 0.5).collect()}
     assert time.monotonic() - began < 20
     assert got == {(g, i): 900 if i == 1500 else i for g, i, _ in rows} and dict(C.leaders(items, 0.5).dtypes)["grp"] == "bigint"
+
+
+def test_a_key_waits_with_one_timer():
+    """Each request had its own timer and map entry, about ten calls to the state store."""
+    from types import SimpleNamespace as N
+
+    from arborist.streaming import expiry
+
+    class Store:
+        def __init__(self):
+            self.timers, self.calls, self.rows, self.one = [], 0, [], None
+
+        def getListState(self, *_):  # noqa: N802 - Spark's names
+            return N(appendList=lambda x: self.count(self.rows.extend(x)), get=lambda: self.count(iter(list(self.rows))), put=lambda x: self.count(self.keep(x)), clear=lambda: self.count(self.keep([])))
+
+        def getValueState(self, *_):  # noqa: N802
+            return N(get=lambda: self.count(self.one), update=lambda x: self.count(setattr(self, "one", x)), clear=lambda: self.count(setattr(self, "one", None)))
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.count(self.timers.append(ms))
+
+        def keep(self, rows):
+            self.rows = list(rows)
+
+        def count(self, value):
+            self.calls += 1
+            return value
+
+    store, p = Store(), expiry.Lookups(60.0, "after")
+    p.init(store)
+    s = 1_000_000
+    list(p.handleInputRows(("k",), iter([N(us=t * s, id=t) for t in (200, 10, 70, 30, 71, 100)]), None))
+    fire = lambda ms, now: [(r.id, r.hit) for r in p.handleExpiredTimer(("k",), N(getCurrentWatermarkInMs=lambda: now), N(getExpiryTimeInMs=lambda: ms))]
+    assert store.timers == [10_000] and store.calls == 2
+    assert fire(10_000, 100_000) == [(10, False), (30, True), (70, True), (71, False)]  # what is at the watermark itself may still be joined by others
+    assert store.timers[1:] == [100_000, 131_002] and [i for _, i in store.rows] == [100, 200] and store.calls <= 8
+    assert fire(100_000, 500_000) == [(100, True), (200, False)] and store.rows == []
+    assert fire(260_002, 500_000) == [] and store.one is None
